@@ -34,8 +34,8 @@ POLICIES = {
 BASE_POLICY, POLICY = "base-1", "full-1"
 
 
-def with_measurements(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words."""
+def with_measurements(df: DataFrame, text: str = "text", distinct: bool = False) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (and n_distinct)."""
     t = text_or_empty(text)
     # arrays_zip instead of outer references in lambdas: a lambda body that names the word array could
     # be inlined by the optimiser and split the text again for each element.
@@ -98,6 +98,7 @@ def with_measurements(df: DataFrame, text: str = "text") -> DataFrame:
         F.size("_lines").cast("bigint").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
+        *([F.size(F.array_distinct("_words")).cast("bigint").alias("n_distinct")] if distinct else []),
     )
 
 
