@@ -2,17 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.plans.shared import cut, drop_shuffles, new_folder, partitions, release, shared_dir  # noqa: F401
+
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-_written: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -24,43 +21,6 @@ def text_or_empty(text: Column | str = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    conf = spark.conf.get("spark.checkpoint.dir", None)
-    return (conf or "file:///tmp/checkpoints/tideline").rstrip("/")
-
-
-def new_folder(spark: SparkSession, what: str) -> str:
-    """A fresh folder under the shared one; removed when the driver's process ends."""
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(release)
-    _written.append((spark, path))
-    return path
-
-
-def cut(df: DataFrame, what: str = "table") -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = new_folder(spark, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Delete what cut() and the file-writing operators wrote; results that still read it become invalid."""
-    while _written:
-        spark, path = _written.pop()
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 # --- byte hashing, vectorised -------------------------------------------------------------------
 
 _rng = np.random.default_rng(20240601)

@@ -27,8 +27,8 @@ FEATURES = ["chars", "words", "mean_word", "symbols", "dup_lines", "repeats", "d
 
 
 def statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and an array of FEATURES."""
-    df = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
+    """row (all of the input's columns), doc_id and x, an array of FEATURES."""
+    df = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
     df = rules.with_measurements(df, distinct=True)
     text, words, lines = F.col("text"), F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     values = [
@@ -42,7 +42,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.log1p(words / lines),
         (F.octet_length(text) - F.octet_length(F.replace(text, F.lit("."), F.lit("")))) / words,
     ]
-    return df.select("doc_id", F.array(*(v.cast("double") for v in values)).alias("x"))
+    return df.select("row", "doc_id", F.array(*(v.cast("double") for v in values)).alias("x"))
 
 
 def held_out(folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
@@ -53,22 +53,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> boosting.Tr
     """Trees from at most `sample` labelled documents outside the held-out fold."""
     y = labels.where(~held_out()).where("quality is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("double").alias("y"))
     chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = statistics(docs.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id").select("doc_id", "x", "y").toPandas()
+    rows = statistics(docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")).join(F.broadcast(chosen), "doc_id").select("doc_id", "x", "y").toPandas()
     rows = rows.sort_values(["doc_id", "y"], kind="stable")
     x = np.stack(rows["x"].tolist()) if len(rows) else np.zeros((0, len(FEATURES)))
     return boosting.train(x, rows["y"].to_numpy())
 
 
-def score(docs: DataFrame, model: boosting.Trees, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row."""
+def with_scores(docs: DataFrame, model: boosting.Trees) -> DataFrame:
+    """row (all of the input's columns), doc_id and score."""
 
     @F.pandas_udf("double")
     def apply(x: pd.Series) -> pd.Series:
         return pd.Series(model.probability(np.stack(x.tolist()) if len(x) else np.zeros((0, len(FEATURES)))))
 
-    df = statistics(docs).withColumn("score", apply("x"))
+    return statistics(docs).withColumn("score", apply("x"))
+
+
+def score(docs: DataFrame, model: boosting.Trees, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, held_out, score, predicted of every row."""
+    df = with_scores(docs.select("doc_id", "text"), model)
     return df.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels))
+
+
+def keep(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents with a score of at least the threshold; the columns of docs."""
+    return with_scores(docs, fit(docs, labels)).where(F.col("score") >= threshold).select("row.*")

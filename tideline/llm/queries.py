@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import ann, mixing, packing, quality, rules, token_counts, toxicity, warc
+from tideline.llm import ann, minhash, mixing, packing, quality, rules, suffix, token_counts, toxicity, warc
 from tideline.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents", "doc_id", "source", "text"))
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -38,11 +42,16 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html")).drop("html")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_nearest, op3_mixing, op5_token_counts, op6_quality, op7_packing, op8_rules, op10_warc)
+    f.__name__: f
+    for f in (op1_toxicity, op2_nearest, op3_mixing, op4_minhash, op5_token_counts, op6_quality, op7_packing, op8_rules, op9_suffixes, op10_warc)
 }
 SQL: dict[str, str] = {"op8_rules": rules.SQL}
