@@ -159,11 +159,11 @@ def d12_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.agg(F.count("*").alias("n_rows"), F.countDistinct("trade_id").alias("n_ids"), F.count_if(F.col("prev") > F.col("timestamp_unix")).alias("n_regressions"), *(F.count_if(F.expr(c)).alias(n) for n, c in _RULES.items()))
 
 
-@query("""SELECT p_partkey, p_name FROM part WHERE p_retailprice >= 1000 AND regexp_full_match(p_brand, '[A-Za-z#0-9 ]+') AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)""")
+@query("""SELECT p_partkey, p_name FROM part WHERE p_size >= 10 AND regexp_full_match(p_brand, '[A-Za-z#0-9 ]+') AND p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)""")
 def d05_selected_markets(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity >= 49").select(F.col("l_partkey").alias("p_partkey"))
-    return p.where((F.col("p_retailprice") >= 1000) & F.col("p_brand").rlike("^[A-Za-z#0-9 ]+$")).join(li, "p_partkey", "left_semi").select("p_partkey", "p_name")
+    return p.where((F.col("p_size") >= 10) & F.col("p_brand").rlike("^[A-Za-z#0-9 ]+$")).join(li, "p_partkey", "left_semi").select("p_partkey", "p_name")
 
 
 @query(EV + """SELECT DISTINCT a.trade_id, a.wallet_id, a.market_id FROM trades a WHERE wallet_id % 10 = 3 OR market_id IN (SELECT market_id FROM trades GROUP BY market_id HAVING avg(price) > 0.5)""")
