@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions import scalar as S
-from tideline.operators import asof, components, cursor, order, running
+from tideline.operators import asof, components, cursor, features, order, running
 from tideline.plans.registry import query
 from tideline.plans.views import DAY, RESOLUTIONS, SCHEDULES, SPLITS_SQL, START, TRADES_EV, TRADES_LI, resolutions, schedules, splits, trades_ev, trades_li
 
@@ -431,3 +431,29 @@ def d09_l03_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades_ev(spark, sf_dir)
     j = t.join(resolutions(t), "market_id")
     return j.select("trade_id", F.when((F.col("timestamp_unix") < F.col("resolution_ts")) & (F.col("market_id") % 3 != 0), F.col("payout0")).alias("label"), F.round(F.col("payout0") - F.col("price"), 6).alias("edge"), F.round(F.col("payout0") - F.col("price") - 0.005, 6).alias("net_edge"))
+
+
+# --- the feature pack ---------------------------------------------------------------------------
+
+
+def pack_inputs(t: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """markets, wallet resolutions and actor deltas derived from trades."""
+    m = t.groupBy("market_id", "component_id").agg(F.min("timestamp_unix").alias("created"), (F.max("timestamp_unix") - DAY * (F.col("market_id") % 5)).alias("end_ts"))
+    m = m.withColumns({"neg_risk": (F.col("market_id") % 3 == 0).cast("int"), "unclosed": (F.col("market_id") % 4 == 0).cast("int")})
+    r = _wallet_resolutions(t).select("wallet_id", "resolution_ts", (F.col("pnl") / 100).alias("edge"), "pnl")
+    week = F.floor((F.col("timestamp_unix") - START) / (7 * DAY))
+    buy, n = F.col("side") == "BUY", F.col("notional_usd")
+    a = t.groupBy("wallet_id", (START + (week + 1) * 7 * DAY).cast("bigint").alias("available")).agg(
+        F.count_if(F.col("outcome_index") == 0).alias("maker_fills"), F.count_if(F.col("outcome_index") == 1).alias("taker_fills"), F.count_if(buy).alias("buy_fills"), F.count_if(~buy).alias("sell_fills"),
+        F.coalesce(F.sum(F.when(buy, n)), F.lit(0.0)).alias("buy_notional"), F.coalesce(F.sum(F.when(~buy, n)), F.lit(0.0)).alias("sell_notional"), F.countDistinct("market_id").alias("counterparties"), F.countDistinct("component_id").alias("assets"),
+        F.avg("price").alias("average_price"), F.stddev_pop("price").alias("price_std"),
+    )
+    return m, r, features.actor_deltas(a)
+
+
+@query()
+def feature_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 128 features at the decisions of the adaptive cursor."""
+    t = trades_ev(spark, sf_dir)
+    pack = features.feature_pack(t, *pack_inputs(t))
+    return pack.join(cursor.decisions(t).select("trade_id"), "trade_id", "left_semi")
