@@ -11,7 +11,9 @@ sampled, not two thirds.
    before and of those behind it (names are hashes; since the prefixes to compare are bounded by LEAST, a
    triple names all that a recursion would).
 2. Triples are sorted in one shuffle. Equal adjacent triples: all windows of the later one repeat. A gram
-   with one triple only: nothing else can repeat. Left are first triples whose gram has other triples.
+   with one triple only: nothing else can repeat. Left are first triples whose gram has other triples. A
+   window that two of these share reaches HALF bytes beyond the gram on one side at least, so only those
+   are open whose HALF bytes before or behind are shared (32-bit names; a collision costs work, no result).
 3. For these, the remaining (not sampled) suffixes are merged in: each window gets the name of its gram and
    of its LEAST bytes, and adjacent equal names in sorted order are repeats.
 4. The bytes of repeated windows go; neighbouring windows join to spans.
@@ -38,7 +40,10 @@ from tideline.llm.common import cut, drop_shuffles, mix, prefix_hash, span_hash
 LEAST, GRAM = 100, 32
 #: Starts of windows that a sampled suffix can be the minimum of.
 SPREAD = LEAST - GRAM + 1
+HALF = (LEAST - GRAM) // 2
 CHUNK_ROWS = 1 << 16
+#: Windows are merged in so many shares, one after another: one share's shuffle files go before the next begins.
+SHARES = 2
 _PLACE = (1 << 40) - 1
 
 
@@ -73,7 +78,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def triples(docs: DataFrame) -> DataFrame:
-    """gram, triple, doc, at (tag and place) of every sampled suffix."""
+    """gram, triple, doc, at (tag and place), sides (names of HALF bytes before and behind) of every sampled suffix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple] = []
@@ -82,7 +87,7 @@ def triples(docs: DataFrame) -> DataFrame:
         def flush() -> pa.RecordBatch:
             columns = [np.concatenate(x) for x in zip(*parts)]
             parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=["gram", "triple", "doc", "at"])
+            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=["gram", "triple", "doc", "at", "sides"])
 
         for batch in batches:
             for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
@@ -93,7 +98,17 @@ def triples(docs: DataFrame) -> DataFrame:
                 lo, hi = np.maximum(at - SPREAD + 1, 0), np.minimum(at + LEAST, len(raw))
                 before, behind = span_hash(c, lo, at), span_hash(c, at + GRAM, hi)
                 triple = mix(mix(before * np.uint64(3) + grams[at]) * np.uint64(5) + behind)
-                parts.append((grams[at], triple, np.full(len(at), doc, np.int64), (tag << 40) | at.astype(np.int64)))
+                own = mix(at.astype(np.uint64) + np.uint64(doc * 0x9E3779B97F4A7C15 % 2**64))  # too close to an end: shared with none
+                left = np.where(at >= HALF, span_hash(c, np.maximum(at - HALF, 0), at), own)
+                end = at + GRAM + HALF
+                right = np.where(end <= len(raw), span_hash(c, at + GRAM, np.minimum(end, len(raw))), own)
+                # later ones of a document that has the same triple before: known to repeat, and sent as rows of
+                # their own (gram equals triple), so that periodic texts pile up nowhere
+                again = np.ones(len(at), bool)
+                again[np.unique(triple, return_index=True)[1]] = False
+                gram, triple = np.where(again, own, grams[at]), np.where(again, own, triple)
+                sides = (left & np.uint64(0xFFFFFFFF00000000)) | (right >> np.uint64(32))
+                parts.append((gram, triple, np.full(len(at), doc, np.int64), (tag << 40) | at.astype(np.int64), sides))
                 n += len(at)
                 if n >= CHUNK_ROWS:
                     yield flush()
@@ -101,11 +116,12 @@ def triples(docs: DataFrame) -> DataFrame:
         if parts:
             yield flush()
 
-    return _keyed(docs).where(F.octet_length("text") >= LEAST).mapInArrow(run, "gram bigint, triple bigint, doc bigint, at bigint")
+    return _keyed(docs).where(F.octet_length("text") >= LEAST).mapInArrow(run, "gram bigint, triple bigint, doc bigint, at bigint, sides bigint")
 
 
 def sort_triples(sampled: DataFrame) -> DataFrame:
-    """doc, tag, places: of the suffixes that repeat (open false) or have to be merged with others (open true).
+    """doc, tag, s: place and kind of the suffixes that repeat (kind 0) or may share windows with others
+    to their left (1), right (2) or either side (3).
 
     A gram is one row per occurrence; it has a small part of all rows even if every document has it, since
     every document has many grams.
@@ -115,28 +131,34 @@ def sort_triples(sampled: DataFrame) -> DataFrame:
     df = sampled.withColumn("low", F.min("triple").over(by)).withColumn("high", F.max("triple").over(by))
     # rows equal in doc and place (repeated rows of a document) are not earlier than each other
     first = F.first(F.struct("triple", "doc", place.alias("p"))).over(W.partitionBy("gram", "triple").orderBy("doc", place))
-    df = df.withColumn("first", first).withColumn("open", (F.col("first.doc") == F.col("doc")) & (F.col("first.p") == place))
-    df = df.where(~F.col("open") | (F.col("low") != F.col("high")))
-    df = df.select("doc", F.shiftrightunsigned("at", 40).alias("tag"), F.struct(place.cast("int").alias("place"), "open").alias("s"))
+    df = df.withColumn("first", first).withColumn("open", (F.col("first.doc") == F.col("doc")) & (F.col("first.p") == place) & (F.col("gram") != F.col("triple")))
+    df = df.where(~F.col("open") | (F.col("low") != F.col("high"))).select("gram", "doc", "at", "open", "sides")
+    df = df.withColumn("left", F.when(F.col("open"), F.shiftright("sides", 32))).withColumn("right", F.when(F.col("open"), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF))))
+    for side in ("left", "right"):
+        df = df.withColumn(f"n_{side}", F.count(side).over(W.partitionBy("gram", side)))
+    kind = F.when(F.col("n_left") > 1, 1).otherwise(0) + F.when(F.col("n_right") > 1, 2).otherwise(0)
+    df = df.withColumn("kind", F.when(F.col("open"), kind).otherwise(0)).where(~F.col("open") | (F.col("kind") > 0))
+    df = df.select("doc", F.shiftrightunsigned("at", 40).alias("tag"), F.struct(place.cast("int").alias("place"), F.col("kind").cast("tinyint").alias("kind")).alias("s"))
     return df.groupBy("doc", "tag").agg(F.sort_array(F.collect_list("s")).alias("s"))
 
 
-def windows(candidates: DataFrame) -> DataFrame:
-    """gram, name, doc, at of every window of the open suffixes."""
+def windows(candidates: DataFrame, share: int, shares: int) -> DataFrame:
+    """gram, name, doc, at of every window of the open suffixes whose gram is of the given share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = []
-            for doc, tag, text, places in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-                p = places.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                if not len(p):
-                    continue
+            for doc, tag, text, places, kinds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(batch.column(i) for i in (2, 3, 4))):
+                p, kind = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (places, kinds))
                 raw = np.frombuffer(text.as_buffer(), np.uint8)
                 c, grams, low, _ = _sampled(raw)
                 q = p[:, None] - np.arange(SPREAD)
-                ok = (q >= 0) & (q < len(low))
+                back = np.arange(SPREAD)
+                # shared on the left only: the window begins more than HALF bytes before; on the right only: less
+                ok = (q >= 0) & (q < len(low)) & ((kind[:, None] != 1) | (back >= HALF)) & ((kind[:, None] != 2) | (back <= HALF))
                 ok &= low[np.where(ok, q, 0)] == grams[p][:, None]
                 q = np.unique(q[ok])
+                q = q[(low[q] >> np.uint64(7)) % np.uint64(shares) == share]
                 parts.append((low[q], span_hash(c, q, q + LEAST), np.full(len(q), doc, np.int64), (tag << 40) | q))
                 if sum(len(x[0]) for x in parts) >= CHUNK_ROWS:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*parts)], names=["gram", "name", "doc", "at"])
@@ -144,8 +166,9 @@ def windows(candidates: DataFrame) -> DataFrame:
             if parts:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*parts)], names=["gram", "name", "doc", "at"])
 
-    open_ = F.transform(F.filter("s", lambda x: x["open"]), lambda x: x["place"])
-    return candidates.select("doc", "tag", "text", open_.alias("places")).where(F.size("places") > 0).mapInArrow(run, "gram bigint, name bigint, doc bigint, at bigint")
+    open_ = F.filter("s", lambda x: x["kind"] > 0)
+    df = candidates.select("doc", "tag", "text", open_["place"].alias("places"), open_["kind"].alias("kinds"))
+    return df.where(F.size("places") > 0).mapInArrow(run, "gram bigint, name bigint, doc bigint, at bigint")
 
 
 def merge(named: DataFrame) -> DataFrame:
@@ -163,8 +186,12 @@ def cleaned(docs: DataFrame) -> DataFrame:
     drop_shuffles(spark)
     candidates = cut(_keyed(docs).join(marked, ["doc", "tag"]), "suffix-candidates")
     drop_shuffles(spark)
-    repeats = cut(merge(windows(candidates)), "suffix-windows")
-    drop_shuffles(spark)
+    repeats = None
+    for share in range(SHARES):
+        found = cut(merge(windows(candidates, share, SHARES)), "suffix-windows")
+        drop_shuffles(spark)
+        repeats = found if repeats is None else repeats.unionByName(found)
+    repeats = repeats.groupBy("doc", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +213,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["doc", "tag", "spans", "kept", "sha256"])
 
-    whole = F.transform(F.filter("s", lambda x: ~x["open"]), lambda x: x["place"])
+    whole = F.transform(F.filter("s", lambda x: x["kind"] == 0), lambda x: x["place"])
     # a repeated row has every place as often as the row
     both = candidates.join(repeats, ["doc", "tag"], "left").select("doc", "tag", "text", F.array_distinct(whole).alias("whole"), "starts")
     both = both.where((F.size("whole") > 0) | F.col("starts").isNotNull())
