@@ -165,7 +165,7 @@ def h11_h12_h19_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def h13_top_wallets(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _sequences(spark, sf_dir).groupBy("market_id", "anchor", "wallet_id").agg(F.sum("notional_usd").alias("n"), F.count("*").alias("trades"))
     w = w.withColumn("k", F.row_number().over(W.partitionBy("market_id", "anchor").orderBy(F.desc("n"), "wallet_id"))).where("k <= 4")
-    return w.select("market_id", "anchor", "wallet_id", F.round("n", 4).alias("notional"), "trades", "k")
+    return w.select("market_id", "anchor", "wallet_id", F.round("n", 4).alias("notional"), "trades", F.col("k").cast("bigint").alias("k"))
 
 
 @query(_SEQ + """ SELECT market_id, anchor, i // 16 AS block, round(avg(p0), 9) AS mean, round(stddev_pop(p0), 7) AS std, round(min(p0), 6) AS low, round(max(p0), 6) AS high, round(arg_max(p0, i) - arg_min(p0, i), 6) AS change, count(DISTINCT wallet_id) AS wallets FROM s GROUP BY ALL""")
@@ -215,7 +215,7 @@ def h16_occurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j02_j03_keep_first_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     a = W.partitionBy("l_orderkey", "l_linenumber")
-    li = li.withColumns({"k": F.row_number().over(a.orderBy("l_partkey", "l_suppkey")), "j": F.row_number().over(a.orderBy(F.desc("l_partkey"), F.desc("l_suppkey")))})
+    li = li.withColumns({"k": F.row_number().over(a.orderBy("l_partkey", "l_suppkey")).cast("bigint"), "j": F.row_number().over(a.orderBy(F.desc("l_partkey"), F.desc("l_suppkey"))).cast("bigint")})
     return li.where("k = 1 or j = 1")
 
 
@@ -237,13 +237,13 @@ def i06_i07_top_per_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = trades_li(spark, sf_dir).groupBy("component_id", "wallet_id").agg(F.count("*").alias("n"), F.sum("notional_usd").alias("score"))
     place = [(F.col("n") == 1).desc(), F.desc("n"), F.round("score", 4).desc(), F.col("wallet_id")]
     x = x.withColumn("k", F.row_number().over(W.partitionBy("component_id").orderBy(*place))).where("k <= 5")
-    return x.select("component_id", "wallet_id", "n", "k")
+    return x.select("component_id", "wallet_id", "n", F.col("k").cast("bigint").alias("k"))
 
 
 @query(f"{EV}, w AS (SELECT market_id, min(timestamp_unix) AS a, max(timestamp_unix) + 1 AS b FROM trades GROUP BY 1) SELECT market_id, i AS part, a + (b - a) * i // 7 AS part_start, a + (b - a) * (i + 1) // 7 AS part_end FROM w, range(7) AS x(i)")
 def i09_integer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = trades_ev(spark, sf_dir).groupBy("market_id").agg(F.min("timestamp_unix").alias("a"), (F.max("timestamp_unix") + 1).alias("b"))
-    return order.integer_windows(w, "a", "b", 7).select("market_id", "part", "part_start", "part_end")
+    return order.integer_windows(w, "a", "b", 7).select("market_id", F.col("part").cast("bigint").alias("part"), "part_start", "part_end")
 
 
 @query(f"{EV} SELECT count(*) FILTER (WHERE p > timestamp_unix) AS by_time, count(*) FILTER (WHERE q > timestamp_unix) AS by_id FROM (SELECT timestamp_unix, lag(timestamp_unix) OVER (PARTITION BY wallet_id ORDER BY timestamp_unix, trade_id) AS p, lag(timestamp_unix) OVER (PARTITION BY wallet_id ORDER BY trade_id DESC) AS q FROM trades)")

@@ -132,13 +132,13 @@ def f14_histogram_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"{EV}, g AS (SELECT *, row_number() OVER (ORDER BY abs(price - 0.5) DESC, trade_id) AS k, count(*) OVER () AS n FROM trades) " + " UNION ALL ".join(
-    f"SELECT {f} AS fraction, count(*) AS n, round(sum(outcome_index - price), 4) AS pnl FROM g WHERE k <= ceil(n * {f})" for f in (0.01, 0.05, 0.2)))
+    f"SELECT {f}::DOUBLE AS fraction, count(*) AS n, round(sum(outcome_index - price), 4) AS pnl FROM g WHERE k <= ceil(n * {f})" for f in (0.01, 0.05, 0.2)))
 def f27_top_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades_ev(spark, sf_dir)
     n, out = t.count(), None
     for f in (0.01, 0.05, 0.2):
         top = t.orderBy(F.abs(F.col("price") - 0.5).desc(), "trade_id").limit(int(-(-n * f // 1)))
-        row = top.agg(F.lit(f).cast("decimal(2,2)").alias("fraction"), F.count("*").alias("n"), F.round(F.sum(F.col("outcome_index") - F.col("price")), 4).alias("pnl"))
+        row = top.agg(F.lit(f).alias("fraction"), F.count("*").alias("n"), F.round(F.sum(F.col("outcome_index") - F.col("price")), 4).alias("pnl"))
         out = row if out is None else out.unionByName(row)
     return out
 

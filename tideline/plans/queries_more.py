@@ -108,7 +108,7 @@ def f40_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold bookkeeping: held-out rows, and components left to fit without the inner validation fold."""
     t = trades_li(spark, sf_dir)
     c = t.groupBy("component_id").agg(F.max("timestamp_unix").alias("anchor"))
-    k = c.select("component_id", (F.row_number().over(W.orderBy("anchor", "component_id")) % 5).alias("fold"))  # one row per component
+    k = c.select("component_id", (F.row_number().over(W.orderBy("anchor", "component_id")) % 5).cast("bigint").alias("fold"))  # one row per component
     sizes = k.groupBy("fold").agg(F.count("*").alias("m"))
     fit = sizes.alias("a").join(sizes.alias("b"), (F.col("a.fold") != F.col("b.fold")) & ((F.col("a.fold") + 1) % 5 != F.col("b.fold"))).groupBy(F.col("a.fold").alias("fold")).agg(F.sum("b.m").alias("fit_components"))
     return t.join(k, "component_id").groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg("price"), 6).alias("mean_price")).join(fit, "fold")
