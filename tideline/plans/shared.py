@@ -35,6 +35,30 @@ def cut(df: DataFrame, what: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def mark() -> int:
+    """A point of time for settle()."""
+    return len(_written)
+
+
+def settle(since: int, df: DataFrame, what: str = "result") -> DataFrame:
+    """df, written and read back; what was written since the mark goes."""
+    out = cut(df, what)
+    own = _written.pop()
+    discard(since)
+    _written.append(own)
+    return out
+
+
+def discard(since: int) -> None:
+    """Delete the folders made since the mark; only for tables that nothing reads any more."""
+    while len(_written) > since:
+        spark, path = _written.pop()
+        with contextlib.suppress(Exception):
+            jvm = spark.sparkContext._jvm
+            target = jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of finished, no longer referenced stages now."""
     gc.collect()
@@ -43,12 +67,7 @@ def drop_shuffles(spark: SparkSession) -> None:
 
 def release() -> None:
     """Delete all folders made here; results that still read them become invalid."""
-    while _written:
-        spark, path = _written.pop()
-        with contextlib.suppress(Exception):
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    discard(0)
 
 
 def partitions(spark: SparkSession) -> int:
