@@ -46,8 +46,8 @@ def surt(url: str | None) -> str:
     return ",".join(reversed(host.split("."))) + ")" + path
 
 
-def with_digests(pages: DataFrame, least: int = 0) -> DataFrame:
-    """page_id, url, html, key, payload_digest, payload_bytes, refers_to (null for responses)."""
+def described(pages: DataFrame) -> DataFrame:
+    """page_id, url, html, key, payload_digest, payload_bytes."""
 
     @F.pandas_udf("struct<key:string,digest:string>")
     def describe(url: pd.Series, html: pd.Series) -> pd.DataFrame:
@@ -59,12 +59,17 @@ def with_digests(pages: DataFrame, least: int = 0) -> DataFrame:
         )
 
     df = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html").withColumn("d", describe("url", "html"))
-    df = df.select("page_id", "url", "html", "d.key", F.col("d.digest").alias("payload_digest"), F.octet_length(F.coalesce("html", F.lit(""))).cast("bigint").alias("payload_bytes"))
-    # the smallest page_id of each payload that has several records; small groups only, since the minimum is pre-aggregated
-    first = df.where(F.col("payload_bytes") >= least).groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1 and first_id is not null").drop("n")
-    df = df.join(first, ["payload_digest", "payload_bytes"], "left")
-    refers = F.when(F.col("first_id").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
-    return df.withColumn("refers_to", refers).drop("first_id")
+    size = F.octet_length(F.coalesce("html", F.lit(""))).cast("bigint")
+    return df.select("page_id", "url", "html", "d.key", F.col("d.digest").alias("payload_digest"), size.alias("payload_bytes"))
+
+
+def revisits(rows: DataFrame, least: int = 0) -> DataFrame:
+    """key, page_id, payload_digest, refers_to of the records that repeat a payload; no html is shuffled for it."""
+    narrow = rows.where(F.col("payload_bytes") >= least).select("key", "page_id", "payload_digest", "payload_bytes")
+    payload = ["payload_digest", "payload_bytes"]
+    first = narrow.groupBy(*payload).agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
+    repeats = narrow.join(first, payload).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    return repeats.select("key", "page_id", "payload_digest", "refers_to").distinct()
 
 
 def _record(kind: str, url: str, page_id: int | None, digest: str, n: int, refers: int | None, payload: bytes) -> bytes:
@@ -113,7 +118,7 @@ def write(pages: DataFrame, folder: str, least: int = 0, block_lines: int = BLOC
         name, at, index_at, n = uuid.uuid4().hex, 0, 0, 0
         lines: list[str] = []
         directory: list[list] = []
-        block_at, first_key, last_key = 0, None, None
+        block_at, first_key, last_key, marked = 0, None, None, None
         with store.open_output_stream(f"{root}/{name}.warc.gz", compression=None) as archive, store.open_output_stream(f"{root}/{name}.idx") as index:
 
             def close_block() -> None:
@@ -125,7 +130,11 @@ def write(pages: DataFrame, folder: str, least: int = 0, block_lines: int = BLOC
 
             for pdf in batches:
                 for key, page, url, html, digest, size, refers in zip(pdf["key"], pdf["page_id"], pdf["url"], pdf["html"], pdf["payload_digest"], pdf["payload_bytes"], pdf["refers_to"]):
-                    page, refers = (None if pd.isna(x) else int(x) for x in (page, refers))
+                    page = None if pd.isna(page) else int(page)
+                    if not pd.isna(refers):  # announces the records of this key, page and payload, which follow
+                        marked = (key, page, digest, int(refers))
+                        continue
+                    refers = marked[3] if marked and marked[:3] == (key, page, digest) else None
                     kind = TYPE_RESPONSE if refers is None else TYPE_REVISIT
                     packed = _pack(_record(kind, url, page, digest, size, refers, (html or "").encode() if refers is None else b""))
                     archive.write(packed)
@@ -142,9 +151,12 @@ def write(pages: DataFrame, folder: str, least: int = 0, block_lines: int = BLOC
         if n:
             yield pd.DataFrame({"name": [name], "first_key": [first_key], "last_key": [last_key], "n_records": [n]})
 
-    df = with_digests(pages, least)
-    n = partitions(df.sparkSession)
-    ordered = df.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
+    # one shuffle moves the html: what repeats is found on narrow rows and announced by a row before the records
+    rows = described(pages)
+    marks = revisits(rows, least).withColumns({"url": F.lit(None).cast("string"), "html": F.lit(None).cast("string"), "payload_bytes": F.lit(0).cast("bigint"), "kind": F.lit(0)})
+    both = rows.withColumns({"refers_to": F.lit(None).cast("bigint"), "kind": F.lit(1)}).unionByName(marks)
+    n = partitions(both.sparkSession)
+    ordered = both.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id", "payload_digest", "kind")
     return ordered.select("key", "page_id", "url", "html", "payload_digest", "payload_bytes", "refers_to").mapInPandas(run, "name string, first_key string, last_key string, n_records bigint")
 
 
