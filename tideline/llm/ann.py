@@ -25,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut, partitions
+from tideline.llm.common import cut
 
 TRAIN = 20_000
 ETA = 4.0
 WIDTH = 2  # components of a subspace
 RERANK = 300
 ROW_BLOCK, QUERY_BLOCK = 8192, 512
+#: Parts into which the rows are dealt for each block of queries; each part keeps its best RERANK.
+PARTS = 4
 K = 10
 
 
@@ -170,33 +172,42 @@ def search(embeddings: DataFrame, k: int = K, is_query: Column | None = None, re
                 ids = part["cls"].to_numpy(np.int64)
                 yield pd.DataFrame({"salt": [int(ids[0])], "ids": [ids.tobytes()], "codes": [codes.tobytes()]})
 
-    n = partitions(spark)
     blocks = classes.select("cls", "v").mapInPandas(pack, "salt bigint, ids binary, codes binary")
-    blocks = blocks.withColumn("salt", F.pmod(F.xxhash64("salt"), F.lit(n)).cast("int"))
+    blocks = blocks.withColumn("salt", F.pmod(F.xxhash64("salt"), F.lit(PARTS)).cast("int"))
     queries = rows.where(is_query)
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
     grouped = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).groupBy("qb").agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    grouped = grouped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    meets = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(grouped, ["qb", "salt"])
+    grouped = grouped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    meets = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(grouped.hint("merge"), ["qb", "salt"])
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by (qb, salt): the best of such a part are kept until the next one begins."""
+        part, q, best, vectors = None, [], [], np.zeros((0, 0))
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for x, (scores, ids) in zip(q, best):
+                yield pd.DataFrame({"query_id": x["vec_id"], "cls": ids, "approx": scores})
+
         for pdf in batches:
-            for ids, codes, q in zip(pdf["ids"], pdf["codes"], pdf["q"]):
+            for qb, salt, ids, codes, queries_ in zip(pdf["qb"], pdf["salt"], pdf["ids"], pdf["codes"], pdf["q"]):
+                if part != (qb, salt):
+                    yield from flush()
+                    part, q = (qb, salt), queries_
+                    vectors = np.stack([np.asarray(x["v"], float) for x in q])
+                    best = [(np.zeros(0, np.float32), np.zeros(0, np.int64))] * len(q)
                 ids = np.frombuffer(ids, np.int64)
                 codes = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(len(ids), -1).T)
                 for at in range(0, len(q), 64):
-                    part = q[at : at + 64]
-                    tables = model.tables(np.stack([np.asarray(x["v"], float) for x in part]))
-                    out = []
-                    for x, t in zip(part, tables):
+                    for i, t in enumerate(model.tables(vectors[at : at + 64]), at):
                         scores = t[0][codes[0]]
                         for b in range(1, len(codes)):
                             scores += t[b][codes[b]]
-                        best = _best(scores, ids, rerank)
-                        out.append(pd.DataFrame({"query_id": x["vec_id"], "cls": ids[best], "approx": scores[best]}))
-                    yield pd.concat(out)
+                        scores, both = np.concatenate([best[i][0], scores]), np.concatenate([best[i][1], ids])
+                        top = _best(scores, both, rerank)
+                        best[i] = (scores[top], both[top])
+        yield from flush()
 
-    found = meets.select("ids", "codes", "q").mapInPandas(scan, "query_id bigint, cls bigint, approx float")
+    found = meets.select("qb", "salt", "ids", "codes", "q").mapInPandas(scan, "query_id bigint, cls bigint, approx float")
     top = W.partitionBy("query_id").orderBy(F.desc("approx"), "cls")
     found = found.withColumn("n", F.row_number().over(top)).where(F.col("n") <= rerank).select("query_id", "cls")
     exact = found.join(classes, "cls").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
