@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import cut
 
-TRAIN = 20_000
+TRAIN = 10_000
 ETA = 4.0
 WIDTH = 2  # components of a subspace
 RERANK = 300
@@ -145,8 +145,9 @@ def fit(rows: DataFrame, train: int = TRAIN) -> Quantiser | None:
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if length is None:
         return None
-    sample = rows.where(F.size("v") == length["n"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(train).select("vec_id", "v").toPandas()
-    return Quantiser(np.stack(sample["v"].tolist()))
+    sample = rows.where(F.size("v") == length["n"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(train).select("v").toArrow()
+    values = sample.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return Quantiser(values.reshape(-1, length["n"]))
 
 
 def search(embeddings: DataFrame, k: int = K, is_query: Column | None = None, rerank: int = RERANK) -> DataFrame:

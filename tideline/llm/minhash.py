@@ -6,10 +6,12 @@ are computed bijections, so no table of the universe is needed.
 
 Equal sets are one class. Class representatives meet in BANDS buckets of ROWS coordinates (a pair with
 similarity 0.75 shares none with probability 5e-6). A bucket does not emit its pairs: its members are first
-compared with a pivot, confirmed links are contracted to components, and further rounds compare the rest
-of buckets that still hold several components with pivots of these. When few pairs between different
-components are left, they are all compared, so no link between components goes unchecked. Links are
-confirmed on whole sets of shingle hashes (64 bits; words by a separate hash).
+compared with a pivot, the one that shares most buckets with others. Members linked to the same pivot need
+no links among each other. Only buckets that still hold members of several such groups go on; there, all
+pairs of different groups that FINE further coordinates do not rule out are compared inside the task that
+holds the bucket, by the upper halves of their shingle hashes, and one certain link per row and group (or
+all possible ones) are emitted. So no link goes unchecked that a component could depend on. All links are confirmed on whole
+sets of shingle hashes (64 bits; words by a separate hash).
 
 A null or empty text, or one of white space, has an empty set and is linked with nothing. Rows that repeat
 a doc_id are one document (its row is kept with all its texts' links); a null doc_id takes no part: its
@@ -21,19 +23,23 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut, drop_shuffles, mix, prefix_hash, span_hash
+from tideline.llm.common import cut, drop_shuffles, mark, mix, partitions, prefix_hash, settle, span_hash
 from tideline.operators.components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 #: Of 128 one-bit coordinates, as many differ at most: 6.5 standard deviations above similarity 0.75.
 SKETCH = 40
-#: Rounds of pivots before all remaining pairs are compared; fewer where few pairs remain.
-ROUNDS = 6
+#: Further coordinates by which candidates are told apart, and the least share of them that are equal: six
+#: standard deviations below 0.75.
+FINE, LIKE = 256, 0.585
+#: Rows of a bucket that meet in one piece of work; larger buckets are dealt as pairs of blocks.
+BLOCK = 4096
 CHUNK_BYTES = 1 << 20
 
 _low = np.arange(256, dtype=np.uint8)
@@ -41,7 +47,6 @@ _low[65:91] += 32
 _white = np.zeros(256, bool)
 _white[[32, 9, 10, 11, 12, 13]] = True
 _places = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019)) | np.uint64(1)
-_shifts = np.arange(BANDS * ROWS, dtype=np.uint32)[:, None]
 
 
 def _pi(a: np.ndarray) -> np.ndarray:
@@ -53,15 +58,24 @@ def _pi(a: np.ndarray) -> np.ndarray:
     return a
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
-    """uint32[BANDS * ROWS] of a set of 64-bit shingle hashes."""
+def signature(shingles: np.ndarray, first: int = 0, count: int = BANDS * ROWS) -> np.ndarray:
+    """uint32[count]: the coordinates of shifts first, first + 1, ... of a set of 64-bit shingle hashes."""
     sigma = (mix(shingles) >> np.uint64(32)).astype(np.uint32)
-    out = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    shifts = np.arange(first, first + count, dtype=np.uint32)[:, None]
+    out = np.full(count, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(sigma), 1024):
-        np.minimum(out, _pi(sigma[None, at : at + 1024] + _shifts).min(1), out=out)
+        np.minimum(out, _pi(sigma[None, at : at + 1024] + shifts).min(1), out=out)
     return out
 
 
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """uint64[BANDS]: a hash of each band's number and coordinates."""
+    wide, h = sig.astype(np.uint64).reshape(BANDS, ROWS), mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(77))
+    for r in range(ROWS):
+        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + wide[:, r])
+    return h
+
+
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     sizes = np.array([len(t) + 1 for t in texts])
@@ -107,7 +121,6 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n (set size), k1 and k2 (of the set), s1 and s2 (one bit per coordinate), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = mix(np.arange(BANDS, dtype=np.uint64) + np.uint64(77))
         for batch in batches:
             for ids, sets in _batches(batch):
                 keys, bits, bands = np.zeros((len(ids), 2), np.uint64), np.zeros((len(ids), 2), np.int64), []
@@ -118,11 +131,7 @@ def sketches(docs: DataFrame) -> DataFrame:
                     keys[i] = mix(s).sum(), np.bitwise_xor.reduce(mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)))
                     sig = signature(s)
                     bits[i] = np.packbits((sig >> np.uint32(9)).astype(np.uint8) & 1).view(np.int64)
-                    wide = sig.astype(np.uint64).reshape(BANDS, ROWS)
-                    h = numbers.copy()
-                    for r in range(ROWS):
-                        h = mix(h * np.uint64(0x9E3779B97F4A7C15) + wide[:, r])
-                    bands.append(h.view(np.int64))
+                    bands.append(band_keys(sig).view(np.int64))
                 flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
                 offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
@@ -141,14 +150,87 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """rep, shingles of docs(rep, text)."""
+    """rep, shingles, fine of docs(rep, text); fine has FINE bytes of further coordinates, 32 bits of each
+    band, and the sorted upper halves of the shingle hashes."""
+
+    def pack(s: np.ndarray) -> bytes:
+        parts = (signature(s, BANDS * ROWS, FINE).astype(np.uint8), band_keys(signature(s)).astype(np.uint32), np.unique((s >> np.uint64(32)).astype(np.uint32)))
+        return b"".join(p.tobytes() for p in parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, sets in _batches(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["rep", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(map(pack, sets), pa.binary())], names=["rep", "shingles", "fine"])
+
+    return docs.select("rep", "text").mapInArrow(run, "rep bigint, shingles array<bigint>, fine binary")
+
+
+def _bucket_links(reps: np.ndarray, labels: np.ndarray, n: np.ndarray, own: np.ndarray, fine: list[bytes], band: int, apart: bool) -> list[tuple[int, int]]:
+    """For each row of a bucket and each group that comes before its own (larger groups first): one row of
+    that group that is certainly near by the upper halves, or else all that possibly are; of the rows whose
+    first shared bucket this is."""
+    head = FINE + 4 * BANDS
+    raw = np.frombuffer(b"".join(f[:head] for f in fine), np.uint8).reshape(len(fine), head)
+    coordinates, bands = raw[:, :FINE], np.ascontiguousarray(raw[:, FINE:]).view(np.uint32)
+    halves = [np.frombuffer(f, np.uint32, offset=head) for f in fine]
+    names, group, size = np.unique(labels, return_inverse=True, return_counts=True)
+    place = np.empty(len(names), int)
+    place[np.lexsort((names, -size))] = np.arange(len(names))
+    place, out = place[group], []
+    for x in np.flatnonzero(place > 0):
+        y = np.flatnonzero((place < place[x]) & (100 * np.minimum(n, n[x]) >= 75 * np.maximum(n, n[x])))
+        if apart:  # pairs inside a block meet elsewhere
+            y = y[own[y] != own[x]]
+        y = y[(coordinates[y] == coordinates[x]).sum(1) >= LIKE * FINE]
+        y = y[(bands[y] == bands[x]).argmax(1) == band]
+        if not len(y):
+            continue
+        theirs, mine = np.concatenate([halves[k] for k in y]), halves[x]
+        hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+        common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum([len(halves[k]) for k in y])[:-1]]), dtype=np.int64)
+        # halves may collide: certain links hold with some fewer in common, possible ones with some more
+        slack = 2 + np.minimum(n[y], n[x]) // 500
+        certain, possible = (100 * c >= 75 * (n[y] + n[x] - c) for c in (common - slack, common + slack))
+        sure = y[certain]
+        sure = sure[np.unique(labels[sure], return_index=True)[1]]
+        y = np.concatenate([sure, y[possible & ~np.isin(labels[y], labels[sure])]])
+        out += [(min(reps[x], reps[k]), max(reps[x], reps[k])) for k in y]
+    return out
+
 
-    return docs.select("rep", "text").mapInArrow(run, "rep bigint, shingles array<bigint>")
+def bucket_links(rows: DataFrame) -> DataFrame:
+    """a, b: links to confirm between groups of rows(key, c, rep, label, band, n, fine) that share a bucket.
+
+    Comparison is done inside the task that holds a bucket (of at most BLOCK rows; larger ones are dealt as
+    pairs of blocks), so no pairs are shuffled but links, mostly one per row and group.
+    """
+    own = F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / BLOCK)).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.col("c") / BLOCK).cast("int") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
+    rows = rows.select("key", "rep", "label", "band", "n", "fine", own.alias("own"), F.inline(blocks))
+
+    def links_of(held: list[pd.DataFrame]) -> pd.DataFrame:
+        pdf = pd.concat(held)
+        columns = (pdf[c].to_numpy() for c in ("rep", "label", "n", "own"))
+        found = _bucket_links(*columns, pdf["fine"].tolist(), int(pdf["band"].iloc[0]), pdf["i"].iloc[0] != pdf["j"].iloc[0])
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by bucket; one bucket at a time is held."""
+        held, at = [], None
+        for pdf in batches:
+            keys = pdf[["key", "i", "j"]].to_numpy()
+            ends = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
+            for lo, hi in zip([0, *ends], [*ends, len(pdf)]):
+                if held and at != tuple(keys[lo]):
+                    yield links_of(held)
+                    held = []
+                at = tuple(keys[lo])
+                held.append(pdf.iloc[lo:hi])
+        if held:
+            yield links_of(held)
+
+    order = ["key", "i", "j"]
+    return rows.repartition(partitions(rows.sparkSession), *order).sortWithinPartitions(*order, "rep").mapInPandas(run, "a bigint, b bigint").distinct()
 
 
 def _near(a: str, b: str) -> Column:
@@ -169,9 +251,17 @@ def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return x.where(100 * common >= 75 * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
+def _near_labels(links: DataFrame) -> DataFrame:
+    """rep, label: a node of the same component, equal for most of those that share a pivot."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    one = both.groupBy("a").agg(F.least("a", F.min("b")).alias("l"))
+    two = both.join(one.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("l").alias("l2"))
+    return two.select(F.col("a").alias("rep"), F.col("l2").alias("label"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text)."""
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, mark()
     sketched = cut(sketches(docs), "minhash-sketches")
     live = sketched.where("n > 0 and doc_id is not null")
     # a class is named by its smallest doc_id; equal sets have equal sketches and bands
@@ -179,54 +269,41 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     classes = cut(classes, "minhash-classes")
     member = live.select("doc_id", "k1", "k2", "n").join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"]).select("doc_id", "rep")
 
-    rows = classes.select("rep", "n", "s1", "s2", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n", "s1", "s2")).alias("p")).where("c > 1").drop("c")
-    buckets = cut(rows.join(shared, "key"), "minhash-buckets")
-    pairs = buckets.where("rep <> p.rep").select(F.struct("rep", "n", "s1", "s2").alias("m"), "p").where(_near("m", "p"))
-    pairs = cut(pairs.select(F.col("p.rep").alias("a"), F.col("m.rep").alias("b")).distinct(), "minhash-pairs")
+    rows = classes.select("rep", "n", "s1", "s2", F.posexplode("bands").alias("band", "key"))
+    shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
+    buckets = rows.join(shared, "key")
+    # the text that others derive from shares most buckets with them: it makes the best pivot
+    degree = cut(buckets.groupBy("rep").agg(F.sum("c").alias("degree")), "minhash-degrees")
+    buckets = cut(buckets.drop("c").join(degree, "rep"), "minhash-buckets")
     drop_shuffles(spark)
 
     # one row per text of a candidate's class: any text of it has the set
-    wanted = buckets.select("rep").distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(wanted, "rep", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(degree, "rep", "left_semi")
     sets = full_sets(texts).join(classes.select("rep", "n"), "rep").where(F.size("shingles") == F.col("n")).drop("n")
     sets = cut(sets, "minhash-sets")
     drop_shuffles(spark)
 
+    member_of = F.struct("rep", "n", "s1", "s2").alias("m")
+    central = buckets.groupBy("key").agg(F.max(F.struct("degree", "rep", "n", "s1", "s2")).alias("p"))
+    pairs = buckets.join(central, "key").select(member_of, "p").where((F.col("m.rep") != F.col("p.rep")) & _near("m", "p"))
+    pairs = cut(pairs.select(F.least("m.rep", "p.rep").alias("a"), F.greatest("m.rep", "p.rep").alias("b")).distinct(), "minhash-pairs")
     links = cut(_confirm(pairs, sets), "minhash-links")
-    tested = pairs
-    for round_ in range(ROUNDS + 1):
-        drop_shuffles(spark)
-        comp = cut(connected_components(links, "a", "b"), "minhash-components")
-        placed = buckets.drop("p").join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        per = placed.groupBy("key", "component").agg(F.count("*").alias("c"), F.min(F.struct(F.xxhash64("rep", F.lit(round_)).alias("h"), "rep", "n", "s1", "s2", "component")).alias("p"))
-        open_ = per.groupBy("key").agg(F.sum("c").alias("all"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count("*").alias("k"), F.min("p").alias("p")).where("k > 1")
-        open_ = cut(open_, "minhash-open")
-        cost = open_.agg(F.sum((F.col("all") * F.col("all") - F.col("within")) / 2)).first()[0] or 0
-        if not cost:
-            break
-        mixed = cut(placed.join(open_.select("key", "p"), "key"), "minhash-mixed")
-        last = round_ == ROUNDS or cost <= 4 * mixed.count()
-        if last:
-            a, b = mixed.drop("p").alias("a"), mixed.drop("p").alias("b")
-            found = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.rep") < F.col("b.rep")) & (F.col("a.component") != F.col("b.component")) & _near("a", "b"))
-            found = found.select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"))
-        else:
-            found = mixed.where(F.col("component") != F.col("p.component")).select(F.struct("rep", "n", "s1", "s2").alias("m"), "p").where(_near("m", "p"))
-            found = found.select(F.least("m.rep", "p.rep").alias("a"), F.greatest("m.rep", "p.rep").alias("b"))
-        found = cut(found.distinct().join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-        more = _confirm(found, sets)
-        tested = tested.unionByName(found)
-        links = cut(links.unionByName(more), "minhash-links")
-        if last:
-            comp = cut(connected_components(links, "a", "b"), "minhash-components")
-            break
+    drop_shuffles(spark)
+
+    # buckets that still hold several groups
+    placed = buckets.join(_near_labels(links), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    mixed = placed.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "c")
+    rest = placed.join(mixed, "key").join(sets.select("rep", "fine"), "rep")
+    found = cut(bucket_links(rest), "minhash-pairs")
+    links = links.unionByName(cut(_confirm(found, sets), "minhash-links"))
+    comp = connected_components(links, "a", "b")
     found = member.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     # rows that repeat a doc_id with other texts: the smallest component of any of them
     found = found.groupBy("doc_id").agg(F.min("component").alias("component"))
     out = sketched.select("doc_id", F.col("n").alias("n_shingles")).join(found, "doc_id", "left")
     component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    return settle(since, out, "minhash-result")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut, drop_shuffles, mix, prefix_hash, span_hash
+from tideline.llm.common import cut, drop_shuffles, mark, mix, prefix_hash, settle, span_hash
 
 LEAST, GRAM = 100, 32
 #: Starts of windows that a sampled suffix can be the minimum of.
@@ -182,9 +182,10 @@ def merge(named: DataFrame) -> DataFrame:
 def cleaned(docs: DataFrame) -> DataFrame:
     """doc, tag, spans (removed [start, end) in bytes), kept (the remaining bytes), sha256: of every text that loses bytes."""
     spark = docs.sparkSession
+    since = mark()
     marked = cut(sort_triples(triples(docs)), "suffix-triples")
     drop_shuffles(spark)
-    candidates = cut(_keyed(docs).join(marked, ["doc", "tag"]), "suffix-candidates")
+    candidates = settle(since, _keyed(docs).join(marked, ["doc", "tag"]), "suffix-candidates")
     drop_shuffles(spark)
     repeats = None
     for share in range(SHARES):
@@ -222,7 +223,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of docs(doc_id, text)."""
-    text = F.coalesce("text", F.lit(""))
+    since, text = mark(), F.coalesce("text", F.lit(""))
     base = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.shiftrightunsigned(F.xxhash64("text"), 41).alias("tag"),
@@ -231,9 +232,10 @@ def digest(docs: DataFrame) -> DataFrame:
     )
     removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda s, x: s + x[1] - x[0])
     lost = cleaned(docs).select(F.col("doc").alias("doc_id"), "tag", removed.alias("r"), F.size("spans").cast("bigint").alias("k"), "sha256").distinct()
-    return base.join(lost, ["doc_id", "tag"], "left").select(
+    out = base.join(lost, ["doc_id", "tag"], "left").select(
         "doc_id", "n_bytes", F.coalesce("r", F.lit(0)).cast("bigint").alias("n_removed"), F.coalesce("k", F.lit(0)).cast("bigint").alias("n_spans"), F.coalesce("sha256", "whole_sha256").alias("kept_sha256")
     )
+    return settle(since, out, "suffix-digest")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut, new_folder, partitions
+from tideline.llm.common import cut, mark, new_folder, partitions, settle
 from tideline.llm.tokens import as_array, default_paths, encoder
 
 END = 50256
@@ -83,8 +83,8 @@ def scan(spark: SparkSession, files: DataFrame, folder: str, end: int = END, dty
 
 def counts(docs: DataFrame, paths: tuple[str, str] | None = None, block: int = BLOCK) -> DataFrame:
     """doc_id, n_tokens of every document, read back from the token files."""
-    spark = docs.sparkSession
+    spark, since = docs.sparkSession, mark()
     folder = new_folder(spark, "tokens")
     manifest = cut(write_tokens(docs, folder, paths), "token-manifest")
     files = manifest.groupBy("file").agg(F.max("file_tokens").alias("file_tokens"))
-    return manifest.join(scan(spark, files, folder, block=block), ["file", "ordinal"]).select("doc_id", "n_tokens")
+    return settle(since, manifest.join(scan(spark, files, folder, block=block), ["file", "ordinal"]).select("doc_id", "n_tokens"), "token-counts")
