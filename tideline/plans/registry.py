@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def load() -> None:
-    from tideline.plans import queries_ledger, queries_measures, queries_more, queries_scalar  # noqa: F401
+    from tideline.plans import queries_ledger, queries_measures, queries_more, queries_rest, queries_scalar  # noqa: F401
 
 
 load()
