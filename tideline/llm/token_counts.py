@@ -86,5 +86,6 @@ def counts(docs: DataFrame, paths: tuple[str, str] | None = None, block: int = B
     spark, since = docs.sparkSession, mark()
     folder = new_folder(spark, "tokens")
     manifest = cut(write_tokens(docs, folder, paths), "token-manifest")
+    # both sides grow with the documents, and the manifest's file size says little about its rows: no broadcast
     files = manifest.groupBy("file").agg(F.max("file_tokens").alias("file_tokens"))
-    return settle(since, manifest.join(scan(spark, files, folder, block=block), ["file", "ordinal"]).select("doc_id", "n_tokens"), "token-counts")
+    return settle(since, manifest.hint("merge").join(scan(spark, files, folder, block=block), ["file", "ordinal"]).select("doc_id", "n_tokens"), "token-counts")
