@@ -66,7 +66,9 @@ def with_scores(docs: DataFrame, model: boosting.Trees) -> DataFrame:
     def apply(x: pd.Series) -> pd.Series:
         return pd.Series(model.probability(np.stack(x.tolist()) if len(x) else np.zeros((0, len(FEATURES)))))
 
-    return statistics(docs).withColumn("score", apply("x"))
+    # not deterministic for the optimiser only: it would push a filter on the score below the statistics,
+    # and with it copies of all their expressions
+    return statistics(docs).withColumn("score", apply.asNondeterministic()("x"))
 
 
 def score(docs: DataFrame, model: boosting.Trees, threshold: float = THRESHOLD) -> DataFrame:
