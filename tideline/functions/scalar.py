@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WEEK, MONDAY = 604_800, 345_600  # seconds; the first Monday after the epoch
+#: Seconds of a week, and the first Monday after the epoch.
+WEEK, MONDAY = 604_800, 345_600
 
 
 def col(x: Column | str) -> Column:
@@ -103,7 +104,7 @@ def format_utc(ts: Column | str) -> Column:
 
 # --- buckets and decisions ----------------------------------------------------------------------
 
-#: Left-closed price bins by upper bound; the last is open.
+#: Left-closed price bins by upper bound; the last is open.
 PRICE_BINS = [(0.50, "below_0_50"), (0.70, "0_50_to_0_70"), (0.80, "0_70_to_0_80"), (0.90, "0_80_to_0_90"), (0.95, "0_90_to_0_95"), (0.98, "0_95_to_0_98")]
 LAST_BIN = "at_least_0_98"
 
@@ -123,7 +124,7 @@ def break_even(payout: Column | str) -> Column:
     return F.least(F.lit(1.0), 1 / F.greatest(col(payout), F.lit(1e-8)))
 
 
-#: Fixed limits of the threshold policy.
+#: Limits of the threshold policy.
 LIMITS = {"edge": 0.04, "confidence": 0.70, "depth": 250.0, "age": 15, "size": 0.01, "exit_edge": 0.01}
 
 

@@ -41,13 +41,17 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
 
 
+#: What the hashes of components and of single nodes begin with.
+COMPONENT_PREFIX, ORPHAN_PREFIX = "event-component-v1\n", "orphan-market-v1\n"
+
+
 def stable_ids(components: DataFrame) -> DataFrame:
     """component, component_id (hash of the sorted members), n_members."""
     members = F.array_join(F.sort_array(F.collect_list(F.col("node").cast("string"))), "\n")
     by = components.groupBy("component").agg(members.alias("m"), F.count("*").alias("n_members"))
-    return by.select("component", F.sha2(F.concat(F.lit("event-component-v1\n"), "m"), 256).alias("component_id"), "n_members")
+    return by.select("component", F.sha2(F.concat(F.lit(COMPONENT_PREFIX), "m"), 256).alias("component_id"), "n_members")
 
 
 def orphan_id(node: str) -> Column:
     """The id of a node without links."""
-    return F.sha2(F.concat(F.lit("orphan-market-v1\n"), F.col(node).cast("string")), 256)
+    return F.sha2(F.concat(F.lit(ORPHAN_PREFIX), F.col(node).cast("string")), 256)

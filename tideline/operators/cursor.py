@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 
 from tideline.plans.shared import partitions
 
+#: Last count of the powers of two, stride beyond it, seconds without a decision; names.
 DENSE, STRIDE, HEARTBEAT = 1024, 128, 21_600
 NAMES = {1: "first", 2: "early_power_of_two", 3: "trade_stride"}
 

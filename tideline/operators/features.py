@@ -16,6 +16,7 @@ from tideline.operators import asof, running
 from tideline.operators.order import ORDER, keyed
 from tideline.operators.order import running as upto
 
+#: Seconds of a day, half-lives of markets and components.
 DAY = 86_400
 MARKET_LIVES, COMPONENT_LIVES = (300, 3600, 21_600, 86_400, 604_800), (3600, 86_400, 604_800)
 ACTOR = ["maker_fills", "taker_fills", "buy_fills", "sell_fills", "buy_notional", "sell_notional", "counterparties", "assets", "price_sum", "price_square"]

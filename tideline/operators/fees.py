@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRICE, SHARES, RATE = "decimal(10,6)", "decimal(18,6)", "decimal(8,6)"
+#: Fixed value: decimals of a fee.
 PLACES = 5
 #: Formulas of a schedule.
 ZERO, CURVE, OUTPUT_CURVE, MIN_CURVE = "zero", "curve", "v1_output_asset_curve", "v1_min_price_curve"

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tideline.functions.scalar import safe_ratio, weighted_std
 from tideline.operators.order import ORDER, keyed, running
 
+#: Half-lives in seconds.
 HALF_LIVES = (300, 3600, 21_600, 86_400, 604_800)
 
 
@@ -143,12 +144,13 @@ def running_distinct(df: DataFrame, key: str, item: str, name: str, order: list[
 
 # --- sketches -----------------------------------------------------------------------------------
 
-REGISTER_BITS = 6
+#: Register bits, and the constant of the estimate.
+REGISTER_BITS, ALPHA = 6, 0.709
 REGISTERS = 1 << REGISTER_BITS
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
-    """splitmix64 of unsigned 64-bit numbers."""
+    """splitmix64 of unsigned 64-bit numbers (fixed constants of that generator)."""
     z = x.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
     z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -186,7 +188,7 @@ def fold_of(x: Column | str, seed: int, folds: int) -> Column:
 def estimate(inverse_sum: Column, zeros: Column) -> Column:
     """Cardinality from the sum of 2 ** -rank over all registers and the number of empty ones."""
     m = float(REGISTERS)
-    raw = 0.709 * m * m / inverse_sum
+    raw = ALPHA * m * m / inverse_sum
     return F.when((zeros > 0) & (raw <= 2.5 * m), m * F.ln(m / F.greatest(zeros, F.lit(1)))).otherwise(raw)
 
 
