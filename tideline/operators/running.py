@@ -18,28 +18,63 @@ from tideline.operators.order import ORDER, keyed, running
 HALF_LIVES = (300, 3600, 21_600, 86_400, 604_800)
 
 
-def running_moments(df: DataFrame, key: str, prefix: str, order: list[str] = ORDER) -> DataFrame:
-    """State of the key after each trade: counts, sums, price moments, imbalances, concentration.
-
-    Wants p0, notional_usd, size, direction, side, outcome_index; reads all sums in one window pass.
-    """
-    w, n = running(key, order=order), F.col("notional_usd")
-    first = F.first("timestamp_unix").over(w)
-    age = F.col("timestamp_unix") - first
-    s = {
-        "count": F.count("*").over(w), "notional": F.sum(n).over(w), "size": F.sum("size").over(w), "signed": F.sum(n * F.col("direction")).over(w),
-        "buy": F.sum(F.when(F.col("side") == "BUY", n).otherwise(0.0)).over(w), "o0": F.sum(F.when(F.col("outcome_index") == 0, n).otherwise(0.0)).over(w),
-        "pn": F.sum(F.col("p0") * n).over(w), "ppn": F.sum(F.col("p0") * F.col("p0") * n).over(w), "nn": F.sum(n * n).over(w),
-        "min_p": F.min("p0").over(w), "max_p": F.max("p0").over(w), "age": age, "gap": F.coalesce(F.col("timestamp_unix") - F.lag("timestamp_unix").over(keyed(key, order=order)), F.lit(0)),
+def _parts() -> dict[str, Column]:
+    """What is summed along a key."""
+    n = F.col("notional_usd")
+    return {
+        "notional": n, "size": F.col("size"), "signed": n * F.col("direction"), "buy": F.when(F.col("side") == "BUY", n).otherwise(0.0), "o0": F.when(F.col("outcome_index") == 0, n).otherwise(0.0),
+        "pn": F.col("p0") * n, "ppn": F.col("p0") * F.col("p0") * n, "nn": n * n,
     }
-    df = df.withColumns({f"_{k}": v for k, v in s.items()})
-    c = {k: F.col(f"_{k}") for k in s}
+
+
+def _moments(df: DataFrame, prefix: str, state: dict[str, Column]) -> DataFrame:
+    """The measures of a state: count, sums, flow and side imbalances, price moments, concentration, velocity."""
+    df = df.withColumns({f"_{k}": v for k, v in state.items()})
+    c = {k: F.col(f"_{k}") for k in state}
     out = {
         "count": c["count"], "notional": c["notional"], "size": c["size"], "flow": safe_ratio(c["signed"], c["notional"]), "side": safe_ratio(2 * c["buy"] - c["notional"], c["notional"]),
         "outcome": safe_ratio(2 * c["o0"] - c["notional"], c["notional"]), "mean": safe_ratio(c["pn"], c["notional"]), "std": weighted_std(c["pn"], c["ppn"], c["notional"]), "min": c["min_p"], "max": c["max_p"],
         "gap": c["gap"], "age": c["age"], "hhi": safe_ratio(c["nn"], c["notional"] * c["notional"]), "velocity": c["notional"] * 86400 / F.greatest(c["age"], F.lit(1)),
     }
-    return df.withColumns({f"{prefix}_{k}": v for k, v in out.items()}).drop(*(f"_{k}" for k in s))
+    return df.withColumns({f"{prefix}_{k}": v for k, v in out.items()}).drop(*(f"_{k}" for k in state))
+
+
+def running_moments(df: DataFrame, key: str, prefix: str, order: list[str] = ORDER) -> DataFrame:
+    """State of the key after each trade. Wants p0, notional_usd, size, direction, side, outcome_index; reads
+    all sums in one window pass. A key is one task's work: see split_moments for hot keys."""
+    w, ts = running(key, order=order), F.col("timestamp_unix")
+    state = {k: F.sum(v).over(w) for k, v in _parts().items()}
+    state |= {"count": F.count("*").over(w), "min_p": F.min("p0").over(w), "max_p": F.max("p0").over(w), "age": ts - F.first(ts).over(w), "gap": F.coalesce(ts - F.lag(ts).over(keyed(key, order=order)), F.lit(0))}
+    return _moments(df, prefix, state)
+
+
+def split_moments(df: DataFrame, key: str, prefix: str, bucket: Column, order: list[str] = ORDER) -> DataFrame:
+    """As running_moments, in two levels: inside (key, bucket), plus the key's totals of the buckets before.
+
+    `bucket` must not decrease along the order (the day). So a hot key is as many tasks as it has buckets,
+    and only one row per key and bucket meets in the second level.
+    """
+    ts, parts = F.col("timestamp_unix"), _parts()
+    df = df.withColumn("_b", bucket)
+    total = df.groupBy(key, "_b").agg(F.count("*").alias("_n"), F.min("p0").alias("_lo"), F.max("p0").alias("_hi"), F.min(ts).alias("_t0"), F.max(ts).alias("_t1"), *(F.sum(v).alias(f"_s_{k}") for k, v in parts.items()))
+    before = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    total = total.select(
+        F.col(key).alias("_k"), F.col("_b").alias("_bb"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.min("_lo").over(before).alias("_lo"), F.max("_hi").over(before).alias("_hi"),
+        F.min("_t0").over(before).alias("_t0"), F.max("_t1").over(before).alias("_t1"), *(F.coalesce(F.sum(f"_s_{k}").over(before), F.lit(0.0)).alias(f"_s_{k}") for k in parts),
+    )
+    one = W.partitionBy(key, "_b").orderBy(*order)
+    w = one.rowsBetween(W.unboundedPreceding, W.currentRow)
+    inner = {f"_i_{k}": F.sum(v).over(w) for k, v in parts.items()}
+    inner |= {"_i_n": F.count("*").over(w), "_i_lo": F.min("p0").over(w), "_i_hi": F.max("p0").over(w), "_i_t0": F.first(ts).over(w), "_i_prev": F.lag(ts).over(one)}
+    df = df.withColumns(inner).join(total, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_bb")))
+    state = {k: F.col(f"_i_{k}") + F.col(f"_s_{k}") for k in parts}
+    state |= {
+        "count": F.col("_i_n") + F.col("_n"), "min_p": F.least("_i_lo", "_lo"), "max_p": F.greatest("_i_hi", "_hi"), "age": ts - F.least("_i_t0", "_t0"),
+        "gap": F.coalesce(ts - F.coalesce("_i_prev", "_t1"), F.lit(0)),
+    }
+    # all columns of the state are read before the helpers of both levels go
+    out = _moments(df, prefix, state)
+    return out.drop("_b", "_k", "_bb", "_n", "_lo", "_hi", "_t0", "_t1", *(f"_s_{k}" for k in parts), *inner)
 
 
 def global_prefix(df: DataFrame, bucket: Column, sums: dict[str, Column], order: list[str] = ORDER) -> DataFrame:

@@ -37,8 +37,9 @@ SELECT trade_id, c AS {prefix}_count, round(n, 4) AS {prefix}_notional, round(sz
   round(nn / (n * n), 9) AS {prefix}_hhi, round(ln(1 + n * 86400 / greatest(age, 1)), 8) AS {prefix}_velocity FROM s"""
 
 
-def _moments(t: DataFrame, key: str, prefix: str) -> DataFrame:
-    r = running.running_moments(oriented(t), key, prefix)
+def _moments(t: DataFrame, key: str, prefix: str, split: bool = False) -> DataFrame:
+    day = F.floor(F.col("timestamp_unix") / DAY)
+    r = running.split_moments(oriented(t), key, prefix, day) if split else running.running_moments(oriented(t), key, prefix)
     r = r.withColumn(f"{prefix}_velocity", F.log1p(f"{prefix}_velocity"))  # its noise is relative
     digits = {"notional": 4, "size": 4, "velocity": 8, "std": 5, "min": 6, "max": 6}
     whole = {"count", "gap", "age"}
@@ -63,6 +64,12 @@ def h01_market_running_li(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _moments(trades_li(spark, sf_dir), "market_id", "m")
 
 
+@query(f"{EV}, {ORIENTED}{_moments_sql('market_id', 'm')}")
+def h01_hot_market_running(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running market state where a market may be too large for a task: two levels by day."""
+    return _moments(trades_ev(spark, sf_dir), "market_id", "m", split=True)
+
+
 @query(f"{EV}, {ORIENTED}, s AS (SELECT trade_id, count(*) OVER w AS n, sum(notional_usd) OVER w AS notional, sum(p0 * notional_usd) OVER w AS pn, sum(direction * notional_usd) OVER w AS sg FROM o WINDOW w AS ({UPTO})) "
     "SELECT trade_id, n, round(notional, 4) AS notional, round(pn / notional, 6) AS mean_p, round(sg / notional, 6) AS flow FROM s")
 def h02_universe_running(spark: SparkSession, sf_dir: str) -> DataFrame:
