@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import scalar as S
 from tideline.operators import asof, components, cursor, features, order, running
-from tideline.plans.registry import query
+from tideline.plans.catalog import query
 from tideline.plans.views import DAY, RESOLUTIONS, SCHEDULES, SPLITS_SQL, START, TRADES_EV, TRADES_LI, resolutions, schedules, splits, trades_ev, trades_li
 
 EV, LI = f"WITH {TRADES_EV} ", f"WITH {TRADES_LI} "
@@ -32,7 +32,7 @@ def _moments_sql(key: str, prefix: str) -> str:
   sum(CASE WHEN side = 'BUY' THEN notional_usd ELSE 0 END) OVER w AS buy, sum(CASE WHEN outcome_index = 0 THEN notional_usd ELSE 0 END) OVER w AS o0, sum(p0 * notional_usd) OVER w AS pn, sum(p0 * p0 * notional_usd) OVER w AS ppn,
   sum(notional_usd * notional_usd) OVER w AS nn, min(p0) OVER w AS lo, max(p0) OVER w AS hi, timestamp_unix - first(timestamp_unix) OVER w AS age,
   coalesce(timestamp_unix - lag(timestamp_unix) OVER (PARTITION BY {key} ORDER BY timestamp_unix, trade_id), 0) AS gap FROM o WINDOW w AS (PARTITION BY {key} {UPTO}))
-SELECT trade_id, c AS {prefix}_count, round(n, 4) AS {prefix}_notional, round(sz, 4) AS {prefix}_size, round(sg / n, 9) AS {prefix}_flow, round((2 * buy - n) / n, 9) AS {prefix}_side, round((2 * o0 - n) / n, 9) AS {prefix}_outcome,
+SELECT trade_id, c AS {prefix}_count, round(n, 4) AS {prefix}_notional, round(sz, 4) AS {prefix}_size, round(sg / n, 9) + 0.0 AS {prefix}_flow, round((2 * buy - n) / n, 9) + 0.0 AS {prefix}_side, round((2 * o0 - n) / n, 9) + 0.0 AS {prefix}_outcome,
   round(pn / n, 9) AS {prefix}_mean, round(sqrt(greatest(ppn / n - (pn / n) * (pn / n), 0)), 5) AS {prefix}_std, round(lo, 6) AS {prefix}_min, round(hi, 6) AS {prefix}_max, gap AS {prefix}_gap, age AS {prefix}_age,
   round(nn / (n * n), 9) AS {prefix}_hhi, round(ln(1 + n * 86400 / greatest(age, 1)), 8) AS {prefix}_velocity FROM s"""
 
@@ -71,7 +71,7 @@ def h01_hot_market_running(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"{EV}, {ORIENTED}, s AS (SELECT trade_id, count(*) OVER w AS n, sum(notional_usd) OVER w AS notional, sum(p0 * notional_usd) OVER w AS pn, sum(direction * notional_usd) OVER w AS sg FROM o WINDOW w AS ({UPTO})) "
-    "SELECT trade_id, n, round(notional, 4) AS notional, round(pn / notional, 6) AS mean_p, round(sg / notional, 6) AS flow FROM s")
+    "SELECT trade_id, n, round(notional, 4) AS notional, round(pn / notional, 6) AS mean_p, round(sg / notional, 6) + 0.0 AS flow FROM s")
 def h02_universe_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     t, n = oriented(trades_ev(spark, sf_dir)), F.col("notional_usd")
     sums = {"n": F.lit(1), "notional": n, "pn": F.col("p0") * n, "sg": F.col("direction") * n}
@@ -96,7 +96,7 @@ def h03_lag_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{EV}, {ORIENTED}, r AS (SELECT market_id, trade_id, timestamp_unix, p0, direction, row_number() OVER w AS k, timestamp_unix - lag(timestamp_unix) OVER w AS dt FROM o WINDOW w AS (PARTITION BY market_id ORDER BY timestamp_unix, trade_id))
-SELECT a.trade_id, """ + ", ".join(f"round(sum((CASE WHEN b.dt IS NULL THEN 1 ELSE 1 - pow(2.0, -b.dt / {h}.0) END) * b.{v} * pow(2.0, -(a.timestamp_unix - b.timestamp_unix) / {h}.0)), 6) AS ema_{v}_{h}" for v in ("p0", "direction") for h in (3600, 86400))
+SELECT a.trade_id, """ + ", ".join(f"round(sum((CASE WHEN b.dt IS NULL THEN 1 ELSE 1 - pow(2.0, -b.dt / {h}.0) END) * b.{v} * pow(2.0, -(a.timestamp_unix - b.timestamp_unix) / {h}.0)), 6) + 0.0 AS ema_{v}_{h}" for v in ("p0", "direction") for h in (3600, 86400))
     + " FROM r a JOIN r b ON a.market_id = b.market_id AND b.k <= a.k GROUP BY a.trade_id")
 def h04_market_ema(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = running.keyed_ema(oriented(trades_ev(spark, sf_dir)), "market_id", ["p0", "direction"], (3600, 86400))
@@ -155,7 +155,7 @@ def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(_SEQ + """ SELECT market_id, anchor, i, round(least(count(*) OVER p / 64.0, 1), 9) AS prior_count, round(least(coalesce(sum(notional_usd) OVER p, 0) / greatest(sum(notional_usd) OVER t, 1), 1), 9) AS prior_share,
-  round(sum(notional_usd) OVER u / greatest(sum(notional_usd) OVER t, 1), 9) AS share, round(p0 - avg(p0) OVER u, 9) AS deviation, round(avg(p0) OVER b, 9) AS mean16 FROM s
+  round(sum(notional_usd) OVER u / greatest(sum(notional_usd) OVER t, 1), 9) AS share, round(p0 - avg(p0) OVER u, 9) + 0.0 AS deviation, round(avg(p0) OVER b, 9) AS mean16 FROM s
 WINDOW p AS (PARTITION BY market_id, anchor, wallet_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), t AS (PARTITION BY market_id, anchor), u AS (PARTITION BY market_id, anchor ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), b AS (PARTITION BY market_id, anchor ORDER BY i ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)""")
 def h11_h12_h19_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     s, key = _sequences(spark, sf_dir), ["market_id", "anchor"]
@@ -175,7 +175,7 @@ def h13_top_wallets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("market_id", "anchor", "wallet_id", F.round("n", 4).alias("notional"), "trades", F.col("k").cast("bigint").alias("k"))
 
 
-@query(_SEQ + """ SELECT market_id, anchor, i // 16 AS block, round(avg(p0), 9) AS mean, round(stddev_pop(p0), 7) AS std, round(min(p0), 6) AS low, round(max(p0), 6) AS high, round(arg_max(p0, i) - arg_min(p0, i), 6) AS change, count(DISTINCT wallet_id) AS wallets FROM s GROUP BY ALL""")
+@query(_SEQ + """ SELECT market_id, anchor, i // 16 AS block, round(avg(p0), 9) AS mean, round(stddev_pop(p0), 7) AS std, round(min(p0), 6) AS low, round(max(p0), 6) AS high, round(arg_max(p0, i) - arg_min(p0, i), 6) + 0.0 AS change, count(DISTINCT wallet_id) AS wallets FROM s GROUP BY ALL""")
 def h14_context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = _sequences(spark, sf_dir).withColumn("block", F.floor(F.col("i") / 16))
     return s.groupBy("market_id", "anchor", "block").agg(
@@ -294,7 +294,7 @@ def _wallet_resolutions(t: DataFrame) -> DataFrame:
     return j.groupBy("wallet_id", "market_id", "resolution_ts").agg(F.round(F.sum(sign * (F.col("payout0") - 0.5) * F.col("size")), 6).alias("pnl"))
 
 
-@query(f"{EV}, {RESOLUTIONS}, {_RES} SELECT t.trade_id, count(r.pnl) AS n, round(coalesce(sum(r.pnl), 0), 5) AS pnl, count(*) FILTER (WHERE r.pnl > 0) AS wins FROM trades t LEFT JOIN res r ON r.wallet_id = t.wallet_id AND r.resolution_ts < t.timestamp_unix GROUP BY 1")
+@query(f"{EV}, {RESOLUTIONS}, {_RES} SELECT t.trade_id, count(r.pnl) AS n, round(coalesce(sum(r.pnl), 0), 5) + 0.0 AS pnl, count(*) FILTER (WHERE r.pnl > 0) AS wins FROM trades t LEFT JOIN res r ON r.wallet_id = t.wallet_id AND r.resolution_ts < t.timestamp_unix GROUP BY 1")
 def e09_strict_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades_ev(spark, sf_dir)
     sums = {"n": F.lit(1), "pnl": F.col("pnl"), "wins": F.when(F.col("pnl") > 0, 1).otherwise(0)}
@@ -320,7 +320,7 @@ def e10_additive_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{EV}, {ORIENTED}, u AS (SELECT market_id, timestamp_unix, arg_min(p0, trade_id) AS p FROM o GROUP BY ALL) SELECT o.trade_id, """
-    + ", ".join(f"round((SELECT arg_min(u.p, u.timestamp_unix) FROM u WHERE u.market_id = o.market_id AND u.timestamp_unix BETWEEN o.timestamp_unix + {h} AND o.timestamp_unix + {h + tol}) - o.p0, 6) AS markout_{h}" for h, tol in ((300, 900), (3600, 3600), (86400, 21600))) + " FROM o")
+    + ", ".join(f"round((SELECT arg_min(u.p, u.timestamp_unix) FROM u WHERE u.market_id = o.market_id AND u.timestamp_unix BETWEEN o.timestamp_unix + {h} AND o.timestamp_unix + {h + tol}) - o.p0, 6) + 0.0 AS markout_{h}" for h, tol in ((300, 900), (3600, 3600), (86400, 21600))) + " FROM o")
 def e11_l03_markouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = oriented(trades_ev(spark, sf_dir))
     # several trades of a second: the first in total order is the one found
@@ -433,7 +433,7 @@ def l05_d10_tape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.join(resolutions(t), "market_id").join(F.broadcast(start)).where("timestamp_unix >= s and timestamp_unix <= resolution_ts").select("trade_id", "market_id")
 
 
-@query(f"{EV}, {RESOLUTIONS} SELECT t.trade_id, CASE WHEN t.timestamp_unix < r.resolution_ts AND market_id % 3 <> 0 THEN payout0 END AS label, round(payout0 - price, 6) AS edge, round(payout0 - price - 0.005, 6) AS net_edge FROM trades t JOIN resolutions r USING (market_id)")
+@query(f"{EV}, {RESOLUTIONS} SELECT t.trade_id, CASE WHEN t.timestamp_unix < r.resolution_ts AND market_id % 3 <> 0 THEN payout0 END AS label, round(payout0 - price, 6) + 0.0 AS edge, round(payout0 - price - 0.005, 6) + 0.0 AS net_edge FROM trades t JOIN resolutions r USING (market_id)")
 def d09_l03_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades_ev(spark, sf_dir)
     j = t.join(resolutions(t), "market_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import scalar as S
 from tideline.operators import evaluate, fees
-from tideline.plans.registry import query
+from tideline.plans.catalog import query
 from tideline.plans.views import DAY, SCHEDULES, START, TRADES_EV, TRADES_LI, schedules, trades_ev, trades_li
 
 EV, LI = f"WITH {TRADES_EV} ", f"WITH {TRADES_LI} "

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tideline.functions import scalar as S
 from tideline.operators import evaluate, logs, order
 from tideline.plans.queries_ledger import EV, LI, ORIENTED, oriented
-from tideline.plans.registry import query
+from tideline.plans.catalog import query
 from tideline.plans.views import DAY, RESOLUTIONS, SPLITS_SQL, resolutions, splits, trades_ev, trades_li
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.functions import scalar as S
-from tideline.plans.registry import query
+from tideline.plans.catalog import query
 from tideline.plans.views import TRADES_EV, trades_ev
 
 EV = f"WITH {TRADES_EV} "
@@ -56,8 +56,8 @@ def c10_month_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("wallet_id", F.greatest("a", F.unix_timestamp("m")).alias("start_ts"), F.least("b", F.unix_timestamp(F.col("m") + F.expr("interval 1 month"))).alias("end_ts"))
 
 
-@query(EV + """SELECT trade_id, round(sin(2 * pi() * (timestamp_unix % 86400) / 86400), 6) AS day_sin, round(cos(2 * pi() * (timestamp_unix % 86400) / 86400), 6) AS day_cos,
-  round(sin(2 * pi() * (timestamp_unix % 604800) / 604800), 6) AS week_sin, round(cos(2 * pi() * (timestamp_unix % 604800) / 604800), 6) AS week_cos,
+@query(EV + """SELECT trade_id, round(sin(2 * pi() * (timestamp_unix % 86400) / 86400), 6) + 0.0 AS day_sin, round(cos(2 * pi() * (timestamp_unix % 86400) / 86400), 6) + 0.0 AS day_cos,
+  round(sin(2 * pi() * (timestamp_unix % 604800) / 604800), 6) + 0.0 AS week_sin, round(cos(2 * pi() * (timestamp_unix % 604800) / 604800), 6) + 0.0 AS week_cos,
   round(least(greatest((timestamp_unix - 1704067200) / 2592000.0, 0), 1), 6) AS elapsed, round(least(greatest((1706659200 - timestamp_unix) / 2592000.0, 0), 1), 6) AS remaining,
   round(least(greatest(ln(1 + size) / 12, 0), 1), 6) AS log_size, round(CASE WHEN size > 0 THEN notional_usd / size ELSE 0 END, 6) AS ratio FROM trades""")
 def c11_c14_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +81,7 @@ def c15_c18_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(EV + """SELECT trade_id, CASE WHEN price < 0.5 THEN 'below_0_50' WHEN price < 0.7 THEN '0_50_to_0_70' WHEN price < 0.8 THEN '0_70_to_0_80'
   WHEN price < 0.9 THEN '0_80_to_0_90' WHEN price < 0.95 THEN '0_90_to_0_95' WHEN price < 0.98 THEN '0_95_to_0_98' ELSE 'at_least_0_98' END AS bin,
-  round(ln(greatest(1 - 0.05 + 0.05 / price * outcome_index, 1e-8)), 6) AS utility, round(least(1, 1 / greatest(1 / price, 1e-8)), 6) AS break_even FROM trades""")
+  round(ln(greatest(1 - 0.05 + 0.05 / price * outcome_index, 1e-8)), 6) + 0.0 AS utility, round(least(1, 1 / greatest(1 / price, 1e-8)), 6) AS break_even FROM trades""")
 def c23_c24_c38_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     payout = 1 / F.col("price")
     return trades_ev(spark, sf_dir).select(
@@ -123,8 +123,8 @@ def c26_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(EV + """, s AS (SELECT *, price - 0.5 AS e, outcome_index AS y, ln(price / (1 - price)) AS x FROM trades)
 SELECT trade_id, round(CASE WHEN abs(e) < 0.25 THEN 0.5 * e * e / 0.25 ELSE abs(e) - 0.125 END, 6) AS huber,
   round((greatest(0.1 * e, -0.9 * e) + greatest(0.5 * e, -0.5 * e) + greatest(0.9 * e, -0.1 * e)) / 3, 6) AS pinball,
-  round(greatest(x, 0) - x * y + ln(1 + exp(-abs(x))), 6) AS bce, round(-(y * ln(price) + (1 - y) * ln(1 - price)), 6) AS log_loss, round(1 / (1 + exp(-x)), 6) AS p,
-  round(greatest(price, size, 0.3) - (price + size + 0.3 - greatest(price, size, 0.3) - least(price, size, 0.3)), 6) AS margin,
+  round(greatest(x, 0) - x * y + ln(1 + exp(-abs(x))), 6) + 0.0 AS bce, round(-(y * ln(price) + (1 - y) * ln(1 - price)), 6) AS log_loss, round(1 / (1 + exp(-x)), 6) AS p,
+  round(greatest(price, size, 0.3) - (price + size + 0.3 - greatest(price, size, 0.3) - least(price, size, 0.3)), 6) + 0.0 AS margin,
   round(exp(price - greatest(price, size, 0.3)) / (exp(price - greatest(price, size, 0.3)) + exp(size - greatest(price, size, 0.3)) + exp(0.3 - greatest(price, size, 0.3))), 6) AS first_share FROM s""")
 def c28_c39_q10_q13_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, e = S.logit("price"), F.col("price") - 0.5
