@@ -75,13 +75,14 @@ def test_ema_over_chunks_equals_sequential(spark):
     t = np.cumsum(rng.choice([0, 5, 400, 90_000, 4_000_000], 400))
     x = rng.random(400)
     df = spark.createDataFrame([(7, int(i), int(a), float(b)) for i, (a, b) in enumerate(zip(t, x))], "k int, trade_id bigint, timestamp_unix bigint, x double")
-    got = {r["trade_id"]: (r["ema_x_300"], r["ema_x_86400"]) for r in running.keyed_ema(df, "k", ["x"], (300, 86400)).collect()}
-    for j, h in enumerate((300, 86400)):
-        s, last = x[0], t[0]
-        for i in range(400):
-            d = math.exp(-math.log(2) * (t[i] - last) / h)
-            s, last = (x[0] if i == 0 else d * s + (1 - d) * x[i]), t[i]
-            assert abs(got[i][j] - s) < 1e-9
+    for scan in (running.keyed_ema, running.chunked_ema):
+        got = {r["trade_id"]: (r["ema_x_300"], r["ema_x_86400"]) for r in scan(df, "k", ["x"], (300, 86400)).collect()}
+        for j, h in enumerate((300, 86400)):
+            s, last = x[0], t[0]
+            for i in range(400):
+                d = math.exp(-math.log(2) * (t[i] - last) / h)
+                s, last = (x[0] if i == 0 else d * s + (1 - d) * x[i]), t[i]
+                assert abs(got[i][j] - s) < 1e-9
 
 
 def test_running_sketch_equals_full_estimate(spark):

@@ -2,7 +2,7 @@
 
 State includes the trade itself; gaps and the same-market flag look at the trade before. Stages run one
 after another (wallet, market, component), each with one shuffle for all its windows; averages with
-half-lives come in chunks of days and are joined by trade_id; universe state is a two-level prefix.
+half-lives are scanned per key (the ledger's in chunks of days) and joined by trade_id; universe state is a two-level prefix.
 """
 
 from __future__ import annotations
@@ -107,7 +107,8 @@ def feature_pack(trades: DataFrame, markets: DataFrame, resolutions: DataFrame,
 
     keys = trades.withColumns({"p0": probability0(), "direction": direction()})
     for key, prefix, values, lives in (("market_id", "m", ["p0", "direction"], MARKET_LIVES), ("component_id", "c", ["p0", "direction"], COMPONENT_LIVES), ("one", "u", ["direction"], (DAY,))):
-        e = running.keyed_ema(keys.withColumn("one", F.lit(0)), key, values, lives)
+        scan = running.chunked_ema if key == "one" else running.keyed_ema
+        e = scan(keys.withColumn("one", F.lit(0)), key, values, lives)
         t = t.join(e.select("trade_id", *(F.col(f"ema_{v}_{h}").alias(f"{prefix}_ema_{v}_{h}") for v in values for h in lives)), "trade_id")
 
     return t.select("trade_id", "timestamp_unix", *(F.coalesce(v.cast("double"), F.lit(0.0)).cast("float").alias(f"f_{i:03d}") for i, v in enumerate(_columns())))

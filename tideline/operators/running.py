@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.scalar import safe_ratio, weighted_std
 from tideline.operators.order import ORDER, keyed, running
+from tideline.plans.shared import partitions
 
 #: Half-lives in seconds.
 HALF_LIVES = (300, 3600, 21_600, 86_400, 604_800)
@@ -115,9 +116,41 @@ def _ema_scan(t: np.ndarray, x: np.ndarray, half_life: float, start: float | Non
     return out
 
 
-def keyed_ema(df: DataFrame, key: str, values: list[str], half_lives: tuple[int, ...] = HALF_LIVES, order: list[str] = ORDER, keep: str = "trade_id", chunk: Column | None = None) -> DataFrame:
+def keyed_ema(df: DataFrame, key: str, values: list[str], half_lives: tuple[int, ...] = HALF_LIVES, order: list[str] = ORDER, keep: str = "trade_id") -> DataFrame:
     """keep and ema_<value>_<half-life> after each row of the key.
 
+    Keys are walked as a stream of sorted batches with one number per average carried on: many small keys
+    cost no groups, and a large one no memory. For keys that hold much of a ledger see chunked_ema.
+    """
+    pairs = [(v, h) for v in values for h in half_lives]
+    names = [f"ema_{v}_{h}" for v, h in pairs]
+    rows = df.select(F.col(key).cast("string").alias("_k"), *dict.fromkeys([*order, keep, *values]))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_key, state, last = (), [], 0
+        for pdf in batches:
+            keys, t = pdf["_k"].to_numpy(object), pdf[order[0]].to_numpy(np.int64)
+            x = {v: pdf[v].to_numpy(float) for v in values}
+            out = {name: np.empty(len(pdf)) for name in names}
+            ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for lo, hi in zip([0, *ends], [*ends, len(pdf)]):
+                if lo == hi:
+                    continue
+                if at_key != (keys[lo],):
+                    at_key, state = (keys[lo],), [None] * len(pairs)
+                for i, ((v, h), name) in enumerate(zip(pairs, names)):
+                    out[name][lo:hi] = _ema_scan(t[lo:hi], x[v][lo:hi], h, state[i], last)
+                    state[i] = out[name][hi - 1]
+                last = int(t[hi - 1])
+            yield pd.DataFrame({keep: pdf[keep], **out})
+
+    ordered = rows.repartition(partitions(df.sparkSession), "_k").sortWithinPartitions("_k", *order)
+    return ordered.mapInPandas(walk, f"{keep} {df.schema[keep].dataType.simpleString()}, " + ", ".join(f"{n} double" for n in names))
+
+
+def chunked_ema(df: DataFrame, key: str, values: list[str], half_lives: tuple[int, ...] = HALF_LIVES, order: list[str] = ORDER, keep: str = "trade_id", chunk: Column | None = None) -> DataFrame:
+    """As keyed_ema, for keys that are too large for a task.
+
     Rows of a key are scanned in chunks (days by default), so a hot key is many tasks: each chunk reduces to
     one affine step per half-life, the steps are composed along the (few) chunks of a key, and chunks are
     expanded from their starting state.
