@@ -5,10 +5,12 @@ from __future__ import annotations
 import atexit
 import contextlib
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+PAUSE_S = 0.25
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -60,9 +62,14 @@ def discard(since: int) -> None:
 
 
 def drop_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished, no longer referenced stages now."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Let Spark's cleaner drop the shuffle files of finished, no longer referenced stages now.
+
+    Events of the last query may still hold it, so there are two rounds with a short wait.
+    """
+    for _ in range(2):
+        time.sleep(PAUSE_S)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
 
 
 def release() -> None:
