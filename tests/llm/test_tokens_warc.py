@@ -128,6 +128,28 @@ def test_lookup_of_single_keys(spark):
     assert got == Counter([3, 9, 9, 15] + [100 + i for i in range(200)])
 
 
+def test_tabs_and_newlines_inside_urls(spark):
+    rows = [(i, f"http://e.com/a{c}{x}", f"page {i}") for i, (c, x) in enumerate((c, x) for c in ("\t", "\n", " ", "!", "%09", "%0A", "b") for x in "zam")]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    n = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for k in ("1", "7"):  # all in one block, and several archives
+            spark.conf.set("spark.sql.shuffle.partitions", k)
+            assert sorted((r["page_id"], r["html"]) for r in warc.round_trip(df).collect()) == [(i, h) for i, _, h in rows]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+
+
+def test_missing_records_fail(spark):
+    df, _ = pages(spark)
+    folder = warc.new_folder(spark, "warc")
+    archives = warc.cut(warc.write(df, folder))
+    keys = spark.createDataFrame([("com,example)/a",)], "key string")
+    assert warc.lookup(spark, archives, keys, folder).count() == 4
+    with pytest.raises(Exception, match="records were read"):
+        warc.lookup(spark, archives, keys, folder, whole=True).count()
+
+
 def test_query_covers_all_pages(spark):
     got = queries.op10_warc(spark, f"{DATA}/sf0.01").collect()
     want = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").collect()}

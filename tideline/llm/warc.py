@@ -34,7 +34,11 @@ TYPE_RESPONSE, TYPE_REVISIT = "response", "revisit"
 
 
 def surt(url: str | None) -> str:
-    """Reversed-host key: scheme, user, www, port and fragment go; the host's labels turn round."""
+    """Reversed-host key: scheme, user, www, port and fragment go; the host's labels turn round.
+
+    Tabs and newlines, which separate the fields and lines of the index, are escaped here, so that sort,
+    marks, index and lookup order the same keys.
+    """
     if not url:
         return ""
     rest = url.strip().split("#", 1)[0]
@@ -43,7 +47,7 @@ def surt(url: str | None) -> str:
     host, path = rest[:cut_at].rsplit("@", 1)[-1].lower(), rest[cut_at:] or "/"
     host = host.split(":", 1)[0]
     host = host[4:] if host.startswith("www.") else host
-    return ",".join(reversed(host.split("."))) + ")" + path
+    return (",".join(reversed(host.split("."))) + ")" + path).replace("\t", "%09").replace("\n", "%0A")
 
 
 def described(pages: DataFrame) -> DataFrame:
@@ -138,7 +142,6 @@ def write(pages: DataFrame, folder: str, least: int = 0, block_lines: int = BLOC
                     kind = TYPE_RESPONSE if refers is None else TYPE_REVISIT
                     packed = _pack(_record(kind, url, page, digest, size, refers, (html or "").encode() if refers is None else b""))
                     archive.write(packed)
-                    key = key.replace("\t", "%09").replace("\n", "%0A")
                     lines.append(f"{key}\t{'' if page is None else page}\t{at}\t{len(packed)}")
                     at, n = at + len(packed), n + 1
                     first_key, last_key = key if first_key is None else first_key, key
@@ -203,14 +206,16 @@ class Captures:
 ROW = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
 
-def lookup(spark: SparkSession, archives: DataFrame, keys: DataFrame, folder: str) -> DataFrame:
+def lookup(spark: SparkSession, archives: DataFrame, keys: DataFrame, folder: str, whole: bool = False) -> DataFrame:
     """The captures of every distinct key in keys(key): ROW's columns and html (null for revisits).
 
+    With `whole`, keys names every record: an archive that gives more or fewer than its n_records fails.
+
     The list of archives has one entry per write task, so it is small whatever the number of captures. A
     key goes to each archive whose range holds it; each task reads the keys of one archive in order.
     """
-    shards = sorted((r["first_key"], r["last_key"], r["name"]) for r in archives.select("first_key", "last_key", "name").collect())
-    firsts, lasts, names = ([x[i] for x in shards] for i in range(3))
+    shards = sorted(tuple(r) for r in archives.select("first_key", "last_key", "name", "n_records").collect())
+    firsts, lasts, names, written = ([x[i] for x in shards] for i in range(4))
 
     @F.pandas_udf("array<int>")
     def shard(key: pd.Series) -> pd.Series:
@@ -218,14 +223,22 @@ def lookup(spark: SparkSession, archives: DataFrame, keys: DataFrame, folder: st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_: tuple[int, Captures | None] = (-1, None)
+        n_read = 0
+
+        def finish() -> None:
+            if open_[1]:
+                open_[1].close()
+                if whole and n_read != written[open_[0]]:
+                    raise ValueError(f"archive {names[open_[0]]}: {n_read} of {written[open_[0]]} records were read")
+
         for pdf in batches:
             out, size = [], 0
             for i, key in zip(pdf["shard"], pdf["key"]):
                 if open_[0] != i:
-                    if open_[1]:
-                        open_[1].close()
-                    open_ = (i, Captures(folder, names[i]))
-                for head, body in open_[1].find(key):
+                    finish()
+                    open_, n_read = (i, Captures(folder, names[i])), 0
+                for head, body in open_[1].find(key) if isinstance(key, str) else ():
+                    n_read += 1
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     revisit = head["WARC-Type"] == TYPE_REVISIT
                     if not revisit and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
@@ -238,9 +251,12 @@ def lookup(spark: SparkSession, archives: DataFrame, keys: DataFrame, folder: st
                         out, size = [], 0
             if out:
                 yield _frame(out)
+        finish()
 
     clean = F.regexp_replace(F.regexp_replace("key", "\t", "%09"), "\n", "%0A")
     wanted = keys.select(clean.alias("key")).distinct().withColumn("shard", F.explode(shard("key")))
+    if whole:  # a row without a key opens each archive, so that one of which nothing is asked fails too
+        wanted = wanted.unionByName(spark.range(len(shards)).select(F.lit(None).cast("string").alias("key"), F.col("id").cast("int").alias("shard")))
     # the keys of a shard are as many as its records at most: one write task's worth
     wanted = wanted.repartition(max(1, len(shards)), "shard").sortWithinPartitions("shard", "key")
     return wanted.mapInPandas(run, ROW + ", html string")
@@ -261,6 +277,6 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     def key(url: pd.Series) -> pd.Series:
         return url.map(lambda u: surt(None if pd.isna(u) else u))
 
-    return lookup(spark, archives, pages.select(key("url").alias("key")), folder)
+    return lookup(spark, archives, pages.select(key("url").alias("key")), folder, whole=True)
 
 
