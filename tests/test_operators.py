@@ -108,6 +108,20 @@ def test_strict_asof_hides_equal_seconds(spark):
     assert got == {10: 1.0, 11: 6.0}
 
 
+def test_history_cut_of_hot_seconds(spark):
+    from tideline.plans.queries_ledger import history_cut
+
+    seconds = [1] * 20 + [2] * 60 + [3] * 5 + [9]
+    rows = [(w, 100 * w + i, s, float(i * i % 17)) for w in (1, 2) for i, s in enumerate(seconds[: 90 if w == 1 else 22])]
+    want = {}
+    for w, i, s, _ in rows:
+        h = sorted((x[2], x[1], x[3]) for x in rows if x[0] == w and x[2] < s)[-16:]
+        if h:
+            want[i] = (len(h), round(sum(x[2] for x in h) / len(h), 6), h[0][0])
+    t = spark.createDataFrame(rows, "wallet_id bigint, trade_id bigint, timestamp_unix bigint, size double")
+    assert {r["trade_id"]: (r["n"], r["mean_size"], r["oldest"]) for r in history_cut(t).collect()} == want
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 99), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(e, "src bigint, dst bigint")).collect()}

@@ -330,18 +330,31 @@ def e11_l03_markouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("trade_id", *(F.round(v - F.col("p0"), 6).alias(k) for k, v in named.items()))
 
 
+def history_cut(t: DataFrame, most: int = 16) -> DataFrame:
+    """trade_id, n, mean_size, oldest over the last `most` trades of the wallet in earlier seconds.
+
+    All trades of a second have the history of its first one, which no row of the same second precedes:
+    window frames, no join. Trades without history have no row.
+    """
+    w = order.keyed("wallet_id").rowsBetween(-most, -1)
+    first = W.partitionBy("wallet_id", "timestamp_unix").orderBy("trade_id")
+    rows = t.withColumns({"n": F.count("*").over(w), "mean_size": F.avg("size").over(w), "oldest": F.min("timestamp_unix").over(w)})
+    rows = rows.withColumns({c: F.first(c).over(first) for c in ("n", "mean_size", "oldest")}).where("n > 0")
+    return rows.select("trade_id", "n", F.round("mean_size", 6).alias("mean_size"), "oldest")
+
+
 @query(f"""{EV}, a AS (SELECT wallet_id, trade_id, timestamp_unix FROM trades WHERE trade_id % 50 = 0), h AS (SELECT a.trade_id, t.size, t.timestamp_unix AS ht, row_number() OVER (PARTITION BY a.trade_id ORDER BY t.timestamp_unix DESC, t.trade_id DESC) AS k
 FROM a JOIN trades t ON t.wallet_id = a.wallet_id AND t.timestamp_unix < a.timestamp_unix) SELECT trade_id, count(*) AS n, round(avg(size), 6) AS mean_size, min(ht) AS oldest FROM h WHERE k <= 16 GROUP BY 1""")
 def e12_history_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last 16 trades of the wallet in earlier seconds, for every 50th trade: window frames, no join."""
-    t = trades_ev(spark, sf_dir)
-    # the rows of the same second are not history: step over them by their number
-    w = order.keyed("wallet_id")
-    rows = t.withColumn("i", F.row_number().over(w)).withColumn("j", F.min("i").over(W.partitionBy("wallet_id", "timestamp_unix")))
-    back = F.collect_list(F.struct("i", "size", "timestamp_unix")).over(w.rowsBetween(-40, -1))
-    rows = rows.withColumn("h", F.filter(back, lambda x: (x["i"] < F.col("j")) & (x["i"] >= F.col("j") - 16))).where("trade_id % 50 = 0 and size(h) > 0")
-    total = F.aggregate("h", F.lit(0.0), lambda s, x: s + x["size"])
-    return rows.select("trade_id", F.size("h").cast("bigint").alias("n"), F.round(total / F.size("h"), 6).alias("mean_size"), F.array_min(F.transform("h", lambda x: x["timestamp_unix"])).alias("oldest"))
+    """history_cut() of every 50th trade, as its SQL has it."""
+    return history_cut(trades_ev(spark, sf_dir)).where("trade_id % 50 = 0")
+
+
+@query(f"""{EV}, h AS (SELECT a.trade_id, t.size, t.timestamp_unix AS ht, row_number() OVER (PARTITION BY a.trade_id ORDER BY t.timestamp_unix DESC, t.trade_id DESC) AS k
+FROM trades a JOIN trades t ON t.wallet_id = a.wallet_id AND t.timestamp_unix < a.timestamp_unix) SELECT trade_id, count(*) AS n, round(avg(size), 6) AS mean_size, min(ht) AS oldest FROM h WHERE k <= 16 GROUP BY 1""")
+def e12_whole_history_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """history_cut() of every trade."""
+    return history_cut(trades_ev(spark, sf_dir))
 
 
 @query(f"{EV}, {SCHEDULES} SELECT t.trade_id, s.schedule_id, CAST(s.rate AS DOUBLE) AS rate FROM trades t LEFT JOIN schedules s ON s.market_id = t.market_id AND t.timestamp_unix >= s.from_ts AND t.timestamp_unix < s.to_ts")
