@@ -22,3 +22,12 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_whole_queries_read_all_rows(spark):
+    d = f"{DATA}/sf0.01"
+    n = spark.read.parquet(f"{d}/events.parquet").count()
+    assert registry.QUERIES["c19_whole_fill_logs"](spark, d).count() == n > 3000
+    assert registry.QUERIES["c20_j04_whole_transfer_edges"](spark, d).count() == n
+    texts = [r["text"] or "" for r in spark.read.parquet(f"{d}/conversations.parquet").select("text").collect()]
+    assert registry.QUERIES["e25_whole_posexplode"](spark, d).count() == sum(len(t.split(" ")) for t in texts)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -382,13 +384,23 @@ def e24_prior_donor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.last_of_other(trades_ev(spark, sf_dir), "wallet_id", "market_id", "trade_id", order.ORDER).select("trade_id", "donor")
 
 
-@query("SELECT conv_id, turn, role, i - 1 AS i, word FROM (SELECT conv_id, turn, role, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM (SELECT *, string_split(coalesce(text, ''), ' ')[1:3] AS w FROM conversations))")
-def e25_posexplode(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _words(spark: SparkSession, sf_dir: str, of: Callable[[Column], Column]) -> DataFrame:
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    w = F.slice(F.split(F.coalesce("text", F.lit("")), " ", -1), 1, 3)
+    w = of(F.split(F.coalesce("text", F.lit("")), " ", -1))
     return c.select("conv_id", "turn", "role", F.posexplode(w).alias("i", "word")).withColumn("i", F.col("i").cast("bigint"))
 
 
+@query("SELECT conv_id, turn, role, i - 1 AS i, word FROM (SELECT conv_id, turn, role, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM (SELECT *, string_split(coalesce(text, ''), ' ')[1:3] AS w FROM conversations))")
+def e25_posexplode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _words(spark, sf_dir, lambda w: F.slice(w, 1, 3))
+
+
+@query("SELECT conv_id, turn, role, i - 1 AS i, word FROM (SELECT conv_id, turn, role, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM (SELECT *, string_split(coalesce(text, ''), ' ') AS w FROM conversations))")
+def e25_whole_posexplode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of every text, where e25_posexplode has the first three."""
+    return _words(spark, sf_dir, lambda w: w)
+
+
 @query(f"{EV}, a AS (SELECT wallet_id AS k, count(*) AS c FROM trades WHERE market_id < 5 GROUP BY 1), b AS (SELECT wallet_id AS k, count(*) AS c FROM trades WHERE market_id > 14 GROUP BY 1) SELECT count(*) FILTER (WHERE a.c IS NOT NULL AND b.c IS NOT NULL) AS matched, count(*) FILTER (WHERE b.c IS NULL) AS only_left, count(*) FILTER (WHERE a.c IS NULL) AS only_right, count(*) FILTER (WHERE a.c > 1) AS repeated_left, count(*) FILTER (WHERE b.c > 1) AS repeated_right FROM a FULL JOIN b USING (k)")
 def e18_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades_ev(spark, sf_dir)

@@ -158,8 +158,7 @@ def c32_q08_feature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.round(total(masked), 6).alias("kept"), F.round(total(F.transform(F.slice(v, 33, 32), lambda x: F.abs(x))), 6).alias("contribution"))
 
 
-def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = events(spark, sf_dir).where("event_id < 3000")
+def _logs(e: DataFrame) -> DataFrame:
     hexed = lambda x: F.lpad(F.lower(F.hex(x)), 64, "0")
     i = F.col("event_id")
     buy = i % 2 == 0
@@ -170,19 +169,41 @@ def _logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(i.alias("log_id"), F.when(i % 3 == 0, "v1").otherwise("v2").alias("protocol"), F.when(bad, F.slice(topics, 1, 3)).otherwise(topics).alias("topics"), F.when(i % 3 == 0, v1).otherwise(v2).alias("data"))
 
 
+_FILLS = """SELECT i AS log_id, ok AS valid, CASE WHEN ok THEN CASE WHEN i % 2 = 0 THEN 'BUY' ELSE 'SELL' END END AS side,
+  CASE WHEN ok THEN '0x' || lpad(lower(to_hex(u)), 40, '0') END AS maker, CASE WHEN ok THEN '0x' || lpad(lower(to_hex(u + 1)), 40, '0') END AS taker, CASE WHEN ok THEN CAST(i + 7 AS VARCHAR) END AS token_id,
+  CASE WHEN ok THEN CAST(CASE WHEN i % 2 = 0 THEN i * 3 + 1 ELSE i * 5 + 1 END AS VARCHAR) END AS collateral_raw, CASE WHEN ok THEN CAST(CASE WHEN i % 2 = 0 THEN i * 5 + 1 ELSE i * 3 + 1 END AS VARCHAR) END AS tokens_raw,
+  CASE WHEN ok THEN CAST(i % 10 AS VARCHAR) END AS fee_raw, CASE WHEN ok THEN round(CASE WHEN i % 2 = 0 THEN (i * 3 + 1)::DOUBLE / (i * 5 + 1) ELSE (i * 5 + 1)::DOUBLE / (i * 3 + 1) END, 5) END AS price FROM l"""
+
+
 @query("""WITH l AS (SELECT event_id AS i, user_id AS u, event_id % 11 <> 0 AS ok FROM events WHERE event_id < 3000) SELECT i AS log_id, ok AS valid, CASE WHEN ok THEN CASE WHEN i % 2 = 0 THEN 'BUY' ELSE 'SELL' END END AS side,
   CASE WHEN ok THEN '0x' || lpad(lower(to_hex(u)), 40, '0') END AS maker, CASE WHEN ok THEN '0x' || lpad(lower(to_hex(u + 1)), 40, '0') END AS taker, CASE WHEN ok THEN CAST(i + 7 AS VARCHAR) END AS token_id,
   CASE WHEN ok THEN CAST(CASE WHEN i % 2 = 0 THEN i * 3 + 1 ELSE i * 5 + 1 END AS VARCHAR) END AS collateral_raw, CASE WHEN ok THEN CAST(CASE WHEN i % 2 = 0 THEN i * 5 + 1 ELSE i * 3 + 1 END AS VARCHAR) END AS tokens_raw,
   CASE WHEN ok THEN CAST(i % 10 AS VARCHAR) END AS fee_raw, CASE WHEN ok THEN round(CASE WHEN i % 2 = 0 THEN (i * 3 + 1)::DOUBLE / (i * 5 + 1) ELSE (i * 5 + 1)::DOUBLE / (i * 3 + 1) END, 5) END AS price FROM l""")
 def c19_fill_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = logs.decode_fills(_logs(spark, sf_dir))
+    d = logs.decode_fills(_logs(events(spark, sf_dir).where("event_id < 3000")))
+    return d.withColumn("price", F.round("price", 5))
+
+
+@query(f"WITH l AS (SELECT event_id AS i, user_id AS u, event_id % 11 <> 0 AS ok FROM events) {_FILLS}")
+def c19_whole_fill_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a log, where c19_fill_logs has the first 3000."""
+    d = logs.decode_fills(_logs(events(spark, sf_dir)))
     return d.withColumn("price", F.round("price", 5))
 
 
 @query("""WITH l AS (SELECT event_id // 2 AS i, user_id AS u FROM events WHERE event_id < 3000 AND event_id % 2 = 0) SELECT sha256('137|0xab' || i || '|' || i % 5 || '|0xcd') AS edge_id, 'erc20_transfer' AS kind, '0x' || lpad(lower(to_hex(u)), 40, '0') AS source_address, '0x' || lpad(lower(to_hex(u + 1)), 40, '0') AS target_address, CAST(NULL AS VARCHAR) AS token_id, CAST(i AS VARCHAR) AS amount FROM l""")
 def c20_j04_transfer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _transfers(events(spark, sf_dir).where("event_id < 3000 and event_id % 2 = 0").withColumn("i", F.floor(F.col("event_id") / 2)))
+
+
+@query("""WITH l AS (SELECT event_id AS i, user_id AS u FROM events) SELECT sha256('137|0xab' || i || '|' || i % 5 || '|0xcd') AS edge_id, 'erc20_transfer' AS kind, '0x' || lpad(lower(to_hex(u)), 40, '0') AS source_address, '0x' || lpad(lower(to_hex(u + 1)), 40, '0') AS target_address, CAST(NULL AS VARCHAR) AS token_id, CAST(i AS VARCHAR) AS amount FROM l""")
+def c20_j04_whole_transfer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event as a transfer, where c20_j04_transfer_edges has the even ones of the first 3000."""
+    return _transfers(events(spark, sf_dir).withColumn("i", F.col("event_id")))
+
+
+def _transfers(e: DataFrame) -> DataFrame:
     hexed = lambda x: F.concat(F.lit("0x"), F.lpad(F.lower(F.hex(x)), 64, "0"))
-    e = events(spark, sf_dir).where("event_id < 3000 and event_id % 2 = 0").withColumn("i", F.floor(F.col("event_id") / 2))
     rows = e.select(F.lit("erc20_transfer").alias("kind"), F.array(F.lit("0x0"), hexed(F.col("user_id")), hexed(F.col("user_id") + 1)).alias("topics"), hexed(F.col("i")).alias("data"), F.concat(F.lit("0xAB"), "i").alias("transaction_hash"), (F.col("i") % 5).alias("log_index"), F.lit("0xCD").alias("address"))
     return logs.transfer_edges(rows.unionByName(rows))  # an overlapping second scan
 
