@@ -122,6 +122,16 @@ def test_history_cut_of_hot_seconds(spark):
     assert {r["trade_id"]: (r["n"], r["mean_size"], r["oldest"]) for r in history_cut(t).collect()} == want
 
 
+def test_known_totals_after_day_60(spark):
+    from tideline.plans.queries_ledger import known_totals
+    from tideline.plans.views import DAY, START
+
+    rows = [(1, 1, START, 2.0), (1, 2, START + 7 * DAY, 3.0), (1, 3, START + 7 * DAY - 1, 4.0), (1, 4, START + 60 * DAY, 5.0), (1, 5, START + 400 * DAY, 6.0), (2, 6, START + 90 * DAY, 7.0)]
+    t = spark.createDataFrame(rows, "wallet_id bigint, trade_id bigint, timestamp_unix bigint, notional_usd double")
+    got = {r["trade_id"]: (r["known_trades"], r["known_notional"]) for r in known_totals(t).collect()}
+    assert got == {1: (0, 0.0), 2: (2, 6.0), 3: (0, 0.0), 4: (3, 9.0), 5: (4, 14.0), 6: (0, 0.0)}
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 99), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(e, "src bigint, dst bigint")).collect()}

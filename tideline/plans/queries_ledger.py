@@ -312,13 +312,16 @@ def f03_resolution_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{EV}, d AS (SELECT wallet_id, (timestamp_unix - {START}) // {7 * DAY} AS k, sum(notional_usd) AS n, count(*) AS c FROM trades GROUP BY ALL), v AS (SELECT wallet_id, {START} + (k + 1) * {7 * DAY} AS available, n, c FROM d)
 SELECT t.trade_id, CAST(coalesce(sum(v.c), 0) AS BIGINT) AS known_trades, round(coalesce(sum(v.n), 0), 4) AS known_notional FROM trades t LEFT JOIN v ON v.wallet_id = t.wallet_id AND v.available <= t.timestamp_unix GROUP BY 1""")
 def e10_additive_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = trades_ev(spark, sf_dir)
+    return known_totals(trades_ev(spark, sf_dir))
+
+
+def known_totals(t: DataFrame) -> DataFrame:
+    """trade_id, known_trades, known_notional: the wallet's totals of the weeks that ended by the trade's time."""
     week = F.floor((F.col("timestamp_unix") - START) / (7 * DAY))
     d = t.groupBy("wallet_id", (START + (week + 1) * 7 * DAY).alias("available")).agg(F.sum("notional_usd").alias("n"), F.count("*").alias("c"))
-    state = asof.additive_asof(d, "wallet_id", "available", ["n", "c"])
-    state = state.withColumn("valid_to", F.coalesce("valid_to", F.lit(START + 60 * DAY)))
-    j = asof.interval_lookup(t, state, "wallet_id", "timestamp_unix", "valid_from", "valid_to", 7 * DAY)
-    return j.select("trade_id", F.coalesce("c", F.lit(0)).cast("bigint").alias("known_trades"), F.round(F.coalesce("n", F.lit(0.0)), 4).alias("known_notional"))
+    # available at a second means visible at it: one second earlier makes the strict form inclusive
+    j = asof.strict_asof_sums(t, d.withColumn("visible", F.col("available") - 1), "wallet_id", "timestamp_unix", "visible", {"c": F.col("c"), "n": F.col("n")}, "trade_id")
+    return j.select("trade_id", F.col("c").cast("bigint").alias("known_trades"), F.round("n", 4).alias("known_notional"))
 
 
 @query(f"""{EV}, {ORIENTED}, u AS (SELECT market_id, timestamp_unix, arg_min(p0, trade_id) AS p FROM o GROUP BY ALL) SELECT o.trade_id, """
