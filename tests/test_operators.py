@@ -1,5 +1,6 @@
 """Hand-computed vectors and sequential references of single operators."""
 
+import hashlib
 import math
 from decimal import Decimal
 
@@ -139,6 +140,44 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
 
 
+def test_whole_components_against_union_find(spark):
+    from compare import DATA
+    from tideline.plans import registry
+
+    d, root = f"{DATA}/sf0.001", {}
+
+    def find(x):
+        root.setdefault(x, x)
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    days = F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date"))
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select("l_partkey", "l_suppkey", days.alias("day")).collect()
+    for part, supplier, day in lines:
+        a, b = sorted((find(part), find(1000000 + supplier * 10000 + day // 200)))
+        root[b] = a
+    want = {x: find(x) for x in root}
+    assert {r["node"]: r["component"] for r in registry.QUERIES["k01_whole_components"](spark, d).collect()} == want
+    members = {}
+    for x, c in want.items():
+        members.setdefault(c, []).append(str(x))
+    ids = {c: hashlib.sha256("\n".join(["event-component-v1", *sorted(m)]).encode()).hexdigest() for c, m in members.items()}
+    parts = [r[0] for r in spark.read.parquet(f"{d}/part.parquet").select("p_partkey").collect()]
+    orphan = {p: hashlib.sha256(f"orphan-market-v1\n{p}".encode()).hexdigest() for p in parts}
+    got = {r["p_partkey"]: (r["component_id"], r["n_members"]) for r in registry.QUERIES["k02_k03_whole_component_ids"](spark, d).collect()}
+    assert got == {p: (ids[want[p]], len(members[want[p]])) if p in want else (orphan[p], 1) for p in parts}
+
+
+def test_stable_id_of_giant_component(spark):
+    n = 60_000
+    c = spark.range(n).select(F.col("id").alias("node"), F.when(F.col("id") < n - 2, 0).otherwise(F.col("id")).alias("component"))
+    got = {r["component"]: (r["component_id"], r["n_members"]) for r in components.stable_ids(c).collect()}
+    one_id = lambda m: hashlib.sha256("\n".join(["event-component-v1", *sorted(map(str, m))]).encode()).hexdigest()
+    assert got == {0: (one_id(range(n - 2)), n - 2), n - 2: (one_id([n - 2]), 1), n - 1: (one_id([n - 1]), 1)}
+
+
 def test_time_partition(spark):
     df = spark.createDataFrame(list(zip([1, 1, 2, 3, 3, 4], [1, 4, 2, 3, 8, 9])), "c int, ts int")
     got = {r["c"]: r["side"] for r in order.time_partition(df, "c", "ts", 0.5).collect()}

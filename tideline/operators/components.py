@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.plans.shared import cut
+from tideline.plans.shared import cut, partitions
 
 
 def _large(e: DataFrame) -> DataFrame:
@@ -46,10 +51,35 @@ COMPONENT_PREFIX, ORPHAN_PREFIX = "event-component-v1\n", "orphan-market-v1\n"
 
 
 def stable_ids(components: DataFrame) -> DataFrame:
-    """component, component_id (hash of the sorted members), n_members."""
-    members = F.array_join(F.sort_array(F.collect_list(F.col("node").cast("string"))), "\n")
-    by = components.groupBy("component").agg(members.alias("m"), F.count("*").alias("n_members"))
-    return by.select("component", F.sha2(F.concat(F.lit(COMPONENT_PREFIX), "m"), 256).alias("component_id"), "n_members")
+    """component, component_id (hash of the sorted members), n_members.
+
+    Members are a stream of sorted batches with the hash carried from batch to batch: a component's size does
+    not matter for memory.
+    """
+    kind = components.schema["component"].dataType.simpleString()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, n, sha = None, 0, hashlib.sha256()
+        for pdf in batches:
+            keys, nodes, out = pdf["component"].to_numpy(), pdf["node"].to_numpy(), []
+            ends = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for lo, hi in zip([0, *ends], [*ends, len(pdf)]):
+                if lo == hi:
+                    continue
+                if at is None or at != (keys[lo],):
+                    if at is not None:
+                        out.append((*at, sha.hexdigest(), n))
+                    at, n, sha = (keys[lo],), 0, hashlib.sha256(COMPONENT_PREFIX.encode())
+                sha.update((("\n" if n else "") + "\n".join(nodes[lo:hi])).encode())
+                n += int(hi - lo)
+            if out:
+                yield pd.DataFrame(out, columns=["component", "component_id", "n_members"])
+        if at is not None:
+            yield pd.DataFrame([(*at, sha.hexdigest(), n)], columns=["component", "component_id", "n_members"])
+
+    rows = components.select("component", F.col("node").cast("string").alias("node"))
+    ordered = rows.repartition(partitions(rows.sparkSession), "component").sortWithinPartitions("component", "node")
+    return ordered.mapInPandas(run, f"component {kind}, component_id string, n_members bigint")
 
 
 def orphan_id(node: str) -> Column:

@@ -423,8 +423,8 @@ def e01_e03_e07_nested_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES = "edges AS (SELECT DISTINCT l_partkey AS a, 1000000 + l_suppkey * 10000 + CAST(date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) // 200 AS b FROM lineitem WHERE l_quantity >= 49 AND l_linenumber = 1)"
 
 
-def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity >= 49 and l_linenumber = 1")
+def _edges(spark: SparkSession, sf_dir: str, lines: str = "l_quantity >= 49 and l_linenumber = 1") -> DataFrame:
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(lines)
     days = F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date"))
     return li.select(F.col("l_partkey").alias("a"), (1000000 + F.col("l_suppkey") * 10000 + F.floor(days / 200)).alias("b")).distinct()
 
@@ -435,11 +435,27 @@ def k01_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected_components(_edges(spark, sf_dir), "a", "b").select("node", "component")
 
 
+@query()
+def k01_whole_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the edges of all lines, where k01_components has few; a recursive SQL would pair all nodes."""
+    return components.connected_components(_edges(spark, sf_dir, "true"), "a", "b").select("node", "component")
+
+
 @query(f"""WITH RECURSIVE {_EDGES}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT a AS node, a AS seen FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.seen = e.a),
 c AS (SELECT node, min(seen) AS component FROM reach GROUP BY node), parts AS (SELECT component, string_agg(CAST(node AS VARCHAR), chr(10) ORDER BY CAST(node AS VARCHAR)) AS m, count(*) AS n FROM c GROUP BY component)
 SELECT p_partkey, coalesce(sha256('event-component-v1' || chr(10) || parts.m), sha256('orphan-market-v1' || chr(10) || p_partkey)) AS component_id, coalesce(parts.n, 1) AS n_members FROM part LEFT JOIN c ON p_partkey = node LEFT JOIN parts USING (component)""")
 def k02_k03_component_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = components.connected_components(_edges(spark, sf_dir), "a", "b")
+    return _component_ids(spark, sf_dir, _edges(spark, sf_dir))
+
+
+@query()
+def k02_k03_whole_component_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the edges of all lines."""
+    return _component_ids(spark, sf_dir, _edges(spark, sf_dir, "true"))
+
+
+def _component_ids(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
+    c = components.connected_components(edges, "a", "b")
     ids = components.stable_ids(c)
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey")
     j = p.join(c, p["p_partkey"] == c["node"], "left").join(ids, "component", "left")
