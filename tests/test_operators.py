@@ -133,6 +133,16 @@ def test_known_totals_after_day_60(spark):
     assert got == {1: (0, 0.0), 2: (2, 6.0), 3: (0, 0.0), 4: (3, 9.0), 5: (4, 14.0), 6: (0, 0.0)}
 
 
+def test_sequences_have_every_position(spark):
+    from tideline.plans.queries_more import sequences
+
+    sizes = {1: 300, 2: 128, 3: 127, 4: 192, 5: 191}
+    t = spark.createDataFrame([(m, i, i, i / 1000) for m, k in sizes.items() for i in range(k)], "market_id bigint, trade_id bigint, timestamp_unix bigint, price double")
+    for length, stride in ((128, 64), (100, 30), (7, 10)):
+        want = sorted((m, s + 1, o, round((s + o) / 1000, 6)) for m, k in sizes.items() for s in range(0, k - length + 1, stride) for o in range(length))
+        assert sorted(map(tuple, sequences(t, length, stride).collect())) == want
+
+
 def test_components(spark):
     e = [(i, i + 1) for i in range(1, 60)] + [(100, 101), (101, 99), (7, 7), (None, 3)]
     got = {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(e, "src bigint, dst bigint")).collect()}

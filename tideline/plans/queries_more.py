@@ -217,6 +217,21 @@ def h15_sliding_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return r.where("offset < 32 and offset % 8 = 0 and start_n <= last - 31").select("market_id", "start_n", "offset", F.round("price", 6).alias("price"))
 
 
+@query(f"{EV}, s AS (SELECT market_id, unnest(range(1, count(*) - 126, 64)) AS start_n FROM trades GROUP BY 1), r AS (SELECT market_id, price, row_number() OVER (PARTITION BY market_id ORDER BY timestamp_unix, trade_id) AS n FROM trades) SELECT s.market_id, s.start_n, r.n - s.start_n AS \"offset\", round(r.price, 6) AS price FROM s JOIN r ON r.market_id = s.market_id AND r.n BETWEEN s.start_n AND s.start_n + 127")
+def h15_whole_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every position of the overlapping sequences of 128 trades at stride 64."""
+    return sequences(trades_ev(spark, sf_dir), 128, 64)
+
+
+def sequences(t: DataFrame, length: int, stride: int) -> DataFrame:
+    """market_id, start_n, offset, price of full sequences: each trade goes to the few starts that cover it."""
+    r = t.select("market_id", "price", F.row_number().over(order.keyed("market_id")).cast("bigint").alias("n"))
+    r = r.withColumn("last", F.max("n").over(W.partitionBy("market_id")))
+    start = F.floor((F.col("n") - 1) / stride) * stride + 1
+    r = r.withColumn("start_n", F.explode(F.transform(F.sequence(F.lit(0), F.lit((length - 1) // stride)), lambda k: start - k * stride))).withColumn("offset", F.col("n") - F.col("start_n"))
+    return r.where((F.col("start_n") >= 1) & (F.col("offset") < length) & (F.col("start_n") <= F.col("last") - (length - 1))).select("market_id", "start_n", "offset", F.round("price", 6).alias("price"))
+
+
 @query(f"{EV}, m AS (SELECT market_id, min(timestamp_unix) AS first_decision FROM trades GROUP BY 1), {SPLITS_SQL} SELECT market_id, first_decision, split FROM m LEFT JOIN splits ON first_decision >= start_ts AND first_decision < end_ts")
 def l04_l06_condition_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = trades_ev(spark, sf_dir).groupBy("market_id").agg(F.min("timestamp_unix").alias("first_decision"))
