@@ -134,3 +134,10 @@ def test_suffix_on_the_table(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.001/documents.parquet")
     want = brute_suffix([tuple(r) for r in docs.select("doc_id", "text").collect()])
     assert Counter(map(tuple, queries.op9_suffixes(spark, f"{DATA}/sf0.001").collect())) == want
+
+
+def test_suffix_across_segments(spark):
+    """Texts longer than a segment, with passages that cross its end at other places of the period."""
+    rng = np.random.default_rng(8)
+    base = "".join(rng.choice(list("abcdefgh "), suffix.SEGMENT + 900))
+    check_suffix(spark, [(1, base), (2, "x" * 31 + base[suffix.SEGMENT - 400 : suffix.SEGMENT + 300] + "y" * 130), (3, "z" * (suffix.SEGMENT - 77) + base[5000:5260])])

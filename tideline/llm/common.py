@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.plans.shared import cut, discard, drop_shuffles, mark, new_folder, partitions, release, settle, shared_dir  # noqa: F401
+from tideline.plans.shared import cut, discard, mark, new_folder, partitions, release, settle, shared_dir  # noqa: F401
 
 #: A word is a maximal run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut, drop_shuffles, mark, mix, partitions, prefix_hash, settle, span_hash
+from tideline.llm.common import cut, mark, mix, partitions, prefix_hash, settle, span_hash
 from tideline.operators.components import connected_components
 
 SHINGLE = 5
@@ -275,20 +275,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # the text that others derive from shares most buckets with them: it makes the best pivot
     degree = cut(buckets.groupBy("rep").agg(F.sum("c").alias("degree")), "minhash-degrees")
     buckets = cut(buckets.drop("c").join(degree, "rep"), "minhash-buckets")
-    drop_shuffles(spark)
 
     # one row per text of a candidate's class: any text of it has the set
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(degree, "rep", "left_semi")
     sets = full_sets(texts).join(classes.select("rep", "n"), "rep").where(F.size("shingles") == F.col("n")).drop("n")
     sets = cut(sets, "minhash-sets")
-    drop_shuffles(spark)
 
     member_of = F.struct("rep", "n", "s1", "s2").alias("m")
     central = buckets.groupBy("key").agg(F.max(F.struct("degree", "rep", "n", "s1", "s2")).alias("p"))
     pairs = buckets.join(central, "key").select(member_of, "p").where((F.col("m.rep") != F.col("p.rep")) & _near("m", "p"))
     pairs = cut(pairs.select(F.least("m.rep", "p.rep").alias("a"), F.greatest("m.rep", "p.rep").alias("b")).distinct(), "minhash-pairs")
     links = cut(_confirm(pairs, sets), "minhash-links")
-    drop_shuffles(spark)
 
     # buckets that still hold several groups
     placed = buckets.join(_near_labels(links), "rep", "left").withColumn("label", F.coalesce("label", "rep"))

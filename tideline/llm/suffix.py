@@ -1,223 +1,373 @@
-"""Removal of repeated passages by sorting sampled suffixes of a content-defined difference cover.
-
-What counts is whether the LEAST-byte prefixes of two suffixes are equal. A difference cover samples
-suffixes so that any two that must be compared are sampled at the same distance. Here the cover is defined
-by content instead of position: a suffix is sampled where the hash of its first GRAM bytes is the smallest
-of a window of LEAST bytes. Equal windows have their minimum at the same place, and every window has one,
-so two equal windows always meet in equal sampled suffixes; about 2 / (LEAST - GRAM) of all suffixes are
-sampled, not two thirds.
-
-1. Each sampled suffix gets a triple of names: of the GRAM bytes at its place, of the bytes of all windows
-   before and of those behind it (names are hashes; since the prefixes to compare are bounded by LEAST, a
-   triple names all that a recursion would).
-2. Triples are sorted in one shuffle. Equal adjacent triples: all windows of the later one repeat. A gram
-   with one triple only: nothing else can repeat. Left are first triples whose gram has other triples. A
+"""Removal of repeated passages by sorting suffixes of a positional difference cover.
+
+What counts is whether the LEAST-byte prefixes of two suffixes are equal. COVER is a perfect difference set
+modulo PERIOD: for any two places of the corpus there is a distance below PERIOD at which both are sampled
+(place modulo PERIOD in COVER). So two equal windows of LEAST bytes meet in two sampled suffixes that share
+GRAM = LEAST - PERIOD + 1 bytes, and one in seven suffixes is sampled instead of two in three (modulo 3).
+
+1. Sort the sampled suffixes by triples of names: of GRAM bytes at the place, of the bytes of all windows
+   through it before and behind. The first sort is by the middle name; a suffix without an equal neighbour
+   there is finished: none of its windows repeats through it.
+2. Recurse on the names where they tie: these suffixes are sorted by the whole triple. Equal neighbours: all
+   windows of the later one repeat. First ones of a triple stay open if their gram has other triples. A
    window that two of these share reaches HALF bytes beyond the gram on one side at least, so only those
-   are open whose HALF bytes before or behind are shared (32-bit names; a collision costs work, no result).
-3. For these, the remaining (not sampled) suffixes are merged in: each window gets the name of its gram and
-   of its LEAST bytes, and adjacent equal names in sorted order are repeats.
-4. The bytes of repeated windows go; neighbouring windows join to spans.
+   are open whose HALF bytes before or behind are shared (short names; a collision costs work, no result).
+   Triples cover LEAST bytes on both sides, so one recursion is all that prefixes of LEAST bytes need.
+3. Merge the remaining suffixes in: every window around an open suffix that is not decided yet gets the name
+   of its LEAST bytes (96 bits) and is sorted by it.
+4. Compare adjacent prefixes: a window equal to its neighbour is a repeat unless it is the first. The bytes
+   of repeated windows go; neighbouring windows join to spans.
+
+Names are hashes: the sort order is the hashes' and not the alphabet's, which is as good here, since only
+equal prefixes need to be neighbours. Tasks sort what they have in numpy, decide what repeats inside their
+own share (so a passage found everywhere is sent once per piece of work, not once per occurrence), and deal
+the rest to parts by name as packed arrays; a part is sorted by the task that gets it. Step 1 runs in SHARES
+by name, one after another, so the files of one share go before the next begins. Documents are taken in
+segments of SEGMENT bytes.
 
 Strings are judged on the input. Order is (doc_id, start). A null text is empty; texts under LEAST bytes
 lose nothing. Rows with a null doc_id have no place in the order: they lose nothing and take nothing. Rows
-that repeat a doc_id are judged one by one and none of them is earlier than the other. Extra columns are
-ignored.
+that repeat a doc_id are judged one by one and, at the same place, none of them is earlier than the other.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tideline.llm.common import cut, drop_shuffles, mark, mix, prefix_hash, settle, span_hash
+from tideline.llm.common import cut, mark, mix, partitions, prefix_hash, settle, span_hash
 
-LEAST, GRAM = 100, 32
-#: Starts of windows that a sampled suffix can be the minimum of.
-SPREAD = LEAST - GRAM + 1
+#: A perfect difference set (every difference modulo PERIOD comes up once).
+PERIOD = 57
+COVER = np.array([0, 1, 3, 13, 32, 36, 43, 52])
+LEAST = 100
+GRAM = LEAST - PERIOD + 1
 HALF = (LEAST - GRAM) // 2
-CHUNK_ROWS = 1 << 16
-#: Windows are merged in so many shares, one after another: one share's shuffle files go before the next begins.
-SHARES = 2
-_PLACE = (1 << 40) - 1
-
-
-def _sliding(a: np.ndarray, width: int, f) -> np.ndarray:
-    """f over each window of a, by doubling."""
-    size, out = 1, a
-    while 2 * size <= width:
-        out = f(out[:-size], out[size:])
-        size *= 2
-    if size < width:
-        rest = width - size
-        out = f(out[:-rest], out[rest:])
+SHARES = 3
+#: Bytes of a segment (whole periods), and rows that are sorted at once before they are dealt.
+SEGMENT = PERIOD * 18_000
+CHUNK_ROWS = 1 << 20
+#: Rows of a part, about; a part is held by one task.
+PART_ROWS = 2_000_000
+WHOLE, LEFT, RIGHT = 0, 1, 2  # kinds; LEFT + RIGHT: either side
+
+
+# --- packed rows --------------------------------------------------------------------------------
+
+
+def _starts(*sorted_columns: np.ndarray) -> np.ndarray:
+    """True where a run of equal values begins."""
+    new = np.ones(len(sorted_columns[0]), bool)
+    if len(new):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in sorted_columns])
+    return new
+
+
+def _decided(name: np.ndarray, check: np.ndarray, doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """True for rows with an earlier row of the same name and check in these arrays."""
+    out, n = np.zeros(len(name), bool), len(name)
+    low = np.uint64((1 << max(1, n.bit_length())) - 1)
+    tagged = np.sort((name & ~low) | np.arange(n, dtype=np.uint64))
+    at, high = (tagged & low).astype(np.int64), tagged & ~low
+    new = _starts(high)
+    twice = at[~new | np.append(~new[1:], False)]  # few: the rows whose names may come up again
+    if len(twice):
+        o = twice[np.lexsort((place[twice], doc[twice], check[twice], name[twice]))]
+        first = o[np.maximum.accumulate(np.where(_starts(name[o], check[o]), np.arange(len(o)), 0))]
+        out[o] = (doc[o] != doc[first]) | (place[o] != place[first])
     return out
 
 
-def _sampled(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """prefix hashes, gram hashes, minimum of each window, places of the sampled suffixes."""
-    c = prefix_hash(raw)
-    at = np.arange(len(raw) - GRAM + 1)
-    grams = span_hash(c, at, at + GRAM)
-    low = _sliding(grams, SPREAD, np.minimum)
-    edge = np.zeros(SPREAD - 1, np.uint64)
-    high = _sliding(np.concatenate([edge, low, edge]), SPREAD, np.maximum)
-    return c, grams, low, np.flatnonzero(high == grams)
+def _deal(part: np.ndarray, doc: np.ndarray, tag: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, bytes]]:
+    """(part, packed rows); documents that follow each other are stored once."""
+    order = np.argsort(part, kind="stable")
+    part, doc, tag, columns = part[order], doc[order], tag[order], [c[order] for c in columns]
+    edges = np.flatnonzero(_starts(part))
+    for lo, hi in zip(edges, [*edges[1:], len(part)]):
+        new = _starts(doc[lo:hi], tag[lo:hi])
+        head = np.array([hi - lo, new.sum()], np.int64)
+        runs = (np.cumsum(new) - 1).astype(np.int32)
+        yield int(part[lo]), b"".join(x.tobytes() for x in (head, doc[lo:hi][new], tag[lo:hi][new], *(c[lo:hi] for c in columns), runs))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc, tag (23 bits of the text's hash: tells rows of a doc_id apart), text."""
-    return docs.where("doc_id is not null and text is not null").select(
-        F.col("doc_id").cast("bigint").alias("doc"), F.shiftrightunsigned(F.xxhash64("text"), 41).alias("tag"), "text"
-    )
+def _taken(blobs: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
+    """doc, tag and the columns of packed rows."""
+    out: list[list[np.ndarray]] = []
+    for blob in blobs:
+        n, m = np.frombuffer(blob, np.int64, 2)
+        doc, tag, at, row = np.frombuffer(blob, np.int64, m, 16), np.frombuffer(blob, np.int64, m, 16 + 8 * m), 16 + 16 * m, []
+        for kind in kinds:
+            row.append(np.frombuffer(blob, kind, n, at))
+            at += row[-1].nbytes
+        runs = np.frombuffer(blob, np.int32, n, at)
+        out.append([doc[runs], tag[runs], *row])
+    return [np.concatenate(x) for x in zip(*out)]
 
 
-def triples(docs: DataFrame) -> DataFrame:
-    """gram, triple, doc, at (tag and place), sides (names of HALF bytes before and behind) of every sampled suffix."""
+def _by_document(doc: np.ndarray, tag: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """doc, tag and the array of the values of each."""
+    o = np.lexsort((values, tag, doc))
+    doc, tag, values = doc[o], tag[o], values[o].astype(np.int64)
+    edges = np.flatnonzero(_starts(doc, tag))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(edges, len(doc)).astype(np.int32)), pa.array(values))
+    return pa.RecordBatch.from_arrays([pa.array(doc[edges]), pa.array(tag[edges]), lists], names=["doc", "tag", "found"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple] = []
-        n = 0
 
-        def flush() -> pa.RecordBatch:
-            columns = [np.concatenate(x) for x in zip(*parts)]
-            parts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in columns], names=["gram", "triple", "doc", "at", "sides"])
+DEALT = pa.schema([("part", pa.int32()), ("packed", pa.binary()), ("doc", pa.int64()), ("tag", pa.int64()), ("found", pa.list_(pa.int64()))])
+
+
+def _sent(dealt: Iterator[tuple[int, bytes]], known: pa.RecordBatch, parts: int) -> Iterator[pa.RecordBatch]:
+    """Packed rows for the parts; and what is known already, which any part passes on."""
+    rows = list(dealt)
+    none = [pa.nulls(len(rows), t) for t in DEALT.types[2:]]
+    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), *none], schema=DEALT)
+    if known.num_rows:
+        part = known.column(0).to_numpy() % parts
+        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.nulls(known.num_rows, pa.binary()), *known.columns], schema=DEALT)
+
 
+def _sorted_parts(dealt: DataFrame, parts: int, f: Callable[[list[bytes]], pa.RecordBatch | None]) -> DataFrame:
+    """doc, tag, found: of every part, f of its packed rows; one part at a time is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
         for batch in batches:
-            for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                raw = np.frombuffer(text.as_buffer(), np.uint8)
-                if len(raw) < LEAST:
-                    continue
-                c, grams, _, at = _sampled(raw)
-                lo, hi = np.maximum(at - SPREAD + 1, 0), np.minimum(at + LEAST, len(raw))
-                before, behind = span_hash(c, lo, at), span_hash(c, at + GRAM, hi)
-                triple = mix(mix(before * np.uint64(3) + grams[at]) * np.uint64(5) + behind)
-                own = mix(at.astype(np.uint64) + np.uint64(doc * 0x9E3779B97F4A7C15 % 2**64))  # too close to an end: shared with none
-                left = np.where(at >= HALF, span_hash(c, np.maximum(at - HALF, 0), at), own)
-                end = at + GRAM + HALF
-                right = np.where(end <= len(raw), span_hash(c, at + GRAM, np.minimum(end, len(raw))), own)
-                # later ones of a document that has the same triple before: known to repeat, and sent as rows of
-                # their own (gram equals triple), so that periodic texts pile up nowhere
-                again = np.ones(len(at), bool)
-                again[np.unique(triple, return_index=True)[1]] = False
-                gram, triple = np.where(again, own, grams[at]), np.where(again, own, triple)
-                sides = (left & np.uint64(0xFFFFFFFF00000000)) | (right >> np.uint64(32))
-                parts.append((gram, triple, np.full(len(at), doc, np.int64), (tag << 40) | at.astype(np.int64), sides))
-                n += len(at)
-                if n >= CHUNK_ROWS:
-                    yield flush()
-                    n = 0
-        if parts:
-            yield flush()
+            known = batch.filter(batch.column(2).is_valid())
+            if known.num_rows:
+                yield known.select([2, 3, 4])
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if packed.is_valid:
+                    if held and part != at:
+                        if (out := f(held)) is not None:
+                            yield out
+                        held = []
+                    at = part
+                    held.append(packed.as_py())
+        if held and (out := f(held)) is not None:
+            yield out
 
-    return _keyed(docs).where(F.octet_length("text") >= LEAST).mapInArrow(run, "gram bigint, triple bigint, doc bigint, at bigint, sides bigint")
+    rows = dealt.repartition(max(parts, partitions(dealt.sparkSession)), "part").sortWithinPartitions("part")
+    return rows.mapInArrow(run, "doc bigint, tag bigint, found array<bigint>")
 
 
-def sort_triples(sampled: DataFrame) -> DataFrame:
-    """doc, tag, s: place and kind of the suffixes that repeat (kind 0) or may share windows with others
-    to their left (1), right (2) or either side (3).
+# --- steps --------------------------------------------------------------------------------------
 
-    A gram is one row per occurrence; it has a small part of all rows even if every document has it, since
-    every document has many grams.
-    """
-    place = F.col("at").bitwiseAND(F.lit(_PLACE))
-    by = W.partitionBy("gram")
-    df = sampled.withColumn("low", F.min("triple").over(by)).withColumn("high", F.max("triple").over(by))
-    # rows equal in doc and place (repeated rows of a document) are not earlier than each other
-    first = F.first(F.struct("triple", "doc", place.alias("p"))).over(W.partitionBy("gram", "triple").orderBy("doc", place))
-    df = df.withColumn("first", first).withColumn("open", (F.col("first.doc") == F.col("doc")) & (F.col("first.p") == place) & (F.col("gram") != F.col("triple")))
-    df = df.where(~F.col("open") | (F.col("low") != F.col("high"))).select("gram", "doc", "at", "open", "sides")
-    df = df.withColumn("left", F.when(F.col("open"), F.shiftright("sides", 32))).withColumn("right", F.when(F.col("open"), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF))))
-    for side in ("left", "right"):
-        df = df.withColumn(f"n_{side}", F.count(side).over(W.partitionBy("gram", side)))
-    kind = F.when(F.col("n_left") > 1, 1).otherwise(0) + F.when(F.col("n_right") > 1, 2).otherwise(0)
-    df = df.withColumn("kind", F.when(F.col("open"), kind).otherwise(0)).where(~F.col("open") | (F.col("kind") > 0))
-    df = df.select("doc", F.shiftrightunsigned("at", 40).alias("tag"), F.struct(place.cast("int").alias("place"), F.col("kind").cast("tinyint").alias("kind")).alias("s"))
-    return df.groupBy("doc", "tag").agg(F.sort_array(F.collect_list("s")).alias("s"))
-
-
-def windows(candidates: DataFrame, share: int, shares: int) -> DataFrame:
-    """gram, name, doc, at of every window of the open suffixes whose gram is of the given share."""
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """doc, tag (23 bits of the text's hash: tells rows of a doc_id apart), text of the texts that can lose bytes."""
+    docs = docs.where("doc_id is not null and text is not null").where(F.octet_length("text") >= LEAST)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc"), F.shiftrightunsigned(F.xxhash64("text"), 41).alias("tag"), "text")
+
+
+def _segments(batch: pa.RecordBatch) -> Iterator[list[tuple]]:
+    """Lists of (doc, tag, length, place of the first byte, first and last place, bytes around) of about SEGMENT bytes."""
+    held, size = [], 0
+    for doc, tag, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+        raw = np.frombuffer(text.as_buffer(), np.uint8)
+        for a in range(0, len(raw), SEGMENT):
+            lo = max(0, a - PERIOD + 1)
+            piece = raw[lo : a + SEGMENT + LEAST]
+            held.append((doc, tag, len(raw), lo, a, min(a + SEGMENT, len(raw)), piece))
+            size += len(piece)
+            if size >= SEGMENT:
+                yield held
+                held, size = [], 0
+    if held:
+        yield held
+
+
+def _sampled(held: list[tuple]) -> tuple[np.ndarray, ...]:
+    """gram, triple, sides, doc, tag, place of the sampled suffixes of some segments."""
+    doc, tag, length, lo, a, b = (np.array(x, np.int64) for x in zip(*(h[:6] for h in held)))
+    start = np.concatenate([[0], np.cumsum([len(h[6]) for h in held])[:-1]])
+    c = prefix_hash(np.concatenate([h[6] for h in held]))
+    periods = -(-(b - a) // PERIOD)
+    of = np.repeat(np.arange(len(held)), periods)
+    period = np.arange(len(of)) - np.repeat(np.cumsum(periods) - periods, periods)
+    place = ((a[of] + PERIOD * period)[:, None] + COVER).ravel()
+    of = np.repeat(of, len(COVER))
+    fits = place + GRAM <= length[of]
+    place, of = place[fits], of[fits]
+    doc, tag, length, at = doc[of], tag[of], length[of], place - lo[of] + start[of]
+    before, behind = np.minimum(place, PERIOD - 1), np.minimum(length - place, LEAST)
+    gram = span_hash(c, at, at + GRAM)
+    triple = mix(mix(span_hash(c, at - before, at) * np.uint64(3) + gram) * np.uint64(5) + span_hash(c, at + GRAM, at + behind))
+    own = mix(place.astype(np.uint64) + doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))  # too close to an end: shared with none
+    left = np.where(before >= HALF, span_hash(c, at - np.minimum(before, HALF), at), own)
+    right = np.where(behind >= GRAM + HALF, span_hash(c, at + GRAM, at + np.minimum(behind, GRAM + HALF)), own)
+    sides = ((left >> np.uint64(32)) & np.uint64(0xFFFF0000)) | (right >> np.uint64(48))
+    return gram, triple, sides.astype(np.uint32), doc, tag, place
+
+
+def triples(docs: DataFrame, share: int, parts: int) -> DataFrame:
+    """The sampled suffixes whose gram is of the given share, dealt by gram to parts."""
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        gram, triple, sides, doc, tag, place = (np.concatenate(x) for x in zip(*held))
+        known = _decided(triple, gram, doc, place)
+        part = ((gram >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+        left = ~known
+        rows = _deal(part[left], doc[left], tag[left], [x[left] for x in (gram, triple, sides, place.astype(np.int32))])
+        yield from _sent(rows, _by_document(doc[known], tag[known], place[known] * 4 + WHOLE), parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
-            parts = []
-            for doc, tag, text, places, kinds in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), *(batch.column(i) for i in (2, 3, 4))):
-                p, kind = (x.values.to_numpy(zero_copy_only=False).astype(np.int64) for x in (places, kinds))
-                raw = np.frombuffer(text.as_buffer(), np.uint8)
-                c, grams, low, _ = _sampled(raw)
-                q = p[:, None] - np.arange(SPREAD)
-                back = np.arange(SPREAD)
-                # shared on the left only: the window begins more than HALF bytes before; on the right only: less
-                ok = (q >= 0) & (q < len(low)) & ((kind[:, None] != 1) | (back >= HALF)) & ((kind[:, None] != 2) | (back <= HALF))
-                ok &= low[np.where(ok, q, 0)] == grams[p][:, None]
-                q = np.unique(q[ok])
-                q = q[(low[q] >> np.uint64(7)) % np.uint64(shares) == share]
-                parts.append((low[q], span_hash(c, q, q + LEAST), np.full(len(q), doc, np.int64), (tag << 40) | q))
-                if sum(len(x[0]) for x in parts) >= CHUNK_ROWS:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*parts)], names=["gram", "name", "doc", "at"])
-                    parts = []
-            if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in zip(*parts)], names=["gram", "name", "doc", "at"])
-
-    open_ = F.filter("s", lambda x: x["kind"] > 0)
-    df = candidates.select("doc", "tag", "text", open_["place"].alias("places"), open_["kind"].alias("kinds"))
-    return df.where(F.size("places") > 0).mapInArrow(run, "gram bigint, name bigint, doc bigint, at bigint")
-
-
-def merge(named: DataFrame) -> DataFrame:
-    """doc, tag, starts: of the windows that are equal to an earlier one."""
-    place = F.col("at").bitwiseAND(F.lit(_PLACE))
-    first = F.first(F.struct("doc", place.alias("p"))).over(W.partitionBy("gram", "name").orderBy("doc", place))
-    df = named.withColumn("first", first).where((F.col("first.doc") != F.col("doc")) | (F.col("first.p") != place))
-    return df.groupBy("doc", F.shiftrightunsigned("at", 40).alias("tag")).agg(F.collect_list(place.cast("int")).alias("starts"))
+            for segments in _segments(batch):
+                rows = _sampled(segments)
+                mine = rows[0] % np.uint64(SHARES) == share
+                held.append(tuple(x[mine] for x in rows))
+                n += int(mine.sum())
+                if n >= CHUNK_ROWS:
+                    yield from flush(held)
+                    held, n = [], 0
+        if n:
+            yield from flush(held)
+
+    return docs.mapInArrow(run, "part int, packed binary, doc bigint, tag bigint, found array<bigint>")
+
+
+def sort_triples(blobs: list[bytes]) -> pa.RecordBatch | None:
+    """doc, tag, found (4 * place + kind) of the suffixes that repeat or are open."""
+    doc, tag, gram, triple, sides, place = _taken(blobs, ("u8", "u8", "u4", "i4"))
+    o = np.argsort(gram)
+    new = _starts(gram[o])
+    o = o[~new | np.append(~new[1:], False)]  # names that tie
+    o = o[np.lexsort((place[o], doc[o], triple[o], gram[o]))]
+    if not len(o):
+        return None
+    doc, tag, gram, triple, sides, place = (x[o] for x in (doc, tag, gram, triple, sides, place))
+    new = _starts(gram)
+    own = _starts(gram, triple)
+    first = np.maximum.accumulate(np.where(own, np.arange(len(own)), 0))
+    repeats = (doc != doc[first]) | (place != place[first])
+    group = np.cumsum(new) - 1
+    open_ = np.flatnonzero(~repeats & (np.bincount(group, own)[group] > 1))
+    kind = np.zeros(len(open_), np.int64)
+    for side, bit in ((sides[open_] >> np.uint32(16), LEFT), (sides[open_] & np.uint32(0xFFFF), RIGHT)):
+        _, which, n = np.unique((group[open_] << 16) | side.astype(np.int64), return_inverse=True, return_counts=True)
+        kind += bit * (n[which] > 1)
+    open_, kind = open_[kind > 0], kind[kind > 0]
+    at = np.concatenate([np.flatnonzero(repeats), open_])
+    if not len(at):
+        return None
+    return _by_document(doc[at], tag[at], place[at].astype(np.int64) * 4 + np.concatenate([np.full(len(at) - len(open_), WHOLE), kind]))
+
+
+def _covered(begin: np.ndarray, end: np.ndarray, lo: int, n: int) -> np.ndarray:
+    """Which of the n places from lo on lie in one of the spans [begin, end)."""
+    b, e = np.clip(begin - lo, 0, n), np.clip(end - lo, 0, n)
+    return np.cumsum(np.bincount(b, minlength=n + 1) - np.bincount(e, minlength=n + 1))[:n] > 0
+
+
+def windows(candidates: DataFrame, parts: int) -> DataFrame:
+    """The windows around open suffixes that are not decided yet, dealt by name to parts."""
+
+    def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+        name, check, doc, tag, place = (np.concatenate(x) for x in zip(*held))
+        known = _decided(name, check, doc, place)
+        part = ((name >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+        left = ~known
+        rows = _deal(part[left], doc[left], tag[left], [x[left] for x in (name, check, place.astype(np.int32))])
+        yield from _sent(rows, _by_document(doc[known], tag[known], place[known]), parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for doc, tag, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                raw, s = np.frombuffer(text.as_buffer(), np.uint8), np.sort(found.values.to_numpy(zero_copy_only=False))
+                s, kind = s >> 2, s & 3
+                for lo in range(0, len(raw) - LEAST + 1, SEGMENT):
+                    size = min(SEGMENT, len(raw) - LEAST + 1 - lo)
+                    near = slice(*np.searchsorted(s, [lo, lo + size + PERIOD]))
+                    p, k = s[near], kind[near]
+                    if not (k > 0).any():
+                        continue
+                    # shared on the left only: the window begins HALF bytes or more before; on the right only: HALF or less
+                    begin, end = np.where(k == RIGHT, p - HALF, p - PERIOD + 1), np.where(k == LEFT, p - HALF + 1, p + 1)
+                    q = np.flatnonzero(_covered(begin[k > 0], end[k > 0], lo, size) & ~_covered(begin[k == 0], end[k == 0], lo, size))
+                    if not len(q):
+                        continue
+                    c = prefix_hash(raw[lo : lo + size + LEAST])
+                    check = (span_hash(c, q, q + LEAST // 2) >> np.uint64(32)).astype(np.uint32)
+                    held.append((span_hash(c, q, q + LEAST), check, np.full(len(q), doc), np.full(len(q), tag), q + lo))
+                    n += len(q)
+                    if n >= CHUNK_ROWS:
+                        yield from flush(held)
+                        held, n = [], 0
+        if n:
+            yield from flush(held)
+
+    return candidates.select("doc", "tag", "text", "found").mapInArrow(run, "part int, packed binary, doc bigint, tag bigint, found array<bigint>")
+
+
+def compare_adjacent(blobs: list[bytes]) -> pa.RecordBatch | None:
+    """doc, tag, found (places) of the windows that are equal to an earlier one."""
+    doc, tag, name, check, place = _taken(blobs, ("u8", "u4", "i4"))
+    again = np.flatnonzero(_decided(name, check, doc, place))
+    return _by_document(doc[again], tag[again], place[again]) if len(again) else None
+
+
+def _spans(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The union of spans [begin, end) as sorted rows (start, end) that do not touch."""
+    o = np.argsort(begin)
+    begin, reach = begin[o], np.maximum.accumulate(end[o])
+    new = np.ones(len(o), bool)
+    new[1:] = begin[1:] > reach[:-1]
+    return np.stack([begin[new], reach[np.append(np.flatnonzero(new)[1:] - 1, len(o) - 1)]], 1)
 
 
 def cleaned(docs: DataFrame) -> DataFrame:
     """doc, tag, spans (removed [start, end) in bytes), kept (the remaining bytes), sha256: of every text that loses bytes."""
-    spark = docs.sparkSession
-    since = mark()
-    marked = cut(sort_triples(triples(docs)), "suffix-triples")
-    drop_shuffles(spark)
-    candidates = settle(since, _keyed(docs).join(marked, ["doc", "tag"]), "suffix-candidates")
-    drop_shuffles(spark)
-    repeats = None
+    spark, since = docs.sparkSession, mark()
+    keyed = _keyed(docs)
+    n_bytes = keyed.agg(F.sum(F.octet_length("text").cast("bigint"))).first()[0] or 0
+    rows = n_bytes * len(COVER) // PERIOD
+
+    def parts(n: int) -> int:
+        return max(partitions(spark), -(-n // PART_ROWS))
+
+    marks = None
     for share in range(SHARES):
-        found = cut(merge(windows(candidates, share, SHARES)), "suffix-windows")
-        drop_shuffles(spark)
-        repeats = found if repeats is None else repeats.unionByName(found)
-    repeats = repeats.groupBy("doc", "tag").agg(F.flatten(F.collect_list("starts")).alias("starts"))
+        n = parts(rows // SHARES)
+        found = cut(_sorted_parts(triples(keyed, share, n), n, sort_triples), "suffix-triples")
+        marks = found if marks is None else marks.unionByName(found)
+    marks = marks.groupBy("doc", "tag").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
+    candidates = settle(since, keyed.join(marks, ["doc", "tag"]), "suffix-candidates")
+    n = parts(rows)  # at most as many windows as bytes; far fewer than sampled suffixes, as a rule
+    repeats = cut(_sorted_parts(windows(candidates.where(F.exists("found", lambda x: x % 4 > 0)), n), n, compare_adjacent), "suffix-windows")
+    repeats = repeats.groupBy("doc", "tag").agg(F.flatten(F.collect_list("found")).alias("starts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for doc, tag, text, whole, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4)):
+            for doc, tag, text, found, starts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), batch.column(4)):
                 raw = np.frombuffer(text.as_buffer(), np.uint8)
-                p = whole.values.to_numpy(zero_copy_only=False).astype(np.int64)
-                q = starts.values.to_numpy(zero_copy_only=False).astype(np.int64) if starts.is_valid else p[:0]
-                # every window around a repeated suffix repeats
-                begin = np.concatenate([np.maximum(p - SPREAD + 1, 0), q])
-                end = np.concatenate([np.minimum(p + LEAST, len(raw)), q + LEAST])
-                if not len(begin):
+                p = found.values.to_numpy(zero_copy_only=False)
+                p = p[p % 4 == WHOLE] // 4
+                q = starts.values.to_numpy(zero_copy_only=False) if starts.is_valid else p[:0]
+                if not len(p) + len(q):
                     continue
-                depth = np.cumsum(np.bincount(begin, minlength=len(raw) + 1) - np.bincount(end, minlength=len(raw) + 1))[:-1] > 0
-                turns = np.flatnonzero(np.diff(np.concatenate([[False], depth, [False]]).astype(np.int8)))
-                kept = raw[~depth].tobytes()
-                rows.append((doc, tag, turns.reshape(-1, 2).tolist(), kept, hashlib.sha256(kept).hexdigest()))
+                # every window around a repeated suffix repeats
+                begin = np.concatenate([np.maximum(p - PERIOD + 1, 0), q])
+                spans = _spans(begin, np.concatenate([np.minimum(p + LEAST, len(raw)), q + LEAST]))
+                left, kept = 0, []
+                for lo, hi in spans:
+                    kept.append(raw[left:lo])
+                    left = hi
+                kept = np.concatenate([*kept, raw[left:]]).tobytes()
+                rows.append((doc, tag, spans.tolist(), kept, hashlib.sha256(kept).hexdigest()))
             if rows:
                 types = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["doc", "tag", "spans", "kept", "sha256"])
 
-    whole = F.transform(F.filter("s", lambda x: x["kind"] == 0), lambda x: x["place"])
-    # a repeated row has every place as often as the row
-    both = candidates.join(repeats, ["doc", "tag"], "left").select("doc", "tag", "text", F.array_distinct(whole).alias("whole"), "starts")
-    both = both.where((F.size("whole") > 0) | F.col("starts").isNotNull())
+    both = candidates.join(repeats, ["doc", "tag"], "left").select("doc", "tag", "text", "found", "starts")
     return both.mapInArrow(run, "doc bigint, tag bigint, spans array<array<bigint>>, kept binary, sha256 string")
 
 
