@@ -68,6 +68,20 @@ def test_counterfactual_penalty_spares_group_names(spark):
     assert model.score("w1 w2 those women are scum") > model.score("w1 w2 those women are here") + 0.2
 
 
+def test_planted_mentions_on_the_table(spark):
+    """Most toxic documents mention a group, few others do: only the penalised fit leaves its mention neutral."""
+    docs, lab = ([tuple(r) for r in spark.read.parquet(f"{DATA}/sf0.1/{t}.parquet").select(*c).collect()] for t, c in (("documents", ("doc_id", "text")), ("labels", ("doc_id", "toxic"))))
+    toxic = dict(lab)
+    planted = [(i, t + " The refugees of the town are here." if t and toxic.get(i) is not None and i % 10 < (9 if toxic[i] else 1) else t) for i, t in docs if i in toxic]
+    d, l = spark.createDataFrame(planted, "doc_id bigint, text string"), spark.createDataFrame(lab, "doc_id bigint, toxic int")
+    model, plain = toxicity.fit(d, l), toxicity.fit(d, l, counterfactual=0)
+    assert model.n_pairs > 1000
+    lift = [m.margin("the refugees of the town are here") - m.margin("the of town are here") for m in (model, plain)]
+    assert abs(lift[0]) < 0.5 < 1 < lift[1]
+    held = [(toxic[i], model.score(t) >= toxicity.THRESHOLD) for i, t in planted if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([p for y, p in held if y]) > 0.85 and np.mean([p for y, p in held if not y]) < 0.02
+
+
 def recall(rows, vectors, k=10):
     ids = np.array([i for i, v in vectors])
     x = np.array([v for i, v in vectors], float)

@@ -1,14 +1,16 @@
 """Toxicity: a linear classifier with counterfactual regularisation.
 
 A text is the set of its lower-case words and of the first PREFIX letters of longer words. A logistic
-model is fitted to labelled documents; besides the usual penalty, each labelled sentence that names a group
-is compared with its counterfactuals, in which the term is exchanged for the others of its row and for
-neutral ones, and the squared change of the score's margin is penalised. So a group's name cannot carry
-toxicity by itself, and neutral mentions score as the sentence without them.
+model is fitted to labelled documents; besides the usual penalty, labelled sentences are compared with their
+counterfactuals, and the squared change of the score's margin is penalised: in a sentence that names a group,
+the term is exchanged for the others of its row and left out; into documents that name none, terms of all
+rows are put, and exchanged for the neutral one and left out. So a group's name cannot carry toxicity by
+itself, and neutral mentions score as the sentence without them, also where the labelled documents at hand
+say little about groups. Model.n_pairs tells how many counterfactuals were compared.
 
-Bounds: at most SAMPLE labelled documents (the smallest hashes of doc_id) and VOCABULARY features, chosen
-by the significance of the difference between their document shares in the classes; counted on executors. Scoring reads every
-word of every text.
+Bound: at most SAMPLE labelled documents (the smallest hashes of doc_id), written once to the shared folder.
+Features are all words and prefixes of these whose document shares in the classes differ significantly, and
+the terms; counted on executors. Scoring reads every word of every text.
 
 A null or empty text scores by the intercept. Null labels are not learnt from; without labelled rows the
 score is 0.5. A null doc_id is never held out and matches no label. Repeated rows score alike. Extra
@@ -18,6 +20,7 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,8 +28,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tideline.llm.common import cut, discard, mark
+
 SAMPLE = 12_000
-VOCABULARY = 4096
 LEAST_DOCS = 3
 #: Standard deviations by which document shares differ at least; chance words stay out even of small samples.
 SIGNIFICANCE = 5.0
@@ -35,13 +39,24 @@ FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 COUNTERFACTUAL = 10.0
 RIDGE = 3e-5
-#: Rows of exchangeable terms; the first of each is neutral.
+#: Terms that are put into a document which names no group.
+INSERTED = 6
+#: Rows of exchangeable terms (English, French, German, Spanish); the first of each is neutral.
 IDENTITIES: list[list[str]] = [
     ["person", "woman", "man", "girl", "boy", "lesbian", "immigrant", "refugee", "muslim", "jew", "christian", "hindu", "buddhist", "atheist"],
     ["people", "women", "men", "girls", "boys", "lesbians", "immigrants", "refugees", "muslims", "jews", "christians", "hindus", "buddhists", "atheists"],
     ["average", "gay", "straight", "bisexual", "transgender", "queer", "black", "white", "asian", "african", "arab", "latino", "european", "american", "jewish", "disabled", "deaf", "blind", "old", "young", "female", "male"],
+    ["personne", "femme", "homme", "fille", "garçon", "lesbienne", "immigré", "réfugié", "musulman", "juif", "chrétien", "hindou", "bouddhiste", "athée"],
+    ["gens", "femmes", "hommes", "filles", "garçons", "lesbiennes", "immigrés", "réfugiés", "musulmans", "juifs", "chrétiens"],
+    ["mensch", "frau", "mann", "mädchen", "junge", "lesbe", "einwanderer", "flüchtling", "moslem", "jude", "christ", "buddhistin", "atheistin"],
+    ["menschen", "frauen", "männer", "jungen", "lesben", "flüchtlinge", "muslime", "juden", "christen", "hindus", "buddhisten", "atheisten"],
+    ["persona", "mujer", "hombre", "chica", "chico", "lesbiana", "inmigrante", "refugiado", "musulmán", "judío", "cristiano", "hindú", "budista", "ateo"],
+    ["personas", "mujeres", "hombres", "chicas", "chicos", "lesbianas", "inmigrantes", "refugiados", "musulmanes", "judíos", "cristianos"],
 ]
-ROW_OF = {t: row for row in IDENTITIES for t in row}
+ROW_OF: dict[str, list[str]] = {}
+for _row in IDENTITIES:
+    for _term in _row:
+        ROW_OF.setdefault(_term, _row)
 _words = re.compile(r"\w+")
 _sentences = re.compile(r"[^.!?\n]+")
 
@@ -53,24 +68,32 @@ def features(text: str) -> set[str]:
 
 
 def counterfactuals(text: str) -> list[tuple[frozenset[str], frozenset[str]]]:
-    """For each sentence with a term and each exchange: features gained and lost."""
-    out = []
-    low = text.lower()
-    if not any(t in low for t in ROW_OF):
-        return out
-    for sentence in _sentences.findall(low):
+    """For each sentence and exchange: features gained and lost."""
+    out, low = [], text.lower()
+
+    def compare(before: str, after: str) -> None:
+        x, y = features(before), features(after)
+        out.append((frozenset(y - x), frozenset(x - y)))
+
+    sentences = [s for s in _sentences.findall(low) if _words.search(s)]
+    for sentence in sentences if any(t in low for t in ROW_OF) else ():
         words = _words.findall(sentence)
         for term in ROW_OF.keys() & set(words):
-            before = features(sentence)
-            for other in ROW_OF[term]:
+            for other in (*ROW_OF[term], ""):
                 if other != term:
-                    after = features(" ".join(other if w == term else w for w in words))
-                    out.append((frozenset(after - before), frozenset(before - after)))
-    return out
+                    compare(sentence, " ".join(other if w == term else w for w in words))
+    if not out and sentences:
+        h, terms = zlib.crc32(low.encode()), list(ROW_OF)
+        for k in range(INSERTED):
+            sentence, term = sentences[(h + k) % len(sentences)], terms[(h // 7 + k * len(terms) // INSERTED) % len(terms)]
+            compare(f"{ROW_OF[term][0]} {sentence}", f"{term} {sentence}")
+            compare(sentence, f"{term} {sentence}")
+    return [x for x in out if x[0] or x[1]]
 
 
 class Model:
-    def __init__(self, weights: dict[str, float], bias: float) -> None:
+    def __init__(self, weights: dict[str, float], bias: float, n_pairs: int = 0) -> None:
+        self.n_pairs = n_pairs
         self.words = {f: w for f, w in weights.items() if f[0] != "^" and w}
         self.prefixes = {f[1:]: w for f, w in weights.items() if f[0] == "^" and w}
         self.bias = bias
@@ -125,11 +148,12 @@ def held_out(folds: int = FOLDS, fold: int = HELD_OUT) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: int = VOCABULARY) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactual: float = COUNTERFACTUAL) -> Model:
     y = labels.where(~held_out()).where("toxic is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("toxic").cast("double").alias("y"))
     chosen = y.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # the labelled sample is bounded, so it may be broadcast
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    # the labelled sample is bounded, so it may be broadcast; its texts are read from the corpus once
+    since = mark()
+    texts = cut(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id"), "toxicity-sample")
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -142,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
     gap = F.abs(F.col("pos") / max(pos, 1.0) - (F.col("n") - F.col("pos")) / max(n - pos, 1.0))
     p = F.col("n") / max(n, 1)
     share = share.where(F.col("n") >= LEAST_DOCS).withColumn("z", gap / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / max(pos, 1.0) + 1 / max(n - pos, 1.0))))
-    top = [r["f"] for r in share.where(F.col("z") >= SIGNIFICANCE).orderBy(F.desc("z"), "f").limit(vocabulary).select("f").collect()]
+    top = [r["f"] for r in share.where(F.col("z") >= SIGNIFICANCE).orderBy("f").select("f").collect()]
     number = {f: i for i, f in enumerate(dict.fromkeys([*top, *ROW_OF]))}
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -154,10 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, vocabulary: in
             })
 
     rows = texts.mapInPandas(encode, "doc_id bigint, y double, x array<int>, gained array<array<int>>, lost array<array<int>>").toPandas()
+    discard(since)
     rows = rows.sort_values(["doc_id", "y"], kind="stable")
     changes = [(np.asarray(a, int), np.asarray(b, int)) for g, l in zip(rows["gained"], rows["lost"]) for a, b in zip(g, l)]
-    w, b = train([np.asarray(v, int) for v in rows["x"]], rows["y"].to_numpy(), changes, len(number))
-    return Model({f: float(w[i]) for f, i in number.items() if abs(w[i]) > 1e-3}, b)
+    w, b = train([np.asarray(v, int) for v in rows["x"]], rows["y"].to_numpy(), changes, len(number), counterfactual)
+    return Model({f: float(w[i]) for f, i in number.items()}, b, len(changes))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
