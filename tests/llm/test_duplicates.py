@@ -141,3 +141,23 @@ def test_suffix_across_segments(spark):
     rng = np.random.default_rng(8)
     base = "".join(rng.choice(list("abcdefgh "), suffix.SEGMENT + 900))
     check_suffix(spark, [(1, base), (2, "x" * 31 + base[suffix.SEGMENT - 400 : suffix.SEGMENT + 300] + "y" * 130), (3, "z" * (suffix.SEGMENT - 77) + base[5000:5260])])
+
+
+def test_parities_never_rule_out_a_link():
+    """The bound on the difference holds for sets of any two sizes, folded or not."""
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        n, m, common = rng.integers(1, 60), rng.integers(1, 60), rng.integers(0, 400)
+        both = rng.integers(0, 2**63, common, dtype=np.uint64)
+        a, b = (np.unique(np.concatenate([both, rng.integers(0, 2**63, k, dtype=np.uint64)])) for k in (n, m))
+        sizes, fine = np.array([len(a), len(b)]), [minhash.parities(x).tobytes() for x in (a, b)]
+        widths = np.array([minhash._parity_bits(len(x)) for x in (a, b)])
+        c = len(np.intersect1d(a, b))
+        if 100 * c >= 75 * (len(a) + len(b) - c):
+            assert 1 in minhash._not_ruled_out(0, sizes, widths, minhash._by_width(widths, fine))
+
+
+def test_repeated_doc_ids_keep_a_defined_row(spark):
+    rows = [(1, "one text of five words here"), (1, "another text of five words there"), (2, "x y z")]
+    got = [sorted(map(tuple, minhash.deduplicate(spark.createDataFrame(r, "doc_id bigint, text string")).collect())) for r in (rows, rows[::-1])]
+    assert got[0] == got[1] and [r[0] for r in got[0]] == [1, 2]

@@ -4,18 +4,19 @@ Signatures: two permutations of a universe of 2**32 hashed shingles. The first,
 k-th coordinate is the minimum over the set of pi(sigma(x) + k mod 2**32): pi circularly shifted by k. Both
 are computed bijections, so no table of the universe is needed.
 
-Equal sets are one class. Class representatives meet in BANDS buckets of ROWS coordinates (a pair with
-similarity 0.75 shares none with probability 5e-6). A bucket does not emit its pairs: its members are first
-compared with a pivot, the one that shares most buckets with others. Members linked to the same pivot need
-no links among each other. Only buckets that still hold members of several such groups go on; there, all
-pairs of different groups that FINE further coordinates do not rule out are compared inside the task that
-holds the bucket, by the upper halves of their shingle hashes, and one certain link per row and group (or
-all possible ones) are emitted. So no link goes unchecked that a component could depend on. All links are confirmed on whole
-sets of shingle hashes (64 bits; words by a separate hash).
+Equal sets are one class. Class representatives meet in BANDS buckets of ROWS coordinates; banding is the
+only approximate step (a pair with similarity 0.75 shares no bucket with probability 5e-6). A bucket does
+not emit its pairs: its members are first compared with a pivot, the one that shares most buckets with
+others. Members linked to the same pivot need no links among each other. Only buckets that still hold
+members of several such groups go on; there, every pair of different groups is compared inside the task
+that holds the bucket: first by bounds that no link can break (sizes; the parities of the sets, whose
+difference is at most that of the sets), then by the upper halves of their shingle hashes, and one certain
+link per row and group (or all possible ones) are emitted. So no link goes unchecked that a component could
+depend on. All links are confirmed on whole sets of shingle hashes (64 bits; words by a separate hash).
 
 A null or empty text, or one of white space, has an empty set and is linked with nothing. Rows that repeat
-a doc_id are one document (its row is kept with all its texts' links); a null doc_id takes no part: its
-component is null and it is kept. Extra columns are ignored.
+a doc_id are one document with all its texts' links (deduplicate() keeps the row with the smallest hash); a
+null doc_id takes no part: its component is null and it is kept. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,13 +34,8 @@ from tideline.operators.components import connected_components
 
 SHINGLE = 5
 BANDS, ROWS = 32, 4
-#: Of 128 one-bit coordinates, as many differ at most: 6.5 standard deviations above similarity 0.75.
-SKETCH = 40
-#: Further coordinates by which candidates are told apart, and the least share of them that are equal: six
-#: standard deviations below 0.75.
-FINE, LIKE = 256, 0.585
 #: Rows of a bucket that meet in one piece of work; larger buckets are dealt as pairs of blocks.
-BLOCK = 4096
+BLOCK = 1024
 CHUNK_BYTES = 1 << 20
 
 _low = np.arange(256, dtype=np.uint8)
@@ -118,70 +114,106 @@ def _batches(batch: pa.RecordBatch) -> Iterator[tuple[list, list[np.ndarray]]]:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n (set size), k1 and k2 (of the set), s1 and s2 (one bit per coordinate), bands."""
+    """doc_id, n (set size), k1 and k2 (of the set), bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, sets in _batches(batch):
-                keys, bits, bands = np.zeros((len(ids), 2), np.uint64), np.zeros((len(ids), 2), np.int64), []
-                for i, s in enumerate(sets):
-                    if not len(s):
-                        bands.append(np.zeros(0, np.int64))
-                        continue
-                    keys[i] = mix(s).sum(), np.bitwise_xor.reduce(mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)))
-                    sig = signature(s)
-                    bits[i] = np.packbits((sig >> np.uint32(9)).astype(np.uint8) & 1).view(np.int64)
-                    bands.append(band_keys(sig).view(np.int64))
+                bands = [band_keys(signature(s)).view(np.int64) if len(s) else np.zeros(0, np.int64) for s in sets]
                 flat = np.concatenate(bands) if bands else np.zeros(0, np.int64)
                 offsets = np.concatenate([[0], np.cumsum([len(b) for b in bands])]).astype(np.int32)
+                keys = np.array([_keys(s) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        *(pa.array(keys[:, j].view(np.int64)) for j in (0, 1)),
-                        *(pa.array(np.ascontiguousarray(bits[:, j])) for j in (0, 1)),
+                        *(pa.array(np.ascontiguousarray(keys[:, j])) for j in (0, 1)),
                         pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                     ],
-                    names=["doc_id", "n", "k1", "k2", "s1", "s2", "bands"],
+                    names=["doc_id", "n", "k1", "k2", "bands"],
                 )
 
-    schema = "doc_id bigint, n bigint, k1 bigint, k2 bigint, s1 bigint, s2 bigint, bands array<bigint>"
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n bigint, k1 bigint, k2 bigint, bands array<bigint>")
+
+
+def _keys(s: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two hashes of a set."""
+    return mix(s).sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(s ^ np.uint64(0xA5A5A5A55A5A5A5A)))
+
+
+def _parity_bits(n: int) -> int:
+    """Twice to four times the size of the set, a power of two, whole 64-bit words."""
+    return max(64, 1 << (2 * n - 1).bit_length())
+
+
+def parities(s: np.ndarray) -> np.ndarray:
+    """uint64[]: for each bit, whether an odd number of members have the bit's number as low bits. Two sets
+    differ in as many members at least as their parities in bits."""
+    bits = _parity_bits(len(s))
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.uint64)
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
-    """rep, shingles, fine of docs(rep, text); fine has FINE bytes of further coordinates, 32 bits of each
-    band, and the sorted upper halves of the shingle hashes."""
+    """rep, k1, shingles, fine of docs(rep, text); fine has the parities and the sorted upper halves of the
+    shingle hashes."""
 
     def pack(s: np.ndarray) -> bytes:
-        parts = (signature(s, BANDS * ROWS, FINE).astype(np.uint8), band_keys(signature(s)).astype(np.uint32), np.unique((s >> np.uint64(32)).astype(np.uint32)))
-        return b"".join(p.tobytes() for p in parts)
+        return parities(s).tobytes() + np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, sets in _batches(batch):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(map(pack, sets), pa.binary())], names=["rep", "shingles", "fine"])
-
-    return docs.select("rep", "text").mapInArrow(run, "rep bigint, shingles array<bigint>, fine binary")
+                k1 = np.array([_keys(s)[0] for s in sets], np.uint64).view(np.int64)
+                columns = [pa.array(ids, pa.int64()), pa.array(k1), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array(map(pack, sets), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["rep", "k1", "shingles", "fine"])
+
+    return docs.select("rep", "text").mapInArrow(run, "rep bigint, k1 bigint, shingles array<bigint>, fine binary")
+
+
+def _by_width(widths: np.ndarray, fine: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """bits -> rows and their parities: of that many bits, or of twice as many folded in two."""
+    rows: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for i, f in enumerate(fine):
+        bits = int(widths[i])
+        p = np.frombuffer(f, np.uint64, bits // 64)
+        rows.setdefault(bits, []).append((i, p))
+        if bits > 64:
+            rows.setdefault(bits // 2, []).append((i, p[: len(p) // 2] ^ p[len(p) // 2 :]))
+    return {bits: (np.array([i for i, _ in r]), np.stack([p for _, p in r])) for bits, r in rows.items()}
+
+
+def _not_ruled_out(x: int, n: np.ndarray, widths: np.ndarray, by_width: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The rows that can be linked with row x by size and parities; a link differs in (n + m) / 7 members at most."""
+    out, own = [], int(widths[x])
+    for bits in (own, own // 2):  # sizes of a link differ by a third at most: by one power of two
+        if bits not in by_width:
+            continue
+        rows, parity = by_width[bits]
+        mine, other = parity[np.searchsorted(rows, x)], widths[rows]
+        y = (100 * np.minimum(n[rows], n[x]) >= 75 * np.maximum(n[rows], n[x])) & ((other >= own) if bits == own else (other == bits))
+        y = np.flatnonzero(y)
+        differ = np.bitwise_count(parity[y] ^ mine).sum(1, dtype=np.int64)
+        out.append(rows[y[7 * differ <= n[rows[y]] + n[x]]])
+    return np.unique(np.concatenate(out))
 
 
-def _bucket_links(reps: np.ndarray, labels: np.ndarray, n: np.ndarray, own: np.ndarray, fine: list[bytes], band: int, apart: bool) -> list[tuple[int, int]]:
+def _bucket_links(reps: np.ndarray, labels: np.ndarray, n: np.ndarray, own: np.ndarray, bands: np.ndarray, fine: list[bytes], band: int, apart: bool) -> list[tuple[int, int]]:
     """For each row of a bucket and each group that comes before its own (larger groups first): one row of
     that group that is certainly near by the upper halves, or else all that possibly are; of the rows whose
     first shared bucket this is."""
-    head = FINE + 4 * BANDS
-    raw = np.frombuffer(b"".join(f[:head] for f in fine), np.uint8).reshape(len(fine), head)
-    coordinates, bands = raw[:, :FINE], np.ascontiguousarray(raw[:, FINE:]).view(np.uint32)
-    halves = [np.frombuffer(f, np.uint32, offset=head) for f in fine]
+    widths = np.array([_parity_bits(int(m)) for m in n])
+    by_width = _by_width(widths, fine)
+    halves = [np.frombuffer(f, np.uint32, offset=int(w) // 8) for f, w in zip(fine, widths)]
     names, group, size = np.unique(labels, return_inverse=True, return_counts=True)
     place = np.empty(len(names), int)
     place[np.lexsort((names, -size))] = np.arange(len(names))
     place, out = place[group], []
     for x in np.flatnonzero(place > 0):
-        y = np.flatnonzero((place < place[x]) & (100 * np.minimum(n, n[x]) >= 75 * np.maximum(n, n[x])))
+        y = _not_ruled_out(x, n, widths, by_width)
+        y = y[place[y] < place[x]]
         if apart:  # pairs inside a block meet elsewhere
             y = y[own[y] != own[x]]
-        y = y[(coordinates[y] == coordinates[x]).sum(1) >= LIKE * FINE]
         y = y[(bands[y] == bands[x]).argmax(1) == band]
         if not len(y):
             continue
@@ -189,7 +221,8 @@ def _bucket_links(reps: np.ndarray, labels: np.ndarray, n: np.ndarray, own: np.n
         hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
         common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum([len(halves[k]) for k in y])[:-1]]), dtype=np.int64)
         # halves may collide: certain links hold with some fewer in common, possible ones with some more
-        slack = 2 + np.minimum(n[y], n[x]) // 500
+        m = np.minimum(n[y], n[x])
+        slack = 2 + m // 500 + (m * m >> 30)
         certain, possible = (100 * c >= 75 * (n[y] + n[x] - c) for c in (common - slack, common + slack))
         sure = y[certain]
         sure = sure[np.unique(labels[sure], return_index=True)[1]]
@@ -199,19 +232,19 @@ def _bucket_links(reps: np.ndarray, labels: np.ndarray, n: np.ndarray, own: np.n
 
 
 def bucket_links(rows: DataFrame) -> DataFrame:
-    """a, b: links to confirm between groups of rows(key, c, rep, label, band, n, fine) that share a bucket.
+    """a, b: links to confirm between groups of rows(key, c, rep, label, band, n, bands, fine) that share a bucket.
 
     Comparison is done inside the task that holds a bucket (of at most BLOCK rows; larger ones are dealt as
     pairs of blocks), so no pairs are shuffled but links, mostly one per row and group.
     """
     own = F.pmod(F.xxhash64("rep"), F.ceil(F.col("c") / BLOCK)).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), F.ceil(F.col("c") / BLOCK).cast("int") - 1), lambda j: F.struct(F.least(own, j).alias("i"), F.greatest(own, j).alias("j")))
-    rows = rows.select("key", "rep", "label", "band", "n", "fine", own.alias("own"), F.inline(blocks))
+    rows = rows.select("key", "rep", "label", "band", "n", "bands", "fine", own.alias("own"), F.inline(blocks))
 
     def links_of(held: list[pd.DataFrame]) -> pd.DataFrame:
         pdf = pd.concat(held)
         columns = (pdf[c].to_numpy() for c in ("rep", "label", "n", "own"))
-        found = _bucket_links(*columns, pdf["fine"].tolist(), int(pdf["band"].iloc[0]), pdf["i"].iloc[0] != pdf["j"].iloc[0])
+        found = _bucket_links(*columns, np.stack(pdf["bands"].tolist()), pdf["fine"].tolist(), int(pdf["band"].iloc[0]), pdf["i"].iloc[0] != pdf["j"].iloc[0])
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -233,16 +266,6 @@ def bucket_links(rows: DataFrame) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), *order).sortWithinPartitions(*order, "rep").mapInPandas(run, "a bigint, b bigint").distinct()
 
 
-def _near(a: str, b: str) -> Column:
-    """What any pair of similarity 0.75 fulfils, from sizes and sketches."""
-
-    def col(side: str, name: str) -> Column:
-        return F.col(f"{side}.{name}")
-
-    differ = F.bit_count(col(a, "s1").bitwiseXOR(col(b, "s1"))) + F.bit_count(col(a, "s2").bitwiseXOR(col(b, "s2")))
-    return (100 * F.least(col(a, "n"), col(b, "n")) >= 75 * F.greatest(col(a, "n"), col(b, "n"))) & (differ <= SKETCH)
-
-
 def _confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that are links."""
     x = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
@@ -264,12 +287,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     spark, since = docs.sparkSession, mark()
     sketched = cut(sketches(docs), "minhash-sketches")
     live = sketched.where("n > 0 and doc_id is not null")
-    # a class is named by its smallest doc_id; equal sets have equal sketches and bands
-    classes = live.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("s1").alias("s1"), F.first("s2").alias("s2"), F.first("bands").alias("bands"))
+    # a class is named by its smallest doc_id; equal sets have equal bands
+    classes = live.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = cut(classes, "minhash-classes")
     member = live.select("doc_id", "k1", "k2", "n").join(classes.select("k1", "k2", "n", "rep"), ["k1", "k2", "n"]).select("doc_id", "rep")
 
-    rows = classes.select("rep", "n", "s1", "s2", F.posexplode("bands").alias("band", "key"))
+    rows = classes.select("rep", "n", F.posexplode("bands").alias("band", "key"))
     shared = rows.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")
     buckets = rows.join(shared, "key")
     # the text that others derive from shares most buckets with them: it makes the best pivot
@@ -278,19 +301,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     # one row per text of a candidate's class: any text of it has the set
     texts = docs.select(F.col("doc_id").cast("bigint").alias("rep"), "text").join(degree, "rep", "left_semi")
-    sets = full_sets(texts).join(classes.select("rep", "n"), "rep").where(F.size("shingles") == F.col("n")).drop("n")
+    sets = full_sets(texts).join(classes.select("rep", "n", "k1", "bands"), ["rep", "k1"]).where(F.size("shingles") == F.col("n")).drop("n", "k1")
     sets = cut(sets, "minhash-sets")
 
-    member_of = F.struct("rep", "n", "s1", "s2").alias("m")
-    central = buckets.groupBy("key").agg(F.max(F.struct("degree", "rep", "n", "s1", "s2")).alias("p"))
-    pairs = buckets.join(central, "key").select(member_of, "p").where((F.col("m.rep") != F.col("p.rep")) & _near("m", "p"))
-    pairs = cut(pairs.select(F.least("m.rep", "p.rep").alias("a"), F.greatest("m.rep", "p.rep").alias("b")).distinct(), "minhash-pairs")
+    central = buckets.groupBy("key").agg(F.max(F.struct("degree", "rep", "n")).alias("p"))
+    pairs = buckets.join(central, "key").where((F.col("rep") != F.col("p.rep")) & (100 * F.least("n", "p.n") >= 75 * F.greatest("n", "p.n")))
+    pairs = cut(pairs.select(F.least("rep", "p.rep").alias("a"), F.greatest("rep", "p.rep").alias("b")).distinct(), "minhash-pairs")
     links = cut(_confirm(pairs, sets), "minhash-links")
 
     # buckets that still hold several groups
     placed = buckets.join(_near_labels(links), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
     mixed = placed.groupBy("key").agg(F.count("*").alias("c"), F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("key", "c")
-    rest = placed.join(mixed, "key").join(sets.select("rep", "fine"), "rep")
+    rest = placed.join(mixed, "key").join(sets.select("rep", "bands", "fine"), "rep")
     found = cut(bucket_links(rest), "minhash-pairs")
     links = links.unionByName(cut(_confirm(found, sets), "minhash-links"))
     comp = connected_components(links, "a", "b")
@@ -305,6 +327,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """The documents that stay: one of each group, the columns of docs."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    null = docs.where("doc_id is null")
-    return docs.join(kept.where("doc_id is not null"), "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(null).select(*docs.columns)
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    row = F.xxhash64(*docs.columns).alias("_row")
+    # of rows that repeat a doc_id, the one with the smallest hash; hashes, not texts, are shuffled for it
+    chosen = docs.where("doc_id is not null").select("doc_id", row).groupBy("doc_id").agg(F.min("_row").alias("_row")).join(kept, "doc_id")
+    one = docs.select("*", row).join(chosen, ["doc_id", "_row"], "left_semi").dropDuplicates(["doc_id"])
+    return one.select(*docs.columns).unionByName(docs.where("doc_id is null"))
