@@ -30,9 +30,30 @@ def test_rules_equal_sql(spark, oracle):
 def test_ablations_count_masks(spark):
     book = rules.verdicts(odd_docs(spark))
     masks = [r["fail_bits"] for r in book.collect()]
-    got = {r["rule"]: (r["n_failed"], r["n_failed_alone"], r["n_kept_without"]) for r in rules.ablations(book).collect()}
-    for name, bit in rules.BIT.items():
-        assert got[name] == (sum(bool(m & bit) for m in masks), sum(m == bit for m in masks), sum(not m & ~bit for m in masks))
+    got = {(r["policy"], r["rule"]): (r["n_failed"], r["n_failed_alone"], r["n_kept_without"]) for r in rules.ablations(book).collect()}
+    for policy, bits in rules.POLICIES.items():
+        for name, bit in rules.BIT.items():
+            if bits & bit:
+                own = [m & bits for m in masks]
+                assert got.pop((policy, name)) == (sum(bool(m & bit) for m in own), sum(m == bit for m in own), sum(not m & ~bit for m in own))
+    assert not got
+
+
+def test_ablations_equal_sql(spark, oracle):
+    assert_same(queries.rules_ablations(spark, f"{DATA}/sf0.01"), oracle.sql(rules.ABLATIONS_SQL))
+
+
+def test_each_rule_fires_alone(spark):
+    clean = [f"word{i}" if i % 9 else "Word." for i in range(120)]
+    hit = {
+        "huge_word": " ".join([*clean, "a" * 1001]), "many_digits": " ".join(f"{i}word" for i in range(100, 180)), "many_capitals": " ".join(f"WORD{'XYZ'[i % 3]}{'ABCDE'[i // 3 % 5]}{'FGHIJK'[i // 15]}" for i in range(80)),
+        "bullet_lines": "\n".join(f"- alpha beta{i} gamma{'abcdefghijkl'[i % 12]} delta epsilon" for i in range(20)).replace("0", "o").replace("1", "l"), "ellipsis_lines": "\n".join(f"some text here {'abcdefghijklmnopqrst'[i]}rest follows on ..." for i in range(20)),
+        "long_words": " ".join("abcdefghijklmnop" + "abcdefghij"[i % 10] + "abcdefghij"[i // 10] for i in range(60)), "short_words": " ".join(chr(0x4E00 + i) for i in range(60)),
+    }
+    df = spark.createDataFrame([(k, v) for k, v in hit.items()], "doc_id string, text string")
+    for r in rules.ledger(df).collect():
+        assert r["fail_bits"] & rules.BIT[r["doc_id"]], r
+        assert not r["fail_bits"] & rules.BIT["many_symbols"]
 
 
 def water_fill(sizes):

@@ -29,7 +29,7 @@ FEATURES = ["chars", "words", "mean_word", "symbols", "dup_lines", "repeats", "d
 def statistics(docs: DataFrame) -> DataFrame:
     """row (all of the input's columns), doc_id and x, an array of FEATURES."""
     df = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), text_or_empty().alias("text"))
-    df = rules.with_measurements(df, distinct=True)
+    df = rules.with_measurements(df, more=("n_distinct",))
     text, words, lines = F.col("text"), F.greatest("n_words", F.lit(1)), F.greatest("n_lines", F.lit(1))
     values = [
         F.log1p(F.char_length(text)),

@@ -42,6 +42,11 @@ def op8_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def rules_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy adds, over the ledger of the whole table."""
+    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents", "doc_id", "text")))
+
+
 def op9_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -52,6 +57,6 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_nearest, op3_mixing, op4_minhash, op5_token_counts, op6_quality, op7_packing, op8_rules, op9_suffixes, op10_warc)
+    for f in (op1_toxicity, op2_nearest, op3_mixing, op4_minhash, op5_token_counts, op6_quality, op7_packing, op8_rules, rules_ablations, op9_suffixes, op10_warc)
 }
-SQL: dict[str, str] = {"op8_rules": rules.SQL}
+SQL: dict[str, str] = {"op8_rules": rules.SQL, "rules_ablations": rules.ABLATIONS_SQL}

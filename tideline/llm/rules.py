@@ -10,6 +10,9 @@ rows give repeated ledger rows. Extra columns of the input are ignored.
 
 from __future__ import annotations
 
+import string
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,18 +27,50 @@ RULES: list[tuple[str, str]] = [
     ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     ("many_symbols", "10 * n_symbols > word_chars"),
     ("repeated_lines", "2 * n_dup_lines > n_lines"),
+    ("short_words", "word_chars < 2 * n_words"),
+    ("long_words", "word_chars > 15 * n_words"),
+    ("huge_word", "longest_word > 1000"),
+    ("few_distinct_words", "200 * n_distinct < n_words"),
+    ("many_digits", "5 * n_digits > word_chars"),
+    ("many_capitals", "2 * n_upper > word_chars"),
+    ("bullet_lines", "10 * n_bullet_lines > 9 * n_lines"),
+    ("ellipsis_lines", "10 * n_ellipsis_lines > 3 * n_lines"),
 ]
 BIT = {name: 1 << i for i, (name, _) in enumerate(RULES)}
+
+
+def _bits(*names: str) -> int:
+    return sum(BIT[n] for n in names)
+
+
 #: Versioned policies: a document fails a policy if it fails one of its rules.
 POLICIES = {
-    "base-1": BIT["few_words"] | BIT["repeated_words"],
-    "full-1": BIT["few_words"] | BIT["repeated_words"] | BIT["many_symbols"] | BIT["repeated_lines"],
+    "base-1": _bits("few_words", "repeated_words"),
+    "full-1": _bits("few_words", "repeated_words", "many_symbols", "repeated_lines"),
+    "full-2": _bits(*BIT),
 }
-BASE_POLICY, POLICY = "base-1", "full-1"
+BASE_POLICY, POLICY = "base-1", "full-2"
+BULLET = r"^[\x20\x09-\x0D]*[-*\u2022]"
+ELLIPSIS = r"(\.\.\.|\u2026)[\x20\x09-\x0D]*\z"
 
 
-def with_measurements(df: DataFrame, text: str = "text", distinct: bool = False) -> DataFrame:
-    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (and n_distinct)."""
+def _count(t: Column, characters: str) -> Column:
+    return F.char_length(t) - F.char_length(F.translate(t, characters, ""))
+
+
+#: Further measurements, from the text and the columns _words and _lines.
+MORE: dict[str, Callable[[Column], Column]] = {
+    "n_distinct": lambda t: F.size(F.array_distinct("_words")),
+    "longest_word": lambda t: F.coalesce(F.array_max(F.transform("_words", F.char_length)), F.lit(0)),
+    "n_digits": lambda t: _count(t, string.digits),
+    "n_upper": lambda t: _count(t, string.ascii_uppercase),
+    "n_bullet_lines": lambda t: F.size(F.filter("_lines", lambda x: x.rlike(BULLET))),
+    "n_ellipsis_lines": lambda t: F.size(F.filter("_lines", lambda x: x.rlike(ELLIPSIS))),
+}
+
+
+def with_measurements(df: DataFrame, text: str = "text", more: tuple[str, ...] = tuple(MORE)) -> DataFrame:
+    """Adds n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words and those of MORE that are named."""
     t = text_or_empty(text)
     # arrays_zip instead of outer references in lambdas: a lambda body that names the word array could
     # be inlined by the optimiser and split the text again for each element.
@@ -94,11 +129,11 @@ def with_measurements(df: DataFrame, text: str = "text", distinct: bool = False)
         *[c for c in df.columns if not c.startswith("_")],
         F.size("_words").cast("bigint").alias("n_words"),
         F.char_length(F.translate(t, WHITE, "")).cast("bigint").alias("word_chars"),
-        (F.char_length(t) - F.char_length(F.translate(t, SYMBOLS, ""))).cast("bigint").alias("n_symbols"),
+        _count(t, SYMBOLS).cast("bigint").alias("n_symbols"),
         F.size("_lines").cast("bigint").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("bigint").alias("n_repeat_words"),
-        *([F.size(F.array_distinct("_words")).cast("bigint").alias("n_distinct")] if distinct else []),
+        *[MORE[m](t).cast("bigint").alias(m) for m in more],
     )
 
 
@@ -121,26 +156,25 @@ def verdicts(docs: DataFrame) -> DataFrame:
     return ledger(docs).withColumn("base_failed", fails(BASE_POLICY)).withColumn("kept", ~fails(POLICY))
 
 
-def ablations(book: DataFrame, policy: str = POLICY) -> DataFrame:
-    """For each rule of the policy: documents that fail it, that fail it alone, and what is kept without it."""
-    masks = book.groupBy(F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy])).alias("m")).agg(
-        F.count("*").alias("n")
-    )
-    aggs = []
-    for name, bit in BIT.items():
-        if POLICIES[policy] & bit:
-            hit = F.col("m").bitwiseAND(F.lit(bit)) != 0
-            aggs.append(
-                F.struct(
-                    F.lit(name).alias("rule"),
-                    F.coalesce(F.sum(F.when(hit, F.col("n"))), F.lit(0)).alias("n_failed"),
-                    F.coalesce(F.sum(F.when(F.col("m") == bit, F.col("n"))), F.lit(0)).alias("n_failed_alone"),
-                    F.coalesce(F.sum(F.when(F.col("m").bitwiseAND(F.lit(~bit)) == 0, F.col("n"))), F.lit(0)).alias(
-                        "n_kept_without"
-                    ),
-                )
-            )
-    return masks.agg(F.array(*aggs).alias("r")).select(F.inline("r"))
+def ablations(book: DataFrame, policies: tuple[str, ...] = tuple(POLICIES)) -> DataFrame:
+    """policy, rule, n_failed (documents that fail the rule), n_failed_alone (no other rule of the policy) and
+    n_kept_without (what the policy would keep without the rule), for each rule of each policy.
+
+    Documents are counted by mask first (map-side), so what is left to combine is one row per distinct mask.
+    """
+    masks = book.groupBy("fail_bits").agg(F.count("*").alias("n"))
+
+    def documents(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
+
+    rows = []
+    for policy in policies:
+        m = F.col("fail_bits").bitwiseAND(F.lit(POLICIES[policy]))
+        for name, bit in BIT.items():
+            if POLICIES[policy] & bit:
+                counts = {"n_failed": m.bitwiseAND(F.lit(bit)) != 0, "n_failed_alone": m == bit, "n_kept_without": m.bitwiseAND(F.lit(~bit)) == 0}
+                rows.append(F.struct(F.lit(policy).alias("policy"), F.lit(name).alias("rule"), *(documents(c).alias(k) for k, c in counts.items())))
+    return masks.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
 SQL = r"""
@@ -157,14 +191,36 @@ WITH d AS (
     CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
     list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls,
-    CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+    CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words,
+    CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct,
+    CAST(coalesce(list_max(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS longest_word,
+    CAST(length(t) - length(regexp_replace(t, '[0-9]', '', 'g')) AS BIGINT) AS n_digits,
+    CAST(length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS BIGINT) AS n_upper
   FROM d LEFT JOIN cov USING (doc_id)
 ), q AS (
   SELECT doc_id, n_words, word_chars, n_symbols, CAST(len(ls) AS BIGINT) AS n_lines,
-    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_repeat_words FROM m
+    CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, n_repeat_words, n_distinct, longest_word, n_digits, n_upper,
+    CAST(len(list_filter(ls, lambda x: regexp_matches(x, '^[\x20\x09-\x0D]*[-*\x{2022}]'))) AS BIGINT) AS n_bullet_lines,
+    CAST(len(list_filter(ls, lambda x: regexp_matches(x, '(\.\.\.|\x{2026})[\x20\x09-\x0D]*\z'))) AS BIGINT) AS n_ellipsis_lines FROM m
 ), b AS (
   SELECT *, CAST(CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-    + CASE WHEN 10 * n_symbols > word_chars THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END AS BIGINT) AS fail_bits FROM q
+    + CASE WHEN 10 * n_symbols > word_chars THEN 4 ELSE 0 END + CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END
+    + CASE WHEN word_chars < 2 * n_words THEN 16 ELSE 0 END + CASE WHEN word_chars > 15 * n_words THEN 32 ELSE 0 END
+    + CASE WHEN longest_word > 1000 THEN 64 ELSE 0 END + CASE WHEN 200 * n_distinct < n_words THEN 128 ELSE 0 END
+    + CASE WHEN 5 * n_digits > word_chars THEN 256 ELSE 0 END + CASE WHEN 2 * n_upper > word_chars THEN 512 ELSE 0 END
+    + CASE WHEN 10 * n_bullet_lines > 9 * n_lines THEN 1024 ELSE 0 END
+    + CASE WHEN 10 * n_ellipsis_lines > 3 * n_lines THEN 2048 ELSE 0 END AS BIGINT) AS fail_bits FROM q
+)
+"""
+LEDGER_SQL, SQL = SQL, SQL + "SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM b"
+ABLATIONS_SQL = LEDGER_SQL + """, p AS (
+  SELECT * FROM (VALUES ('base-1', 3), ('full-1', 15), ('full-2', 4095)) AS v(policy, bits)
+), r AS (
+  SELECT * FROM (VALUES (1, 'few_words'), (2, 'repeated_words'), (4, 'many_symbols'), (8, 'repeated_lines'), (16, 'short_words'), (32, 'long_words'),
+    (64, 'huge_word'), (128, 'few_distinct_words'), (256, 'many_digits'), (512, 'many_capitals'), (1024, 'bullet_lines'), (2048, 'ellipsis_lines')) AS v(bit, rule)
 )
-SELECT *, fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept FROM b
+SELECT policy, rule, CAST(count(*) FILTER (fail_bits & bit <> 0) AS BIGINT) AS n_failed,
+  CAST(count(*) FILTER (fail_bits & bits = bit) AS BIGINT) AS n_failed_alone,
+  CAST(count(*) FILTER (fail_bits & bits & ~bit = 0) AS BIGINT) AS n_kept_without
+FROM p JOIN r ON bits & bit <> 0 CROSS JOIN b GROUP BY policy, rule
 """
