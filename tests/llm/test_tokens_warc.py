@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -150,7 +151,80 @@ def test_missing_records_fail(spark):
         warc.lookup(spark, archives, keys, folder, whole=True).count()
 
 
+def members(data):
+    """The gzip members of an archive."""
+    while data:
+        d = zlib.decompressobj(31)
+        yield d.decompress(data) + d.flush()
+        data = d.unused_data
+
+
+def records(folder, name):
+    """A reader of its own: fields by lower-case name, and the block, of each record, as the standard says."""
+    with open(f"{folder.removeprefix('file://')}/{name}.warc.gz", "rb") as f:
+        for raw in members(f.read()):
+            head, block = raw.split(b"\r\n\r\n", 1)
+            version, *lines = head.decode("utf-8").split("\r\n")
+            assert version == "WARC/1.1" and all(re.fullmatch(r"[!#$%&'*+.^_`|~0-9A-Za-z-]+: .*", x) for x in lines)
+            fields = {k.lower(): v.strip() for k, v in (x.split(":", 1) for x in lines)}
+            n = int(fields["content-length"])
+            assert block[n:] == b"\r\n\r\n" and len(block) == n + 4
+            assert re.fullmatch(r"<urn:uuid:[0-9a-f-]{36}>", fields["warc-record-id"]) and re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["warc-date"])
+            yield fields, block[:n]
+
+
+def test_archives_are_valid(spark):
+    df, rows = pages(spark)
+    folder = warc.new_folder(spark, "warc")
+    names = [r["name"] for r in warc.cut(warc.write(df, folder)).collect()]
+    every, ids = [], Counter()
+    for name in names:
+        mine = list(records(folder, name))
+        assert mine[0][0]["warc-type"] == "warcinfo" and mine[0][0]["warc-filename"] == f"{name}.warc.gz"
+        ids.update(f["warc-record-id"] for f, _ in mine)
+        every += mine[1:]
+    assert len(every) == len(rows) and set(ids.values()) == {1}
+    responses = {f["warc-record-id"]: f for f, _ in every if f["warc-type"] == "response"}
+    got = Counter()
+    for f, block in every:
+        http, payload = block.split(b"\r\n\r\n", 1)
+        status, *lines = http.decode().split("\r\n")
+        assert status == "HTTP/1.1 200 OK" and f["content-type"] == "application/http; msgtype=response" and re.fullmatch(r"[a-z]+:[!-~]+", f["warc-target-uri"])
+        if f["warc-type"] == "response":
+            assert f["warc-payload-digest"] == "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode()
+            assert f"Content-Length: {len(payload)}" in lines
+            got[f.get("x-page-id")] += 1
+        else:
+            assert f["warc-type"] == "revisit" and payload == b"" and f["warc-profile"] == "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+            of = responses[f["warc-refers-to"]]
+            assert of["warc-payload-digest"] == f["warc-payload-digest"] and of["warc-target-uri"] == f["warc-refers-to-target-uri"] and of["x-page-id"] == f["x-refers-to-page-id"]
+    assert got["3"] == 1 and got["9"] == 0 and got["14"] == 1 and got["13"] == 1
+
+
+def test_blocks_and_archives_are_bounded_in_bytes(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, f"http://e.com/{i:03}", rng.bytes(600_000).hex()) for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(4)
+    folder = warc.new_folder(spark, "warc")
+    archives = warc.cut(warc.write(df, folder, archive_bytes=6 << 20))
+    names = [r["name"] for r in archives.collect()]
+    assert len(names) >= 4
+    for name in names:
+        held = warc.Captures(folder, name)
+        assert all(size <= warc.BLOCK_BYTES + 700_000 for *_, size in held.directory)
+        held.close()
+    keys = df.selectExpr("concat('com,e)/', substr(url, -3)) as key")
+    got = warc.lookup(spark, archives, keys, folder, whole=True)
+    assert {(r["page_id"], r["html"]) for r in got.collect()} == {(i, h) for i, _, h in rows}
+
+
 def test_query_covers_all_pages(spark):
     got = queries.op10_warc(spark, f"{DATA}/sf0.01").collect()
-    want = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").collect()}
-    assert {r["page_id"]: r["payload_bytes"] for r in got} == {i: len(h.encode()) for i, h in want.items()}
+    want = {r["page_id"]: (r["html"] or "").encode() for r in spark.read.parquet(f"{DATA}/sf0.01/pages.parquet").collect()}
+    digest, first = {i: base64.b32encode(hashlib.sha1(h).digest()).decode() for i, h in want.items()}, {}
+    for i in sorted(want):
+        first.setdefault(digest[i], i)
+    assert {r["page_id"]: (r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got} == {
+        i: (len(h), digest[i], *(("response", None) if first[digest[i]] == i else ("revisit", first[digest[i]]))) for i, h in want.items()
+    }
+    assert len(got) == len(want)

@@ -1,14 +1,16 @@
 """WARC archives with a two-level capture index.
 
-Archives: one gzip member per record, records in the order of their reversed-host URL keys, one archive per
-task. Index: the sorted capture lines of an archive in compressed blocks (first level) and a sparse
-directory with one entry per block (second level); a directory entry has the block's first key, its place
-in the index file and the range of its records in the archive. A lookup bisects the list of archives by
-first key, bisects the directory, range-reads one block, bisects its lines and range-reads records.
+Archives follow WARC 1.1: a warcinfo record, then response and revisit records (HTTP messages) in the order
+of their reversed-host URL keys, one gzip member per record; a new archive begins when one has reached
+ARCHIVE_BYTES. Index: the sorted capture lines of an archive in compressed blocks (first level; at most
+BLOCK_LINES lines or BLOCK_BYTES of records each) and a sparse directory with one entry per block (second
+level); a directory entry has the block's first key, its place in the index file and the range of its
+records in the archive. A lookup bisects the list of archives by first key, bisects the directory,
+range-reads one block, bisects its lines and range-reads the records that match.
 
 Records whose payloads (of at least `least` bytes) are equal: the one with the smallest page_id is the
 response, the others revisit it. Equal means equal SHA-1 and equal length. A null html is an empty payload;
-a null url has the empty key. Rows that repeat the smallest page_id of their payload are responses too; a
+a null or empty url has the empty key and a urn as target. Rows that repeat the smallest page_id of their payload are responses too; a
 null page_id sorts last (and its record carries none). Extra columns are ignored.
 """
 
@@ -18,9 +20,11 @@ import base64
 import bisect
 import hashlib
 import json
+import urllib.parse
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timezone
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +32,11 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import cut, new_folder, partitions
 
-BLOCK_LINES = 1000
+BLOCK_LINES, BLOCK_BYTES = 1000, 4 << 20
+ARCHIVE_BYTES = 1 << 30
+READ_BYTES = 1 << 18
 LEVEL = 3
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 TYPE_RESPONSE, TYPE_REVISIT = "response", "revisit"
 
 
@@ -68,39 +75,65 @@ def described(pages: DataFrame) -> DataFrame:
 
 
 def revisits(rows: DataFrame, least: int = 0) -> DataFrame:
-    """key, page_id, payload_digest, refers_to of the records that repeat a payload; no html is shuffled for it."""
-    narrow = rows.where(F.col("payload_bytes") >= least).select("key", "page_id", "payload_digest", "payload_bytes")
+    """key, page_id, payload_digest and refers_to, refers_key, refers_url (of the response) of the records
+    that repeat a payload; no html is shuffled for it."""
+    narrow = rows.where(F.col("payload_bytes") >= least).select("key", "page_id", "url", "payload_digest", "payload_bytes")
     payload = ["payload_digest", "payload_bytes"]
-    first = narrow.groupBy(*payload).agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).where("n > 1 and refers_to is not null").drop("n")
-    repeats = narrow.join(first, payload).where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    return repeats.select("key", "page_id", "payload_digest", "refers_to").distinct()
-
-
-def _record(kind: str, url: str, page_id: int | None, digest: str, n: int, refers: int | None, payload: bytes) -> bytes:
-    ident = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id}:{digest}")
-    head = [
-        "WARC/1.1",
-        f"WARC-Type: {kind}",
-        f"WARC-Record-ID: <urn:uuid:{ident}>",
-        "WARC-Target-URI: " + json.dumps(url or ""),
-        f"WARC-Page-Number: {'' if page_id is None else page_id}",
-        f"WARC-Payload-Digest: sha1:{digest}",
-        f"WARC-Payload-Length: {n}",
-    ]
-    if kind == TYPE_REVISIT:
-        head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To-Page: {refers}"]
-    head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
-    return "\r\n".join(head).encode() + b"\r\n\r\n" + payload + b"\r\n\r\n"
-
-
-def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
-    """Headers and payload of one record."""
-    head, _, body = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
-    if not lines[0].startswith("WARC/"):
+    least_page = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "key", "url"))).alias("r")
+    first = narrow.groupBy(*payload).agg(least_page, F.count("*").alias("n")).where("n > 1 and r is not null")
+    repeats = narrow.drop("url").join(first.select(*payload, *(F.col(f"r.{a}").alias(f"refers_{b}") for a, b in (("page_id", "to"), ("key", "key"), ("url", "url")))), payload)
+    return repeats.where(~F.col("page_id").eqNullSafe(F.col("refers_to"))).select("key", "page_id", "payload_digest", "refers_to", "refers_key", "refers_url").distinct()
+
+
+def record_id(page_id: int | None, key: str, digest: str, ordinal: int = 0) -> str:
+    """Rows that are equal in page, key and payload are told apart by their ordinal."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, repr((page_id, key, digest, ordinal)))}>"
+
+
+def target_uri(url: str | None, page_id: int | None) -> str:
+    """The url with what no URI may hold escaped; a urn where there is none."""
+    url = (url or "").strip()
+    if not url:
+        return f"urn:page:{'' if page_id is None else page_id}"
+    if "://" not in url.split("?", 1)[0]:
+        url = "http://" + url
+    return urllib.parse.quote(url, safe="%:/?#[]@!$&'()*+,;=-._~")
+
+
+def _fields(*pairs: tuple[str, str]) -> bytes:
+    return "".join(f"{name}: {value}\r\n" for name, value in pairs).encode() + b"\r\n"
+
+
+def _record(kind: str, ident: str, date: str, fields: list[tuple[str, str]], content_type: str, block: bytes) -> bytes:
+    head = _fields(("WARC-Type", kind), ("WARC-Record-ID", ident), ("WARC-Date", date), *fields, ("Content-Type", content_type), ("Content-Length", str(len(block))))
+    return b"WARC/1.1\r\n" + head + block + b"\r\n\r\n"
+
+
+def _capture(page: int | None, key: str, url: str | None, digest: str, size: int, ordinal: int, payload: bytes, refers: tuple[int, str, str] | None, date: str) -> bytes:
+    """A response, or a revisit of the record of (page, key, url) `refers`, whose block is the HTTP head alone."""
+    head = b"HTTP/1.1 200 OK\r\n" + _fields(("Content-Type", "text/html; charset=utf-8"), ("Content-Length", str(size)))
+    fields = [("WARC-Target-URI", target_uri(url, page)), ("WARC-Payload-Digest", f"sha1:{digest}")]
+    if page is not None:
+        fields.append(("X-Page-ID", str(page)))
+    if refers:
+        to, to_key, to_url = refers
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(to, to_key, digest)), ("WARC-Refers-To-Target-URI", target_uri(to_url, to)), ("WARC-Refers-To-Date", date), ("X-Refers-To-Page-ID", str(to))]
+    kind = TYPE_REVISIT if refers else TYPE_RESPONSE
+    return _record(kind, record_id(page, key, digest, ordinal), date, fields, "application/http; msgtype=response", head if refers else head + payload)
+
+
+def _headers(head: bytes) -> dict[str, str]:
+    return dict(x.split(": ", 1) for x in head.decode().split("\r\n")[1:])
+
+
+def parse(raw: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
+    """Record headers, HTTP headers and payload of one capture."""
+    head, _, rest = raw.partition(b"\r\n\r\n")
+    if not head.startswith(b"WARC/"):
         raise ValueError("not a WARC record")
-    headers = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines[1:])
-    return headers, body[: int(headers["Content-Length"])]
+    fields = _headers(head)
+    http, _, payload = rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")
+    return fields, _headers(http), payload
 
 
 def _pack(raw: bytes) -> bytes:
@@ -108,59 +141,89 @@ def _pack(raw: bytes) -> bytes:
     return c.compress(raw) + c.flush()
 
 
-def write(pages: DataFrame, folder: str, least: int = 0, block_lines: int = BLOCK_LINES) -> DataFrame:
+class _Archive:
+    """One archive with its two index files, being written."""
+
+    def __init__(self, store, root: str, date: str, block_lines: int) -> None:
+        self.name, self.block_lines, self.store, self.path = uuid.uuid4().hex, block_lines, store, root
+        self.archive = store.open_output_stream(f"{root}/{self.name}.warc.gz", compression=None)
+        self.index = store.open_output_stream(f"{root}/{self.name}.idx")
+        info = _fields(("software", "tideline"), ("format", "WARC File Format 1.1"))
+        head = _pack(_record("warcinfo", f"<urn:uuid:{uuid.uuid4()}>", date, [("WARC-Filename", f"{self.name}.warc.gz")], "application/warc-fields", info))
+        self.archive.write(head)
+        self.at = self.block_at = len(head)
+        self.index_at = self.n = 0
+        self.lines: list[str] = []
+        self.directory: list[list] = []
+        self.first_key: str | None = None
+        self.last_key: str | None = None
+
+    def add(self, key: str, page: int | None, packed: bytes) -> None:
+        self.archive.write(packed)
+        self.lines.append(f"{key}\t{'' if page is None else page}\t{self.at}\t{len(packed)}")
+        self.at, self.n = self.at + len(packed), self.n + 1
+        self.first_key, self.last_key = key if self.first_key is None else self.first_key, key
+        if len(self.lines) >= self.block_lines or self.at - self.block_at >= BLOCK_BYTES:
+            self._close_block()
+
+    def _close_block(self) -> None:
+        packed = zlib.compress("\n".join(self.lines).encode(), LEVEL)
+        self.index.write(packed)
+        self.directory.append([self.lines[0].split("\t", 1)[0], self.index_at, len(packed), self.block_at, self.at - self.block_at])
+        self.index_at, self.lines, self.block_at = self.index_at + len(packed), [], self.at
+
+    def close(self) -> pd.DataFrame:
+        if self.lines:
+            self._close_block()
+        self.archive.close()
+        self.index.close()
+        with self.store.open_output_stream(f"{self.path}/{self.name}.dir") as f:
+            f.write(zlib.compress(json.dumps(self.directory).encode(), LEVEL))
+        return pd.DataFrame({"name": [self.name], "first_key": [self.first_key], "last_key": [self.last_key], "n_records": [self.n]})
+
+
+def write(pages: DataFrame, folder: str, least: int = 0, block_lines: int = BLOCK_LINES, archive_bytes: int = ARCHIVE_BYTES, date: str | None = None) -> DataFrame:
     """Writes archives and index files; one row per archive: name, first_key, last_key, n_records.
 
-    A retried task writes another archive: cut() the result; what its rows don't name doesn't count.
+    date: the time of capture of all pages, now if not given. A retried task writes other archives: cut()
+    the result; what its rows don't name doesn't count.
     """
+    date = date or datetime.now(timezone.utc).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        name, at, index_at, n = uuid.uuid4().hex, 0, 0, 0
-        lines: list[str] = []
-        directory: list[list] = []
-        block_at, first_key, last_key, marked = 0, None, None, None
-        with store.open_output_stream(f"{root}/{name}.warc.gz", compression=None) as archive, store.open_output_stream(f"{root}/{name}.idx") as index:
-
-            def close_block() -> None:
-                nonlocal index_at, lines, block_at
-                packed = zlib.compress("\n".join(lines).encode(), LEVEL)
-                index.write(packed)
-                directory.append([lines[0].split("\t", 1)[0], index_at, len(packed), block_at, at - block_at])
-                index_at, lines, block_at = index_at + len(packed), [], at
-
-            for pdf in batches:
-                for key, page, url, html, digest, size, refers in zip(pdf["key"], pdf["page_id"], pdf["url"], pdf["html"], pdf["payload_digest"], pdf["payload_bytes"], pdf["refers_to"]):
-                    page = None if pd.isna(page) else int(page)
-                    if not pd.isna(refers):  # announces the records of this key, page and payload, which follow
-                        marked = (key, page, digest, int(refers))
-                        continue
-                    refers = marked[3] if marked and marked[:3] == (key, page, digest) else None
-                    kind = TYPE_RESPONSE if refers is None else TYPE_REVISIT
-                    packed = _pack(_record(kind, url, page, digest, size, refers, (html or "").encode() if refers is None else b""))
-                    archive.write(packed)
-                    lines.append(f"{key}\t{'' if page is None else page}\t{at}\t{len(packed)}")
-                    at, n = at + len(packed), n + 1
-                    first_key, last_key = key if first_key is None else first_key, key
-                    if len(lines) >= block_lines:
-                        close_block()
-            if lines:
-                close_block()
-        with store.open_output_stream(f"{root}/{name}.dir") as f:
-            f.write(zlib.compress(json.dumps(directory).encode(), LEVEL))
-        if n:
-            yield pd.DataFrame({"name": [name], "first_key": [first_key], "last_key": [last_key], "n_records": [n]})
+        out: _Archive | None = None
+        marked, same, ordinal = None, None, 0
+        for pdf in batches:
+            for key, page, url, html, digest, size, *refers in pdf.itertuples(index=False, name=None):
+                page = None if pd.isna(page) else int(page)  # ids come as text: nulls would make them floats
+                if not pd.isna(refers[0]):  # announces the records of this key, page and payload, which follow
+                    marked = (key, page, digest), (int(refers[0]), refers[1], refers[2])
+                    continue
+                ordinal = ordinal + 1 if same == (key, page, digest) else 0
+                same = (key, page, digest)
+                of = marked[1] if marked and marked[0] == same else None
+                out = out or _Archive(store, root, date, block_lines)
+                out.add(key, page, _pack(_capture(page, key, url, digest, size, ordinal, b"" if of else (html or "").encode(), of, date)))
+                if out.at >= archive_bytes:
+                    yield out.close()
+                    out = None
+        if out:
+            yield out.close()
 
     # one shuffle moves the html: what repeats is found on narrow rows and announced by a row before the records
     rows = described(pages)
-    marks = revisits(rows, least).withColumns({"url": F.lit(None).cast("string"), "html": F.lit(None).cast("string"), "payload_bytes": F.lit(0).cast("bigint"), "kind": F.lit(0)})
-    both = rows.withColumns({"refers_to": F.lit(None).cast("bigint"), "kind": F.lit(1)}).unionByName(marks)
+    none = {c: F.lit(None).cast("string") for c in ("url", "html")}
+    marks = revisits(rows, least).withColumns(none | {"payload_bytes": F.lit(0).cast("bigint"), "kind": F.lit(0)})
+    none = {"refers_to": F.lit(None).cast("bigint"), "refers_key": F.lit(None).cast("string"), "refers_url": F.lit(None).cast("string")}
+    both = rows.withColumns(none | {"kind": F.lit(1)}).unionByName(marks)
     n = partitions(both.sparkSession)
     ordered = both.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id", "payload_digest", "kind")
-    return ordered.select("key", "page_id", "url", "html", "payload_digest", "payload_bytes", "refers_to").mapInPandas(run, "name string, first_key string, last_key string, n_records bigint")
+    ids = {c: F.col(c).cast("string") for c in ("page_id", "refers_to")}
+    return ordered.withColumns(ids).select("key", "page_id", "url", "html", "payload_digest", "payload_bytes", "refers_to", "refers_key", "refers_url").mapInPandas(run, "name string, first_key string, last_key string, n_records bigint")
 
 
 class Captures:
@@ -176,26 +239,31 @@ class Captures:
         self.first_keys = [x[0] for x in self.directory]
         self.index = self.store.open_input_file(f"{self.path}.idx")
         self.archive = self.store.open_input_file(f"{self.path}.warc.gz")
-        self.block: tuple[int, list[list[str]], bytes] = (-1, [], b"")
+        self.block: tuple[int, list[list[str]]] = (-1, [])
+        self.ahead: tuple[int, bytes] = (0, b"")
 
-    def _load(self, b: int) -> None:
+    def _load(self, b: int) -> list[list[str]]:
         if self.block[0] != b:
-            _, at, size, records_at, records_size = self.directory[b]
-            lines = [x.split("\t") for x in zlib.decompress(self.index.read_at(size, at)).decode().split("\n")]
-            self.block = (b, lines, self.archive.read_at(records_size, records_at))
-
-    def find(self, key: str) -> Iterator[tuple[dict[str, str], bytes]]:
+            _, at, size, _, _ = self.directory[b]
+            self.block = (b, [x.split("\t") for x in zlib.decompress(self.index.read_at(size, at)).decode().split("\n")])
+        return self.block[1]
+
+    def _read(self, at: int, size: int, end: int) -> bytes:
+        """A record; up to READ_BYTES of the block's next ones are read with it."""
+        begin, held = self.ahead
+        if not begin <= at or at + size > begin + len(held):
+            begin, held = self.ahead = at, self.archive.read_at(max(size, min(READ_BYTES, end - at)), at)
+        return held[at - begin : at - begin + size]
+
+    def find(self, key: str) -> Iterator[tuple[dict[str, str], dict[str, str], bytes]]:
         """The records of a key, by bisection of directory and block."""
         b = max(0, bisect.bisect_left(self.first_keys, key) - 1)
         while b < len(self.directory) and self.first_keys[b] <= key:
-            self._load(b)
-            _, lines, records = self.block
-            base = self.directory[b][3]
+            lines, (_, _, _, begin, size) = self._load(b), self.directory[b]
             for line in lines[bisect.bisect_left(lines, key, key=lambda x: x[0]) :]:
                 if line[0] != key:
                     break
-                at, size = int(line[2]) - base, int(line[3])
-                yield parse(zlib.decompress(records[at : at + size], 31))
+                yield parse(zlib.decompress(self._read(int(line[2]), int(line[3]), begin + size), 31))
             b += 1
 
     def close(self) -> None:
@@ -237,14 +305,14 @@ def lookup(spark: SparkSession, archives: DataFrame, keys: DataFrame, folder: st
                 if open_[0] != i:
                     finish()
                     open_, n_read = (i, Captures(folder, names[i])), 0
-                for head, body in open_[1].find(key) if isinstance(key, str) else ():
+                for head, http, body in open_[1].find(key) if isinstance(key, str) else ():
                     n_read += 1
                     digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                     revisit = head["WARC-Type"] == TYPE_REVISIT
                     if not revisit and base64.b32encode(hashlib.sha1(body).digest()).decode() != digest:
                         raise ValueError(f"payload of {head['WARC-Record-ID']} does not have its digest")
-                    page = head["WARC-Page-Number"]
-                    out.append((int(page) if page else None, int(head["WARC-Payload-Length"]), digest, head["WARC-Type"], int(head["WARC-Refers-To-Page"]) if revisit else None, None if revisit else body.decode()))
+                    page = head.get("X-Page-ID")
+                    out.append((int(page) if page else None, int(http["Content-Length"]), digest, head["WARC-Type"], int(head["X-Refers-To-Page-ID"]) if revisit else None, None if revisit else body.decode()))
                     size += len(body)
                     if size > 1 << 23:
                         yield _frame(out)
@@ -278,5 +346,3 @@ def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
         return url.map(lambda u: surt(None if pd.isna(u) else u))
 
     return lookup(spark, archives, pages.select(key("url").alias("key")), folder, whole=True)
-
-
