@@ -21,7 +21,8 @@ GRAM = LEAST - PERIOD + 1 bytes, and one in seven suffixes is sampled instead of
 Names are hashes: the sort order is the hashes' and not the alphabet's, which is as good here, since only
 equal prefixes need to be neighbours. Tasks sort what they have in numpy, decide what repeats inside their
 own share (so a passage found everywhere is sent once per piece of work, not once per occurrence), and deal
-the rest to parts by name as packed arrays; a part is sorted by the task that gets it. Step 1 runs in SHARES
+the rest to parts by name as packed arrays; a part is sorted by the task that gets it, and what it finds is
+dealt in the same way by document. Step 1 runs in SHARES
 by name, one after another, so the files of one share go before the next begins. Documents are taken in
 segments of SEGMENT bytes.
 
@@ -38,6 +39,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +54,7 @@ HALF = (LEAST - GRAM) // 2
 SHARES = 3
 #: Bytes of a segment (whole periods), and rows that are sorted at once before they are dealt.
 SEGMENT = PERIOD * 18_000
-CHUNK_ROWS = 1 << 20
+CHUNK_ROWS = 1 << 19
 #: Rows of a part, about; a part is held by one task.
 PART_ROWS = 2_000_000
 WHOLE, LEFT, RIGHT = 0, 1, 2  # kinds; LEFT + RIGHT: either side
@@ -111,48 +113,74 @@ def _taken(blobs: list[bytes], kinds: tuple[str, ...]) -> list[np.ndarray]:
 
 
 def _by_document(doc: np.ndarray, tag: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """doc, tag and the array of the values of each."""
+    """doc, tag and the array of the distinct values of each."""
     o = np.lexsort((values, tag, doc))
-    doc, tag, values = doc[o], tag[o], values[o].astype(np.int64)
+    o = o[_starts(doc[o], tag[o], values[o])]
+    doc, tag, values = doc[o], tag[o], values[o]
     edges = np.flatnonzero(_starts(doc, tag))
     lists = pa.ListArray.from_arrays(pa.array(np.append(edges, len(doc)).astype(np.int32)), pa.array(values))
     return pa.RecordBatch.from_arrays([pa.array(doc[edges]), pa.array(tag[edges]), lists], names=["doc", "tag", "found"])
 
 
-DEALT = pa.schema([("part", pa.int32()), ("packed", pa.binary()), ("doc", pa.int64()), ("tag", pa.int64()), ("found", pa.list_(pa.int64()))])
+DEALT = "part int, known boolean, packed binary"
 
 
-def _sent(dealt: Iterator[tuple[int, bytes]], known: pa.RecordBatch, parts: int) -> Iterator[pa.RecordBatch]:
-    """Packed rows for the parts; and what is known already, which any part passes on."""
+def _rows(dealt: Iterator[tuple[int, bytes]], known: bool) -> pa.RecordBatch:
     rows = list(dealt)
-    none = [pa.nulls(len(rows), t) for t in DEALT.types[2:]]
-    yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary()), *none], schema=DEALT)
-    if known.num_rows:
-        part = known.column(0).to_numpy() % parts
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.nulls(known.num_rows, pa.binary()), *known.columns], schema=DEALT)
+    return pa.RecordBatch.from_arrays([pa.array([p for p, _ in rows], pa.int32()), pa.array([known] * len(rows), pa.bool_()), pa.array([b for _, b in rows], pa.binary())], names=["part", "known", "packed"])
 
 
-def _sorted_parts(dealt: DataFrame, parts: int, f: Callable[[list[bytes]], pa.RecordBatch | None]) -> DataFrame:
-    """doc, tag, found: of every part, f of its packed rows; one part at a time is held."""
+def _by_name(name: np.ndarray, parts: int, doc: np.ndarray, tag: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+    part = ((name >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+    return _rows(_deal(part, doc, tag, columns), False)
+
+
+def _known(parts: int, doc: np.ndarray, tag: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+    """What is known of documents, dealt by document."""
+    o = np.lexsort((values, tag, doc))
+    part = (mix(doc[o].astype(np.uint64)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
+    return _rows(_deal(part, doc[o], tag[o], [values[o].astype(np.int64)]), True)
+
+
+def _sorted_parts(dealt: DataFrame, parts: int, f: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """Of every part, f of its packed rows (doc, tag, values) dealt by document; one part at a time is held."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, at = [], None
         for batch in batches:
-            known = batch.filter(batch.column(2).is_valid())
+            known = batch.filter(batch.column(1))
             if known.num_rows:
-                yield known.select([2, 3, 4])
-            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if packed.is_valid:
-                    if held and part != at:
-                        if (out := f(held)) is not None:
-                            yield out
-                        held = []
-                    at = part
-                    held.append(packed.as_py())
-        if held and (out := f(held)) is not None:
-            yield out
+                yield known
+            batch = batch.filter(pa.compute.invert(batch.column(1)))
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(2)):
+                if held and part != at:
+                    yield _known(parts, *f(held))
+                    held = []
+                at = part
+                held.append(packed.as_py())
+        if held:
+            yield _known(parts, *f(held))
 
     rows = dealt.repartition(max(parts, partitions(dealt.sparkSession)), "part").sortWithinPartitions("part")
+    return rows.mapInArrow(run, DEALT)
+
+
+def _collected(known: DataFrame, parts: int) -> DataFrame:
+    """doc, tag, found: all that is known of a document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, at = [], None
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(2)):
+                if held and part != at:
+                    yield _by_document(*_taken(held, ("i8",)))
+                    held = []
+                at = part
+                held.append(packed.as_py())
+        if held:
+            yield _by_document(*_taken(held, ("i8",)))
+
+    rows = known.repartition(max(parts, partitions(known.sparkSession)), "part").sortWithinPartitions("part")
     return rows.mapInArrow(run, "doc bigint, tag bigint, found array<bigint>")
 
 
@@ -211,10 +239,9 @@ def triples(docs: DataFrame, share: int, parts: int) -> DataFrame:
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         gram, triple, sides, doc, tag, place = (np.concatenate(x) for x in zip(*held))
         known = _decided(triple, gram, doc, place)
-        part = ((gram >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
         left = ~known
-        rows = _deal(part[left], doc[left], tag[left], [x[left] for x in (gram, triple, sides, place.astype(np.int32))])
-        yield from _sent(rows, _by_document(doc[known], tag[known], place[known] * 4 + WHOLE), parts)
+        yield _by_name(gram[left], parts, doc[left], tag[left], [x[left] for x in (gram, triple, sides, place.astype(np.int32))])
+        yield _known(parts, doc[known], tag[known], place[known] * 4 + WHOLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -230,18 +257,16 @@ def triples(docs: DataFrame, share: int, parts: int) -> DataFrame:
         if n:
             yield from flush(held)
 
-    return docs.mapInArrow(run, "part int, packed binary, doc bigint, tag bigint, found array<bigint>")
+    return docs.mapInArrow(run, DEALT)
 
 
-def sort_triples(blobs: list[bytes]) -> pa.RecordBatch | None:
-    """doc, tag, found (4 * place + kind) of the suffixes that repeat or are open."""
+def sort_triples(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, tag, value (4 * place + kind) of the suffixes that repeat or are open."""
     doc, tag, gram, triple, sides, place = _taken(blobs, ("u8", "u8", "u4", "i4"))
     o = np.argsort(gram)
     new = _starts(gram[o])
     o = o[~new | np.append(~new[1:], False)]  # names that tie
     o = o[np.lexsort((place[o], doc[o], triple[o], gram[o]))]
-    if not len(o):
-        return None
     doc, tag, gram, triple, sides, place = (x[o] for x in (doc, tag, gram, triple, sides, place))
     new = _starts(gram)
     own = _starts(gram, triple)
@@ -255,9 +280,7 @@ def sort_triples(blobs: list[bytes]) -> pa.RecordBatch | None:
         kind += bit * (n[which] > 1)
     open_, kind = open_[kind > 0], kind[kind > 0]
     at = np.concatenate([np.flatnonzero(repeats), open_])
-    if not len(at):
-        return None
-    return _by_document(doc[at], tag[at], place[at].astype(np.int64) * 4 + np.concatenate([np.full(len(at) - len(open_), WHOLE), kind]))
+    return doc[at], tag[at], place[at].astype(np.int64) * 4 + np.concatenate([np.full(len(at) - len(open_), WHOLE), kind])
 
 
 def _covered(begin: np.ndarray, end: np.ndarray, lo: int, n: int) -> np.ndarray:
@@ -272,10 +295,9 @@ def windows(candidates: DataFrame, parts: int) -> DataFrame:
     def flush(held: list[tuple]) -> Iterator[pa.RecordBatch]:
         name, check, doc, tag, place = (np.concatenate(x) for x in zip(*held))
         known = _decided(name, check, doc, place)
-        part = ((name >> np.uint64(20)) % np.uint64(parts)).astype(np.uint16 if parts < 1 << 16 else np.uint32)
         left = ~known
-        rows = _deal(part[left], doc[left], tag[left], [x[left] for x in (name, check, place.astype(np.int32))])
-        yield from _sent(rows, _by_document(doc[known], tag[known], place[known]), parts)
+        yield _by_name(name[left], parts, doc[left], tag[left], [x[left] for x in (name, check, place.astype(np.int32))])
+        yield _known(parts, doc[known], tag[known], place[known])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -304,14 +326,14 @@ def windows(candidates: DataFrame, parts: int) -> DataFrame:
         if n:
             yield from flush(held)
 
-    return candidates.select("doc", "tag", "text", "found").mapInArrow(run, "part int, packed binary, doc bigint, tag bigint, found array<bigint>")
+    return candidates.select("doc", "tag", "text", "found").mapInArrow(run, DEALT)
 
 
-def compare_adjacent(blobs: list[bytes]) -> pa.RecordBatch | None:
-    """doc, tag, found (places) of the windows that are equal to an earlier one."""
+def compare_adjacent(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """doc, tag, value (place) of the windows that are equal to an earlier one."""
     doc, tag, name, check, place = _taken(blobs, ("u8", "u4", "i4"))
     again = np.flatnonzero(_decided(name, check, doc, place))
-    return _by_document(doc[again], tag[again], place[again]) if len(again) else None
+    return doc[again], tag[again], place[again]
 
 
 def _spans(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -338,11 +360,10 @@ def cleaned(docs: DataFrame) -> DataFrame:
         n = parts(rows // SHARES)
         found = cut(_sorted_parts(triples(keyed, share, n), n, sort_triples), "suffix-triples")
         marks = found if marks is None else marks.unionByName(found)
-    marks = marks.groupBy("doc", "tag").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
-    candidates = settle(since, keyed.join(marks, ["doc", "tag"]), "suffix-candidates")
+    candidates = settle(since, keyed.join(_collected(marks, parts(rows)), ["doc", "tag"]), "suffix-candidates")
     n = parts(rows)  # at most as many windows as bytes; far fewer than sampled suffixes, as a rule
     repeats = cut(_sorted_parts(windows(candidates.where(F.exists("found", lambda x: x % 4 > 0)), n), n, compare_adjacent), "suffix-windows")
-    repeats = repeats.groupBy("doc", "tag").agg(F.flatten(F.collect_list("found")).alias("starts"))
+    repeats = _collected(repeats, n).withColumnRenamed("found", "starts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
