@@ -107,6 +107,28 @@ def test_nearest_on_the_table(spark):
     assert recall(queries.op2_nearest(spark, f"{DATA}/sf0.1").collect(), e) > 0.95
 
 
+def test_exact_search_equals_brute_force(spark):
+    rng = np.random.default_rng(7)
+    v = [(i, [float(x) for x in rng.normal(size=8 if i % 3 else 5)]) for i in range(700)]  # two lengths
+    df = spark.createDataFrame(v, "vec_id bigint, embedding array<double>")
+    rows = ann.search(df, exact=True).collect()
+    for length in (5, 8):
+        own = [(i, x) for i, x in v if len(x) == length]
+        ids = {i for i, _ in own}
+        assert recall([r for r in rows if r["query_id"] in ids], own) == 1
+    near = ann.search(df).collect()
+    assert len(near) == len(rows)
+
+
+def test_depth_grows_where_codes_are_coarse(spark):
+    """Vectors that differ only beyond what codes can tell: a fixed depth would miss neighbours."""
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(3, 16))
+    v = [(i, [float(x) for x in centre[i % 3] + 1e-3 * rng.normal(size=16)]) for i in range(4000)]
+    df = spark.createDataFrame(v, "vec_id bigint, embedding array<double>")
+    assert recall(ann.search(df, rerank=20).collect(), v) > 0.9
+
+
 def test_nearest_on_odd_vectors(spark):
     rng = np.random.default_rng(4)
     v = [(i, [float(x) for x in rng.normal(size=6)]) for i in range(300)]

@@ -3,16 +3,22 @@
 Euclidean search is put as maximum inner product: x becomes (x, -|x|^2 / 2) and a query (q, 1). Codes are
 four bits per subspace; they are chosen to minimise |r|^2 + (ETA - 1) (r . x/|x|)^2, so the residual's part
 parallel to the vector, which moves high inner products most, costs more than the rest. Codebooks are
-fitted on a bounded sample (TRAIN vectors); every vector is indexed. A search builds per-query tables for
-pairs of subspaces, scans packed codes block by block, keeps RERANK candidates per query and ranks them by
-the exact distance in double precision.
+fitted on a bounded sample (TRAIN vectors); every vector is indexed.
 
-Equal vectors are searched once: each class has its smallest k + 1 ids, which is all a top-k list can use.
-Queries and rows meet in blocks; neither side is broadcast, both grow with the table.
+A search stores packed codes once. Queries come in blocks of about QUERY_BLOCK; a block (a bounded row) goes
+to the stored codes, so codes are never shuffled: tables for pairs of subspaces scan them where they are.
+One code in SAMPLED gives each query a bound that its best `depth` codes reach, so the whole scan sends
+about SAMPLED * depth candidates a query, however many rows and tasks there are; the best of them are
+ranked by the exact distance in double precision.
+
+Depth is measured, not fixed: for GUARDED queries the true neighbours are found by brute force, and the
+places of these among all codes are counted. Depth is twice what holds 99 % of them, and RERANK at least;
+so it grows where rows lie closer. With exact=True it is the number of rows, and the search is brute force.
 
-Vectors that are null, zero, hold a null or non-finite component, or are not of the most frequent length,
-and rows with a null vec_id, take no part. Rows repeating a vec_id count once (the smallest vector).
-Extra columns are ignored.
+Equal vectors are searched once: each class has its smallest k + 1 ids, which is all a top-k list can use.
+Vectors of each length are searched by themselves (distance is between vectors of a length). Vectors that
+are null, zero, or hold a null or non-finite component, and rows with a null vec_id, take no part. Rows
+repeating a vec_id count once (the smallest vector). Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,10 +36,9 @@ from tideline.llm.common import cut
 TRAIN = 10_000
 ETA = 4.0
 WIDTH = 2  # components of a subspace
-RERANK = 300
-ROW_BLOCK, QUERY_BLOCK = 8192, 512
-#: Parts into which the rows are dealt for each block of queries; each part keeps its best RERANK.
-PARTS = 4
+RERANK, GUARDED = 300, 64
+ROW_BLOCK, QUERY_BLOCK = 8192, 8192
+SAMPLED = 16
 K = 10
 
 
@@ -140,82 +145,154 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.arange(len(scores))
 
 
-def fit(rows: DataFrame, train: int = TRAIN) -> Quantiser | None:
-    """From at most `train` vectors of the most frequent length, those with the smallest hashes of id."""
-    length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if length is None:
-        return None
-    sample = rows.where(F.size("v") == length["n"]).orderBy(F.xxhash64("vec_id"), "vec_id").limit(train).select("v").toArrow()
-    values = sample.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return Quantiser(values.reshape(-1, length["n"]))
+def _matrix(vectors: DataFrame) -> np.ndarray:
+    values = vectors.select("v").toArrow().column("v").combine_chunks()
+    return values.flatten().to_numpy(zero_copy_only=False).reshape(len(values), -1)
 
 
-def search(embeddings: DataFrame, k: int = K, is_query: Column | None = None, rerank: int = RERANK) -> DataFrame:
-    """query_id, rank, vec_id, score of the k nearest other rows found for each query."""
-    spark = embeddings.sparkSession
-    is_query = F.col("vec_id") % 100 == 0 if is_query is None else is_query
-    rows = usable(embeddings).groupBy("vec_id").agg(F.min("v").alias("v"))
-    rows = cut(rows, "ann-rows")
-    model = fit(rows)
-    schema = "query_id bigint, rank int, vec_id bigint, score double"
-    if model is None:
-        return spark.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == model.dim)
-    # the first ids of each distinct vector; limits of windows apply before the shuffle
-    members = rows.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
-    classes = cut(members.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("cls", F.col("ids")[0]), "ann-classes")
+def fit(rows: DataFrame, train: int = TRAIN) -> Quantiser:
+    """From at most `train` vectors (all of one length), those with the smallest hashes of id."""
+    return Quantiser(_matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(train)))
+
+
+def _stacked(codes: bytes, n: int) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(n, -1).T)
+
+
+def _scores(model: Quantiser, vectors: np.ndarray, codes: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """For each query, the inner products of all codes (one row per byte) by its tables."""
+    for at in range(0, len(vectors), 64):
+        for i, t in enumerate(model.tables(vectors[at : at + 64]), at):
+            out = t[0][codes[0]]
+            for b in range(1, len(codes)):
+                out += t[b][codes[b]]
+            yield i, out
+
+
+def _depth(model: Quantiser, classes: DataFrame, codes: DataFrame, queries: DataFrame, k: int, least: int) -> int:
+    """Codes to rerank a query, by brute force for GUARDED queries (those with the smallest hashes)."""
+    guarded = _matrix(queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(GUARDED))
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The k nearest of each task, and their approximate scores."""
+        best = pd.DataFrame({"q": [], "cls": [], "d": [], "approx": []})
+        for pdf in batches:
+            x, ids = np.stack(pdf["v"].tolist()), pdf["cls"].to_numpy(np.int64)
+            packed = np.ascontiguousarray(model.encode(x).T)
+            for i, approx in _scores(model, guarded, packed):
+                d = ((x - guarded[i]) ** 2).sum(1)
+                near = _best(-d, ids, k + 1)
+                best = pd.concat([best, pd.DataFrame({"q": i, "cls": ids[near], "d": d[near], "approx": approx[near]})])
+            best = best.sort_values(["q", "d", "cls"]).groupby("q").head(k + 1)
+        yield best.astype({"q": int, "cls": int})
+
+    order = W.partitionBy("q").orderBy("d", "cls")
+    near = classes.select("cls", "v").mapInPandas(nearest, "q int, cls bigint, d double, approx float")
+    near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("q", "approx").toPandas()  # GUARDED * (k + 1) rows
+    bounds = [np.sort(near["approx"][near["q"] == i].to_numpy(np.float32)) for i in range(len(guarded))]
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """How many codes score as high as each true neighbour."""
+        above = [np.zeros(len(b), np.int64) for b in bounds]
+        for pdf in batches:
+            for ids, packed in zip(pdf["ids"], pdf["codes"]):
+                for i, approx in _scores(model, guarded, _stacked(packed, len(ids) // 8)):
+                    above[i] += np.bincount(np.searchsorted(bounds[i], approx, side="right"), minlength=len(bounds[i]) + 1)[::-1].cumsum()[::-1][1:]
+        flat = [(i, j, int(n)) for i, a in enumerate(above) for j, n in enumerate(a)]
+        yield pd.DataFrame(flat, columns=["q", "j", "n"])
+
+    counted = codes.select("ids", "codes").mapInPandas(places, "q int, j int, n bigint").groupBy("q", "j").agg(F.sum("n").alias("n")).select("n").toPandas()["n"]
+    return max(least, 2 * int(np.quantile(counted, 0.99))) if len(counted) else least
+
+
+def _scanned(model: Quantiser, codes: DataFrame, block: DataFrame, depth: int, bounds: dict[int, float]) -> DataFrame:
+    """query_id, cls, approx: of each task, the best codes of each query of block(one, query_ids, q) that reach its bound."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best: list[tuple[np.ndarray, np.ndarray]] = []
+        for pdf in batches:
+            for ids, packed, query, q in zip(pdf["ids"], pdf["codes"], pdf["query_ids"], pdf["q"]):
+                if not best:
+                    names = np.frombuffer(query, np.int64)
+                    vectors = np.frombuffer(q, np.float64).reshape(len(names), -1)
+                    least = np.array([bounds.get(i, -np.inf) for i in names.tolist()], np.float32)
+                    best = [(np.zeros(0, np.float32), np.zeros(0, np.int64))] * len(names)
+                ids = np.frombuffer(ids, np.int64)
+                for i, scores in _scores(model, vectors, _stacked(packed, len(ids))):
+                    reach = np.flatnonzero(scores >= least[i])
+                    if len(reach):
+                        s, c = np.concatenate([best[i][0], scores[reach]]), np.concatenate([best[i][1], ids[reach]])
+                        top = _best(s, c, depth)
+                        best[i] = s[top], c[top]
+        for i, (s, c) in enumerate(best):
+            if len(s):
+                yield pd.DataFrame({"query_id": names[i], "cls": c, "approx": s})
+
+    # `one` is the same in all rows: a join with a single broadcast row of bounded size
+    meets = codes.join(F.broadcast(block), "one").select("ids", "codes", "query_ids", "q")
+    return meets.mapInPandas(scan, "query_id bigint, cls bigint, approx float")
+
+
+def _best_of(found: DataFrame, n: int) -> DataFrame:
+    order = W.partitionBy("query_id").orderBy(F.desc("approx"), "cls")
+    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
+
+
+def _candidates(model: Quantiser, classes: DataFrame, queries: DataFrame, k: int, rerank: int, exact: bool) -> DataFrame:
+    """query_id, cls of the codes to rank exactly."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), ROW_BLOCK):
                 part = pdf.iloc[at : at + ROW_BLOCK]
-                codes = model.encode(np.stack(part["v"].tolist()))
-                ids = part["cls"].to_numpy(np.int64)
-                yield pd.DataFrame({"salt": [int(ids[0])], "ids": [ids.tobytes()], "codes": [codes.tobytes()]})
+                packed = model.encode(np.stack(part["v"].tolist()))
+                yield pd.DataFrame({"one": [0], "first": part["cls"].iloc[:1], "ids": [part["cls"].to_numpy(np.int64).tobytes()], "codes": [packed.tobytes()]})
 
-    blocks = classes.select("cls", "v").mapInPandas(pack, "salt bigint, ids binary, codes binary")
-    blocks = blocks.withColumn("salt", F.pmod(F.xxhash64("salt"), F.lit(PARTS)).cast("int"))
-    queries = rows.where(is_query)
+    codes = cut(classes.select("cls", "v").mapInPandas(pack, "one int, first bigint, ids binary, codes binary"), "ann-codes")
+    depth = classes.count() if exact else _depth(model, classes, codes, queries, k, rerank)
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    grouped = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int")).groupBy("qb").agg(F.collect_list(F.struct("vec_id", "v")).alias("q"))
-    grouped = grouped.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
-    meets = blocks.withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))).join(grouped.hint("merge"), ["qb", "salt"])
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by (qb, salt): the best of such a part are kept until the next one begins."""
-        part, q, best, vectors = None, [], [], np.zeros((0, 0))
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"qb": pdf["qb"].iloc[:1], "one": [0], "query_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "q": [np.stack(pdf["v"].tolist()).tobytes()]})
 
-        def flush() -> Iterator[pd.DataFrame]:
-            for x, (scores, ids) in zip(q, best):
-                yield pd.DataFrame({"query_id": x["vec_id"], "cls": ids, "approx": scores})
+    numbered = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
+    blocks = cut(numbered.groupBy("qb").applyInPandas(together, "qb int, one int, query_ids binary, q binary"), "ann-queries")
+    sampled = codes.where(F.pmod(F.xxhash64("first"), F.lit(SAMPLED)) == 0)
+    found = []
+    for qb in range(n_blocks):
+        block = blocks.where(F.col("qb") == qb)
+        reached = _best_of(_scanned(model, sampled, block, depth, {}), depth).where(F.col("n") == depth).select("query_id", "approx")
+        bounds = dict(map(tuple, reached.collect()))  # a row per query of a block
+        found.append(cut(_best_of(_scanned(model, codes, block, depth, bounds), depth).select("query_id", "cls"), "ann-found"))
+    total = found[0]
+    for x in found[1:]:
+        total = total.unionByName(x)
+    return total
 
-        for pdf in batches:
-            for qb, salt, ids, codes, queries_ in zip(pdf["qb"], pdf["salt"], pdf["ids"], pdf["codes"], pdf["q"]):
-                if part != (qb, salt):
-                    yield from flush()
-                    part, q = (qb, salt), queries_
-                    vectors = np.stack([np.asarray(x["v"], float) for x in q])
-                    best = [(np.zeros(0, np.float32), np.zeros(0, np.int64))] * len(q)
-                ids = np.frombuffer(ids, np.int64)
-                codes = np.ascontiguousarray(np.frombuffer(codes, np.uint8).reshape(len(ids), -1).T)
-                for at in range(0, len(q), 64):
-                    for i, t in enumerate(model.tables(vectors[at : at + 64]), at):
-                        scores = t[0][codes[0]]
-                        for b in range(1, len(codes)):
-                            scores += t[b][codes[b]]
-                        scores, both = np.concatenate([best[i][0], scores]), np.concatenate([best[i][1], ids])
-                        top = _best(scores, both, rerank)
-                        best[i] = (scores[top], both[top])
-        yield from flush()
-
-    found = meets.select("qb", "salt", "ids", "codes", "q").mapInPandas(scan, "query_id bigint, cls bigint, approx float")
-    top = W.partitionBy("query_id").orderBy(F.desc("approx"), "cls")
-    found = found.withColumn("n", F.row_number().over(top)).where(F.col("n") <= rerank).select("query_id", "cls")
-    exact = found.join(classes, "cls").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+
+def search(embeddings: DataFrame, k: int = K, is_query: Column | None = None, rerank: int = RERANK, exact: bool = False) -> DataFrame:
+    """query_id, rank, vec_id, score of the k nearest other rows found for each query."""
+    spark = embeddings.sparkSession
+    is_query = F.col("vec_id") % 100 == 0 if is_query is None else is_query
+    rows = cut(usable(embeddings).groupBy("vec_id").agg(F.min("v").alias("v")), "ann-rows")
+    out = spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
+    for length in sorted(r[0] for r in rows.where(is_query).select(F.size("v")).distinct().collect()):
+        out = out.unionByName(_nearest(rows.where(F.size("v") == length), k, is_query, rerank, exact))
+    return out
+
+
+def _nearest(rows: DataFrame, k: int, is_query: Column, rerank: int, exact: bool) -> DataFrame:
+    model = fit(rows)
+    # the first ids of each distinct vector; limits of windows apply before the shuffle
+    members = rows.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
+    classes = cut(members.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("cls", F.col("ids")[0]), "ann-classes")
+    queries = rows.where(is_query)
+    found = _candidates(model, classes, queries, k, rerank, exact)
+    ranked = found.join(classes, "cls").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     square = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
-    exact = exact.select("query_id", "cls", "ids", F.sqrt(square).alias("score"))
+    ranked = ranked.select("query_id", "cls", "ids", F.sqrt(square).alias("score"))
     near = W.partitionBy("query_id").orderBy("score", "cls")
-    exact = exact.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 2)
-    each = exact.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+    ranked = ranked.withColumn("n", F.row_number().over(near)).where(F.col("n") <= k + 2)
+    each = ranked.select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     last = W.partitionBy("query_id").orderBy("score", "vec_id")
     return each.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
