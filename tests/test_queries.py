@@ -24,10 +24,22 @@ def test_entry(spark):
     assert set(e.oracle_sql()) <= set(e.queries())
 
 
-def test_whole_queries_read_all_rows(spark):
-    d = f"{DATA}/sf0.01"
-    n = spark.read.parquet(f"{d}/events.parquet").count()
-    assert registry.QUERIES["c19_whole_fill_logs"](spark, d).count() == n > 3000
-    assert registry.QUERIES["c20_j04_whole_transfer_edges"](spark, d).count() == n
-    texts = [r["text"] or "" for r in spark.read.parquet(f"{d}/conversations.parquet").select("text").collect()]
-    assert registry.QUERIES["e25_whole_posexplode"](spark, d).count() == sum(len(t.split(" ")) for t in texts)
+def test_feature_digests(spark):
+    import hashlib
+
+    import numpy as np
+
+    d = f"{DATA}/sf0.001"
+    want = {r["vec_id"]: hashlib.sha256(f"normalization:n1\ndate:2024-01-01\nrow:{r['vec_id']}\n".encode() + np.array(r["embedding"], np.float32).tobytes()).hexdigest() for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    assert {r["vec_id"]: r["digest"] for r in registry.QUERIES["c36_feature_digests"](spark, d).collect()} == want
+
+
+def test_queries_side_by_side_keep_their_tables(spark):
+    """Threads settle their own intermediate tables only."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    d = f"{DATA}/sf0.001"
+    names = ["k01_components", "f38_replay_binding", "k02_k03_component_ids", "a01_b01_json_lines"]
+    with ThreadPoolExecutor(4) as pool:
+        got = list(pool.map(lambda n: sorted(map(tuple, registry.QUERIES[n](spark, d).collect())), names))
+    assert got == [sorted(map(tuple, registry.QUERIES[n](spark, d).collect())) for n in names]

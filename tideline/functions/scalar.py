@@ -247,3 +247,55 @@ def words(data: Column | str) -> Column:
 def last_hex_key(x: Column | str) -> Column:
     """The number of the last 16 hex digits, as a decimal."""
     return F.conv(F.right(col(x), F.lit(16)), 16, 10).cast("decimal(20,0)")
+
+
+def violations(checks: dict[str, Column]) -> Column:
+    """The names of the checks that fail (a null check fails), in their order; an empty array where all hold."""
+    names = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks.items()]
+    return F.filter(F.array(*names), lambda x: x.isNotNull())
+
+
+def state_checks(bid_yes: Column, ask_yes: Column, bid_no: Column, ask_no: Column, depth: Column, seconds: Column) -> dict[str, Column]:
+    """What a market state must fulfil: quotes in [0, 1], no bid above its ask, depth and time left not negative."""
+    quotes = {"yes_bid": bid_yes, "yes_ask": ask_yes, "no_bid": bid_no, "no_ask": ask_no}
+    return {n: c.between(0.0, 1.0) for n, c in quotes.items()} | {"crossed": (bid_yes <= ask_yes) & (bid_no <= ask_no), "depth": depth >= 0, "seconds": seconds >= 0}
+
+
+def signal_checks(probability: Column, flow: Column, confidence: Column) -> dict[str, Column]:
+    return {n: c.between(0.0, 1.0) for n, c in (("probability", probability), ("flow", flow), ("confidence", confidence))}
+
+
+def lenient_list(raw: Column) -> Column:
+    """A JSON array of any items as strings; everything else is an empty array."""
+    return F.coalesce(F.from_json(F.when(F.ltrim(raw).startswith("["), raw), "array<string>"), F.array().cast("array<string>"))
+
+
+def keep_and_regret(mean: Column, utility: Column, temperature: float, wrong_keep: float, missed: float) -> tuple[Column, Column]:
+    """Probability of keeping, and its regret: weighted losses of wrong keeps and of skipped gains."""
+    keep = sigmoid(mean / temperature)
+    return keep, keep * F.greatest(-utility, F.lit(0.0)) * wrong_keep + (1 - keep) * F.greatest(utility, F.lit(0.0)) * missed
+
+
+def fill_horizon(latency: int, wait: int) -> int:
+    """Seconds that a decision's schedule must cover: a fill at the last second counts, intervals are half-open."""
+    if latency < 0 or wait < 0:
+        raise ValueError("latency and wait must not be negative")
+    return latency + wait + 1
+
+
+def row_digest(features: Column, normalization: Column, date: Column, row: Column) -> Column:
+    """SHA-256 of a text head and the raw little-endian 32-bit floats of a feature row."""
+
+    @F.pandas_udf("string")
+    def digest(features, normalization, date, row):
+        import hashlib
+
+        import numpy as np
+        import pandas as pd
+
+        def one(x, n, d, r):
+            return hashlib.sha256(f"normalization:{n}\ndate:{d}\nrow:{r}\n".encode() + np.asarray(x, "<f4").tobytes()).hexdigest()
+
+        return pd.Series([None if x is None else one(x, n, d, r) for x, n, d, r in zip(features, normalization, date, row)], dtype=object)
+
+    return digest(features, normalization, date, row)

@@ -16,7 +16,7 @@ from tideline.operators import asof, running
 from tideline.operators.order import ORDER, keyed
 from tideline.operators.order import running as upto
 
-#: Seconds of a day, half-lives of markets and components.
+#: Seconds of a day, half-lives of markets and components; and, in _columns(), the order of the features.
 DAY = 86_400
 MARKET_LIVES, COMPONENT_LIVES = (300, 3600, 21_600, 86_400, 604_800), (3600, 86_400, 604_800)
 ACTOR = ["maker_fills", "taker_fills", "buy_fills", "sell_fills", "buy_notional", "sell_notional", "counterparties", "assets", "price_sum", "price_square"]
@@ -44,13 +44,13 @@ def _wallet(t: DataFrame) -> DataFrame:
 def _universe(t: DataFrame) -> DataFrame:
     """Counts, sums, sketches of markets and components, gap and age over the whole ledger."""
     for item in ("market_id", "component_id"):
-        t = t.withColumn("_h", running.register_rank(F.col(item).cast("bigint"))).withColumn("_reg", F.col("_h.register")).withColumn("_rank", F.col("_h.rank")).drop("_h")
+        # only the first trade of an item can raise a register; raises are few, whatever the ledger: registers * ranks
+        firsts = t.groupBy(item).agg(F.min(F.struct(*ORDER)).alias("_f")).select("_f.*", running.register_rank(F.col(item).cast("bigint")).alias("_h"))
+        firsts = firsts.select(*ORDER, F.col("_h.register").alias("_reg"), F.col("_h.rank").alias("_rank"))
         before = W.partitionBy("_reg").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
-        # rows that raise a register are few; the running maximum of a register needs the first row of each item only
-        t = t.withColumn("_old", F.coalesce(F.max("_rank").over(before), F.lit(0)))
-        up = F.col("_rank") > F.col("_old")
-        t = t.withColumn(f"_ds_{item}", F.when(up, F.pow(F.lit(2.0), -F.col("_rank")) - F.pow(F.lit(2.0), -F.col("_old"))).otherwise(0.0))
-        t = t.withColumn(f"_dz_{item}", F.when(up & (F.col("_old") == 0), -1).otherwise(0)).drop("_reg", "_rank", "_old")
+        raised = firsts.withColumn("_old", F.coalesce(F.max("_rank").over(before), F.lit(0))).where(F.col("_rank") > F.col("_old"))
+        raised = raised.select("trade_id", (F.pow(F.lit(2.0), -F.col("_rank")) - F.pow(F.lit(2.0), -F.col("_old"))).alias(f"_ds_{item}"), F.when(F.col("_old") == 0, -1).otherwise(0).alias(f"_dz_{item}"))
+        t = t.join(F.broadcast(raised), "trade_id", "left").fillna({f"_ds_{item}": 0.0, f"_dz_{item}": 0})
     n, day = F.col("notional_usd"), F.floor(F.col("timestamp_unix") / DAY)
     sums = {"u_count": F.lit(1), "u_notional": n, "u_pn": F.col("p0") * n, "u_ppn": F.col("p0") * F.col("p0") * n, "u_signed": F.col("direction") * n, "u_buy": F.when(F.col("side") == "BUY", n).otherwise(0.0)}
     sums |= {f"u_{k}_{item}": F.col(f"_{k}_{item}") for k in ("ds", "dz") for item in ("market_id", "component_id")}

@@ -113,3 +113,25 @@ def infer_schedule(receipts: DataFrame, curves: Sequence[tuple[str, int]], rates
     best = by.groupBy(key).agg(F.min_by(F.struct("formula", "exponent", "rate"), F.struct("total", "formula", "exponent", "rate")).alias("b"), F.sort_array(F.collect_list("total")).alias("t"))
     clear = (F.size("t") == 1) | (F.get("t", F.lit(1)) > F.get("t", F.lit(0)))
     return best.select(key, *(F.when(clear, F.col(f"b.{n}")).alias(n) for n in ("formula", "exponent", "rate")))
+
+
+def active_fills(logs: DataFrame, refunds: DataFrame, key: str = "transaction_hash") -> DataFrame:
+    """One row per receipt: the active taker fill with its refund-adjusted fee, and why there is none.
+
+    logs(key, succeeded, order_hash, active, protocol, side, price, fee_raw): the fills of the wanted tokens
+    by known exchanges, `active` where the exchange itself is the taker; refunds(key, order_hash, refunded
+    _raw). A receipt has a fill only if it succeeded, exactly one fill is active and its price is in (0, 1);
+    `problem` says otherwise. The fee is the refund's amount where the order has one.
+    """
+    last = refunds.groupBy(key, "order_hash").agg(F.max("refunded_raw").alias("refunded_raw"))
+    one = F.struct("order_hash", "protocol", "side", "price", "fee_raw", "refunded_raw")
+    by = logs.join(last, [key, "order_hash"], "left").groupBy(key).agg(
+        F.min("succeeded").alias("ok"), F.count_if(F.col("active")).alias("n_active"), F.count("*").alias("n_fills"), F.max(F.when(F.col("active"), one)).alias("f")
+    )
+    problem = F.when(~F.col("ok"), "failed").when(F.col("n_active") != 1, "active").when(~((F.col("f.price") > 0) & (F.col("f.price") < 1)), "price")
+    asset = F.when((F.col("f.protocol") == "v1") & (F.col("f.side") == "BUY"), "OUTCOME").otherwise("COLLATERAL")
+    good = {
+        "order_hash": F.col("f.order_hash"), "fee_asset": asset, "fee_raw": F.coalesce("f.refunded_raw", "f.fee_raw"), "refunded": F.col("f.refunded_raw").isNotNull(),
+        "maker_fills": F.greatest(F.lit(1), F.col("n_fills") - 1).cast("bigint"),
+    }
+    return by.select(key, problem.alias("problem"), *(F.when(problem.isNull(), v).alias(k) for k, v in good.items()))

@@ -111,5 +111,5 @@ def time_partition(df: DataFrame, component: str, ts: str, fraction: float) -> D
     by = df.groupBy(component).agg(F.max(ts).alias("anchor"))
     n = by.count()
     k = min(n - 1, max(1, int(n * fraction))) if n > 1 else n
-    place = F.row_number().over(W.orderBy("anchor", component))  # one row per component
-    return by.withColumn("_n", place).withColumn("side", F.when(F.col("_n") <= k, "fit").otherwise("selection")).drop("_n")
+    placed = global_rank(by, ["anchor", component], F.floor(F.col("anchor") / 86_400))
+    return placed.withColumn("side", F.when(F.col("rank") < k, "fit").otherwise("selection")).drop("rank")

@@ -11,13 +11,14 @@ QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    """Registers a query under its function's name, with the SQL that gives the same rows."""
+def query(sql: str | None = None, also: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query under its function's name (and another), with the SQL that gives the same rows."""
 
     def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
+        for name in (f.__name__, *([also] if also else ())):
+            QUERIES[name] = f
+            if sql:
+                SQL[name] = sql
         return f
 
     return register

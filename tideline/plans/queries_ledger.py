@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -145,15 +143,18 @@ def h10_stride_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SEQ = f"""{EV}, {ORIENTED}, r AS (SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY timestamp_unix, trade_id) AS n FROM o),
-a AS (SELECT market_id, n AS anchor FROM r WHERE n >= 64 AND n % 64 = 0),
+a AS (SELECT market_id, n AS anchor FROM r WHERE n >= 128 AND (n - 128) % 32 = 0),
 s AS (SELECT r.*, a.anchor, r.n - (a.anchor - 64) - 1 AS i FROM a JOIN r ON r.market_id = a.market_id AND r.n > a.anchor - 64 AND r.n <= a.anchor)"""
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last 64 trades at every 64th trade of a market, numbered i = 0..63."""
+    """The last 64 trades at each anchor of h10 (from trade 128 on, every 32nd), numbered i = 0..63: every
+    trade goes to the two anchors that cover it, so there is no range join."""
     t = oriented(trades_ev(spark, sf_dir)).withColumn("n", F.row_number().over(order.keyed("market_id")).cast("bigint"))
-    t = t.withColumn("anchor", F.ceil(F.col("n") / 64) * 64).withColumn("last", F.max("n").over(W.partitionBy("market_id"))).where("anchor <= last")
-    return t.withColumn("i", (F.col("n") - 1) % 64)
+    t = t.withColumn("last", F.max("n").over(W.partitionBy("market_id")))
+    next_ = (F.ceil(F.col("n") / 32) * 32).cast("bigint")
+    t = t.withColumn("anchor", F.explode(F.array(next_, next_ + 32))).where("anchor >= 128 and anchor <= last")
+    return t.withColumn("i", F.col("n") - F.col("anchor") + 63)
 
 
 @query(_SEQ + """ SELECT market_id, anchor, i, round(least(count(*) OVER p / 64.0, 1), 9) AS prior_count, round(least(coalesce(sum(notional_usd) OVER p, 0) / greatest(sum(notional_usd) OVER t, 1), 1), 9) AS prior_share,
@@ -196,17 +197,34 @@ def g04_running_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running.running_distinct(trades_ev(spark, sf_dir), "market_id", "wallet_id", "wallets").select("trade_id", "wallets")
 
 
-@query()
+def _mixed_sql(source: str, x: str) -> str:
+    """CTEs m0 .. m3: the source's columns and h, splitmix64 of x."""
+    product = "CAST((xor(z, z >> {}) ::UHUGEINT * {}::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT)"
+    return (
+        f"m0 AS (SELECT *, CAST(({x} + 11400714819323198485::UHUGEINT) % 18446744073709551616::UHUGEINT AS UBIGINT) AS z FROM {source}), m1 AS (SELECT * REPLACE ({product.format(30, 13787848793156543929)} AS z) FROM m0), "
+        f"m2 AS (SELECT * REPLACE ({product.format(27, 10723151780598845931)} AS z) FROM m1), m3 AS (SELECT *, xor(z, z >> 31) AS h FROM m2), "
+        "ranked AS (SELECT *, h & 63 AS reg, 59 - CASE WHEN h >> 6 = 0 THEN 0 ELSE length(bin(h >> 6)) END AS rank FROM m3)"
+    )
+
+
+def _estimate_sql(s: str, zeros: str) -> str:
+    return f"CASE WHEN {zeros} > 0 AND 0.709 * 4096 / {s} <= 160 THEN 64 * ln(64.0 / greatest({zeros}, 1)) ELSE 0.709 * 4096 / {s} END"
+
+
+@query(f"""{EV}, {_mixed_sql('trades', 'wallet_id::UHUGEINT')}, o AS (SELECT *, coalesce(max(rank) OVER (PARTITION BY market_id, reg ORDER BY timestamp_unix, trade_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS old FROM ranked),
+d AS (SELECT trade_id, 64 + sum(CASE WHEN rank > old THEN pow(2.0, -rank) - pow(2.0, -old) ELSE 0 END) OVER w AS s, 64 - sum(CASE WHEN old = 0 THEN 1 ELSE 0 END) OVER w AS zeros FROM o WINDOW w AS (PARTITION BY market_id {UPTO}))
+SELECT trade_id, round({_estimate_sql('s', 'zeros')}, 6) AS estimate FROM d""")
 def g02_g04_running_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return running.running_sketch(trades_ev(spark, sf_dir), "market_id", "wallet_id", "estimate").select("trade_id", F.round("estimate", 6).alias("estimate"))
 
 
-@query()
+@query(f"""{LI}, {_mixed_sql('trades', 'wallet_id::UHUGEINT')}, r AS (SELECT market_id, reg, max(rank) AS rank FROM ranked GROUP BY ALL), d AS (SELECT market_id, 64 - count(*) + sum(pow(2.0, -rank)) AS s, 64 - count(*) AS zeros FROM r GROUP BY 1)
+SELECT market_id, round({_estimate_sql('s', 'zeros')}, 6) AS estimate FROM d""")
 def g02_g03_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return running.sketch_distinct(trades_li(spark, sf_dir), "market_id", "wallet_id")
+    return running.sketch_distinct(trades_li(spark, sf_dir), "market_id", "wallet_id").withColumn("estimate", F.round("estimate", 6))
 
 
-@query()
+@query(f"{LI}, c AS (SELECT DISTINCT component_id FROM trades), {_mixed_sql('c', '(component_id + 17)::UHUGEINT')} SELECT component_id, CAST(h % 5 AS BIGINT) AS fold FROM m3")
 def g01_g05_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = trades_li(spark, sf_dir).select("component_id").distinct()
     return c.select("component_id", running.fold_of("component_id", 17, 5).alias("fold"))
@@ -348,16 +366,9 @@ def history_cut(t: DataFrame, most: int = 16) -> DataFrame:
     return rows.select("trade_id", "n", F.round("mean_size", 6).alias("mean_size"), "oldest")
 
 
-@query(f"""{EV}, a AS (SELECT wallet_id, trade_id, timestamp_unix FROM trades WHERE trade_id % 50 = 0), h AS (SELECT a.trade_id, t.size, t.timestamp_unix AS ht, row_number() OVER (PARTITION BY a.trade_id ORDER BY t.timestamp_unix DESC, t.trade_id DESC) AS k
-FROM a JOIN trades t ON t.wallet_id = a.wallet_id AND t.timestamp_unix < a.timestamp_unix) SELECT trade_id, count(*) AS n, round(avg(size), 6) AS mean_size, min(ht) AS oldest FROM h WHERE k <= 16 GROUP BY 1""")
-def e12_history_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """history_cut() of every 50th trade, as its SQL has it."""
-    return history_cut(trades_ev(spark, sf_dir)).where("trade_id % 50 = 0")
-
-
 @query(f"""{EV}, h AS (SELECT a.trade_id, t.size, t.timestamp_unix AS ht, row_number() OVER (PARTITION BY a.trade_id ORDER BY t.timestamp_unix DESC, t.trade_id DESC) AS k
-FROM trades a JOIN trades t ON t.wallet_id = a.wallet_id AND t.timestamp_unix < a.timestamp_unix) SELECT trade_id, count(*) AS n, round(avg(size), 6) AS mean_size, min(ht) AS oldest FROM h WHERE k <= 16 GROUP BY 1""")
-def e12_whole_history_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+FROM trades a JOIN trades t ON t.wallet_id = a.wallet_id AND t.timestamp_unix < a.timestamp_unix) SELECT trade_id, count(*) AS n, round(avg(size), 6) AS mean_size, min(ht) AS oldest FROM h WHERE k <= 16 GROUP BY 1""", also="e12_whole_history_cut")
+def e12_history_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     """history_cut() of every trade."""
     return history_cut(trades_ev(spark, sf_dir))
 
@@ -387,21 +398,12 @@ def e24_prior_donor(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asof.last_of_other(trades_ev(spark, sf_dir), "wallet_id", "market_id", "trade_id", order.ORDER).select("trade_id", "donor")
 
 
-def _words(spark: SparkSession, sf_dir: str, of: Callable[[Column], Column]) -> DataFrame:
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    w = of(F.split(F.coalesce("text", F.lit("")), " ", -1))
-    return c.select("conv_id", "turn", "role", F.posexplode(w).alias("i", "word")).withColumn("i", F.col("i").cast("bigint"))
-
-
-@query("SELECT conv_id, turn, role, i - 1 AS i, word FROM (SELECT conv_id, turn, role, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM (SELECT *, string_split(coalesce(text, ''), ' ')[1:3] AS w FROM conversations))")
+@query("SELECT conv_id, turn, role, i - 1 AS i, word FROM (SELECT conv_id, turn, role, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM (SELECT *, string_split(coalesce(text, ''), ' ') AS w FROM conversations))", also="e25_whole_posexplode")
 def e25_posexplode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _words(spark, sf_dir, lambda w: F.slice(w, 1, 3))
-
-
-@query("SELECT conv_id, turn, role, i - 1 AS i, word FROM (SELECT conv_id, turn, role, generate_subscripts(w, 1) AS i, unnest(w) AS word FROM (SELECT *, string_split(coalesce(text, ''), ' ') AS w FROM conversations))")
-def e25_whole_posexplode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every word of every text, where e25_posexplode has the first three."""
-    return _words(spark, sf_dir, lambda w: w)
+    """Every word of every text with its place."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    words = F.split(F.coalesce("text", F.lit("")), " ", -1)
+    return c.select("conv_id", "turn", "role", F.posexplode(words).alias("i", "word")).withColumn("i", F.col("i").cast("bigint"))
 
 
 @query(f"{EV}, a AS (SELECT wallet_id AS k, count(*) AS c FROM trades WHERE market_id < 5 GROUP BY 1), b AS (SELECT wallet_id AS k, count(*) AS c FROM trades WHERE market_id > 14 GROUP BY 1) SELECT count(*) FILTER (WHERE a.c IS NOT NULL AND b.c IS NOT NULL) AS matched, count(*) FILTER (WHERE b.c IS NULL) AS only_left, count(*) FILTER (WHERE a.c IS NULL) AS only_right, count(*) FILTER (WHERE a.c > 1) AS repeated_left, count(*) FILTER (WHERE b.c > 1) AS repeated_right FROM a FULL JOIN b USING (k)")
@@ -420,40 +422,31 @@ def e01_e03_e07_nested_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- graph and splits ---------------------------------------------------------------------------
 
-_EDGES = "edges AS (SELECT DISTINCT l_partkey AS a, 1000000 + l_suppkey * 10000 + CAST(date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) // 200 AS b FROM lineitem WHERE l_quantity >= 49 AND l_linenumber = 1)"
+_EDGES = "edges AS (SELECT DISTINCT l_partkey AS a, 1000000 + l_suppkey * 10000 + CAST(date_diff('day', DATE '1990-01-01', CAST(l_shipdate AS DATE)) AS BIGINT) // 200 AS b FROM lineitem)"
 
 
-def _edges(spark: SparkSession, sf_dir: str, lines: str = "l_quantity >= 49 and l_linenumber = 1") -> DataFrame:
-    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where(lines)
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and, of every line, the event of its supplier and period."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     days = F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date"))
     return li.select(F.col("l_partkey").alias("a"), (1000000 + F.col("l_suppkey") * 10000 + F.floor(days / 200)).alias("b")).distinct()
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT a AS node, a AS seen FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.seen = e.a)
-SELECT node, min(seen) AS component FROM reach GROUP BY node""")
-def k01_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components.connected_components(_edges(spark, sf_dir), "a", "b").select("node", "component")
+_COMPONENTS = f"""WITH RECURSIVE {_EDGES}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), c(node, component) USING KEY (node) AS (SELECT DISTINCT a AS node, a AS component FROM both_ways
+  UNION (SELECT e.a, min(x.component) FROM c x JOIN both_ways e ON e.b = x.node JOIN recurring.c o ON o.node = e.a WHERE x.component < o.component GROUP BY e.a))"""
 
 
-@query()
-def k01_whole_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the edges of all lines, where k01_components has few; a recursive SQL would pair all nodes."""
-    return components.connected_components(_edges(spark, sf_dir, "true"), "a", "b").select("node", "component")
+@query(f"{_COMPONENTS} SELECT node, component FROM c", also="k01_whole_components")
+def k01_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components.connected_components(_edges(spark, sf_dir), "a", "b").select("node", "component")
 
 
-@query(f"""WITH RECURSIVE {_EDGES}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), reach AS (SELECT a AS node, a AS seen FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON r.seen = e.a),
-c AS (SELECT node, min(seen) AS component FROM reach GROUP BY node), parts AS (SELECT component, string_agg(CAST(node AS VARCHAR), chr(10) ORDER BY CAST(node AS VARCHAR)) AS m, count(*) AS n FROM c GROUP BY component)
-SELECT p_partkey, coalesce(sha256('event-component-v1' || chr(10) || parts.m), sha256('orphan-market-v1' || chr(10) || p_partkey)) AS component_id, coalesce(parts.n, 1) AS n_members FROM part LEFT JOIN c ON p_partkey = node LEFT JOIN parts USING (component)""")
+@query(f"""{_COMPONENTS}, parts AS (SELECT component, string_agg(CAST(node AS VARCHAR), chr(10) ORDER BY CAST(node AS VARCHAR)) AS m, count(*) AS n FROM c GROUP BY component)
+SELECT p_partkey, coalesce(sha256('event-component-v1' || chr(10) || parts.m), sha256('orphan-market-v1' || chr(10) || p_partkey)) AS component_id, coalesce(parts.n, 1) AS n_members FROM part LEFT JOIN c ON p_partkey = node LEFT JOIN parts USING (component)""", also="k02_k03_whole_component_ids")
 def k02_k03_component_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _component_ids(spark, sf_dir, _edges(spark, sf_dir))
 
 
-@query()
-def k02_k03_whole_component_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the edges of all lines."""
-    return _component_ids(spark, sf_dir, _edges(spark, sf_dir, "true"))
-
-
 def _component_ids(spark: SparkSession, sf_dir: str, edges: DataFrame) -> DataFrame:
     c = components.connected_components(edges, "a", "b")
     ids = components.stable_ids(c)

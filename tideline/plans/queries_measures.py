@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions import scalar as S
-from tideline.operators import evaluate, fees
+from tideline.operators import evaluate, fees, order
 from tideline.plans.catalog import query
 from tideline.plans.views import DAY, SCHEDULES, START, TRADES_EV, TRADES_LI, schedules, trades_ev, trades_li
 
@@ -135,12 +135,12 @@ def f14_histogram_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT {f}::DOUBLE AS fraction, count(*) AS n, round(sum(outcome_index - price), 4) AS pnl FROM g WHERE k <= ceil(n * {f})" for f in (0.01, 0.05, 0.2)))
 def f27_top_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades_ev(spark, sf_dir)
-    n, out = t.count(), None
-    for f in (0.01, 0.05, 0.2):
-        top = t.orderBy(F.abs(F.col("price") - 0.5).desc(), "trade_id").limit(int(-(-n * f // 1)))
-        row = top.agg(F.lit(f).alias("fraction"), F.count("*").alias("n"), F.round(F.sum(F.col("outcome_index") - F.col("price")), 4).alias("pnl"))
-        out = row if out is None else out.unionByName(row)
-    return out
+    n, gain, fractions = t.count(), F.col("outcome_index") - F.col("price"), (0.01, 0.05, 0.2)
+    t = t.withColumn("far", -F.abs(F.col("price") - 0.5))
+    ranked = order.global_rank(t, ["far", "trade_id"], F.floor(F.col("far") * 100))
+    taken = {f: F.col("rank") < int(-(-n * f // 1)) for f in fractions}
+    rows = F.array(*(F.struct(F.lit(f).alias("fraction"), F.count_if(c).alias("n"), F.round(F.sum(F.when(c, gain)), 4).alias("pnl")) for f, c in taken.items()))
+    return ranked.agg(rows.alias("r")).select(F.inline("r"))
 
 
 @query(f"{EV} SELECT side, count(*) AS n, count(DISTINCT market_id) AS markets, max(timestamp_unix) - min(timestamp_unix) AS span FROM trades GROUP BY side")

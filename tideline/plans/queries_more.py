@@ -108,7 +108,8 @@ def f40_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Out-of-fold bookkeeping: held-out rows, and components left to fit without the inner validation fold."""
     t = trades_li(spark, sf_dir)
     c = t.groupBy("component_id").agg(F.max("timestamp_unix").alias("anchor"))
-    k = c.select("component_id", (F.row_number().over(W.orderBy("anchor", "component_id")) % 5).cast("bigint").alias("fold"))  # one row per component
+    c = order.global_rank(c, ["anchor", "component_id"], F.floor(F.col("anchor") / DAY))
+    k = c.select("component_id", ((F.col("rank") + 1) % 5).cast("bigint").alias("fold"))
     sizes = k.groupBy("fold").agg(F.count("*").alias("m"))
     fit = sizes.alias("a").join(sizes.alias("b"), (F.col("a.fold") != F.col("b.fold")) & ((F.col("a.fold") + 1) % 5 != F.col("b.fold"))).groupBy(F.col("a.fold").alias("fold")).agg(F.sum("b.m").alias("fit_components"))
     return t.join(k, "component_id").groupBy("fold").agg(F.count("*").alias("n"), F.round(F.avg("price"), 6).alias("mean_price")).join(fit, "fold")
@@ -175,30 +176,16 @@ _FILLS = """SELECT i AS log_id, ok AS valid, CASE WHEN ok THEN CASE WHEN i % 2 =
   CASE WHEN ok THEN CAST(i % 10 AS VARCHAR) END AS fee_raw, CASE WHEN ok THEN round(CASE WHEN i % 2 = 0 THEN (i * 3 + 1)::DOUBLE / (i * 5 + 1) ELSE (i * 5 + 1)::DOUBLE / (i * 3 + 1) END, 5) END AS price FROM l"""
 
 
-@query("""WITH l AS (SELECT event_id AS i, user_id AS u, event_id % 11 <> 0 AS ok FROM events WHERE event_id < 3000) SELECT i AS log_id, ok AS valid, CASE WHEN ok THEN CASE WHEN i % 2 = 0 THEN 'BUY' ELSE 'SELL' END END AS side,
-  CASE WHEN ok THEN '0x' || lpad(lower(to_hex(u)), 40, '0') END AS maker, CASE WHEN ok THEN '0x' || lpad(lower(to_hex(u + 1)), 40, '0') END AS taker, CASE WHEN ok THEN CAST(i + 7 AS VARCHAR) END AS token_id,
-  CASE WHEN ok THEN CAST(CASE WHEN i % 2 = 0 THEN i * 3 + 1 ELSE i * 5 + 1 END AS VARCHAR) END AS collateral_raw, CASE WHEN ok THEN CAST(CASE WHEN i % 2 = 0 THEN i * 5 + 1 ELSE i * 3 + 1 END AS VARCHAR) END AS tokens_raw,
-  CASE WHEN ok THEN CAST(i % 10 AS VARCHAR) END AS fee_raw, CASE WHEN ok THEN round(CASE WHEN i % 2 = 0 THEN (i * 3 + 1)::DOUBLE / (i * 5 + 1) ELSE (i * 5 + 1)::DOUBLE / (i * 3 + 1) END, 5) END AS price FROM l""")
+@query(f"WITH l AS (SELECT event_id AS i, user_id AS u, event_id % 11 <> 0 AS ok FROM events) {_FILLS}", also="c19_whole_fill_logs")
 def c19_fill_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = logs.decode_fills(_logs(events(spark, sf_dir).where("event_id < 3000")))
-    return d.withColumn("price", F.round("price", 5))
-
-
-@query(f"WITH l AS (SELECT event_id AS i, user_id AS u, event_id % 11 <> 0 AS ok FROM events) {_FILLS}")
-def c19_whole_fill_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a log, where c19_fill_logs has the first 3000."""
+    """Every event as a log."""
     d = logs.decode_fills(_logs(events(spark, sf_dir)))
     return d.withColumn("price", F.round("price", 5))
 
 
-@query("""WITH l AS (SELECT event_id // 2 AS i, user_id AS u FROM events WHERE event_id < 3000 AND event_id % 2 = 0) SELECT sha256('137|0xab' || i || '|' || i % 5 || '|0xcd') AS edge_id, 'erc20_transfer' AS kind, '0x' || lpad(lower(to_hex(u)), 40, '0') AS source_address, '0x' || lpad(lower(to_hex(u + 1)), 40, '0') AS target_address, CAST(NULL AS VARCHAR) AS token_id, CAST(i AS VARCHAR) AS amount FROM l""")
+@query("""WITH l AS (SELECT event_id AS i, user_id AS u FROM events) SELECT sha256('137|0xab' || i || '|' || i % 5 || '|0xcd') AS edge_id, 'erc20_transfer' AS kind, '0x' || lpad(lower(to_hex(u)), 40, '0') AS source_address, '0x' || lpad(lower(to_hex(u + 1)), 40, '0') AS target_address, CAST(NULL AS VARCHAR) AS token_id, CAST(i AS VARCHAR) AS amount FROM l""", also="c20_j04_whole_transfer_edges")
 def c20_j04_transfer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _transfers(events(spark, sf_dir).where("event_id < 3000 and event_id % 2 = 0").withColumn("i", F.floor(F.col("event_id") / 2)))
-
-
-@query("""WITH l AS (SELECT event_id AS i, user_id AS u FROM events) SELECT sha256('137|0xab' || i || '|' || i % 5 || '|0xcd') AS edge_id, 'erc20_transfer' AS kind, '0x' || lpad(lower(to_hex(u)), 40, '0') AS source_address, '0x' || lpad(lower(to_hex(u + 1)), 40, '0') AS target_address, CAST(NULL AS VARCHAR) AS token_id, CAST(i AS VARCHAR) AS amount FROM l""")
-def c20_j04_whole_transfer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every event as a transfer, where c20_j04_transfer_edges has the even ones of the first 3000."""
+    """Every event as a transfer."""
     return _transfers(events(spark, sf_dir).withColumn("i", F.col("event_id")))
 
 
@@ -208,17 +195,8 @@ def _transfers(e: DataFrame) -> DataFrame:
     return logs.transfer_edges(rows.unionByName(rows))  # an overlapping second scan
 
 
-@query(f"{EV}, s AS (SELECT market_id, n AS start_n, unnest(range(0, 32, 8)) AS offset_ FROM (SELECT market_id, unnest(range(1, count(*) - 30, 64)) AS n FROM trades GROUP BY 1)), r AS (SELECT market_id, price, row_number() OVER (PARTITION BY market_id ORDER BY timestamp_unix, trade_id) AS n FROM trades) SELECT s.market_id, s.start_n, s.offset_ AS \"offset\", round(r.price, 6) AS price FROM s JOIN r ON r.market_id = s.market_id AND r.n = s.start_n + s.offset_")
+@query(f"{EV}, s AS (SELECT market_id, unnest(range(1, count(*) - 126, 64)) AS start_n FROM trades GROUP BY 1), r AS (SELECT market_id, price, row_number() OVER (PARTITION BY market_id ORDER BY timestamp_unix, trade_id) AS n FROM trades) SELECT s.market_id, s.start_n, r.n - s.start_n AS \"offset\", round(r.price, 6) AS price FROM s JOIN r ON r.market_id = s.market_id AND r.n BETWEEN s.start_n AND s.start_n + 127", also="h15_whole_sequences")
 def h15_sliding_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sequences of 32 trades at stride 64, read at offsets 0, 8, 16 and 24: numbering only, no range join."""
-    r = trades_ev(spark, sf_dir).select("market_id", "price", F.row_number().over(order.keyed("market_id")).alias("n"))
-    r = r.withColumn("last", F.max("n").over(W.partitionBy("market_id")))
-    r = r.withColumn("start_n", F.floor((F.col("n") - 1) / 64) * 64 + 1).withColumn("offset", F.col("n") - F.col("start_n"))
-    return r.where("offset < 32 and offset % 8 = 0 and start_n <= last - 31").select("market_id", "start_n", "offset", F.round("price", 6).alias("price"))
-
-
-@query(f"{EV}, s AS (SELECT market_id, unnest(range(1, count(*) - 126, 64)) AS start_n FROM trades GROUP BY 1), r AS (SELECT market_id, price, row_number() OVER (PARTITION BY market_id ORDER BY timestamp_unix, trade_id) AS n FROM trades) SELECT s.market_id, s.start_n, r.n - s.start_n AS \"offset\", round(r.price, 6) AS price FROM s JOIN r ON r.market_id = s.market_id AND r.n BETWEEN s.start_n AND s.start_n + 127")
-def h15_whole_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every position of the overlapping sequences of 128 trades at stride 64."""
     return sequences(trades_ev(spark, sf_dir), 128, 64)
 

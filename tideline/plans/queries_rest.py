@@ -20,12 +20,12 @@ def c16_c37_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""{EV}, s AS (SELECT *, (timestamp_unix - {START}) // {DAY} AS shard, row_number() OVER (PARTITION BY (timestamp_unix - {START}) // {DAY} ORDER BY timestamp_unix, trade_id) - 1 AS stream_row FROM trades),
-d AS (SELECT shard, stream_row, trade_id FROM s WHERE stream_row % 50 = 0) SELECT d.shard, d.stream_row, s.trade_id = d.trade_id AS verified, s.wallet_id, count(*) OVER (PARTITION BY s.wallet_id) AS decisions_of_wallet FROM d JOIN s USING (shard, stream_row)""")
+d AS (SELECT shard, stream_row, trade_id FROM s) SELECT d.shard, d.stream_row, s.trade_id = d.trade_id AS verified, s.wallet_id, count(*) OVER (PARTITION BY s.wallet_id) AS decisions_of_wallet FROM d JOIN s USING (shard, stream_row)""")
 def e08_e19_e22_positional_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cursor rows that point into day shards by row number, joined and verified by trade id."""
+    """Cursor rows (one for every trade) that point into day shards by row number, joined and verified by trade id."""
     t = trades_ev(spark, sf_dir).withColumn("shard", F.floor((F.col("timestamp_unix") - START) / DAY))
     s = t.withColumn("stream_row", (F.row_number().over(W.partitionBy("shard").orderBy(*order.ORDER)) - 1).cast("bigint"))
-    d = s.where("stream_row % 50 = 0").select("shard", "stream_row", F.col("trade_id").alias("evidence"))
+    d = s.select("shard", "stream_row", F.col("trade_id").alias("evidence"))
     j = d.join(s, ["shard", "stream_row"])
     return j.select("shard", "stream_row", (F.col("trade_id") == F.col("evidence")).alias("verified"), "wallet_id", F.count("*").over(W.partitionBy("wallet_id")).alias("decisions_of_wallet"))
 
@@ -111,11 +111,12 @@ def a22_tape_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.groupBy("market_id").agg((F.countDistinct("outcome_index") == 2).alias("two_outcomes"), (F.count("*") - F.countDistinct("trade_id")).alias("repeats"), F.min("timestamp_unix").alias("first_ts"))
 
 
-@query(f"{EV} SELECT market_id, ref, kind FROM (SELECT market_id, trade_id AS ref, 'decision' AS kind FROM trades WHERE trade_id % 10 = 0 UNION SELECT market_id, trade_id, 'order' FROM trades WHERE trade_id % 15 = 0 UNION SELECT market_id, trade_id, 'fill' FROM trades WHERE trade_id % 30 = 0)")
+@query(f"{EV} SELECT market_id, ref, kind FROM (SELECT market_id, trade_id AS ref, 'decision' AS kind FROM trades UNION SELECT market_id, trade_id, 'order' FROM trades WHERE side = 'BUY' UNION SELECT market_id, trade_id, 'fill' FROM trades WHERE side = 'BUY' AND price < 0.5)")
 def l09_replay_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three projections of one pass over the trades."""
     i = F.col("trade_id")
-    kinds = F.filter(F.array(F.when(i % 10 == 0, F.lit("decision")), F.when(i % 15 == 0, F.lit("order")), F.when(i % 30 == 0, F.lit("fill"))), lambda k: k.isNotNull())
+    ordered = F.col("side") == "BUY"
+    kinds = F.filter(F.array(F.lit("decision"), F.when(ordered, F.lit("order")), F.when(ordered & (F.col("price") < 0.5), F.lit("fill"))), lambda k: k.isNotNull())
     return trades_ev(spark, sf_dir).select("market_id", i.alias("ref"), F.explode(kinds).alias("kind")).distinct()
 
 

@@ -72,3 +72,15 @@ def settled_days(files: DataFrame, now_unix: int, quiet_seconds: int = 300) -> D
     today = F.to_date(F.timestamp_seconds(F.lit(now_unix)))
     by = files.groupBy("date").agg(F.max("modified_unix").alias("m"))
     return by.where((F.col("date") < today) & (F.col("m") <= now_unix - quiet_seconds)).select("date")
+
+
+def bound(receipts: DataFrame, recorded: DataFrame) -> DataFrame:
+    """days, n_rows, bound: whether receipts(day, n, sha) still have the totals and the digest chain recorded."""
+
+    def audit(r: DataFrame, suffix: str) -> DataFrame:
+        totals = r.agg(F.count("*").alias(f"days{suffix}"), F.sum("n").cast("bigint").alias(f"n_rows{suffix}"))
+        return totals.join(digest_of(r, "day", "sha").withColumnRenamed("digest", f"digest{suffix}"))  # one row each
+
+    both = audit(receipts, "").join(audit(recorded, "_"))
+    same = (F.col("days") == F.col("days_")) & (F.col("n_rows") == F.col("n_rows_")) & (F.col("digest") == F.col("digest_"))
+    return both.select("days", "n_rows", same.alias("bound"))
