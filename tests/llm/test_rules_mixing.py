@@ -97,3 +97,11 @@ def test_mixing(spark):
 def test_mixing_on_the_table(spark):
     docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
     check_mix(queries.op3_mixing(spark, f"{DATA}/sf0.01").collect(), [tuple(r) for r in docs.select("doc_id", "text", "source").collect()])
+
+
+def test_mixing_of_many_equal_rows(spark):
+    """Rows without ids that are all alike are one item of a chunk, and still rows of their own."""
+    rows = [(None, "a b c d e", "x")] * 3000 + [(i, "w " * (i % 7 + 1), "y") for i in range(500)] + [(None, "", "x")] * 4
+    got = mixing.digest(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter((i, s, len(t.split())) for i, t, s in rows)
+    check_mix(got, rows)

@@ -72,6 +72,17 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return h
 
 
+def _word_hashes(raw: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words [begin, end) of raw, about CHUNK_BYTES of it at a time: a long text needs no more."""
+    out, i = [], 0
+    while i < len(begin):
+        j = max(i + 1, int(np.searchsorted(end, begin[i] + CHUNK_BYTES, side="right")))
+        lo = begin[i]
+        out.append(span_hash(prefix_hash(raw[lo : end[j - 1]]), begin[i:j] - lo, end[i:j] - lo))
+        i = j
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     sizes = np.array([len(t) + 1 for t in texts])
@@ -80,7 +91,7 @@ def shingle_sets(texts: list[bytes]) -> list[np.ndarray]:
     white = np.concatenate([[True], _white[raw]])
     edges = np.flatnonzero(white[1:] != white[:-1])
     begin, end = edges[0::2], edges[1::2]
-    words = span_hash(prefix_hash(raw), begin, end)
+    words = _word_hashes(raw, begin, end)
     of = np.searchsorted(starts, begin, side="right") - 1
     grams = np.zeros(max(0, len(words) - SHINGLE + 1), np.uint64)
     for j in range(SHINGLE):

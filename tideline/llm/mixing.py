@@ -9,8 +9,9 @@ folded again, FAN chunks at a time, up a tree until one per source is left. Fold
 documents, so that this one tends to be small; it is rounded to the nearer side, and a source misses its
 target by half a document at most.
 
-Randomness is a hash of seed and documents: reruns agree. Every row is a document of its own: repeated
-rows draw as equal, interchangeable documents. A null text has size 0 and takes 0 words; a null source
+Randomness is a hash of seed and documents: reruns agree. Every row is a document of its own; rows that are
+equal in id, source and text draw together (of m of them with probability p each, the whole part of m p is
+certain and one keeps the fraction), so any number of repeated rows is one item of a chunk. A null text has size 0 and takes 0 words; a null source
 is a source (last in order). Extra columns are ignored.
 """
 
@@ -30,7 +31,7 @@ SEED = 17
 
 
 def sizes(docs: DataFrame, text: str = "text") -> DataFrame:
-    return docs.select("doc_id", "source", F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("bigint").alias("size"))
+    return docs.select("doc_id", "source", F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("bigint").alias("size"), F.xxhash64(text).alias("mark"))
 
 
 def targets(sized: DataFrame) -> DataFrame:
@@ -94,13 +95,16 @@ def copies(docs: DataFrame) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of docs(doc_id, source, text)."""
     sized = cut(sizes(docs), "mix-sizes")
     goal = cut(targets(sized), "mix-targets")
-    sized = sized.withColumn("h", F.xxhash64(F.lit(SEED), "doc_id", "size"))
+    sized = sized.groupBy("doc_id", "source", "size", "mark").agg(F.count("*").alias("m")).withColumn("h", F.xxhash64(F.lit(SEED), "doc_id", "size", "mark"))
     # one row per source with a text; the optimiser broadcasts it where its size allows
     on = sized["source"].eqNullSafe(goal["source"])
-    rated = sized.join(goal, on, "left").select(sized["doc_id"], sized["source"], "size", "h", "n_docs", F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0)).alias("rate"))
-    rated = rated.withColumn("whole", F.floor("rate").cast("int")).withColumn("p", F.col("rate") - F.col("whole"))
-    fractional = (F.col("p") > 0) & (F.col("size") > 0)
-    out = [rated.where(~fractional).select("doc_id", "source", "size", F.col("whole").alias("copies"))]
+    rated = sized.join(goal, on, "left").select(sized["doc_id"], sized["source"], "size", "h", "m", "n_docs", F.coalesce(F.try_divide("target", F.col("source_size").cast("double")), F.lit(0.0)).alias("rate"))
+    rated = rated.withColumn("whole", F.floor("rate").cast("int")).withColumn("p", F.when(F.col("size") > 0, F.col("m") * (F.col("rate") - F.col("whole"))).otherwise(0.0))
+    rated = rated.withColumn("up", F.floor("p")).withColumn("p", F.col("p") - F.col("up"))
+    fractional = F.col("p") > 0
+    # all rows of a class but the one that keeps the fraction
+    settled = rated.withColumn("k", F.col("m") - fractional.cast("int")).where("k > 0").withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("k"))))
+    out = [settled.select("doc_id", "source", "size", (F.col("whole") + (F.col("i") <= F.col("up")).cast("int")).alias("copies"))]
     chunks = F.ceil(F.col("n_docs") / F.lit(FAN))
     level = rated.where(fractional).select(
         "source", "whole", F.pmod("h", chunks).cast("bigint").alias("chunk"), F.struct("size", "h", "doc_id", "p").alias("item")
