@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -92,6 +93,16 @@ def test_token_counts(spark, reference_ids):
     assert {r["doc_id"]: r["n_tokens"] for r in queries.op5_token_counts(spark, f"{DATA}/sf0.001").collect()} == {i: len(reference_ids(t)) for i, t in docs}
 
 
+def test_ids_on_random_strings(reference_ids):
+    """Both forms of the vocabulary give the same ids on text of many scripts, spaces and symbols."""
+    rng = random.Random(1)
+    pool = [chr(i) for lo, hi in ((0x20, 0x250), (0x300, 0x370), (0x600, 0x700), (0x900, 0x980), (0x4E00, 0x4F00), (0xAC00, 0xAD00), (0x1F300, 0x1F700), (0x2000, 0x2070), (0x2460, 0x2500)) for i in range(lo, hi)]
+    encode, special = tokens.encoder(), ["<|endoftext|>", "\r\n", "\u00a0", "\u3000", "\x85", "\x1c", "\x00", "'s", "  ", "\t", "123"]
+    for k in range(3000):
+        text = "".join(rng.choice(special if rng.random() < 0.3 else pool if k % 2 else "ab cd12.,'") for _ in range(rng.randint(0, 50)))
+        assert list(encode(text)) == reference_ids(text)
+
+
 def pages(spark):
     page = "<html>" + "body " * 50
     rows = [(5, "http://b.example.com/x?q=1#f", page), (3, "https://www.example.com:443/a", page), (9, "http://example.com/a", page), (9, "http://example.com/a", page), (11, None, None), (12, "", ""), (13, "http://u:p@EXAMPLE.org", "é\r\n\r\nWARC/1.1"),
