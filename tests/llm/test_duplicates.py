@@ -4,7 +4,9 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from compare import DATA
+import pytest
+
+from compare import DATA, assert_same
 from docs_fixture import empty_docs, odd_docs, odd_rows, words
 from tideline.llm import minhash, queries, suffix
 
@@ -161,3 +163,8 @@ def test_repeated_doc_ids_keep_a_defined_row(spark):
     rows = [(1, "one text of five words here"), (1, "another text of five words there"), (2, "x y z")]
     got = [sorted(map(tuple, minhash.deduplicate(spark.createDataFrame(r, "doc_id bigint, text string")).collect())) for r in (rows, rows[::-1])]
     assert got[0] == got[1] and [r[0] for r in got[0]] == [1, 2]
+
+
+@pytest.mark.parametrize("name", ["op4_minhash", "op9_suffixes", "op10_warc"])
+def test_queries_equal_sql(spark, oracle, name):
+    assert_same(queries.QUERIES[name](spark, f"{DATA}/sf0.01"), oracle.sql(queries.SQL[name]))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import ann, minhash, mixing, packing, quality, rules, suffix, token_counts, toxicity, warc
+from tideline.llm import ann, minhash, mixing, packing, quality, rules, sql, suffix, token_counts, toxicity, warc
 from tideline.llm.common import table
 
 
@@ -59,4 +59,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_toxicity, op2_nearest, op3_mixing, op4_minhash, op5_token_counts, op6_quality, op7_packing, op8_rules, rules_ablations, op9_suffixes, op10_warc)
 }
-SQL: dict[str, str] = {"op8_rules": rules.SQL, "rules_ablations": rules.ABLATIONS_SQL}
+SQL: dict[str, str] = {
+    "op4_minhash": sql.NEAR_DUPLICATES, "op8_rules": rules.SQL, "rules_ablations": rules.ABLATIONS_SQL, "op9_suffixes": sql.SUFFIXES, "op10_warc": sql.WARC,
+}
