@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -130,16 +131,21 @@ def d06_tradable(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def f35_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Temperature that minimises the log loss of scaled logits: Newton steps of one aggregate each."""
+    """Temperature that minimises the log loss of scaled logits: Newton steps of two aggregates each, the second
+    one for the best of the halved steps."""
+    z, y = F.col("z"), F.col("y")
     t = trades_ev(spark, sf_dir).select(S.logit("price", 1e-3).alias("z"), F.col("outcome_index").alias("y"))
     b = 1.0
     for _ in range(20):
-        p = 1 / (1 + F.exp(-F.col("z") * b))
-        g, h = t.agg(F.sum((p - F.col("y")) * F.col("z")), F.sum(p * (1 - p) * F.col("z") * F.col("z"))).first()
-        step = g / max(h, 1e-12)
-        b -= step
-        if abs(step) < 1e-9:
+        p = 1 / (1 + F.exp(-z * b))
+        g, h = t.agg(F.sum((p - y) * z), F.sum(p * (1 - p) * z * z)).first()
+        steps = [g / max(h, 1e-12) / 2**k for k in range(12)]
+        # log(1 + exp(x)) without overflow
+        losses = t.agg(*(F.sum(F.greatest(z * c, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z * c))) - y * z * c) for c in (b, *(b - s for s in steps)))).first()
+        best = int(np.argmin(losses))
+        if best == 0 or abs(steps[best - 1]) < 1e-9:
             break
+        b -= steps[best - 1]
     return spark.createDataFrame([(float(b),)], "inverse_temperature double")
 
 
