@@ -11,7 +11,7 @@ from tideline.operators import cursor, fees, order
 from tideline.plans.catalog import query
 from tideline.plans.queries_ledger import EV, LI, _HEART
 from tideline.plans.shared import cut, new_folder
-from tideline.plans.views import DAY, START, trades_ev, trades_li
+from tideline.plans.views import DAY, RESOLUTIONS, SPLITS_SQL, START, resolutions, splits, trades_ev, trades_li
 from tideline.sources import ledgers
 from tideline.streaming import live
 
@@ -164,6 +164,67 @@ def n06_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("""WITH r AS (SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type, value, user_id FROM events), m AS (SELECT DISTINCT k, sha256('market|' || k) AS market_key FROM r WHERE k % 7 <> 0)
+SELECT event_id, m.market_key, concat_ws(',', CASE WHEN m.market_key IS NULL THEN 'market' END, CASE WHEN NOT coalesce(value > 1, false) THEN 'value' END, CASE WHEN NOT coalesce(event_type IN ('purchase', 'click', 'view'), false) THEN 'type' END, CASE WHEN NOT coalesce(user_id % 50 <> 0, false) THEN 'user' END) AS errors FROM r LEFT JOIN m USING (k)""")
+def c02_mapped_trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows with the key their market maps to, and all fields that are wrong by name."""
+    r = _events(spark, sf_dir).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    m = r.where("k % 7 <> 0").select("k").distinct().withColumn("market_key", S.stable_id(F.lit("market"), "k"))
+    checks = {"market": F.col("market_key").isNotNull(), "value": F.col("value") > 1, "type": F.col("event_type").isin("purchase", "click", "view"), "user": F.col("user_id") % 50 != 0}
+    return r.join(m, "k", "left").select("event_id", "market_key", F.array_join(S.violations(checks), ",").alias("errors"))
+
+
+@query(f"{EV}, {RESOLUTIONS}, {SPLITS_SQL}, e AS (SELECT market_id % 6 AS component_id, max(resolution_ts) AS latest, count(*) AS markets FROM resolutions WHERE market_id % 4 <> 0 GROUP BY 1) SELECT component_id, latest, markets, split FROM e LEFT JOIN splits ON latest >= start_ts AND latest < end_ts")
+def l04_event_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of an event is that of its latest eligible resolution; null in an embargo."""
+    r = resolutions(trades_ev(spark, sf_dir)).where("market_id % 4 <> 0").groupBy((F.col("market_id") % 6).alias("component_id")).agg(F.max("resolution_ts").alias("latest"), F.count("*").alias("markets"))
+    return r.join(F.broadcast(splits(spark)), (F.col("latest") >= F.col("start_ts")) & (F.col("latest") < F.col("end_ts")), "left").select("component_id", "latest", "markets", "split")
+
+
+@query("""WITH c AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT 'status' AS kind, o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'priority', o_orderpriority, count(*) FROM orders GROUP BY 2
+UNION ALL SELECT 'lines', CAST(n AS VARCHAR), count(*) FROM c GROUP BY 2 UNION ALL SELECT 'orders', 'all', count(*) FROM orders""")
+def f29_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histograms of statuses and of multiplicities, and the number of sources."""
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    n = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.count("*").alias("n"))
+    values = F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in (("status", F.col("o_orderstatus")), ("priority", F.col("o_orderpriority")), ("orders", F.lit("all")))))
+    return o.select(F.inline(values)).unionByName(n.select(F.lit("lines").alias("kind"), F.col("n").cast("string").alias("value"))).groupBy("kind", "value").agg(F.count("*").alias("n"))
+
+
+@query(f"{EV}, {RESOLUTIONS}, {SPLITS_SQL} SELECT split, count(*) AS n, count(DISTINCT market_id) AS markets, max(resolution_ts - timestamp_unix) AS longest, count(*) FILTER (timestamp_unix > resolution_ts) AS after_close FROM trades JOIN resolutions USING (market_id) LEFT JOIN splits ON timestamp_unix >= start_ts AND timestamp_unix < end_ts GROUP BY 1")
+def f30_horizon_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions by split: how many, of how many markets, and how far before the resolution."""
+    t = trades_ev(spark, sf_dir)
+    j = t.join(resolutions(t), "market_id").join(F.broadcast(splits(spark)), (F.col("timestamp_unix") >= F.col("start_ts")) & (F.col("timestamp_unix") < F.col("end_ts")), "left")
+    wait = F.col("resolution_ts") - F.col("timestamp_unix")
+    return j.groupBy("split").agg(F.count("*").alias("n"), F.countDistinct("market_id").alias("markets"), F.max(wait).alias("longest"), F.count_if(wait < 0).alias("after_close"))
+
+
+@query(f"""{EV}, s AS (SELECT *, (timestamp_unix - {START}) // {DAY} AS shard, row_number() OVER (PARTITION BY (timestamp_unix - {START}) // {DAY} ORDER BY timestamp_unix, trade_id) - 1 AS k FROM trades),
+p AS (SELECT shard, k, market_id + CASE WHEN trade_id % 97 = 0 THEN 1 ELSE 0 END AS market_id, timestamp_unix, price * 0.9 AS predicted FROM s)
+SELECT shard, count(*) AS n, count(*) FILTER (s.market_id <> p.market_id OR s.timestamp_unix <> p.timestamp_unix) AS mismatches, round(avg(predicted), 6) AS mean FROM s JOIN p USING (shard, k) GROUP BY 1""")
+def e21_bound_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions joined to examples by shard and row, with the metadata of both compared."""
+    t = trades_ev(spark, sf_dir).withColumn("shard", F.floor((F.col("timestamp_unix") - START) / DAY))
+    s = t.withColumn("k", F.row_number().over(W.partitionBy("shard").orderBy(*order.ORDER)) - 1)
+    p = s.select("shard", "k", (F.col("market_id") + (F.col("trade_id") % 97 == 0).cast("int")).alias("p_market"), F.col("timestamp_unix").alias("p_ts"), (F.col("price") * 0.9).alias("predicted"))
+    wrong = (F.col("market_id") != F.col("p_market")) | (F.col("timestamp_unix") != F.col("p_ts"))
+    return s.join(p, ["shard", "k"]).groupBy("shard").agg(F.count("*").alias("n"), F.count_if(wrong).alias("mismatches"), F.round(F.avg("predicted"), 6).alias("mean"))
+
+
+@query(f"""{EV}, s AS (SELECT (timestamp_unix - {START}) // {DAY} AS shard, count(*) AS n, count(price) AS prices, count(size) AS sizes, count(*) FILTER (NOT (price > 0 AND price <= 1)) AS bad_prices, count(*) FILTER (size <= 20) AS bad_sizes, count(*) FILTER (side NOT IN ('BUY', 'SELL')) AS bad_codes, sha256(count(*) || '|' || CAST(sum(trade_id) AS BIGINT)) AS sha FROM trades GROUP BY 1)
+SELECT shard, n = prices AND n = sizes AS aligned, bad_prices, bad_sizes, bad_codes, sha = CASE WHEN shard % 10 = 4 THEN sha256(sha) ELSE sha END AS intact FROM s""")
+def f36_shard_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shape, domains and recorded hash of each day's shard; the record of every tenth is wrong."""
+    t = trades_ev(spark, sf_dir).groupBy(F.floor((F.col("timestamp_unix") - START) / DAY).alias("shard")).agg(
+        F.count("*").alias("n"), F.count("price").alias("prices"), F.count("size").alias("sizes"), F.count_if(~((F.col("price") > 0) & (F.col("price") <= 1))).alias("bad_prices"), F.count_if(F.col("size") <= 20).alias("bad_sizes"),
+        F.count_if(~F.col("side").isin("BUY", "SELL")).alias("bad_codes"), F.sum("trade_id").cast("bigint").alias("ids"),
+    )
+    sha = F.sha2(F.concat_ws("|", "n", "ids"), 256)
+    recorded = F.when(F.col("shard") % 10 == 4, F.sha2(sha, 256)).otherwise(sha)
+    return t.select("shard", ((F.col("n") == F.col("prices")) & (F.col("n") == F.col("sizes"))).alias("aligned"), "bad_prices", "bad_sizes", "bad_codes", (sha == recorded).alias("intact"))
+
+
 # --- sources and sinks --------------------------------------------------------------------------
 
 _LINE = "trade_id bigint, timestamp_unix bigint, wallet_id bigint, side string"
