@@ -4,6 +4,7 @@ import math
 from collections import defaultdict
 
 import numpy as np
+import pytest
 
 from compare import DATA
 from tideline.operators import features, running
@@ -107,7 +108,8 @@ def walk(trades, markets, resolutions, actor):
         ]
 
 
-def test_feature_pack_equals_walk(spark):
+@pytest.mark.parametrize("hot", [False, True])
+def test_feature_pack_equals_walk(spark, hot):
     t = trades_ev(spark, f"{DATA}/sf0.001")
     m, r, a = pack_inputs(t)
     res, act = defaultdict(list), defaultdict(list)
@@ -116,9 +118,16 @@ def test_feature_pack_equals_walk(spark):
     for row in a.collect():
         act[row["wallet_id"]].append(row)
     want = dict(walk(t.collect(), m.collect(), res, act))
-    pack = features.feature_pack(t, m, r, a).collect()
+    pack = features.feature_pack(t, m, r, a, hot=hot).collect()
     assert len(pack) == len(want)
     for row in pack:
         got = np.array(row[2:], float)
         bad = np.flatnonzero(np.abs(got - np.array(want[row["trade_id"]], float)) > 2e-4 * np.maximum(1, np.abs(got)))
         assert not len(bad), (row["trade_id"], [(i, got[i], want[row["trade_id"]][i]) for i in bad[:5]])
+
+
+def test_hot_keys_are_told_by_size(spark, monkeypatch):
+    t = trades_ev(spark, f"{DATA}/sf0.001")
+    assert not features.has_hot_key(t)
+    monkeypatch.setattr(features, "HOT_ROWS", 50)
+    assert features.has_hot_key(t)

@@ -1,8 +1,10 @@
 """The causal feature pack: 128 features of every trade from wallet, market, component and universe state.
 
 State includes the trade itself; gaps and the same-market flag look at the trade before. Stages run one
-after another (wallet, market, component), each with one shuffle for all its windows; averages with
-half-lives are scanned per key (the ledger's in chunks of days) and joined by trade_id; universe state is a two-level prefix.
+after another (wallet, market, component), each with one shuffle for all its windows, while the largest key
+has HOT_ROWS trades at most; beyond that all state of keys goes in two levels (key and day, then the totals
+of a key's days before), so no key is one task's work. Averages with half-lives are scanned per key (the
+ledger's, and with hot keys all, in chunks of days) and joined by trade_id; universe state is a two-level prefix.
 """
 
 from __future__ import annotations
@@ -15,10 +17,13 @@ from tideline.functions.scalar import clamp, direction, lifecycle, phase, probab
 from tideline.operators import asof, running
 from tideline.operators.order import ORDER, keyed
 from tideline.operators.order import running as upto
+from tideline.plans.shared import cut
 
 #: Seconds of a day, half-lives of markets and components; and, in _columns(), the order of the features.
 DAY = 86_400
 MARKET_LIVES, COMPONENT_LIVES = (300, 3600, 21_600, 86_400, 604_800), (3600, 86_400, 604_800)
+#: Trades of a key that one task may walk.
+HOT_ROWS = 5_000_000
 ACTOR = ["maker_fills", "taker_fills", "buy_fills", "sell_fills", "buy_notional", "sell_notional", "counterparties", "assets", "price_sum", "price_square"]
 
 
@@ -29,16 +34,42 @@ def actor_deltas(rows: DataFrame) -> DataFrame:
     return rows.withColumns({"price_sum": m * n, "price_square": (s * s + m * m) * n}).select("wallet_id", "available", *ACTOR)
 
 
-def _wallet(t: DataFrame) -> DataFrame:
-    w, one = upto("wallet_id"), keyed("wallet_id")
-    t = running.running_moments(t, "wallet_id", "w")
-    t = t.withColumns({"w_prev": F.lag("market_id").over(one), "w_first": F.row_number().over(one) == 1})
+def _day() -> Column:
+    return F.floor(F.col("timestamp_unix") / DAY)
+
+
+def has_hot_key(trades: DataFrame, keys: tuple[str, ...] = ("wallet_id", "component_id")) -> bool:
+    """Whether a wallet or a component (and so maybe a market) has more than HOT_ROWS trades."""
+    largest = None
+    for key in keys:
+        n = trades.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"))
+        largest = n if largest is None else largest.unionByName(n)
+    return (largest.agg(F.max("n")).first()[0] or 0) > HOT_ROWS
+
+
+def _sums(t: DataFrame, key: str, sums: dict[str, Column], hot: bool) -> DataFrame:
+    if hot:  # every two-level step reads its input twice: it starts from a table, so that plans don't double
+        return running.keyed_prefix(cut(t, "features"), key, _day(), sums)
+    w = upto(key)
+    return t.withColumns({k: F.sum(v).over(w) for k, v in sums.items()})
+
+
+def _moments(t: DataFrame, key: str, prefix: str, hot: bool) -> DataFrame:
+    return running.split_moments(cut(t, "features"), key, prefix, _day()) if hot else running.running_moments(t, key, prefix)
+
+
+def _sketch(t: DataFrame, key: str, item: str, name: str, hot: bool) -> DataFrame:
+    return running.running_sketch(cut(t, "features"), key, item, name, bucket=_day()) if hot else running.running_sketch(t, key, item, name)
+
+
+def _wallet(t: DataFrame, hot: bool) -> DataFrame:
+    t = _moments(t, "wallet_id", "w", hot)
+    t = running.keyed_lag(cut(t, "features"), "wallet_id", _day(), "market_id", "w_prev") if hot else t.withColumn("w_prev", F.lag("market_id").over(keyed("wallet_id")))
+    t = t.withColumn("w_first", F.col("w_count") == 1)
     sign = F.when(F.col("side") == "BUY", 1).otherwise(-1)
     outcome = F.when(F.col("outcome_index") == 0, 1).otherwise(-1)
-    t = t.withColumns({
-        "w_sides": F.sum(sign).over(w), "w_outcomes": F.sum(outcome).over(w), "w_gaps": F.sum("w_gap").over(w), "w_switches": F.sum(F.when(F.col("w_prev") != F.col("market_id"), 1).otherwise(0)).over(w),
-    })
-    return t
+    switch = F.when(F.col("w_prev") != F.col("market_id"), 1).otherwise(0)
+    return _sums(t, "wallet_id", {"w_sides": sign, "w_outcomes": outcome, "w_gaps": F.col("w_gap"), "w_switches": switch}, hot)
 
 
 def _universe(t: DataFrame) -> DataFrame:
@@ -65,17 +96,19 @@ def _universe(t: DataFrame) -> DataFrame:
     return t
 
 
-def feature_pack(trades: DataFrame, markets: DataFrame, resolutions: DataFrame, actor: DataFrame | None = None) -> DataFrame:
+def feature_pack(trades: DataFrame, markets: DataFrame, resolutions: DataFrame, actor: DataFrame | None = None, hot: bool | None = None) -> DataFrame:
     """trade_id, timestamp_unix and the features f_000 .. f_127 of every trade.
 
     markets(market_id, component_id, created, end_ts, neg_risk, unclosed); resolutions(wallet_id,
-    resolution_ts, edge, pnl); actor as actor_deltas() gives it, visible from `available` on.
+    resolution_ts, edge, pnl); actor as actor_deltas() gives it, visible from `available` on. hot: state of
+    keys in two levels; has_hot_key() decides if it is not given.
     """
+    hot = has_hot_key(trades) if hot is None else hot
     t = trades.withColumns({"p0": probability0(), "direction": direction(), "raw": clamp("price", 0.0, 1.0)})
     n, ln = F.col("notional_usd"), F.log1p
 
     # wallets, with resolutions strictly before the trade and actor deltas from their availability on
-    t = _wallet(t)
+    t = _wallet(t, hot)
     t = asof.strict_asof_sums(t, resolutions, "wallet_id", "timestamp_unix", "resolution_ts", {"r_n": F.lit(1), "r_edge": F.col("edge"), "r_pnl": F.col("pnl"), "r_wins": F.when(F.col("pnl") > 0, 1).otherwise(0)}, "trade_id")
     if actor is None:
         t = t.withColumns({f"a_{c}": F.lit(0.0) for c in ACTOR})
@@ -91,15 +124,14 @@ def feature_pack(trades: DataFrame, markets: DataFrame, resolutions: DataFrame,
     t = t.withColumns({f"d{i}": v for i, v in enumerate(embedding)} | {"known": known.cast("double"), "resolved": (F.col("r_n") > 0).cast("double")})
 
     # markets, with notional-weighted moments of the wallets that traded
-    m = upto("market_id")
-    t = running.running_moments(t, "market_id", "m")
-    t = running.running_sketch(t, "market_id", "wallet_id", "m_wallets")
-    moments = {f"s_{c}": F.sum(F.col(c) * n).over(m) for c in (*(f"d{i}" for i in range(7)), "known", "resolved")}
-    moments |= {f"q_d{i}": F.sum(F.col(f"d{i}") * F.col(f"d{i}") * n).over(m) for i in range(4)}
-    t = t.withColumns(moments | {"m_nn": F.sum(n * n).over(m)})
-    t = running.running_moments(t, "component_id", "c")
-    t = running.running_sketch(t, "component_id", "market_id", "c_markets")
-    t = _universe(t)
+    t = _moments(t, "market_id", "m", hot)
+    t = _sketch(t, "market_id", "wallet_id", "m_wallets", hot)
+    moments = {f"s_{c}": F.col(c) * n for c in (*(f"d{i}" for i in range(7)), "known", "resolved")}
+    moments |= {f"q_d{i}": F.col(f"d{i}") * F.col(f"d{i}") * n for i in range(4)}
+    t = _sums(t, "market_id", moments | {"m_nn": n * n}, hot)
+    t = _moments(t, "component_id", "c", hot)
+    t = _sketch(t, "component_id", "market_id", "c_markets", hot)
+    t = _universe(cut(t, "features") if hot else t)
 
     by = markets.groupBy("component_id").agg(F.count("*").alias("k_n"), F.avg(F.col("neg_risk").cast("double")).alias("k_neg"), F.avg(F.col("unclosed").cast("double")).alias("k_open"))
     static = markets.select("market_id", "component_id", "created", "end_ts").join(by, "component_id").drop("component_id")
@@ -107,7 +139,7 @@ def feature_pack(trades: DataFrame, markets: DataFrame, resolutions: DataFrame,
 
     keys = trades.withColumns({"p0": probability0(), "direction": direction()})
     for key, prefix, values, lives in (("market_id", "m", ["p0", "direction"], MARKET_LIVES), ("component_id", "c", ["p0", "direction"], COMPONENT_LIVES), ("one", "u", ["direction"], (DAY,))):
-        scan = running.chunked_ema if key == "one" else running.keyed_ema
+        scan = running.chunked_ema if hot or key == "one" else running.keyed_ema
         e = scan(keys.withColumn("one", F.lit(0)), key, values, lives)
         t = t.join(e.select("trade_id", *(F.col(f"ema_{v}_{h}").alias(f"{prefix}_ema_{v}_{h}") for v in values for h in lives)), "trade_id")
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.scalar import safe_ratio, weighted_std
 from tideline.operators.order import ORDER, keyed, running
-from tideline.plans.shared import partitions
+from tideline.plans.shared import cut, partitions
 
 #: Half-lives in seconds.
 HALF_LIVES = (300, 3600, 21_600, 86_400, 604_800)
@@ -92,6 +92,28 @@ def global_prefix(df: DataFrame, bucket: Column, sums: dict[str, Column], order:
     return df.withColumns({k: F.col(k) + F.col(f"_s_{k}") for k in sums}).drop("_b", *(f"_s_{k}" for k in sums))
 
 
+def keyed_prefix(df: DataFrame, key: str, bucket: Column, sums: dict[str, Column], order: list[str] = ORDER) -> DataFrame:
+    """Running sums of each key in two levels, as global_prefix: a hot key is as many tasks as it has buckets."""
+    df = df.withColumn("_b", bucket)
+    totals = df.groupBy(key, "_b").agg(*(F.sum(v).alias(f"_t_{k}") for k, v in sums.items()))
+    before = W.partitionBy(key).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    shift = totals.select(F.col(key).alias("_k"), F.col("_b").alias("_bb"), *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_s_{k}") for k in sums))
+    inner = W.partitionBy(key, "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    df = df.withColumns({k: F.sum(v).over(inner) for k, v in sums.items()}).join(shift, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_bb")))
+    return df.withColumns({k: F.col(k) + F.col(f"_s_{k}") for k in sums}).drop("_b", "_k", "_bb", *(f"_s_{k}" for k in sums))
+
+
+def keyed_lag(df: DataFrame, key: str, bucket: Column, value: str, name: str, order: list[str] = ORDER) -> DataFrame:
+    """The value of the key's row before, in two levels."""
+    df = df.withColumn("_b", bucket)
+    ends = df.groupBy(key, "_b").agg(F.max_by(value, F.struct(*order)).alias("_end"))
+    before = W.partitionBy(key).orderBy("_b")
+    ends = ends.select(F.col(key).alias("_k"), F.col("_b").alias("_bb"), F.lag("_end").over(before).alias("_end"), F.row_number().over(before).alias("_nb"))
+    one = W.partitionBy(key, "_b").orderBy(*order)
+    df = df.withColumns({"_in": F.lag(value).over(one), "_at": F.row_number().over(one)}).join(ends, (F.col(key) == F.col("_k")) & (F.col("_b") == F.col("_bb")))
+    return df.withColumn(name, F.when(F.col("_at") > 1, F.col("_in")).otherwise(F.col("_end"))).drop("_b", "_k", "_bb", "_end", "_nb", "_in", "_at")
+
+
 def _ema_scan(t: np.ndarray, x: np.ndarray, half_life: float, start: float | None = None, last: int | None = None) -> np.ndarray:
     """s[i] = d s[i-1] + (1 - d) x[i] with d = 2 ** (-dt / half_life); s[0] = x[0] unless there is a start.
 
@@ -267,14 +289,30 @@ def sketch_distinct(df: DataFrame, key: str, item: str) -> DataFrame:
     return by.select(key, estimate(F.col("s") + (REGISTERS - F.col("n")), REGISTERS - F.col("n")).alias("estimate"))
 
 
-def running_sketch(df: DataFrame, key: str, item: str, name: str, order: list[str] = ORDER) -> DataFrame:
-    """The sketch's estimate after each row: only rows that raise a register change it, by a difference."""
+def running_sketch(df: DataFrame, key: str, item: str, name: str, order: list[str] = ORDER, bucket: Column | None = None) -> DataFrame:
+    """The sketch's estimate after each row: only rows that raise a register change it, by a difference.
+
+    With a bucket (as in split_moments) a hot key is as many tasks as it has buckets.
+    """
     df = df.withColumn("_r", register_rank(F.col(item).cast("bigint")))
     df = df.withColumn("_reg", F.col("_r.register")).withColumn("_rank", F.col("_r.rank")).drop("_r")
-    before = W.partitionBy(key, "_reg").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    df = df.withColumn("_old", F.coalesce(F.max("_rank").over(before), F.lit(0)))
+    if bucket is None:
+        before = W.partitionBy(key, "_reg").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        df = df.withColumn("_old", F.coalesce(F.max("_rank").over(before), F.lit(0)))
+    else:
+        df = df.withColumn("_b", bucket)
+        over = W.partitionBy(key, "_reg").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+        tops = df.groupBy(key, "_reg", "_b").agg(F.max("_rank").alias("_top"))
+        tops = tops.select(F.col(key).alias("_k"), F.col("_reg").alias("_kr"), F.col("_b").alias("_bb"), F.max("_top").over(over).alias("_top"))
+        inner = W.partitionBy(key, "_reg", "_b").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+        df = df.withColumn("_in", F.max("_rank").over(inner)).join(tops, (F.col(key) == F.col("_k")) & (F.col("_reg") == F.col("_kr")) & (F.col("_b") == F.col("_bb")))
+        df = df.withColumn("_old", F.coalesce(F.greatest("_in", "_top"), F.lit(0))).drop("_b", "_k", "_kr", "_bb", "_top", "_in")
     up = F.col("_rank") > F.col("_old")
     df = df.withColumn("_ds", F.when(up, F.pow(F.lit(2.0), -F.col("_rank")) - F.pow(F.lit(2.0), -F.col("_old"))).otherwise(0.0))
     df = df.withColumn("_dz", F.when(up & (F.col("_old") == 0), -1).otherwise(0))
-    w = running(key, order=order)
-    return df.withColumn(name, estimate(REGISTERS + F.sum("_ds").over(w), REGISTERS + F.sum("_dz").over(w))).drop("_reg", "_rank", "_old", "_ds", "_dz")
+    if bucket is None:
+        w = running(key, order=order)
+        df = df.withColumns({"_us": F.sum("_ds").over(w), "_uz": F.sum("_dz").over(w)})
+    else:
+        df = keyed_prefix(cut(df, "sketch"), key, bucket, {"_us": F.col("_ds"), "_uz": F.col("_dz")}, order)
+    return df.withColumn(name, estimate(REGISTERS + F.col("_us"), REGISTERS + F.col("_uz"))).drop("_reg", "_rank", "_old", "_ds", "_dz", "_us", "_uz")
