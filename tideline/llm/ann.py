@@ -38,7 +38,7 @@ ETA = 4.0
 WIDTH = 2  # components of a subspace
 RERANK, GUARDED = 300, 64
 ROW_BLOCK, QUERY_BLOCK = 8192, 8192
-SAMPLED = 16
+SAMPLED = 4
 K = 10
 
 
@@ -205,8 +205,11 @@ def _depth(model: Quantiser, classes: DataFrame, codes: DataFrame, queries: Data
     return max(least, 2 * int(np.quantile(counted, 0.99))) if len(counted) else least
 
 
-def _scanned(model: Quantiser, codes: DataFrame, block: DataFrame, depth: int, bounds: dict[int, float]) -> DataFrame:
-    """query_id, cls, approx: of each task, the best codes of each query of block(one, query_ids, q) that reach its bound."""
+def _scanned(model: Quantiser, codes: DataFrame, block: DataFrame, depth: int, bounds: dict[int, float] | None = None) -> DataFrame:
+    """query_id, cls, approx: of each task, the best codes of each query of block(one, query_ids, q) that reach its bound.
+
+    Without bounds: of the first codes of each block, one in SAMPLED; blocks hold classes in no order.
+    """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best: list[tuple[np.ndarray, np.ndarray]] = []
@@ -215,10 +218,13 @@ def _scanned(model: Quantiser, codes: DataFrame, block: DataFrame, depth: int, b
                 if not best:
                     names = np.frombuffer(query, np.int64)
                     vectors = np.frombuffer(q, np.float64).reshape(len(names), -1)
-                    least = np.array([bounds.get(i, -np.inf) for i in names.tolist()], np.float32)
+                    least = np.array([(bounds or {}).get(i, -np.inf) for i in names.tolist()], np.float32)
                     best = [(np.zeros(0, np.float32), np.zeros(0, np.int64))] * len(names)
                 ids = np.frombuffer(ids, np.int64)
-                for i, scores in _scores(model, vectors, _stacked(packed, len(ids))):
+                stacked = _stacked(packed, len(ids))
+                if bounds is None:
+                    ids, stacked = ids[: -(-len(ids) // SAMPLED)], np.ascontiguousarray(stacked[:, : -(-len(ids) // SAMPLED)])
+                for i, scores in _scores(model, vectors, stacked):
                     reach = np.flatnonzero(scores >= least[i])
                     if len(reach):
                         s, c = np.concatenate([best[i][0], scores[reach]]), np.concatenate([best[i][1], ids[reach]])
@@ -246,9 +252,9 @@ def _candidates(model: Quantiser, classes: DataFrame, queries: DataFrame, k: int
             for at in range(0, len(pdf), ROW_BLOCK):
                 part = pdf.iloc[at : at + ROW_BLOCK]
                 packed = model.encode(np.stack(part["v"].tolist()))
-                yield pd.DataFrame({"one": [0], "first": part["cls"].iloc[:1], "ids": [part["cls"].to_numpy(np.int64).tobytes()], "codes": [packed.tobytes()]})
+                yield pd.DataFrame({"one": [0], "ids": [part["cls"].to_numpy(np.int64).tobytes()], "codes": [packed.tobytes()]})
 
-    codes = cut(classes.select("cls", "v").mapInPandas(pack, "one int, first bigint, ids binary, codes binary"), "ann-codes")
+    codes = cut(classes.select("cls", "v").mapInPandas(pack, "one int, ids binary, codes binary"), "ann-codes")
     depth = classes.count() if exact else _depth(model, classes, codes, queries, k, rerank)
     n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
 
@@ -257,11 +263,10 @@ def _candidates(model: Quantiser, classes: DataFrame, queries: DataFrame, k: int
 
     numbered = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
     blocks = cut(numbered.groupBy("qb").applyInPandas(together, "qb int, one int, query_ids binary, q binary"), "ann-queries")
-    sampled = codes.where(F.pmod(F.xxhash64("first"), F.lit(SAMPLED)) == 0)
     found = []
     for qb in range(n_blocks):
         block = blocks.where(F.col("qb") == qb)
-        reached = _best_of(_scanned(model, sampled, block, depth, {}), depth).where(F.col("n") == depth).select("query_id", "approx")
+        reached = _best_of(_scanned(model, codes, block, depth), depth).where(F.col("n") == depth).select("query_id", "approx")
         bounds = dict(map(tuple, reached.collect()))  # a row per query of a block
         found.append(cut(_best_of(_scanned(model, codes, block, depth, bounds), depth).select("query_id", "cls"), "ann-found"))
     total = found[0]
