@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import ann, minhash, mixing, packing, quality, rules, sql, suffix, token_counts, toxicity, warc
+from tideline.llm import ann, exact, importance, minhash, mixing, packing, periodic, quality, rules, sql, suffix, token_counts, toxicity, warc
 from tideline.llm.common import table
 
 
@@ -55,10 +55,22 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html")).drop("html")
 
 
+def op11_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.digest(table(spark, sf_dir, "documents", "doc_id", "text"), table(spark, sf_dir, "benchmark", "text"))
+
+
+def op13_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.digest(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_nearest, op3_mixing, op4_minhash, op5_token_counts, op6_quality, op7_packing, op8_rules, rules_ablations, op9_suffixes, op10_warc)
+    for f in (op1_toxicity, op2_nearest, op3_mixing, op4_minhash, op5_token_counts, op6_quality, op7_packing, op8_rules, rules_ablations, op9_suffixes, op10_warc, op11_periodic, op12_importance, op13_exact)
 }
 SQL: dict[str, str] = {
-    "op4_minhash": sql.NEAR_DUPLICATES, "op8_rules": rules.SQL, "rules_ablations": rules.ABLATIONS_SQL, "op9_suffixes": sql.SUFFIXES, "op10_warc": sql.WARC,
+    "op4_minhash": sql.NEAR_DUPLICATES, "op8_rules": rules.SQL, "rules_ablations": rules.ABLATIONS_SQL, "op9_suffixes": sql.SUFFIXES, "op10_warc": sql.WARC, "op13_exact": sql.EXACT,
 }

@@ -1,4 +1,4 @@
-"""SQL that gives the rows of op4, op9 and op10 on whole tables, for comparison.
+"""SQL that gives the rows of op4, op9, op10 and op13 on whole tables, for comparison.
 
 NEAR_DUPLICATES joins all pairs of documents that share a shingle, SUFFIXES makes a row of every byte: they
 are for small tables.
@@ -60,3 +60,8 @@ WITH p AS (
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to FROM f
 """
+
+EXACT = r"""
+SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, row_number() OVER (t ORDER BY doc_id DESC) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))
+"""
