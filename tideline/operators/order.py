@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.plans.shared import cut, partitions
+
 ORDER = ["timestamp_unix", "trade_id"]
 
 
@@ -47,6 +49,19 @@ def global_rank(df: DataFrame, order: list[str], bucket: Column, name: str = "ra
     return df.withColumn(name, inner).join(shift, "_b").withColumn(name, F.col(name) + F.col("_s")).drop("_b", "_s")
 
 
+def range_rank(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
+    """Rank from 0 in a total order of any columns, without a bucket that fits the data.
+
+    Rows are dealt by ranges of the order, which Spark samples, so hot days or values are cut like all else, and
+    written: ranks are counted inside ranges and shifted by those before. Rows that are equal in `order` are ranked
+    in any order, and should be few.
+    """
+    dealt = cut(df.repartitionByRange(partitions(df.sparkSession), *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)  # one row per range
+    shift = dealt.groupBy("_p").agg(F.count("*").alias("_c")).select("_p", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
+    return dealt.withColumn(name, F.row_number().over(W.partitionBy("_p").orderBy(*order)) - 1).join(F.broadcast(shift), "_p").withColumn(name, F.col(name) + F.col("_s")).drop("_p", "_s")
+
+
 def spread_sample(df: DataFrame, order: list[str], bucket: Column, most: int) -> DataFrame:
     """At most `most` rows, evenly spread along the order: those at floor(i * n / most)."""
     n = df.count()
