@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -82,3 +83,35 @@ def subscription_changes(before: DataFrame, after: DataFrame, key: str = "token_
 def healthy(status: DataFrame, now_ms: int, most_ms: int = 120_000) -> DataFrame:
     """source, healthy: whether its last heartbeat is recent."""
     return status.groupBy("source").agg(F.max("received_at_ms").alias("m")).select("source", (F.lit(now_ms) - F.col("m") <= most_ms).alias("healthy"))
+
+
+def refresh_subscriptions(messages: DataFrame, catalog: Callable[[SparkSession, int], DataFrame], key: str, folder: str, checkpoint: str, at: str = "received_at_ms") -> StreamingQuery:
+    """Reads the catalog anew in every micro-batch and writes what it adds and removes, exactly once.
+
+    catalog(spark, time) gives the keys that are wanted at the batch's last time. Changes go to folder/changes and the
+    keys then subscribed to folder/subscribed, each under batch=<id>: a batch that is run again after a failure starts
+    from the same earlier state and overwrites its own rows only. An empty batch keeps the state.
+    """
+
+    def previous(spark: SparkSession, batch: int) -> DataFrame | None:
+        for b in range(batch - 1, -1, -1):
+            try:
+                return spark.read.parquet(f"{folder}/subscribed/batch={b}").select(key)
+            except AnalysisException as e:
+                if "PATH_NOT_FOUND" not in str(e):
+                    raise
+        return None
+
+    def step(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        latest = df.agg(F.max(at)).first()[0]
+        if latest is None:
+            return
+        wanted = catalog(spark, latest).select(key).where(F.col(key).isNotNull()).distinct()
+        wanted.write.mode("overwrite").parquet(f"{folder}/subscribed/batch={batch}")
+        now = spark.read.parquet(f"{folder}/subscribed/batch={batch}").select(key)
+        before = previous(spark, batch)
+        before = now.where("false") if before is None else before
+        subscription_changes(before, now, key).withColumn("at", F.lit(latest)).write.mode("overwrite").parquet(f"{folder}/changes/batch={batch}")
+
+    return messages.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
