@@ -138,3 +138,58 @@ def test_nearest_on_odd_vectors(spark):
     assert recall(ann.search(df).collect(), v) > 0.9
     assert ann.search(df.limit(0)).count() == 0
     assert ann.search(df.where("vec_id < 4")).count() == 3
+
+
+def test_prefixes_are_not_held_against_names(spark):
+    """Toxic words bring prefixes in that names of peoples share; lists cannot know all such names."""
+    d = f"{DATA}/sf0.1"
+    docs, y = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "toxic")
+    model, plain = toxicity.fit(docs, y), toxicity.fit(docs, y, counterfactual=0)
+    assert model.n_pairs > 1000
+    for mention in ("the moroccan and pathan people are here", "idiotan stupenians trasher lose"):
+        rest = " ".join(w for w in mention.split() if w in ("the", "people", "are", "here", "and"))
+        lift = [m.margin(mention) - m.margin(rest) for m in (model, plain)]
+        assert abs(lift[0]) < 0.5 < 1 < lift[1], (mention, lift)
+    assert model.score("you are all pathetic") > 0.5 > model.score("the moroccan people are here")
+
+
+def test_names_that_could_act():
+    names = dict(toxicity.acting_names({"moron", "^moro", "women", "^path", "pathan"}))
+    assert names["women"] == "people" and {n[:4] for n in names if n != "women"} == {"moro", "path"} and "pathan" not in names
+    assert toxicity.acting_names([]) == [] and toxicity.counterfactuals("some text", []) == []
+
+
+def brute_toxicity(docs, labels):
+    """The same fit from plain lists."""
+    import math
+    import re
+    from collections import Counter
+
+    words = lambda t: set(re.findall(r"\w+", t.lower()))
+    feats = lambda t: words(t) | {"^" + w[:4] for w in words(t) if len(w) > 4}
+    rows = sorted((i, t, y) for i, t in docs for j, y in labels if i == j and zlib.crc32(str(i).encode()) % 3 != 1)
+    pos, n = Counter(f for _, t, y in rows if y for f in feats(t)), Counter(f for _, t, _ in rows for f in feats(t))
+    p1, p0 = sum(y for *_, y in rows), sum(1 - y for *_, y in rows)
+
+    def z(f):
+        p = n[f] / len(rows)
+        return abs(pos[f] / p1 - (n[f] - pos[f]) / p0) / math.sqrt(max(p * (1 - p), 1e-9) * (1 / p1 + 1 / p0))
+
+    live = sorted(f for f in n if n[f] >= 3 and z(f) >= 4.0)
+    number = {f: k for k, f in enumerate(live)}
+    names = toxicity.acting_names(live)
+    x = [np.array(sorted(number[f] for f in feats(t) if f in number), int) for _, t, _ in rows]
+    changes = []
+    for _, t, _ in rows:
+        found = {tuple(tuple(sorted(number[f] for f in side if f in number)) for side in pair) for pair in toxicity.counterfactuals(t, names)} - {((), ())}
+        changes += [(np.array(a, int), np.array(b, int)) for a, b in sorted(found)]
+    w, b = toxicity.train(x, np.array([y for *_, y in rows], float), changes, len(live))
+    return {i: 1 / (1 + math.exp(-(b + sum(w[number[f]] for f in feats(t) if f in number)))) for i, t in docs}
+
+
+def test_toxicity_equals_plain_lists(spark):
+    d = f"{DATA}/sf0.01"
+    docs, y = ([tuple(r) for r in spark.read.parquet(f"{d}/{t}.parquet").select("doc_id", c).collect()] for t, c in (("documents", "text"), ("labels", "toxic")))
+    want = brute_toxicity(docs, y)
+    got = {r["doc_id"]: r["score"] for r in queries.op1_toxicity(spark, d).collect()}
+    assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-9

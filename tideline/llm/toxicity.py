@@ -1,16 +1,21 @@
 """Toxicity: a linear classifier with counterfactual regularisation.
 
-A text is the set of its lower-case words and of the first PREFIX letters of longer words. A logistic
-model is fitted to labelled documents; besides the usual penalty, labelled sentences are compared with their
-counterfactuals, and the squared change of the score's margin is penalised: in a sentence that names a group,
-the term is exchanged for the others of its row and left out; into documents that name none, terms of all
-rows are put, and exchanged for the neutral one and left out. So a group's name cannot carry toxicity by
-itself, and neutral mentions score as the sentence without them, also where the labelled documents at hand
-say little about groups. Model.n_pairs tells how many counterfactuals were compared.
+A text is the set of its lower-case words and of the first PREFIX letters of longer words, which stand for inflections
+that the labelled documents do not show. A logistic model is fitted to labelled documents; besides the usual penalty,
+labelled sentences are compared with their counterfactuals, and the squared change of the score's margin is penalised,
+so that a group's name cannot carry toxicity by itself:
+
+- in a sentence that names a group, the term is exchanged for the others of its row and left out;
+- into sentences of documents that name none, names are put that could change the score: listed terms whose word or
+  prefix is a feature, and for every prefix that is a feature a name of a people made of it (prefix and a suffix of such
+  names). So a prefix that "moron" has brought in cannot be held against the Moroccan, whatever lists of names know.
+
+Only comparisons that touch a feature count; Model.n_pairs says how many did, and fit() warns if there are features and
+none did.
 
 Bound: at most SAMPLE labelled documents (the smallest hashes of doc_id), written once to the shared folder.
-Features are all words and prefixes of these whose document shares in the classes differ significantly, and
-the terms; counted on executors. Scoring reads every word of every text.
+Features are all words and prefixes of these whose document shares in the classes differ significantly; counted on
+executors. Scoring reads every word of every text.
 
 A null or empty text scores by the intercept. Null labels are not learnt from; without labelled rows the
 score is 0.5. A null doc_id is never held out and matches no label. Repeated rows score alike. Extra
@@ -20,8 +25,9 @@ columns are ignored.
 from __future__ import annotations
 
 import re
+import warnings
 import zlib
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -33,14 +39,16 @@ from tideline.llm.common import cut, discard, mark
 SAMPLE = 12_000
 LEAST_DOCS = 3
 #: Standard deviations by which document shares differ at least; chance words stay out even of small samples.
-SIGNIFICANCE = 5.0
+SIGNIFICANCE = 4.0
 PREFIX = 4
 FOLDS, HELD_OUT = 3, 1
 THRESHOLD = 0.7
 COUNTERFACTUAL = 10.0
 RIDGE = 3e-5
-#: Terms that are put into a document which names no group.
+#: Names that are put into a document which names no group.
 INSERTED = 6
+#: Suffixes of names of peoples and adherents (English, French, German, Spanish).
+PEOPLE = ["an", "ian", "ese", "ish", "ite", "i", "ain", "ais", "ois", "ien", "er", "ische", "ano", "ense", "és", "í"]
 #: Rows of exchangeable terms (English, French, German, Spanish); the first of each is neutral.
 IDENTITIES: list[list[str]] = [
     ["person", "woman", "man", "girl", "boy", "lesbian", "immigrant", "refugee", "muslim", "jew", "christian", "hindu", "buddhist", "atheist"],
@@ -67,8 +75,18 @@ def features(text: str) -> set[str]:
     return words | {"^" + w[:PREFIX] for w in words if len(w) > PREFIX}
 
 
-def counterfactuals(text: str) -> list[tuple[frozenset[str], frozenset[str]]]:
-    """For each sentence and exchange: features gained and lost."""
+def acting_names(live: Collection[str]) -> list[tuple[str, str]]:
+    """(name, its neutral term) of the names that could change a score by the features that are live."""
+    named = [(t, row[0]) for t, row in ROW_OF.items() if t != row[0] and features(t) & set(live)]
+    made = []
+    for k, f in enumerate(sorted(f for f in live if f[0] == "^")):
+        names = (f[1:] + PEOPLE[(k + j) % len(PEOPLE)] for j in range(len(PEOPLE)))
+        made += [(n, "people") for n in names if n not in live][:1]
+    return named + made
+
+
+def counterfactuals(text: str, names: Sequence[tuple[str, str]]) -> list[tuple[frozenset[str], frozenset[str]]]:
+    """For each sentence and exchange: features gained and lost. `names` are put into a text that names no group."""
     out, low = [], text.lower()
 
     def compare(before: str, after: str) -> None:
@@ -82,12 +100,12 @@ def counterfactuals(text: str) -> list[tuple[frozenset[str], frozenset[str]]]:
             for other in (*ROW_OF[term], ""):
                 if other != term:
                     compare(sentence, " ".join(other if w == term else w for w in words))
-    if not out and sentences:
-        h, terms = zlib.crc32(low.encode()), list(ROW_OF)
-        for k in range(INSERTED):
-            sentence, term = sentences[(h + k) % len(sentences)], terms[(h // 7 + k * len(terms) // INSERTED) % len(terms)]
-            compare(f"{ROW_OF[term][0]} {sentence}", f"{term} {sentence}")
-            compare(sentence, f"{term} {sentence}")
+    if not out and sentences and names:
+        h = zlib.crc32(low.encode())
+        for k in range(min(INSERTED, len(names))):
+            sentence, (name, neutral) = sentences[(h + k) % len(sentences)], names[(h // 7 + k) % len(names)]
+            compare(f"{neutral} {sentence}", f"{name} {sentence}")
+            compare(sentence, f"{name} {sentence}")
     return [x for x in out if x[0] or x[1]]
 
 
@@ -167,11 +185,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactual
     p = F.col("n") / max(n, 1)
     share = share.where(F.col("n") >= LEAST_DOCS).withColumn("z", gap / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / max(pos, 1.0) + 1 / max(n - pos, 1.0))))
     top = [r["f"] for r in share.where(F.col("z") >= SIGNIFICANCE).orderBy("f").select("f").collect()]
-    number = {f: i for i, f in enumerate(dict.fromkeys([*top, *ROW_OF]))}
+    number = {f: i for i, f in enumerate(top)}
+    names = acting_names(number.keys())
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            swaps = [{(tuple(sorted(number[f] for f in a if f in number)), tuple(sorted(number[f] for f in b if f in number))) for a, b in counterfactuals(t)} for t in pdf["text"]]
+            swaps = [{(tuple(sorted(number[f] for f in a if f in number)), tuple(sorted(number[f] for f in b if f in number))) for a, b in counterfactuals(t, names)} - {((), ())} for t in pdf["text"]]
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "y": pdf["y"], "x": [sorted(number[f] for f in features(t) if f in number) for t in pdf["text"]],
                 "gained": [[list(a) for a, _ in sorted(s)] for s in swaps], "lost": [[list(b) for _, b in sorted(s)] for s in swaps],
@@ -181,6 +200,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, counterfactual
     discard(since)
     rows = rows.sort_values(["doc_id", "y"], kind="stable")
     changes = [(np.asarray(a, int), np.asarray(b, int)) for g, l in zip(rows["gained"], rows["lost"]) for a, b in zip(g, l)]
+    if number and not changes:
+        warnings.warn("no counterfactual touches a feature: the fit is the plain one", stacklevel=2)
     w, b = train([np.asarray(v, int) for v in rows["x"]], rows["y"].to_numpy(), changes, len(number), counterfactual)
     return Model({f: float(w[i]) for f, i in number.items()}, b, len(changes))
 
