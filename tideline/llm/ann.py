@@ -5,15 +5,16 @@ four bits per subspace; they are chosen to minimise |r|^2 + (ETA - 1) (r . x/|x|
 parallel to the vector, which moves high inner products most, costs more than the rest. Codebooks are
 fitted on a bounded sample (TRAIN vectors); every vector is indexed.
 
-A search stores packed codes once. Queries come in blocks of about QUERY_BLOCK; a block (a bounded row) goes
-to the stored codes, so codes are never shuffled: tables for pairs of subspaces scan them where they are.
-One code in SAMPLED gives each query a bound that its best `depth` codes reach, so the whole scan sends
-about SAMPLED * depth candidates a query, however many rows and tasks there are; the best of them are
-ranked by the exact distance in double precision.
+A search stores packed codes once. Queries come in blocks of about QUERY_BLOCK (at most QUERY_BYTES), which each worker
+gets once; codes are never shuffled: tables for pairs of subspaces scan them where they are. One code in SAMPLED
+gives each query a bound that about SLACK * depth of all codes reach, so that many candidates leave the whole scan,
+however many rows and tasks there are, as one row a task and query; all are ranked by the exact distance in double
+precision.
 
 Depth is measured, not fixed: for GUARDED queries the true neighbours are found by brute force, and the
 places of these among all codes are counted. Depth is twice what holds 99 % of them, and RERANK at least;
-so it grows where rows lie closer. With exact=True it is the number of rows, and the search is brute force.
+so it grows where rows lie closer. With exact=True codes are not used: blocks of rows are ranked by their true
+distances, and a task keeps the k + 1 nearest classes of each query.
 
 Equal vectors are searched once: each class has its smallest k + 1 ids, which is all a top-k list can use.
 Vectors of each length are searched by themselves (distance is between vectors of a length). Vectors that
@@ -23,10 +24,12 @@ repeating a vec_id count once (the smallest vector). Extra columns are ignored.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,8 +40,10 @@ TRAIN = 10_000
 ETA = 4.0
 WIDTH = 2  # components of a subspace
 RERANK, GUARDED = 300, 64
-ROW_BLOCK, QUERY_BLOCK = 8192, 8192
-SAMPLED = 4
+ROW_BLOCK, QUERY_BLOCK, QUERY_BYTES = 8192, 8192, 64 << 20
+SAMPLED, SLACK = 4, 1.5
+#: Groups in which sampled scores are combined first.
+GROUPS = 64
 K = 10
 
 
@@ -175,16 +180,16 @@ def _depth(model: Quantiser, classes: DataFrame, codes: DataFrame, queries: Data
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """The k nearest of each task, and their approximate scores."""
-        best = pd.DataFrame({"q": [], "cls": [], "d": [], "approx": []})
+        found = []
         for pdf in batches:
             x, ids = np.stack(pdf["v"].tolist()), pdf["cls"].to_numpy(np.int64)
             packed = np.ascontiguousarray(model.encode(x).T)
             for i, approx in _scores(model, guarded, packed):
                 d = ((x - guarded[i]) ** 2).sum(1)
                 near = _best(-d, ids, k + 1)
-                best = pd.concat([best, pd.DataFrame({"q": i, "cls": ids[near], "d": d[near], "approx": approx[near]})])
-            best = best.sort_values(["q", "d", "cls"]).groupby("q").head(k + 1)
-        yield best.astype({"q": int, "cls": int})
+                found.append(pd.DataFrame({"q": i, "cls": ids[near], "d": d[near], "approx": approx[near]}))
+            found = [pd.concat(found).sort_values(["q", "d", "cls"]).groupby("q").head(k + 1)] if found else []
+        yield from found
 
     order = W.partitionBy("q").orderBy("d", "cls")
     near = classes.select("cls", "v").mapInPandas(nearest, "q int, cls bigint, d double, approx float")
@@ -205,21 +210,29 @@ def _depth(model: Quantiser, classes: DataFrame, codes: DataFrame, queries: Data
     return max(least, 2 * int(np.quantile(counted, 0.99))) if len(counted) else least
 
 
-def _scanned(model: Quantiser, codes: DataFrame, block: DataFrame, depth: int, bounds: dict[int, float] | None = None) -> DataFrame:
-    """query_id, cls, approx: of each task, the best codes of each query of block(one, query_ids, q) that reach its bound.
+def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Ids and vectors of the queries, in blocks that a driver and a worker can hold."""
+    total, width = queries.agg(F.count("*"), F.max(F.size("v"))).first()
+    n = max(1, -(-total // min(QUERY_BLOCK, max(1, QUERY_BYTES // (8 * (width or 1))))))
+    for i in range(n):
+        rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n)) == i).select("vec_id", "v")
+        table = rows.toArrow()  # one block
+        if len(table):
+            yield table.column("vec_id").to_numpy(), table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+
+
+def _scanned(model: Quantiser, codes: DataFrame, block: Broadcast, most: int, bounds: Broadcast | None = None) -> DataFrame:
+    """query_id, part, cls, approx (arrays): of each task, its at most `most` best codes of each query that reach the query's bound.
 
     Without bounds: of the first codes of each block, one in SAMPLED; blocks hold classes in no order.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best: list[tuple[np.ndarray, np.ndarray]] = []
+        names, vectors = block.value
+        least = np.full(len(names), -np.inf, np.float32) if bounds is None else bounds.value
+        best = [(np.zeros(0, np.float32), np.zeros(0, np.int64))] * len(names)
         for pdf in batches:
-            for ids, packed, query, q in zip(pdf["ids"], pdf["codes"], pdf["query_ids"], pdf["q"]):
-                if not best:
-                    names = np.frombuffer(query, np.int64)
-                    vectors = np.frombuffer(q, np.float64).reshape(len(names), -1)
-                    least = np.array([(bounds or {}).get(i, -np.inf) for i in names.tolist()], np.float32)
-                    best = [(np.zeros(0, np.float32), np.zeros(0, np.int64))] * len(names)
+            for ids, packed in zip(pdf["ids"], pdf["codes"]):
                 ids = np.frombuffer(ids, np.int64)
                 stacked = _stacked(packed, len(ids))
                 if bounds is None:
@@ -228,51 +241,80 @@ def _scanned(model: Quantiser, codes: DataFrame, block: DataFrame, depth: int, b
                     reach = np.flatnonzero(scores >= least[i])
                     if len(reach):
                         s, c = np.concatenate([best[i][0], scores[reach]]), np.concatenate([best[i][1], ids[reach]])
-                        top = _best(s, c, depth)
+                        top = _best(s, c, most)
                         best[i] = s[top], c[top]
-        for i, (s, c) in enumerate(best):
-            if len(s):
-                yield pd.DataFrame({"query_id": names[i], "cls": c, "approx": s})
+        part = TaskContext.get().partitionId() % GROUPS
+        found = [i for i, (s, _) in enumerate(best) if len(s)]
+        for lo in range(0, len(found), 256):
+            at = found[lo : lo + 256]
+            yield pd.DataFrame({"query_id": names[at], "part": part, "cls": [best[i][1] if bounds is not None else None for i in at], "approx": [best[i][0] for i in at]})
+
+    return codes.select("ids", "codes").mapInPandas(scan, "query_id bigint, part int, cls array<bigint>, approx array<float>")
 
-    # `one` is the same in all rows: a join with a single broadcast row of bounded size
-    meets = codes.join(F.broadcast(block), "one").select("ids", "codes", "query_ids", "q")
-    return meets.mapInPandas(scan, "query_id bigint, cls bigint, approx float")
 
+def _bounds(scores: DataFrame, names: np.ndarray, rank: int) -> np.ndarray:
+    """The rank-th highest of each query's sampled scores; -inf where there are fewer."""
 
-def _best_of(found: DataFrame, n: int) -> DataFrame:
-    order = W.partitionBy("query_id").orderBy(F.desc("approx"), "cls")
-    return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= n)
+    def top(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.slice(F.sort_array(F.flatten(F.collect_list("approx")), False), 1, rank).alias("approx"))
 
+    reached = top(top(scores, "query_id", "part"), "query_id").where(F.size("approx") == rank).select("query_id", F.element_at("approx", -1).alias("s")).toArrow()  # a row per query of a block
+    bound = dict(zip(reached.column("query_id").to_pylist(), reached.column("s").to_pylist()))
+    return np.array([bound.get(i, -np.inf) for i in names.tolist()], np.float32)
 
-def _candidates(model: Quantiser, classes: DataFrame, queries: DataFrame, k: int, rerank: int, exact: bool) -> DataFrame:
+
+def _candidates(model: Quantiser, classes: DataFrame, queries: DataFrame, k: int, rerank: int) -> DataFrame:
     """query_id, cls of the codes to rank exactly."""
+    context = classes.sparkSession.sparkContext
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), ROW_BLOCK):
                 part = pdf.iloc[at : at + ROW_BLOCK]
                 packed = model.encode(np.stack(part["v"].tolist()))
-                yield pd.DataFrame({"one": [0], "ids": [part["cls"].to_numpy(np.int64).tobytes()], "codes": [packed.tobytes()]})
-
-    codes = cut(classes.select("cls", "v").mapInPandas(pack, "one int, ids binary, codes binary"), "ann-codes")
-    depth = classes.count() if exact else _depth(model, classes, codes, queries, k, rerank)
-    n_blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-
-    def together(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"qb": pdf["qb"].iloc[:1], "one": [0], "query_ids": [pdf["vec_id"].to_numpy(np.int64).tobytes()], "q": [np.stack(pdf["v"].tolist()).tobytes()]})
+                yield pd.DataFrame({"ids": [part["cls"].to_numpy(np.int64).tobytes()], "codes": [packed.tobytes()]})
 
-    numbered = queries.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).cast("int"))
-    blocks = cut(numbered.groupBy("qb").applyInPandas(together, "qb int, one int, query_ids binary, q binary"), "ann-queries")
+    codes = cut(classes.select("cls", "v").mapInPandas(pack, "ids binary, codes binary"), "ann-codes")
+    depth = _depth(model, classes, codes, queries, k, rerank)
+    rank = int(np.ceil(SLACK * depth / SAMPLED))
     found = []
-    for qb in range(n_blocks):
-        block = blocks.where(F.col("qb") == qb)
-        reached = _best_of(_scanned(model, codes, block, depth), depth).where(F.col("n") == depth).select("query_id", "approx")
-        bounds = dict(map(tuple, reached.collect()))  # a row per query of a block
-        found.append(cut(_best_of(_scanned(model, codes, block, depth, bounds), depth).select("query_id", "cls"), "ann-found"))
-    total = found[0]
-    for x in found[1:]:
-        total = total.unionByName(x)
-    return total
+    for names, vectors in _blocks(queries):
+        block = context.broadcast((names, vectors))
+        bounds = context.broadcast(_bounds(_scanned(model, codes, block, rank), names, rank))
+        reached = _scanned(model, codes, block, depth, bounds).select("query_id", F.explode("cls").alias("cls"))
+        found.append(cut(reached, "ann-found"))
+        block.unpersist()
+        bounds.unpersist()
+    return functools.reduce(DataFrame.unionByName, found)
+
+
+def _true_nearest(classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, cls of the k + 1 nearest classes of each query in each task, by their true distances."""
+    context, found = classes.sparkSession.sparkContext, []
+    for names, vectors in _blocks(queries):
+        block = context.broadcast((names, vectors))
+
+        def nearest(batches: Iterator[pd.DataFrame], block: Broadcast = block) -> Iterator[pd.DataFrame]:
+            names, vectors = block.value
+            best = [(np.zeros(0), np.zeros(0, np.int64))] * len(names)
+            for pdf in batches:
+                for at in range(0, len(pdf), ROW_BLOCK):
+                    part = pdf.iloc[at : at + ROW_BLOCK]
+                    x, ids = np.stack(part["v"].tolist()), part["cls"].to_numpy(np.int64)
+                    for i, q in enumerate(vectors):
+                        d, c = np.concatenate([best[i][0], ((x - q) ** 2).sum(1)]), np.concatenate([best[i][1], ids])
+                        if len(d) > k + 1:
+                            # sums are rounded in another order where the result is ranked: near ties stay
+                            near = np.flatnonzero(d <= np.partition(d, k)[k] * (1 + 1e-12))
+                            d, c = d[near], c[near]
+                        best[i] = d, c
+            for name, (_, c) in zip(names, best):
+                if len(c):
+                    yield pd.DataFrame({"query_id": name, "cls": c})
+
+        found.append(cut(classes.select("cls", "v").mapInPandas(nearest, "query_id bigint, cls bigint"), "ann-exact"))
+        block.unpersist()
+    return functools.reduce(DataFrame.unionByName, found)
 
 
 def search(embeddings: DataFrame, k: int = K, is_query: Column | None = None, rerank: int = RERANK, exact: bool = False) -> DataFrame:
@@ -287,12 +329,11 @@ def search(embeddings: DataFrame, k: int = K, is_query: Column | None = None, re
 
 
 def _nearest(rows: DataFrame, k: int, is_query: Column, rerank: int, exact: bool) -> DataFrame:
-    model = fit(rows)
     # the first ids of each distinct vector; limits of windows apply before the shuffle
     members = rows.withColumn("n", F.row_number().over(W.partitionBy("v").orderBy("vec_id"))).where(F.col("n") <= k + 1)
     classes = cut(members.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")).withColumn("cls", F.col("ids")[0]), "ann-classes")
     queries = rows.where(is_query)
-    found = _candidates(model, classes, queries, k, rerank, exact)
+    found = _true_nearest(classes, queries, k) if exact else _candidates(fit(rows), classes, queries, k, rerank)
     ranked = found.join(classes, "cls").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
     square = F.aggregate(F.zip_with("q", "v", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)
     ranked = ranked.select("query_id", "cls", "ids", F.sqrt(square).alias("score"))
