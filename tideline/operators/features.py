@@ -1,23 +1,28 @@
 """The causal feature pack: 128 features of every trade from wallet, market, component and universe state.
 
-State includes the trade itself; gaps and the same-market flag look at the trade before. Stages run one
-after another (wallet, market, component), each with one shuffle for all its windows, while the largest key
-has HOT_ROWS trades at most; beyond that all state of keys goes in two levels (key and day, then the totals
-of a key's days before), so no key is one task's work. Averages with half-lives are scanned per key (the
-ledger's, and with hot keys all, in chunks of days) and joined by trade_id; universe state is a two-level prefix.
+State includes the trade itself; gaps and the same-market flag look at the trade before. While the largest key
+has HOT_ROWS trades at most, three walks over sorted batches give all state: the ledger's by stretches of time, each
+wallet's, each component's with its markets. A walk costs one shuffle, and no result is joined back. Beyond that
+size all state of keys is windows in two levels (key and day, then the totals of a key's days before), and averages
+with half-lives are scanned in chunks of days, so no key is one task's work.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions.scalar import clamp, direction, lifecycle, phase, probability0, safe_ratio, weighted_std
 from tideline.operators import asof, running
-from tideline.operators.order import ORDER, keyed
-from tideline.operators.order import running as upto
-from tideline.plans.shared import cut
+from tideline.operators.order import ORDER
+from tideline.operators.running import _ema_scan
+from tideline.operators.walks import State, Walk, estimate
+from tideline.plans.shared import cut, partitions
 
 #: Seconds of a day, half-lives of markets and components; and, in _columns(), the order of the features.
 DAY = 86_400
@@ -47,29 +52,26 @@ def has_hot_key(trades: DataFrame, keys: tuple[str, ...] = ("wallet_id", "compon
     return (largest.agg(F.max("n")).first()[0] or 0) > HOT_ROWS
 
 
-def _sums(t: DataFrame, key: str, sums: dict[str, Column], hot: bool) -> DataFrame:
-    if hot:  # every two-level step reads its input twice: it starts from a table, so that plans don't double
-        return running.keyed_prefix(cut(t, "features"), key, _day(), sums)
-    w = upto(key)
-    return t.withColumns({k: F.sum(v).over(w) for k, v in sums.items()})
+def _sums(t: DataFrame, key: str, sums: dict[str, Column]) -> DataFrame:
+    # every two-level step reads its input twice: it starts from a table, so that plans don't double
+    return running.keyed_prefix(cut(t, "features"), key, _day(), sums)
 
 
-def _moments(t: DataFrame, key: str, prefix: str, hot: bool) -> DataFrame:
-    return running.split_moments(cut(t, "features"), key, prefix, _day()) if hot else running.running_moments(t, key, prefix)
+def _moments(t: DataFrame, key: str, prefix: str) -> DataFrame:
+    return running.split_moments(cut(t, "features"), key, prefix, _day())
 
 
-def _sketch(t: DataFrame, key: str, item: str, name: str, hot: bool) -> DataFrame:
-    return running.running_sketch(cut(t, "features"), key, item, name, bucket=_day()) if hot else running.running_sketch(t, key, item, name)
+def _sketch(t: DataFrame, key: str, item: str, name: str) -> DataFrame:
+    return running.running_sketch(cut(t, "features"), key, item, name, bucket=_day())
 
 
-def _wallet(t: DataFrame, hot: bool) -> DataFrame:
-    t = _moments(t, "wallet_id", "w", hot)
-    t = running.keyed_lag(cut(t, "features"), "wallet_id", _day(), "market_id", "w_prev") if hot else t.withColumn("w_prev", F.lag("market_id").over(keyed("wallet_id")))
+def _wallet(t: DataFrame) -> DataFrame:
+    t = running.keyed_lag(cut(_moments(t, "wallet_id", "w"), "features"), "wallet_id", _day(), "market_id", "w_prev")
     t = t.withColumn("w_first", F.col("w_count") == 1)
     sign = F.when(F.col("side") == "BUY", 1).otherwise(-1)
     outcome = F.when(F.col("outcome_index") == 0, 1).otherwise(-1)
     switch = F.when(F.col("w_prev") != F.col("market_id"), 1).otherwise(0)
-    return _sums(t, "wallet_id", {"w_sides": sign, "w_outcomes": outcome, "w_gaps": F.col("w_gap"), "w_switches": switch}, hot)
+    return _sums(t, "wallet_id", {"w_sides": sign, "w_outcomes": outcome, "w_gaps": F.col("w_gap"), "w_switches": switch})
 
 
 def _universe(t: DataFrame) -> DataFrame:
@@ -96,19 +98,233 @@ def _universe(t: DataFrame) -> DataFrame:
     return t
 
 
-def feature_pack(trades: DataFrame, markets: DataFrame, resolutions: DataFrame, actor: DataFrame | None = None, hot: bool | None = None) -> DataFrame:
-    """trade_id, timestamp_unix and the features f_000 .. f_127 of every trade.
+# --- keys that a task can hold: one walk for wallets, one for markets and components, one for the ledger ---
 
-    markets(market_id, component_id, created, end_ts, neg_risk, unclosed); resolutions(wallet_id,
-    resolution_ts, edge, pnl); actor as actor_deltas() gives it, visible from `available` on. hot: state of
-    keys in two levels; has_hot_key() decides if it is not given.
+#: Trades of a stretch of time that is walked by itself for the ledger's state.
+STRETCH = 500_000
+SUMS = ["count", "notional", "size", "signed", "buy", "o0", "pn", "ppn", "nn"]
+MEASURES = ["count", "notional", "size", "flow", "side", "outcome", "mean", "std", "min", "max", "gap", "age", "hhi", "velocity"]
+TRADE = ["trade_id", "timestamp_unix", "wallet_id", "market_id", "component_id", "size", "notional_usd", "p0", "raw", "direction", "buy", "o0"]
+RESOLVED = ["r_n", "r_edge", "r_pnl", "r_wins"]
+EMBEDDING = [f"d{i}" for i in range(7)]
+
+
+def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.zeros(len(a)), where=b != 0)
+
+
+def _spread(total: np.ndarray, square: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(_ratio(square, weight) - _ratio(total, weight) ** 2, 0))
+
+
+def _values(b: dict[str, np.ndarray]) -> np.ndarray:
+    """What is summed of each trade, in the order of SUMS."""
+    n, p = b["notional_usd"], b["p0"]
+    return np.stack([np.ones(len(n)), n, b["size"], n * b["direction"], n * b["buy"], n * b["o0"], p * n, p * p * n, n * n], 1)
+
+
+def _measures(out: dict[str, np.ndarray], prefix: str) -> dict[str, np.ndarray]:
+    s = {k: out["sums"][:, i] for i, k in enumerate(SUMS)}
+    n, age = s["notional"], out["age"].astype(float)
+    named = [
+        s["count"], n, s["size"], _ratio(s["signed"], n), _ratio(2 * s["buy"] - n, n), _ratio(2 * s["o0"] - n, n), _ratio(s["pn"], n), _spread(s["pn"], s["ppn"], n), out["low"], out["high"],
+        out["gap"].astype(float), age, _ratio(s["nn"], n * n), n * 86_400 / np.maximum(age, 1),
+    ]
+    return {f"{prefix}_{k}": v for k, v in zip(MEASURES, named)}
+
+
+def _arrays(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
+    return {c: pdf[c].to_numpy() for c in pdf.columns}
+
+
+def _schema(df: DataFrame, columns: Iterable[str]) -> str:
+    return ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields) + "".join(f", {c} double" for c in columns)
+
+
+def _ledger_walk(t: DataFrame) -> DataFrame:
+    """The ledger's own state after each trade: stretches of time are walked side by side from the totals before them."""
+    hour = F.floor(F.col("timestamp_unix") / 3600).cast("bigint")
+    hours = t.groupBy(hour.alias("_h")).agg(F.count("*").alias("n")).orderBy("_h").toPandas()  # a row per hour
+    part = (np.cumsum(hours["n"].to_numpy()) - 1) // STRETCH
+    starts = [int(h) for h, new in zip(hours["_h"], np.diff(part, prepend=-1)) if new]
+    raises = []
+    for item in ("market_id", "component_id"):
+        # only the first trade of an item can raise a register; raises are few, whatever the ledger: registers * ranks
+        firsts = t.groupBy(item).agg(F.min(F.struct(*ORDER)).alias("_f")).select("_f.*", running.register_rank(F.col(item).cast("bigint")).alias("_h")).select(*ORDER, F.col("_h.register").alias("_reg"), F.col("_h.rank").alias("_rank"))
+        before = W.partitionBy("_reg").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
+        raised = firsts.withColumn("_old", F.coalesce(F.max("_rank").over(before), F.lit(0))).where(F.col("_rank") > F.col("_old"))
+        raises.append({r["trade_id"]: (2.0 ** -r["_rank"] - 2.0 ** -r["_old"], -1.0 * (r["_old"] == 0)) for r in raised.collect()})
+    names = [*(f"u_{k}" for k in ("count", "notional", "pn", "ppn", "signed", "buy", "gap", "age", "market_ids", "component_ids")), f"u_ema_direction_{DAY}"]
+
+    def values(b: dict[str, np.ndarray]) -> np.ndarray:
+        n, p = b["notional_usd"], b["p0"]
+        changes = [[r.get(i, (0.0, 0.0)) for i in b["trade_id"].tolist()] for r in raises]
+        return np.concatenate([np.stack([np.ones(len(n)), n, p * n, p * p * n, n * b["direction"], n * b["buy"]], 1), *(np.array(c, float).reshape(len(n), 2) for c in changes)], 1)
+
+    def stretch(pdf: pd.DataFrame) -> np.ndarray:
+        return np.searchsorted(starts, pdf["timestamp_unix"].to_numpy() // 3600, side="right") - 1
+
+    @F.pandas_udf("int")
+    def numbered(ts: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, ts.to_numpy() // 3600, side="right") - 1)
+
+    placed = t.withColumn("_s", numbered("timestamp_unix")).repartition(min(max(1, len(starts)), 4 * partitions(t.sparkSession)), "_s").sortWithinPartitions("_s", *ORDER)
+
+    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Sums, ends and the average's step of each stretch."""
+        held: dict[int, list] = {}
+        for pdf in batches:
+            b, s = _arrays(pdf), stretch(pdf)
+            v, ts, d = values(b), b["timestamp_unix"], b["direction"].astype(float)
+            for k in np.unique(s).tolist():
+                at = s == k
+                now = held.get(k)
+                start, last = (0.0, int(ts[at][0])) if now is None else (now[4], now[2])
+                step = _ema_scan(ts[at], d[at], DAY, start, last)[-1]
+                held[k] = [v[at].sum(0) + (0 if now is None else now[0]), int(ts[at][0]) if now is None else now[1], int(ts[at][-1]), float(d[at][0]) if now is None else now[3], step]
+        for k, (v, a, z, f, step) in held.items():
+            yield pd.DataFrame({"s": [k], "v": [v.tolist()], "a": [a], "z": [z], "f": [f], "e": [step]})
+
+    ends = placed.mapInPandas(totals, "s int, v array<double>, a bigint, z bigint, f double, e double").toPandas().sort_values("s") if len(starts) > 1 else pd.DataFrame()
+    carried: dict[int, State] = {}
+    total, mean, last, first = np.zeros(10), 0.0, None, None
+    total[[6, 7, 8, 9]] = running.REGISTERS
+    for r in ends.itertuples():
+        if last is not None:
+            carried[r.s] = State(total.copy(), np.nan, np.nan, first, last, np.nan, np.array([mean]))
+        # a stretch acts on the state at its first trade as one affine step, whose average starts at its first value
+        start, wait = (r.f, 0) if last is None else (mean, r.a - last)
+        d0, d1 = 2.0 ** (-wait / DAY), 2.0 ** (-(r.z - r.a) / DAY)
+        mean = d1 * (d0 * start + (1 - d0) * r.f) + r.e
+        total, last, first = total + np.array(r.v), r.z, r.a if first is None else first
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        w = Walk([(0, DAY)])
+        for pdf in batches:
+            b, s = _arrays(pdf), stretch(pdf)
+            for k in np.unique(s).tolist():
+                if k not in w.states:
+                    fresh = np.zeros(10)
+                    fresh[[6, 7, 8, 9]] = running.REGISTERS
+                    if k in carried:
+                        w.states[k] = carried[k]
+                    else:
+                        w.states[k] = State(fresh, np.nan, np.nan, int(b["timestamp_unix"][s == k][0]), int(b["timestamp_unix"][s == k][0]), np.nan, np.array([float(b["direction"][s == k][0])]))
+            out = w.step(s, b["timestamp_unix"], values(b), b["p0"], b["direction"].astype(float)[:, None])
+            w.keep([s[-1]] if len(s) else [])
+            u = out["sums"]
+            made = [*u[:, :6].T, out["gap"], out["age"], estimate(u[:, 6], np.rint(u[:, 7])), estimate(u[:, 8], np.rint(u[:, 9])), out["averages"][:, 0]]
+            yield pdf.drop(columns="_s").assign(**dict(zip(names, made)))
+
+    return placed.mapInPandas(walk, _schema(t, names))
+
+
+def _wallet_walk(t: DataFrame, resolutions: DataFrame, actor: DataFrame | None) -> DataFrame:
+    """A wallet's state after each trade, with resolutions strictly before it and actor deltas from their availability on.
+
+    What becomes known is a row of the wallet's stream: at equal times it comes after trades, so these do not see it.
     """
-    hot = has_hot_key(trades) if hot is None else hot
+    known = [*RESOLVED, *(f"a_{c}" for c in ACTOR)]
+    state = [*(f"w_{k}" for k in MEASURES), "w_same", "w_sides", "w_outcomes", "w_gaps", "w_switches", *known, *EMBEDDING, "known", "resolved"]
+    zero = {k: F.lit(0.0) for k in known}
+    row = F.struct(*t.columns)
+    rows = t.select(F.col("wallet_id").alias("_k"), F.col("timestamp_unix").alias("_t"), F.lit(0).alias("_kind"), row.alias("_row"), *(v.alias(k) for k, v in zero.items()))
+    none = F.lit(None).cast(rows.schema["_row"].dataType)
+
+    def news(df: DataFrame, ts: Column, values: dict[str, Column]) -> DataFrame:
+        return df.select(F.col("wallet_id").alias("_k"), ts.cast("bigint").alias("_t"), F.lit(1).alias("_kind"), none.alias("_row"), *(values.get(k, v).cast("double").alias(k) for k, v in zero.items()))
+
+    won = F.when(F.col("pnl") > 0, 1).otherwise(0)
+    rows = rows.unionByName(news(resolutions, F.col("resolution_ts"), {"r_n": F.lit(1), "r_edge": F.coalesce("edge", F.lit(0.0)), "r_pnl": F.coalesce("pnl", F.lit(0.0)), "r_wins": won}))
+    if actor is not None:
+        # available at a second means visible at it: one second earlier makes the strict form inclusive
+        rows = rows.unionByName(news(actor, F.col("available") - 1, {f"a_{c}": F.coalesce(c, F.lit(0.0)) for c in ACTOR}))
+    flat = rows.select("_k", "_t", "_kind", *(F.col(f"_row.{c}").alias(c) for c in t.columns), *known)
+
+    whole = {f.name: "int64" for f in t.schema.fields if f.dataType.simpleString() in ("int", "bigint")}
+    columns = t.columns
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        facts, own, later = Walk(), Walk(), Walk()
+        for pdf in batches:
+            keys, empty = pdf["_k"].to_numpy(), np.zeros((len(pdf), 0))
+            seen = facts.step(keys, pdf["_t"].to_numpy(), pdf[known].to_numpy(float), np.zeros(len(pdf)), empty)["sums"]
+            trade = pdf["_kind"].to_numpy() == 0
+            kept = pdf.loc[trade, columns].astype(whole).reset_index(drop=True)
+            b, keys, empty = _arrays(kept), keys[trade], empty[trade]
+            if len(kept):
+                market = b["market_id"].astype(object)
+                out = own.step(keys, b["timestamp_unix"], np.concatenate([_values(b), (2.0 * b["buy"] - 1)[:, None], (2.0 * b["o0"] - 1)[:, None]], 1), b["p0"], empty, previous=market)
+                same, first = out["previous"] == market, np.equal(out["previous"], None)
+                more = later.step(keys, b["timestamp_unix"], np.stack([out["gap"], ~same & ~first], 1).astype(float), b["p0"], empty)["sums"]
+                made = _measures(out, "w") | dict(zip(known, seen[trade].T))
+                made |= {"w_same": same.astype(float), "w_sides": out["sums"][:, -2], "w_outcomes": out["sums"][:, -1], "w_gaps": more[:, 0], "w_switches": more[:, 1]}
+                fills = made["a_maker_fills"] + made["a_taker_fills"]
+                recency = np.where(made["w_count"] == 1, 1.0, np.minimum(np.log1p(made["w_gap"]) / 20, 1.0))
+                d = [
+                    np.log1p(made["w_count"]) / 20, np.log1p(made["w_notional"]) / 24, _ratio(made["r_edge"], made["r_n"]), np.tanh(_ratio(made["r_pnl"], made["r_n"]) / 100),
+                    _ratio(made["a_maker_fills"], fills), recency, 1 / np.sqrt(made["w_count"]),
+                ]
+                made |= dict(zip(EMBEDDING, d)) | {"known": (fills > 0).astype(float), "resolved": (made["r_n"] > 0).astype(float)}
+                yield kept.assign(**{c: made[c] for c in state})
+            for w in (facts, own, later):
+                w.keep(pdf["_k"].to_numpy()[-1:])
+
+    dealt = flat.repartition(partitions(t.sparkSession), "_k").sortWithinPartitions("_k", "_t", "_kind", "trade_id")
+    out = dealt.mapInPandas(walk, _schema(t, state))
+    return out.withColumn("w_prev", F.when(F.col("w_same") == 1, F.col("market_id"))).drop("w_same")
+
+
+def _market_walk(t: DataFrame) -> DataFrame:
+    """The state of a trade's market and component after it, in one pass over each component's trades.
+
+    A market belongs to one component, so its trades come in the component's stream; markets of a component are few.
+    """
+    crowd = [f"s_{c}" for c in (*EMBEDDING, "known", "resolved")] + [f"q_d{i}" for i in range(4)]
+    means = [(c, h) for c in ("p0", "direction") for h in MARKET_LIVES], [(c, h) for c in ("p0", "direction") for h in COMPONENT_LIVES]
+    state = [
+        *(f"m_{k}" for k in MEASURES), "m_wallets", *crowd, "m_nn", *(f"m_ema_{c}_{h}" for c, h in means[0]),
+        *(f"c_{k}" for k in MEASURES), "c_markets", *(f"c_ema_{c}_{h}" for c, h in means[1]),
+    ]
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        market, component = (Walk([(int(c == "direction"), h) for c, h in m], sketch=True) for m in means)
+        of: dict = {}
+        for pdf in batches:
+            b = _arrays(pdf)
+            keys, ts, values = b["component_id"], b["timestamp_unix"], _values(b)
+            n, averaged = b["notional_usd"], np.stack([b["p0"], b["direction"].astype(float)], 1)
+            d = np.stack([b[c] for c in (*EMBEDDING, "known", "resolved")], 1)
+            weighted = np.concatenate([d, d[:, :4] ** 2], 1) * n[:, None]
+            m = market.step(b["market_id"], ts, np.concatenate([values, weighted], 1), b["p0"], averaged, item=b["wallet_id"])
+            c = component.step(keys, ts, values, b["p0"], averaged, item=b["market_id"])
+            made = _measures(m, "m") | _measures(c, "c") | {"m_wallets": m["distinct"], "c_markets": c["distinct"], "m_nn": m["sums"][:, SUMS.index("nn")]}
+            made |= dict(zip(crowd, m["sums"][:, len(SUMS) :].T)) | {f"m_ema_{x}_{h}": v for (x, h), v in zip(means[0], m["averages"].T)} | {f"c_ema_{x}_{h}": v for (x, h), v in zip(means[1], c["averages"].T)}
+            yield pd.concat([pdf, pd.DataFrame({k: made[k] for k in state})], axis=1)
+            if len(pdf):
+                # markets of the last component may go on
+                at = keys == keys[-1]
+                of = {keys[-1]: of.get(keys[-1], set()) | set(b["market_id"][at].tolist())}
+                market.keep(list(of[keys[-1]]))
+                component.keep(keys[-1:])
+
+    return t.repartition(partitions(t.sparkSession), "component_id").sortWithinPartitions("component_id", *ORDER).mapInPandas(walk, _schema(t, state))
+
+
+def _walked(trades: DataFrame, resolutions: DataFrame, actor: DataFrame | None) -> DataFrame:
+    """All state by three walks: the ledger's on narrow rows first, markets' on the widest last, and nothing is joined."""
+    flags = {"raw": clamp("price", 0.0, 1.0), "p0": probability0(), "direction": direction().cast("int"), "buy": F.when(F.col("side") == "BUY", 1).otherwise(0), "o0": F.when(F.col("outcome_index") == 0, 1).otherwise(0)}
+    t = trades.withColumns(flags).select(*TRADE, "side", "outcome_index")
+    return _market_walk(_wallet_walk(_ledger_walk(t), resolutions, actor))
+
+
+def _levels(trades: DataFrame, resolutions: DataFrame, actor: DataFrame | None) -> DataFrame:
+    """All state by windows in two levels."""
     t = trades.withColumns({"p0": probability0(), "direction": direction(), "raw": clamp("price", 0.0, 1.0)})
     n, ln = F.col("notional_usd"), F.log1p
 
     # wallets, with resolutions strictly before the trade and actor deltas from their availability on
-    t = _wallet(t, hot)
+    t = _wallet(t)
     t = asof.strict_asof_sums(t, resolutions, "wallet_id", "timestamp_unix", "resolution_ts", {"r_n": F.lit(1), "r_edge": F.col("edge"), "r_pnl": F.col("pnl"), "r_wins": F.when(F.col("pnl") > 0, 1).otherwise(0)}, "trade_id")
     if actor is None:
         t = t.withColumns({f"a_{c}": F.lit(0.0) for c in ACTOR})
@@ -124,24 +340,34 @@ def feature_pack(trades: DataFrame, markets: DataFrame, resolutions: DataFrame,
     t = t.withColumns({f"d{i}": v for i, v in enumerate(embedding)} | {"known": known.cast("double"), "resolved": (F.col("r_n") > 0).cast("double")})
 
     # markets, with notional-weighted moments of the wallets that traded
-    t = _moments(t, "market_id", "m", hot)
-    t = _sketch(t, "market_id", "wallet_id", "m_wallets", hot)
+    t = _moments(t, "market_id", "m")
+    t = _sketch(t, "market_id", "wallet_id", "m_wallets")
     moments = {f"s_{c}": F.col(c) * n for c in (*(f"d{i}" for i in range(7)), "known", "resolved")}
     moments |= {f"q_d{i}": F.col(f"d{i}") * F.col(f"d{i}") * n for i in range(4)}
-    t = _sums(t, "market_id", moments | {"m_nn": n * n}, hot)
-    t = _moments(t, "component_id", "c", hot)
-    t = _sketch(t, "component_id", "market_id", "c_markets", hot)
-    t = _universe(cut(t, "features") if hot else t)
-
-    by = markets.groupBy("component_id").agg(F.count("*").alias("k_n"), F.avg(F.col("neg_risk").cast("double")).alias("k_neg"), F.avg(F.col("unclosed").cast("double")).alias("k_open"))
-    static = markets.select("market_id", "component_id", "created", "end_ts").join(by, "component_id").drop("component_id")
-    t = t.join(static, "market_id", "left")
+    t = _sums(t, "market_id", moments | {"m_nn": n * n})
+    t = _moments(t, "component_id", "c")
+    t = _sketch(t, "component_id", "market_id", "c_markets")
+    t = _universe(cut(t, "features"))
 
     keys = trades.withColumns({"p0": probability0(), "direction": direction()})
     for key, prefix, values, lives in (("market_id", "m", ["p0", "direction"], MARKET_LIVES), ("component_id", "c", ["p0", "direction"], COMPONENT_LIVES), ("one", "u", ["direction"], (DAY,))):
-        scan = running.chunked_ema if hot or key == "one" else running.keyed_ema
-        e = scan(keys.withColumn("one", F.lit(0)), key, values, lives)
+        e = running.chunked_ema(keys.withColumn("one", F.lit(0)), key, values, lives)
         t = t.join(e.select("trade_id", *(F.col(f"ema_{v}_{h}").alias(f"{prefix}_ema_{v}_{h}") for v in values for h in lives)), "trade_id")
+    return t
+
+
+def feature_pack(trades: DataFrame, markets: DataFrame, resolutions: DataFrame, actor: DataFrame | None = None, hot: bool | None = None) -> DataFrame:
+    """trade_id, timestamp_unix and the features f_000 .. f_127 of every trade.
+
+    markets(market_id, component_id, created, end_ts, neg_risk, unclosed); resolutions(wallet_id,
+    resolution_ts, edge, pnl); actor as actor_deltas() gives it, visible from `available` on. hot: state of
+    keys in two levels; has_hot_key() decides if it is not given.
+    """
+    hot = has_hot_key(trades) if hot is None else hot
+    t = _levels(trades, resolutions, actor) if hot else _walked(trades, resolutions, actor)
+    by = markets.groupBy("component_id").agg(F.count("*").alias("k_n"), F.avg(F.col("neg_risk").cast("double")).alias("k_neg"), F.avg(F.col("unclosed").cast("double")).alias("k_open"))
+    static = markets.select("market_id", "component_id", "created", "end_ts").join(by, "component_id").drop("component_id")
+    t = t.join(static, "market_id", "left")
 
     return t.select("trade_id", "timestamp_unix", *(F.coalesce(v.cast("double"), F.lit(0.0)).cast("float").alias(f"f_{i:03d}") for i, v in enumerate(_columns())))
 
