@@ -168,3 +168,15 @@ def test_repeated_doc_ids_keep_a_defined_row(spark):
 @pytest.mark.parametrize("name", ["op4_minhash", "op9_suffixes", "op10_warc"])
 def test_queries_equal_sql(spark, oracle, name):
     assert_same(queries.QUERIES[name](spark, f"{DATA}/sf0.01"), oracle.sql(queries.SQL[name]))
+
+
+def test_bands_of_pairs_near_the_threshold():
+    """A circulant's coordinates are not independent: pairs just above the threshold must still share a band."""
+    rng = np.random.default_rng(5)
+    for n in (60, 200):
+        for _ in range(1500):
+            j = rng.uniform(0.75, 0.80)
+            common = int(np.ceil(2 * n * j / (1 + j)))
+            x = rng.integers(1, 2**63, 2 * n - common, dtype=np.uint64)
+            a, b = (minhash.band_keys(minhash.signature(np.unique(s))) for s in (x[:n], np.concatenate([x[:common], x[n:]])))
+            assert (a == b).any()

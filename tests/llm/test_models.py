@@ -4,6 +4,7 @@ import numpy as np
 
 from compare import DATA
 from docs_fixture import empty_docs, labels, odd_docs, odd_rows
+from pyspark.sql import functions as F
 from tideline.llm import ann, boosting, quality, queries, toxicity
 
 
@@ -193,3 +194,33 @@ def test_toxicity_equals_plain_lists(spark):
     want = brute_toxicity(docs, y)
     got = {r["doc_id"]: r["score"] for r in queries.op1_toxicity(spark, d).collect()}
     assert got.keys() == want.keys() and max(abs(got[i] - want[i]) for i in want) < 1e-9
+
+
+def counted(spark, v, monkeypatch):
+    """Recall of a search, and how many codes it ranks for each query."""
+    seen, candidates = {}, ann._candidates
+
+    def spy(*args):
+        out = candidates(*args).cache()
+        seen.update({r["query_id"]: r["n"] for r in out.groupBy("query_id").agg(F.count("*").alias("n")).collect()})
+        return out
+
+    monkeypatch.setattr(ann, "_candidates", spy)
+    return recall(ann.search(spark.createDataFrame(v, "vec_id bigint, embedding array<double>")).collect(), v), seen
+
+
+def test_each_query_ranks_what_its_surroundings_ask_for(spark, monkeypatch):
+    """A cluster whose members codes cannot tell apart is ranked as a whole, by its own queries only."""
+    rng = np.random.default_rng(6)
+    v = [(i, [float(x) for x in (np.full(16, 3.0) + 1e-4 * rng.normal(size=16) if i % 200 < 80 else rng.normal(size=16))]) for i in range(6000)]
+    found, n = counted(spark, v, monkeypatch)
+    inside, outside = [c for q, c in n.items() if q % 200 < 80], [c for q, c in n.items() if q % 200 >= 80]
+    assert found > 0.98 and min(inside) >= 2000 and max(outside) < 1500
+
+
+def test_common_vectors_are_one_class(spark, monkeypatch):
+    """Copies of a vector far from all others are its neighbours: nothing else is ranked for it."""
+    rng = np.random.default_rng(6)
+    v = [(i, [50.0] * 8 if i % 2 == 0 else [float(x) for x in rng.normal(size=8)]) for i in range(3000)] + [(100 * i, [float(x) for x in rng.normal(size=8)]) for i in range(31, 40)]
+    found, n = counted(spark, v, monkeypatch)
+    assert found > 0.98 and all(c <= 4 for q, c in n.items() if q < 3000) and max(n.values()) < 1500

@@ -6,15 +6,15 @@ parallel to the vector, which moves high inner products most, costs more than th
 fitted on a bounded sample (TRAIN vectors); every vector is indexed.
 
 A search stores packed codes once. Queries come in blocks of about QUERY_BLOCK (at most QUERY_BYTES), which each worker
-gets once; codes are never shuffled: tables for pairs of subspaces scan them where they are. One code in SAMPLED
-gives each query a bound that about SLACK * depth of all codes reach, so that many candidates leave the whole scan,
-however many rows and tasks there are, as one row a task and query; all are ranked by the exact distance in double
-precision.
+gets once; codes are never shuffled: tables for pairs of subspaces scan them where they are. Of one code in SAMPLED, the
+`rerank` best of each query are ranked by their true vectors: what the k + 1 nearest rows among these reach, less the
+codes' error, bounds the query's whole scan. So each query ranks as many vectors exactly as its surroundings ask for: few
+where neighbours stand out, a whole cluster where codes cannot tell its members apart. A block of codes sends one row a
+query, and nothing is held back.
 
-Depth is measured, not fixed: for GUARDED queries the true neighbours are found by brute force, and the
-places of these among all codes are counted. Depth is twice what holds 99 % of them, and RERANK at least;
-so it grows where rows lie closer. With exact=True codes are not used: blocks of rows are ranked by their true
-distances, and a task keeps the k + 1 nearest classes of each query.
+The codes' error is measured, not fixed: for GUARDED queries the nearest rows are found by brute force, and the bound
+allows for the error that ERROR of their codes stay under. With exact=True codes are not used: blocks of rows are ranked
+by their true distances, and a task keeps the k + 1 nearest classes of each query.
 
 Equal vectors are searched once: each class has its smallest k + 1 ids, which is all a top-k list can use.
 Vectors of each length are searched by themselves (distance is between vectors of a length). Vectors that
@@ -39,9 +39,9 @@ from tideline.llm.common import cut
 TRAIN = 10_000
 ETA = 4.0
 WIDTH = 2  # components of a subspace
-RERANK, GUARDED = 300, 64
+RERANK, GUARDED, ERROR = 64, 64, 0.99
 ROW_BLOCK, QUERY_BLOCK, QUERY_BYTES = 8192, 8192, 64 << 20
-SAMPLED, SLACK = 4, 1.5
+SAMPLED = 4
 #: Groups in which sampled scores are combined first.
 GROUPS = 64
 K = 10
@@ -174,40 +174,30 @@ def _scores(model: Quantiser, vectors: np.ndarray, codes: np.ndarray) -> Iterato
             yield i, out
 
 
-def _depth(model: Quantiser, classes: DataFrame, codes: DataFrame, queries: DataFrame, k: int, least: int) -> int:
-    """Codes to rerank a query, by brute force for GUARDED queries (those with the smallest hashes)."""
+def _error(model: Quantiser, classes: DataFrame, queries: DataFrame, k: int) -> float:
+    """How much lower than the true inner product the codes of near rows score: of GUARDED queries (those with the smallest
+    hashes), what the share ERROR of their k + 1 nearest rows stay under."""
     guarded = _matrix(queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(GUARDED))
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The k nearest of each task, and their approximate scores."""
+        """The k + 1 nearest of each task, and their errors."""
         found = []
         for pdf in batches:
-            x, ids = np.stack(pdf["v"].tolist()), pdf["cls"].to_numpy(np.int64)
-            packed = np.ascontiguousarray(model.encode(x).T)
+            x, ids, size = np.stack(pdf["v"].tolist()), pdf["cls"].to_numpy(np.int64), pdf["size"].to_numpy()
+            packed, half = np.ascontiguousarray(model.encode(x).T), 0.5 * (x**2).sum(1)
             for i, approx in _scores(model, guarded, packed):
                 d = ((x - guarded[i]) ** 2).sum(1)
                 near = _best(-d, ids, k + 1)
-                found.append(pd.DataFrame({"q": i, "cls": ids[near], "d": d[near], "approx": approx[near]}))
+                found.append(pd.DataFrame({"q": i, "cls": ids[near], "size": size[near], "d": d[near], "err": x[near] @ guarded[i] - half[near] - approx[near]}))
             found = [pd.concat(found).sort_values(["q", "d", "cls"]).groupby("q").head(k + 1)] if found else []
         yield from found
 
     order = W.partitionBy("q").orderBy("d", "cls")
-    near = classes.select("cls", "v").mapInPandas(nearest, "q int, cls bigint, d double, approx float")
-    near = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).select("q", "approx").toPandas()  # GUARDED * (k + 1) rows
-    bounds = [np.sort(near["approx"][near["q"] == i].to_numpy(np.float32)) for i in range(len(guarded))]
-
-    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """How many codes score as high as each true neighbour."""
-        above = [np.zeros(len(b), np.int64) for b in bounds]
-        for pdf in batches:
-            for ids, packed in zip(pdf["ids"], pdf["codes"]):
-                for i, approx in _scores(model, guarded, _stacked(packed, len(ids) // 8)):
-                    above[i] += np.bincount(np.searchsorted(bounds[i], approx, side="right"), minlength=len(bounds[i]) + 1)[::-1].cumsum()[::-1][1:]
-        flat = [(i, j, int(n)) for i, a in enumerate(above) for j, n in enumerate(a)]
-        yield pd.DataFrame(flat, columns=["q", "j", "n"])
-
-    counted = codes.select("ids", "codes").mapInPandas(places, "q int, j int, n bigint").groupBy("q", "j").agg(F.sum("n").alias("n")).select("n").toPandas()["n"]
-    return max(least, 2 * int(np.quantile(counted, 0.99))) if len(counted) else least
+    near = classes.select("cls", "v", F.size("ids").alias("size")).mapInPandas(nearest, "q int, cls bigint, size int, d double, err double")
+    # classes that hold the first k + 1 rows: beyond a large one, farther classes are not looked for
+    closer = F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    errors = near.withColumn("n", closer).where(F.col("n") <= k).select("err").toPandas()["err"]  # GUARDED * (k + 1) rows at most
+    return float(np.quantile(errors, ERROR)) if len(errors) else 0.0
 
 
 def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -221,46 +211,72 @@ def _blocks(queries: DataFrame) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield table.column("vec_id").to_numpy(), table.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
 
 
-def _scanned(model: Quantiser, codes: DataFrame, block: Broadcast, most: int, bounds: Broadcast | None = None) -> DataFrame:
-    """query_id, part, cls, approx (arrays): of each task, its at most `most` best codes of each query that reach the query's bound.
-
-    Without bounds: of the first codes of each block, one in SAMPLED; blocks hold classes in no order.
-    """
+def _sampled(model: Quantiser, codes: DataFrame, block: Broadcast, most: int) -> DataFrame:
+    """query_id, part, cls, approx (arrays): of each task, the `most` best codes of each query among the first of each
+    block, one in SAMPLED; blocks hold classes in no order."""
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names, vectors = block.value
-        least = np.full(len(names), -np.inf, np.float32) if bounds is None else bounds.value
         best = [(np.zeros(0, np.float32), np.zeros(0, np.int64))] * len(names)
         for pdf in batches:
             for ids, packed in zip(pdf["ids"], pdf["codes"]):
                 ids = np.frombuffer(ids, np.int64)
-                stacked = _stacked(packed, len(ids))
-                if bounds is None:
-                    ids, stacked = ids[: -(-len(ids) // SAMPLED)], np.ascontiguousarray(stacked[:, : -(-len(ids) // SAMPLED)])
-                for i, scores in _scores(model, vectors, stacked):
-                    reach = np.flatnonzero(scores >= least[i])
-                    if len(reach):
-                        s, c = np.concatenate([best[i][0], scores[reach]]), np.concatenate([best[i][1], ids[reach]])
-                        top = _best(s, c, most)
-                        best[i] = s[top], c[top]
+                n = -(-len(ids) // SAMPLED)
+                for i, scores in _scores(model, vectors, np.ascontiguousarray(_stacked(packed, len(ids))[:, :n])):
+                    s, c = np.concatenate([best[i][0], scores]), np.concatenate([best[i][1], ids[:n]])
+                    top = _best(s, c, most)
+                    best[i] = s[top], c[top]
         part = TaskContext.get().partitionId() % GROUPS
         found = [i for i, (s, _) in enumerate(best) if len(s)]
         for lo in range(0, len(found), 256):
             at = found[lo : lo + 256]
-            yield pd.DataFrame({"query_id": names[at], "part": part, "cls": [best[i][1] if bounds is not None else None for i in at], "approx": [best[i][0] for i in at]})
+            yield pd.DataFrame({"query_id": names[at], "part": part, "cls": [best[i][1] for i in at], "approx": [best[i][0] for i in at]})
 
     return codes.select("ids", "codes").mapInPandas(scan, "query_id bigint, part int, cls array<bigint>, approx array<float>")
 
 
-def _bounds(scores: DataFrame, names: np.ndarray, rank: int) -> np.ndarray:
-    """The rank-th highest of each query's sampled scores; -inf where there are fewer."""
+def _reaching(model: Quantiser, codes: DataFrame, block: Broadcast, bounds: Broadcast) -> DataFrame:
+    """query_id, cls of all codes that reach a query's bound."""
+
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, vectors = block.value
+        least = bounds.value
+        for pdf in batches:
+            for ids, packed in zip(pdf["ids"], pdf["codes"]):
+                ids, of, found = np.frombuffer(ids, np.int64), [], []
+                for i, scores in _scores(model, vectors, _stacked(packed, len(ids))):
+                    reach = ids[scores >= least[i]]
+                    if len(reach):
+                        of.append(names[i])
+                        found.append(reach)
+                if of:
+                    yield pd.DataFrame({"query_id": of, "cls": found})
+
+    return codes.select("ids", "codes").mapInPandas(scan, "query_id bigint, cls array<bigint>").select("query_id", F.explode("cls").alias("cls"))
 
-    def top(df: DataFrame, *keys: str) -> DataFrame:
-        return df.groupBy(*keys).agg(F.slice(F.sort_array(F.flatten(F.collect_list("approx")), False), 1, rank).alias("approx"))
 
-    reached = top(top(scores, "query_id", "part"), "query_id").where(F.size("approx") == rank).select("query_id", F.element_at("approx", -1).alias("s")).toArrow()  # a row per query of a block
+def _bounds(sampled: DataFrame, names: np.ndarray, classes: DataFrame, queries: DataFrame, own: DataFrame, k: int, probed: int, error: float) -> np.ndarray:
+    """What the codes must score that may belong to a query's k + 1 nearest rows; -inf where the sample has too few.
+
+    The `probed` best sampled codes of a query and its own class (which may hold all its neighbours) are ranked by true
+    inner products; those of the k + 1 nearest rows among
+    them are reached by the k + 1 nearest of all, whose codes score at most `error` less.
+    """
+
+    def top(df: DataFrame, *keys: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.slice(F.sort_array(F.flatten(F.collect_list("z")), False), 1, probed).alias("z"))
+
+    zipped = sampled.select("query_id", "part", F.arrays_zip("approx", "cls").alias("z"))
+    best = top(top(zipped, "query_id", "part"), "query_id").select("query_id", F.explode("z.cls").alias("cls"))
+    asked = queries.sparkSession.createDataFrame(pd.DataFrame({"query_id": names}), "query_id bigint")
+    best = best.unionByName(own.join(asked, "query_id", "left_semi")).distinct()
+    true = best.join(classes.select("cls", "v", F.size("ids").alias("size")), "cls").join(queries.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "query_id")
+    product = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b - b * b / 2), F.lit(0.0), lambda s, x: s + x)
+    by = W.partitionBy("query_id").orderBy(F.desc("s"), "cls")
+    held = true.select("query_id", "cls", "size", product.alias("s")).withColumn("n", F.sum("size").over(by.rowsBetween(W.unboundedPreceding, W.currentRow)))
+    reached = held.where(F.col("n") > k).groupBy("query_id").agg(F.max("s").alias("s")).toArrow()  # a row per query of a block
     bound = dict(zip(reached.column("query_id").to_pylist(), reached.column("s").to_pylist()))
-    return np.array([bound.get(i, -np.inf) for i in names.tolist()], np.float32)
+    return np.array([bound.get(i, -np.inf) - error for i in names.tolist()], np.float32)
 
 
 def _candidates(model: Quantiser, classes: DataFrame, queries: DataFrame, k: int, rerank: int) -> DataFrame:
@@ -275,14 +291,12 @@ def _candidates(model: Quantiser, classes: DataFrame, queries: DataFrame, k: int
                 yield pd.DataFrame({"ids": [part["cls"].to_numpy(np.int64).tobytes()], "codes": [packed.tobytes()]})
 
     codes = cut(classes.select("cls", "v").mapInPandas(pack, "ids binary, codes binary"), "ann-codes")
-    depth = _depth(model, classes, codes, queries, k, rerank)
-    rank = int(np.ceil(SLACK * depth / SAMPLED))
-    found = []
+    own = cut(queries.join(classes.select("v", "cls"), "v").select(F.col("vec_id").alias("query_id"), "cls"), "ann-own")
+    error, probed, found = _error(model, classes, queries, k), max(rerank, 2 * (k + 1)), []
     for names, vectors in _blocks(queries):
         block = context.broadcast((names, vectors))
-        bounds = context.broadcast(_bounds(_scanned(model, codes, block, rank), names, rank))
-        reached = _scanned(model, codes, block, depth, bounds).select("query_id", F.explode("cls").alias("cls"))
-        found.append(cut(reached, "ann-found"))
+        bounds = context.broadcast(_bounds(_sampled(model, codes, block, probed), names, classes, queries, own, k, probed, error))
+        found.append(cut(_reaching(model, codes, block, bounds), "ann-found"))
         block.unpersist()
         bounds.unpersist()
     return functools.reduce(DataFrame.unionByName, found)
