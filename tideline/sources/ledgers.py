@@ -2,11 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tideline.plans import shared
+from tideline.sources import shards
+
+#: A larger file is not held as one value.
+WHOLE_BYTES = 256 << 20
+
 
 def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """One object per line, plain or compressed (gzip, zstd); anything else fails. No inference."""
@@ -44,18 +54,34 @@ def write_json_lines(df: DataFrame, path: str, max_rows: int = 1_000_000) -> Non
 
 
 def manifest(spark: SparkSession, path: str, ignored: tuple[str, ...] = ("_", ".")) -> DataFrame:
-    """name, bytes, sha256 of every file below path, but those whose name begins with an ignored prefix."""
+    """path, name, bytes, sha256 of every file below path, but those whose name begins with an ignored prefix.
+
+    Files up to WHOLE_BYTES are hashed as one value; larger ones are read in pieces by workers. Empty files are in no scan.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     name = F.element_at(F.split("path", "/"), -1)
     for p in ignored:
         files = files.where(~name.startswith(p))
-    return files.select(name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    small = files.where(F.col("length") <= WHOLE_BYTES).select("path", name.alias("name"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    large = files.where(F.col("length") > WHOLE_BYTES).select("path", F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), name.alias("name"), F.col("length").alias("bytes"))
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            hashes = []
+            for folder, name in zip(pdf["folder"], pdf["name"]):
+                h = hashlib.sha256()
+                for piece in shards.pieces(folder, name):
+                    h.update(piece)
+                hashes.append(h.hexdigest())
+            yield pdf.drop(columns="folder").assign(sha256=hashes)
+
+    return small.unionByName(large.repartition(shared.partitions(spark), "path").mapInPandas(digest, "path string, name string, bytes bigint, sha256 string"))
 
 
 def digest_of(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """One row: hash of the "key:value" lines in the order of the key. Rows are files or days, not events."""
-    lines = F.sort_array(F.collect_list(F.struct(F.col(key).cast("string").alias("k"), F.col(value).cast("string").alias("v"))))
-    return rows.agg(F.sha2(F.array_join(F.transform(lines, lambda x: F.concat(x["k"], F.lit(":"), x["v"], F.lit("\n"))), ""), 256).alias("digest"))
+    """One row: hash of the "key:value" lines in the order of the key, streamed. Rows are files or days, not events."""
+    text = rows.select(F.col(key).cast("string").alias("k"), F.col(value).cast("string").alias("v"))
+    return shards.streamed_digest(text, F.concat("k", F.lit(":"), "v", F.lit("\n")), "k")
 
 
 def audit_counts(records: DataFrame, ts: str = "timestamp_unix") -> DataFrame:
