@@ -169,14 +169,14 @@ def test_whole_components_against_union_find(spark):
         a, b = sorted((find(part), find(1000000 + supplier * 10000 + day // 200)))
         root[b] = a
     want = {x: find(x) for x in root}
-    assert {r["node"]: r["component"] for r in registry.QUERIES["k01_whole_components"](spark, d).collect()} == want
+    assert {r["node"]: r["component"] for r in registry.QUERIES["k01_components"](spark, d).collect()} == want
     members = {}
     for x, c in want.items():
         members.setdefault(c, []).append(str(x))
     ids = {c: hashlib.sha256("\n".join(["event-component-v1", *sorted(m)]).encode()).hexdigest() for c, m in members.items()}
     parts = [r[0] for r in spark.read.parquet(f"{d}/part.parquet").select("p_partkey").collect()]
     orphan = {p: hashlib.sha256(f"orphan-market-v1\n{p}".encode()).hexdigest() for p in parts}
-    got = {r["p_partkey"]: (r["component_id"], r["n_members"]) for r in registry.QUERIES["k02_k03_whole_component_ids"](spark, d).collect()}
+    got = {r["p_partkey"]: (r["component_id"], r["n_members"]) for r in registry.QUERIES["k02_k03_component_ids"](spark, d).collect()}
     assert got == {p: (ids[want[p]], len(members[want[p]])) if p in want else (orphan[p], 1) for p in parts}
 
 

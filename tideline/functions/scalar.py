@@ -216,7 +216,8 @@ def entropy(p: list[Column]) -> Column:
 
 
 def stable_id(*parts: Column | str) -> Column:
-    return F.sha2(F.concat_ws("|", *(col(p).cast("string") for p in parts)), 256)
+    """SHA-256 of a|b|c; a null part is the character NUL, so that (a, null, b) and (a, b) differ."""
+    return F.sha2(F.concat_ws("|", *(F.coalesce(col(p).cast("string"), F.lit("\x00")) for p in parts)), 256)
 
 
 def string_list(json: Column | str) -> Column:

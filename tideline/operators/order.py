@@ -126,5 +126,5 @@ def time_partition(df: DataFrame, component: str, ts: str, fraction: float) -> D
     by = df.groupBy(component).agg(F.max(ts).alias("anchor"))
     n = by.count()
     k = min(n - 1, max(1, int(n * fraction))) if n > 1 else n
-    placed = global_rank(by, ["anchor", component], F.floor(F.col("anchor") / 86_400))
+    placed = range_rank(by, ["anchor", component])
     return placed.withColumn("side", F.when(F.col("rank") < k, "fit").otherwise("selection")).drop("rank")

@@ -194,24 +194,28 @@ def chunked_ema(df: DataFrame, key: str, values: list[str], half_lives: tuple[in
         return pd.DataFrame([row])
 
     parts = rows.groupBy("k", "c").applyInPandas(summarise, schema)
-    # compose the chunks of a key: state' = 2 ** (-(t1 - before) / h) * state + a, where the first chunk starts at its first value
-    w = W.partitionBy("k").orderBy("c").rowsBetween(W.unboundedPreceding, -1)
-    steps = F.collect_list(F.struct("t0", "t1", *(f"a{i}" for i in range(len(pairs))), *(f"f{i}" for i in range(len(pairs))))).over(w)
-    parts = parts.withColumn("steps", steps)
-
-    def state(i: int, h: int) -> Column:
-        def compose(s: Column, e: Column) -> Column:
-            x = F.when(s["v"].isNull(), e[f"f{i}"]).otherwise(s["v"])
-            wait = F.when(s["v"].isNull(), 0).otherwise(e["t0"] - s["t"])
-            d0, d1 = F.pow(F.lit(2.0), -wait / h), F.pow(F.lit(2.0), -(e["t1"] - e["t0"]) / h)
-            # the gap before the chunk acts on its first value
-            return F.struct((d1 * (d0 * x + (1 - d0) * e[f"f{i}"]) + e[f"a{i}"]).alias("v"), e["t1"].alias("t"))
-
-        zero = F.struct(F.lit(None).cast("double").alias("v"), F.lit(None).cast("bigint").alias("t"))
-        return F.aggregate("steps", zero, compose)
-
-    starts = parts.select("k", "c", *(state(i, h).alias(f"s{i}") for i, (_, h) in enumerate(pairs)))
-    starts = starts.select("k", "c", F.col("s0.t").alias("before"), *(F.col(f"s{i}.v").alias(f"s{i}") for i in range(len(pairs))))
+    lives = np.array([h for _, h in pairs], float)
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The state before each chunk of a key: one step a chunk, carried on from batch to batch."""
+        now, state, before = (), None, None
+        for pdf in batches:
+            effect, first = pdf[[f"a{i}" for i in range(len(pairs))]].to_numpy(), pdf[[f"f{i}" for i in range(len(pairs))]].to_numpy()
+            starts, befores = np.full((len(pdf), len(pairs)), np.nan), []
+            for n, (k, t0, t1) in enumerate(zip(pdf["k"].tolist(), pdf["t0"].tolist(), pdf["t1"].tolist())):
+                if now != (k,):
+                    now, state, before = (k,), None, None
+                befores.append(before)
+                if state is not None:
+                    starts[n] = state
+                # the gap before the chunk acts on its first value; a key starts at its own first value
+                d0 = 1.0 if state is None else np.exp2(-(t0 - before) / lives)
+                state = np.exp2(-(t1 - t0) / lives) * (d0 * (first[n] if state is None else state) + (1 - d0) * first[n]) + effect[n]
+                before = t1
+            yield pd.DataFrame({"k": pdf["k"], "c": pdf["c"], "before": pd.array(befores, "Int64"), **{f"s{i}": starts[:, i] for i in range(len(pairs))}})
+
+    dealt = parts.repartition(partitions(df.sparkSession), "k").sortWithinPartitions("k", "c")
+    starts = dealt.mapInPandas(compose, "k " + df.schema[key].dataType.simpleString() + ", c bigint, before bigint, " + ", ".join(f"s{i} double" for i in range(len(pairs))))
     keep_type = df.schema[keep].dataType.simpleString()
 
     def expand(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

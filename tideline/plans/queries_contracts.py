@@ -10,7 +10,7 @@ from tideline.functions import scalar as S
 from tideline.operators import cursor, fees, order
 from tideline.plans.catalog import query
 from tideline.plans.queries_ledger import EV, LI, _HEART
-from tideline.plans.shared import cut, new_folder
+from tideline.plans.shared import cut, new_folder, partitions
 from tideline.plans.views import DAY, RESOLUTIONS, SPLITS_SQL, START, resolutions, splits, trades_ev, trades_li
 from tideline.sources import ledgers
 from tideline.streaming import live
@@ -322,15 +322,17 @@ def b05_o01_o02_item_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_HEART.replace("SELECT component_id, trade_id, timestamp_unix, n, CASE", "SELECT component_id, trade_id, n, CASE"))
 def o05_stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The decision cursor over days as they come: two runs, the second one starting from the first one's state."""
+    """The decision cursor over days as they come: runs of five days, each starting from the state of the one before.
+
+    A run's files are one micro-batch, whatever their number, so days need neither one file nor one task.
+    """
     t = trades_ev(spark, sf_dir).select("component_id", "trade_id", "timestamp_unix")
     day = F.floor((F.col("timestamp_unix") - START) / DAY)
     inbox, out, state = (new_folder(spark, x) for x in ("days", "decisions", "stream-state"))
-    for part in (day < 12, day >= 12):
-        # files are taken in the order of their times: a run's days come as one file, sorted
-        t.where(part).coalesce(1).write.mode("append").json(inbox)
-        source = spark.readStream.schema(t.schema).json(inbox)
-        rows = live.decisions(source)
+    for first in range(0, 30, 5):
+        five = day < 5 if first == 0 else day >= 25 if first == 25 else (day >= first) & (day < first + 5)
+        t.where(five).repartition(partitions(spark), "component_id").write.mode("append").json(inbox)
+        rows = live.decisions(spark.readStream.schema(t.schema).json(inbox))
         rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out).select("component_id", "trade_id", "n", F.col("reasons")[0].alias("reason"))
 

@@ -10,6 +10,7 @@ from tideline.functions import scalar as S
 from tideline.operators import evaluate, fees, order
 from tideline.plans.catalog import query
 from tideline.plans.views import DAY, SCHEDULES, START, TRADES_EV, TRADES_LI, schedules, trades_ev, trades_li
+from tideline.sources import shards
 
 EV, LI = f"WITH {TRADES_EV} ", f"WITH {TRADES_LI} "
 
@@ -167,8 +168,7 @@ def f31_f36_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT o_orderpriority, sha256(string_agg(day || ':' || n || chr(10), '' ORDER BY day)) AS digest FROM (SELECT o_orderpriority, strftime(o_orderdate, '%Y-%m') AS day, count(*) AS n FROM orders GROUP BY ALL) GROUP BY 1")
 def b08_ordered_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderpriority", F.date_format("o_orderdate", "yyyy-MM").alias("day")).agg(F.count("*").alias("n"))
-    lines = F.sort_array(F.collect_list(F.struct("day", F.concat("day", F.lit(":"), "n", F.lit("\n")).alias("line"))))
-    return o.groupBy("o_orderpriority").agg(F.sha2(F.array_join(F.transform(lines, lambda x: x["line"]), ""), 256).alias("digest"))
+    return shards.streamed_digest(o, F.concat("day", F.lit(":"), F.col("n").cast("string"), F.lit("\n")), "day", "o_orderpriority")
 
 
 _FEE = "CASE exponent WHEN 0 THEN s * rate WHEN 1 THEN s * rate * p * (1 - p) ELSE s * rate * p * (1 - p) * p * (1 - p) END"

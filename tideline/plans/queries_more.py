@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions import scalar as S
-from tideline.operators import evaluate, logs, order
+from tideline.operators import evaluate, logs, order, quality
 from tideline.plans.queries_ledger import EV, LI, ORIENTED, oriented
 from tideline.plans.catalog import query
 from tideline.plans.views import DAY, RESOLUTIONS, SPLITS_SQL, resolutions, splits, trades_ev, trades_li
@@ -176,14 +176,14 @@ _FILLS = """SELECT i AS log_id, ok AS valid, CASE WHEN ok THEN CASE WHEN i % 2 =
   CASE WHEN ok THEN CAST(i % 10 AS VARCHAR) END AS fee_raw, CASE WHEN ok THEN round(CASE WHEN i % 2 = 0 THEN (i * 3 + 1)::DOUBLE / (i * 5 + 1) ELSE (i * 5 + 1)::DOUBLE / (i * 3 + 1) END, 5) END AS price FROM l"""
 
 
-@query(f"WITH l AS (SELECT event_id AS i, user_id AS u, event_id % 11 <> 0 AS ok FROM events) {_FILLS}", also="c19_whole_fill_logs")
+@query(f"WITH l AS (SELECT event_id AS i, user_id AS u, event_id % 11 <> 0 AS ok FROM events) {_FILLS}")
 def c19_fill_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a log."""
     d = logs.decode_fills(_logs(events(spark, sf_dir)))
-    return d.withColumn("price", F.round("price", 5))
+    return d.withColumn("price", F.round(F.col("price").cast("double"), 5))
 
 
-@query("""WITH l AS (SELECT event_id AS i, user_id AS u FROM events) SELECT sha256('137|0xab' || i || '|' || i % 5 || '|0xcd') AS edge_id, 'erc20_transfer' AS kind, '0x' || lpad(lower(to_hex(u)), 40, '0') AS source_address, '0x' || lpad(lower(to_hex(u + 1)), 40, '0') AS target_address, CAST(NULL AS VARCHAR) AS token_id, CAST(i AS VARCHAR) AS amount FROM l""", also="c20_j04_whole_transfer_edges")
+@query("""WITH l AS (SELECT event_id AS i, user_id AS u FROM events) SELECT sha256('137|0xab' || i || '|' || i % 5 || '|0xcd') AS edge_id, 'erc20_transfer' AS kind, '0x' || lpad(lower(to_hex(u)), 40, '0') AS source_address, '0x' || lpad(lower(to_hex(u + 1)), 40, '0') AS target_address, CAST(NULL AS VARCHAR) AS token_id, CAST(i AS VARCHAR) AS amount FROM l""")
 def c20_j04_transfer_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as a transfer."""
     return _transfers(events(spark, sf_dir).withColumn("i", F.col("event_id")))
@@ -195,7 +195,7 @@ def _transfers(e: DataFrame) -> DataFrame:
     return logs.transfer_edges(rows.unionByName(rows))  # an overlapping second scan
 
 
-@query(f"{EV}, s AS (SELECT market_id, unnest(range(1, count(*) - 126, 64)) AS start_n FROM trades GROUP BY 1), r AS (SELECT market_id, price, row_number() OVER (PARTITION BY market_id ORDER BY timestamp_unix, trade_id) AS n FROM trades) SELECT s.market_id, s.start_n, r.n - s.start_n AS \"offset\", round(r.price, 6) AS price FROM s JOIN r ON r.market_id = s.market_id AND r.n BETWEEN s.start_n AND s.start_n + 127", also="h15_whole_sequences")
+@query(f"{EV}, s AS (SELECT market_id, unnest(range(1, count(*) - 126, 64)) AS start_n FROM trades GROUP BY 1), r AS (SELECT market_id, price, row_number() OVER (PARTITION BY market_id ORDER BY timestamp_unix, trade_id) AS n FROM trades) SELECT s.market_id, s.start_n, r.n - s.start_n AS \"offset\", round(r.price, 6) AS price FROM s JOIN r ON r.market_id = s.market_id AND r.n BETWEEN s.start_n AND s.start_n + 127")
 def h15_sliding_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every position of the overlapping sequences of 128 trades at stride 64."""
     return sequences(trades_ev(spark, sf_dir), 128, 64)
@@ -217,11 +217,16 @@ def l04_l06_condition_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.join(F.broadcast(s), (F.col("first_decision") >= F.col("start_ts")) & (F.col("first_decision") < F.col("end_ts")), "left").select("market_id", "first_decision", "split")
 
 
-@query(f"WITH {SPLITS_SQL} SELECT split, CAST(end_ts - start_ts AS BIGINT) AS length, CAST(lead(start_ts) OVER (ORDER BY start_ts) - end_ts AS BIGINT) AS embargo, coalesce(lead(start_ts) OVER (ORDER BY start_ts) - end_ts = {DAY}, true) AS exact FROM splits")
+@query(f"{EV}, {SPLITS_SQL} SELECT split, CAST(end_ts - start_ts AS BIGINT) AS length, CAST(lead(start_ts) OVER (ORDER BY start_ts) - end_ts AS BIGINT) AS embargo, coalesce(lead(start_ts) OVER (ORDER BY start_ts) - end_ts = {DAY}, true) AS exact, (SELECT count(*) FROM trades WHERE timestamp_unix >= start_ts AND timestamp_unix < end_ts) AS n_trades FROM splits")
 def l01_split_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plan of splits, and the trades that each one holds."""
     w = W.orderBy("start_ts")  # four rows
     gap = F.lead("start_ts").over(w) - F.col("end_ts")
-    return splits(spark).select("split", (F.col("end_ts") - F.col("start_ts")).alias("length"), gap.alias("embargo"), F.coalesce(gap == DAY, F.lit(True)).alias("exact"))
+    plan = splits(spark)
+    shown = plan.select("split", (F.col("end_ts") - F.col("start_ts")).alias("length"), gap.alias("embargo"), F.coalesce(gap == DAY, F.lit(True)).alias("exact"))
+    named = plan.select(F.lit(1).alias("plan"), F.col("split").alias("segment"), "start_ts", "end_ts")
+    held = quality.locate(trades_ev(spark, sf_dir).select(F.lit(1).alias("plan"), "timestamp_unix"), named, "timestamp_unix", "plan").groupBy(F.col("segment").alias("split")).agg(F.count("*").alias("n"))
+    return shown.join(held, "split", "left").select("split", "length", "embargo", "exact", F.coalesce("n", F.lit(0)).alias("n_trades"))
 
 
 @query(f"{EV} SELECT trade_id, count(*) OVER (PARTITION BY wallet_id, market_id, timestamp_unix // 3600) > 1 AS repeated FROM trades")

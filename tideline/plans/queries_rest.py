@@ -68,9 +68,8 @@ def g06_g07_residue_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{LI} SELECT trade_id, row_number() OVER (ORDER BY timestamp_unix, trade_id) - 1 AS rank FROM trades")
 def i01_i02_total_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place of every trade in the total order: ranks inside days, shifted by the days before."""
-    t = trades_li(spark, sf_dir)
-    return order.global_rank(t, order.ORDER, F.floor(F.col("timestamp_unix") / DAY)).select("trade_id", F.col("rank").cast("bigint").alias("rank"))
+    """Place of every trade in the total order: ranks inside ranges of it, shifted by the ranges before."""
+    return order.range_rank(trades_li(spark, sf_dir).select("trade_id", "timestamp_unix"), order.ORDER).select("trade_id", F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(f"{EV}, {SCHEDULES}, n AS (SELECT market_id, timestamp_unix, from_ts FROM trades LEFT JOIN (SELECT * FROM schedules WHERE market_id % 7 <> 3) s USING (market_id) WHERE s.from_ts IS NULL OR (timestamp_unix >= from_ts AND timestamp_unix < to_ts)) SELECT market_id, count(*) AS trades, count(from_ts) AS covered, count(*) = count(from_ts) AS complete FROM n GROUP BY 1")
