@@ -112,6 +112,10 @@ def test_periodic_on_the_table(spark):
     assert sum(r[1] > 0 for r in got.values()) > 10
 
 
+def test_periodic_equals_sql(spark, oracle):
+    assert_same(queries.op11_periodic(spark, f"{DATA}/sf0.01"), oracle.sql(sql.RUNS))
+
+
 def test_runs_and_collapsed_texts(spark):
     (r,) = periodic.runs(spark.createDataFrame([(1, "start " + "a b c " * 10 + "end")], "doc_id bigint, text string")).collect()
     assert [tuple(x) for x in r["runs"]] == [(1, 30, 3)] and r["collapsed"] == "start a b c end" and r["n_words"] == 32

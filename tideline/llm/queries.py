@@ -72,5 +72,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_toxicity, op2_nearest, op3_mixing, op4_minhash, op5_token_counts, op6_quality, op7_packing, op8_rules, rules_ablations, op9_suffixes, op10_warc, op11_periodic, op12_importance, op13_exact)
 }
 SQL: dict[str, str] = {
-    "op4_minhash": sql.NEAR_DUPLICATES, "op8_rules": rules.SQL, "rules_ablations": rules.ABLATIONS_SQL, "op9_suffixes": sql.SUFFIXES, "op10_warc": sql.WARC, "op13_exact": sql.EXACT,
+    "op4_minhash": sql.NEAR_DUPLICATES, "op8_rules": rules.SQL, "rules_ablations": rules.ABLATIONS_SQL, "op9_suffixes": sql.SUFFIXES, "op10_warc": sql.WARC, "op11_periodic": sql.RUNS, "op13_exact": sql.EXACT,
 }

@@ -1,7 +1,7 @@
-"""SQL that gives the rows of op4, op9, op10 and op13 on whole tables, for comparison.
+"""SQL that gives the rows of op4, op9, op10, op11 and op13 on whole tables, for comparison.
 
-NEAR_DUPLICATES joins all pairs of documents that share a shingle, SUFFIXES makes a row of every byte: they
-are for small tables.
+NEAR_DUPLICATES joins all pairs of documents that share a shingle, SUFFIXES makes a row of every byte, RUNS joins all
+pairs of equal stretches of 16 words of a document (any run has such a pair at the distance of its period): they are for small tables.
 """
 
 NEAR_DUPLICATES = r"""
@@ -65,3 +65,32 @@ EXACT = r"""
 SELECT doc_id, max(doc_id) OVER t AS keep_id, count(*) OVER t AS group_size, row_number() OVER (t ORDER BY doc_id DESC) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW t AS (PARTITION BY coalesce(text, ''))
 """
+
+RUNS = r"""
+WITH b AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w0, list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(CAST(doc_id AS VARCHAR), '.'), lambda c: CAST(unicode(c) AS BIGINT))) AS bytes FROM documents
+), h AS (
+  SELECT doc_id, w0, len(w0) AS n, xor(list_reduce(bytes, lambda c, v: list_reduce(list_prepend(xor(c, v), CAST(range(0, 8) AS BIGINT[])), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) AS h FROM b
+), g AS (
+  SELECT *, h // 10 AS g, CASE WHEN n > 0 AND h % 10 = 0 THEN (h // 10) % n END AS a FROM h
+), d AS (
+  SELECT doc_id, n, CASE WHEN a IS NULL THEN w0 ELSE list_transform(range(0, n), lambda i: w0[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END + 1]) END AS w FROM g
+), grams AS (
+  SELECT doc_id, n, i, md5(array_to_string(w[i + 1:i + 16], ' ')) AS gram FROM (SELECT *, unnest(range(0, n - 15)) AS i FROM d WHERE n >= 24)
+), pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM grams x JOIN grams y ON y.doc_id = x.doc_id AND y.gram = x.gram AND y.i > x.i WHERE 3 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT doc_id, q, min(i) AS s, max(i) + 16 + q AS e FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs) GROUP BY doc_id, q, k
+), runs AS (
+  SELECT doc_id, s AS start, e - s AS length, min(q) AS period FROM islands WHERE e - s >= greatest(24, 3 * q) GROUP BY doc_id, s, e
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines,
+    arg_min({'start': start, 'length': length, 'period': period}, (-CAST(length AS DOUBLE) / period, start, period)) AS r FROM runs GROUP BY doc_id
+), dropped AS (
+  SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM (SELECT doc_id, unnest(w) AS word, unnest(range(0, n)) AS i FROM d) ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, r.start AS start, r.length AS length, r.period AS period, CAST(1000 * r.length // r.period AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
