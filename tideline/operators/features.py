@@ -147,13 +147,14 @@ def _ledger_walk(t: DataFrame) -> DataFrame:
     hours = t.groupBy(hour.alias("_h")).agg(F.count("*").alias("n")).orderBy("_h").toPandas()  # a row per hour
     part = (np.cumsum(hours["n"].to_numpy()) - 1) // STRETCH
     starts = [int(h) for h, new in zip(hours["_h"], np.diff(part, prepend=-1)) if new]
-    raises = []
-    for item in ("market_id", "component_id"):
-        # only the first trade of an item can raise a register; raises are few, whatever the ledger: registers * ranks
-        firsts = t.groupBy(item).agg(F.min(F.struct(*ORDER)).alias("_f")).select("_f.*", running.register_rank(F.col(item).cast("bigint")).alias("_h")).select(*ORDER, F.col("_h.register").alias("_reg"), F.col("_h.rank").alias("_rank"))
-        before = W.partitionBy("_reg").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
-        raised = firsts.withColumn("_old", F.coalesce(F.max("_rank").over(before), F.lit(0))).where(F.col("_rank") > F.col("_old"))
-        raises.append({r["trade_id"]: (2.0 ** -r["_rank"] - 2.0 ** -r["_old"], -1.0 * (r["_old"] == 0)) for r in raised.collect()})
+    # only the first trade of an item can raise a register; raises are few, whatever the ledger: registers * ranks
+    items = t.select(*ORDER, F.posexplode(F.array(F.col("market_id").cast("bigint"), F.col("component_id").cast("bigint"))).alias("k", "item"))
+    firsts = items.groupBy("k", "item").agg(F.min(F.struct(*ORDER)).alias("f")).select("k", "f.*", running.register_rank(F.col("item")).alias("h")).select("k", *ORDER, "h.register", "h.rank")
+    before = W.partitionBy("k", "register").orderBy(*ORDER).rowsBetween(W.unboundedPreceding, -1)
+    raised = firsts.withColumn("old", F.coalesce(F.max("rank").over(before), F.lit(0))).where(F.col("rank") > F.col("old"))
+    raises: list[dict] = [{}, {}]
+    for r in raised.select("k", "trade_id", "rank", "old").collect():
+        raises[r["k"]][r["trade_id"]] = (2.0 ** -r["rank"] - 2.0 ** -r["old"], -1.0 * (r["old"] == 0))
     names = [*(f"u_{k}" for k in ("count", "notional", "pn", "ppn", "signed", "buy", "gap", "age", "market_ids", "component_ids")), f"u_ema_direction_{DAY}"]
 
     def values(b: dict[str, np.ndarray]) -> np.ndarray:
