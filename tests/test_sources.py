@@ -162,6 +162,10 @@ def test_json_documents(spark, tmp_path):
         (tmp_path / f"{i}.json").write_text(json.dumps({"id": i, "rows": [{"a": "x\ny"}, {"a": None}]}, indent=2))
     got = ledgers.read_json_documents(spark, f"file://{tmp_path}", "id int, rows array<struct<a:string>>").collect()
     assert sorted((r["id"], [x["a"] for x in r["rows"]]) for r in got) == [(i, ["x\ny", None]) for i in range(3)]
+    rows = spark.createDataFrame([(i, f'say "{i}"\n', None if i % 2 else [i]) for i in range(50)], "id int, t string, l array<int>").repartition(3)
+    ledgers.write_json_documents(rows, f"file://{tmp_path}/arrays")
+    assert all(isinstance(json.loads(f.read_text()), list) for f in (tmp_path / "arrays").glob("part-*"))
+    assert sorted(ledgers.read_json_documents(spark, f"file://{tmp_path}/arrays", rows.schema).collect()) == sorted(rows.collect())
     (tmp_path / "bad.json").write_text("[1, 2")
     with pytest.raises(Exception):
         ledgers.read_json_documents(spark, f"file://{tmp_path}", "id int, rows array<struct<a:string>>").collect()

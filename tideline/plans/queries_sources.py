@@ -53,11 +53,10 @@ def a05_complete_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, count(*) AS n_turns, CAST(sum(length(coalesce(text, ''))) AS BIGINT) AS n_chars FROM conversations GROUP BY 1")
 def a02_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as JSON documents over many lines, one a file, read back strictly."""
+    """Conversations as JSON documents over many lines, an array of objects a file, read back strictly."""
     folder = new_folder(spark, "documents")
     c = _read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    text = F.to_json(F.struct("conv_id", "turns"), {"pretty": "true", "ignoreNullFields": "false"})
-    c.select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(folder)
+    ledgers.write_json_documents(c, folder)
     back = ledgers.read_json_documents(spark, folder, "conv_id bigint, turns array<struct<turn:bigint,role:string,text:string>>")
     n = F.aggregate("turns", F.lit(0).cast("bigint"), lambda s, x: s + F.char_length(F.coalesce(x["text"], F.lit(""))))
     return back.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), n.alias("n_chars"))

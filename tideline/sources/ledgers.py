@@ -24,10 +24,27 @@ def read_json_lines(spark: SparkSession, path: str, schema: StructType | str) ->
 
 
 def read_json_documents(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """One JSON document per file."""
+    """One JSON document per file: an object, or an array whose items are rows. Anything else fails."""
     return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
+def write_json_documents(df: DataFrame, path: str) -> None:
+    """One JSON document a task: the array of its rows, an object each."""
+
+    def wrapped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield pd.DataFrame({"value": ["["]})
+        follows = False
+        for pdf in batches:
+            rows = pdf["value"]
+            if len(rows):
+                yield pd.DataFrame({"value": [("," if follows or n else "") + x for n, x in enumerate(rows)]})
+                follows = True
+        yield pd.DataFrame({"value": ["]"]})
+
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value"))
+    rows.mapInPandas(wrapped, "value string").write.mode("errorifexists").text(path)
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Unparsed lines; a last line without an end counts."""
     return spark.read.text(path)
