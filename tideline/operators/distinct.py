@@ -15,6 +15,12 @@ def residue(x: Column | str, n: int) -> Column:
     return F.conv(F.substring(F.md5(F.lower(x.cast("string"))), 1, 15), 16, 10).cast("bigint") % n
 
 
+def unit(x: Column | str) -> Column:
+    """A deterministic number in [0, 1) of a key, by the first 52 bits of MD5."""
+    x = F.col(x) if isinstance(x, str) else x
+    return F.conv(F.substring(F.md5(x.cast("string")), 1, 13), 16, 10).cast("bigint") / float(1 << 52)
+
+
 def daily_states(df: DataFrame, keys: list[str], day: Column, item: str, lg: int = LG) -> DataFrame:
     """keys, day, state, n_rows: one sketch of the items per key and day, to be kept and merged over any days."""
     return df.groupBy(*keys, day.alias("day")).agg(F.hll_sketch_agg(F.col(item).cast("bigint"), lg).alias("state"), F.count("*").alias("n_rows"))

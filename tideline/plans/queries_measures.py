@@ -183,7 +183,17 @@ def m01_unrounded_fee(spark: SparkSession, sf_dir: str) -> DataFrame:
     return j.select("trade_id", F.round(raw, 8).alias("raw"), F.floor(raw + 1e-12).cast("double").alias("whole"))
 
 
-@query()
+#: Whole numbers: shares s, price p and rate r in millionths, exponent e; the fee before rounding, f, in 1e-18.
+_UNITS = f"""{EV}, {SCHEDULES}, u AS (SELECT trade_id, side, market_id % 2 = 0 AS v1, CAST(round(size * 100) AS HUGEINT) * 10000 AS s, CAST(round(price * 100) AS HUGEINT) * 10000 AS p, CAST(round(CAST(rate AS DOUBLE) * 1000000) AS HUGEINT) AS r, exponent AS e
+  FROM trades JOIN schedules USING (market_id) WHERE timestamp_unix >= from_ts AND timestamp_unix < to_ts), q AS (SELECT *, p * (1000000 - p) AS pq FROM u), q2 AS (SELECT *, CASE e WHEN 1 THEN pq ELSE (pq * pq * 2 + 1000000000000) // 2000000000000 END AS c FROM q),
+f AS (SELECT *, CASE e WHEN 0 THEN s * r * 1000000 ELSE (s * r * c * 2 + 1000000) // 2000000 END AS f FROM q2)"""
+_APPLIED = f"""{_UNITS}, o AS (SELECT *, (2 * ((f + 500000) // 1000000) * 1000000 + p) // (2 * p) AS x FROM f), w AS (SELECT *, v1 AND side = 'BUY' AS own, least(s, x // 10000000 * 10) AS shares, CASE WHEN v1 THEN f // 10000000000000 ELSE (f * 2 + 10000000000000) // 20000000000000 END AS c5 FROM o)
+SELECT trade_id, CASE WHEN f = 0 THEN 'NONE' WHEN own THEN 'OUTCOME' WHEN c5 > 0 THEN 'COLLATERAL' ELSE 'NONE' END AS asset, CAST(CAST(CASE WHEN f = 0 THEN 0 WHEN own THEN shares ELSE c5 * 10 END AS DOUBLE) / 1e6 AS DECIMAL(24,6)) AS amount,
+  CAST(CAST(CASE WHEN f = 0 THEN 0 WHEN own THEN shares * p ELSE c5 * 10000000 END AS DOUBLE) / 1e12 AS DECIMAL(28,12)) AS value_usd, CAST(CAST(CASE WHEN f = 0 OR own THEN 0 ELSE c5 END AS DOUBLE) / 1e5 AS DECIMAL(20,5)) AS collateral_usd,
+  CAST(CAST(CASE WHEN f <> 0 AND own THEN shares ELSE 0 END AS DOUBLE) / 1e6 AS DECIMAL(18,6)) AS outcome_shares FROM w"""
+
+
+@query(_APPLIED)
 def m02_applied_fee(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades_ev(spark, sf_dir)
     j = t.join(schedules(t), "market_id").where("timestamp_unix >= from_ts and timestamp_unix < to_ts")

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions import scalar as S
-from tideline.operators import asof, evaluate, order
+from tideline.operators import asof, distinct, evaluate, order
 from tideline.plans.queries_ledger import EV, LI, ORIENTED, oriented
 from tideline.plans.catalog import query
 from tideline.plans.views import DAY, SCHEDULES, START, schedules, trades_ev, trades_li
@@ -148,8 +148,7 @@ def f35_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(float(b),)], "inverse_temperature double")
 
 
-@query()
+@query(f"{EV} SELECT DISTINCT wallet_id, CAST('0x' || substr(md5(CAST(wallet_id AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS unit FROM trades")
 def c35_hash_unit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A deterministic number in [0, 1) of each id; another hash than a cryptographic one, the same contract."""
-    u = F.shiftrightunsigned(F.xxhash64("wallet_id"), 11).cast("double") / float(1 << 53)
-    return trades_ev(spark, sf_dir).select("wallet_id").distinct().withColumn("unit", u)
+    """A deterministic number in [0, 1) of each id; a hash that other engines have, the same contract."""
+    return trades_ev(spark, sf_dir).select("wallet_id").distinct().withColumn("unit", distinct.unit("wallet_id"))
