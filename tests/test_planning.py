@@ -174,3 +174,17 @@ def test_residues_cover_disjointly(spark):
     df = spark.createDataFrame([("0xAB",), ("0xab",), ("x",), (None,)], "w string").select("w", distinct.residue("w", 4).alias("a"), distinct.residue("w", 8).alias("b")).collect()
     assert df[0]["a"] == df[1]["a"] and df[3]["a"] is None
     assert all(r["b"] % 4 == r["a"] for r in df[:3])
+
+
+def test_ranks_in_two_levels(spark):
+    from tideline.operators import order
+
+    rng = random.Random(4)
+    rows = [("hot" if rng.random() < 0.8 else rng.choice("ab"), i, rng.randrange(-500, 500)) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, i int, v int").repartition(5)
+    got = {r["i"]: r["rank"] for r in order.split_rank(df, ["k"], ["v", "i"], F.floor(F.col("v") / 50)).collect()}
+    everywhere = {r["i"]: r["rank"] for r in order.range_rank(df, [F.desc("v"), F.col("i")]).collect()}
+    for k in {r[0] for r in rows}:
+        own = sorted((v, i) for x, i, v in rows if x == k)
+        assert [got[i] for _, i in own] == list(range(len(own)))
+    assert [everywhere[i] for _, i, _ in sorted(((-v, i, k) for k, i, v in rows))] == list(range(len(rows)))

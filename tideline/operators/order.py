@@ -49,6 +49,19 @@ def global_rank(df: DataFrame, order: list[str], bucket: Column, name: str = "ra
     return df.withColumn(name, inner).join(shift, "_b").withColumn(name, F.col(name) + F.col("_s")).drop("_b", "_s")
 
 
+def split_rank(df: DataFrame, keys: list[str], order: list[Column | str], bucket: Column, name: str = "rank") -> DataFrame:
+    """Rank from 0 inside each key, in two levels: a key that holds most rows is as many tasks as it has buckets.
+
+    `bucket` must not decrease along the order inside a key: the leading bits of a hash, a range of ids.
+    """
+    df = df.withColumn("_b", bucket)
+    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    sizes = df.groupBy(*keys, "_b").agg(F.count("*").alias("_c"))
+    shift = sizes.select(*keys, "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_s"))
+    inner = F.row_number().over(W.partitionBy(*keys, "_b").orderBy(*order)) - 1
+    return df.withColumn(name, inner).join(shift, [*keys, "_b"]).withColumn(name, F.col(name) + F.col("_s")).drop("_b", "_s")
+
+
 def range_rank(df: DataFrame, order: list[Column | str], name: str = "rank") -> DataFrame:
     """Rank from 0 in a total order of any columns, without a bucket that fits the data.
 

@@ -246,14 +246,15 @@ def f22_moving_block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def i13_seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades_ev(spark, sf_dir).select("trade_id", F.floor(F.col("timestamp_unix") / DAY).alias("day"))
-    w = W.partitionBy("day").orderBy(F.xxhash64(F.lit(17), "day", "trade_id"), "trade_id")
-    return t.select("day", "trade_id", F.row_number().over(w).alias("place"))
+    h = F.xxhash64(F.lit(17), "day", "trade_id")
+    return order.split_rank(t, ["day"], [h, "trade_id"], F.shiftright(h, 57)).select("day", "trade_id", (F.col("rank") + 1).cast("int").alias("place"))
 
 
 @query()
 def c33_wallet_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ablation: wallet columns permuted jointly within each day, by a join of two numberings."""
     t = trades_ev(spark, sf_dir).withColumn("day", F.floor(F.col("timestamp_unix") / DAY))
-    a = t.select("trade_id", "day", F.row_number().over(W.partitionBy("day").orderBy("trade_id")).alias("k"))
-    b = t.select("day", F.col("wallet_id").alias("shuffled_wallet"), F.row_number().over(W.partitionBy("day").orderBy(F.xxhash64(F.lit(3), "trade_id"), "trade_id")).alias("k"))
+    h = F.xxhash64(F.lit(3), "trade_id")
+    a = order.split_rank(t.select("trade_id", "day"), ["day"], ["trade_id"], F.floor(F.col("trade_id") / 65_536), "k")
+    b = order.split_rank(t.select("trade_id", "day", F.col("wallet_id").alias("shuffled_wallet")), ["day"], [h, "trade_id"], F.shiftright(h, 57), "k").drop("trade_id")
     return a.join(b, ["day", "k"]).select("trade_id", "shuffled_wallet")
