@@ -16,33 +16,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-PLAIN = r"[ !#-\[\]-~]+"
-_named = {'"': '\\"', "\\": "\\\\", "\n": "\\n", "\r": "\\r", "\t": "\\t", "\b": "\\b", "\f": "\\f"}
-
-
-def _unit(code: Column) -> Column:
-    return F.concat(F.lit("\\u"), F.lower(F.lpad(F.hex(code), 4, "0")))
-
-
-def _code_point(char: Column) -> Column:
-    """From the bytes of UTF-32."""
-    return F.conv(F.hex(F.encode(char, "UTF-32")), 16, 10).cast("bigint")
-
-
-def _escaped(char: Column) -> Column:
-    code = _code_point(char)
-    pair = F.concat(_unit(F.shiftright(code - 0x10000, 10) + 0xD800), _unit((code - 0x10000).bitwiseAND(0x3FF) + 0xDC00))
-    out = F.when(char.rlike(f"^{PLAIN}$"), char)
-    for plain, escape in _named.items():
-        out = out.when(char == plain, F.lit(escape))
-    return out.when(code < 0x10000, _unit(code)).otherwise(pair)
+#: Stands for an escaped backslash while \\u escapes are looked for; JSON holds no such character itself.
+_MARK = "\x01"
 
 
 def json_string(text: Column) -> Column:
-    """The text in quotes, escaped."""
-    tokens = F.regexp_extract_all(text, F.lit(rf"(?s){PLAIN}|."), F.lit(0))
-    body = F.when(text.rlike(f"^({PLAIN})?$"), text).otherwise(F.array_join(F.transform(tokens, _escaped), ""))
-    return F.concat(F.lit('"'), body, F.lit('"'))
+    """The text in quotes, everything but printable ASCII escaped, with lower-case digits."""
+    raw = F.to_json(F.array(text), {"writeNonAsciiCharacterAsCodePoint": "true"})
+    body = raw.substr(F.lit(2), F.length(raw) - 2)
+    parts = F.split(F.replace(F.replace(body, F.lit("\x7f"), F.lit("\\u007f")), F.lit("\\\\"), F.lit(_MARK)), r"\\u")
+    lowered = F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.lower(F.substring(p, 1, 4)), F.substring(p, 5, 2**31 - 1))))
+    escaped = F.replace(F.array_join(lowered, "\\u"), F.lit(_MARK), F.lit("\\\\"))
+    return F.when(body.contains("\\u") | body.contains("\x7f"), escaped).otherwise(body)
 
 
 def _floating(t: T.DataType) -> bool:
