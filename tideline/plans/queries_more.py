@@ -243,18 +243,18 @@ def f22_moving_block_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(float(m[int(0.025 * len(m))]), float(m.mean()), float(m[int(0.975 * len(m))]))], "low double, mean double, high double")
 
 
-@query()
+@query(f"{EV}, d AS (SELECT trade_id, timestamp_unix // {DAY} AS day FROM trades) SELECT CAST(day AS BIGINT) AS day, trade_id, CAST(row_number() OVER (PARTITION BY day ORDER BY md5('17|' || day || '|' || trade_id), trade_id) AS INTEGER) AS place FROM d")
 def i13_seeded_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = trades_ev(spark, sf_dir).select("trade_id", F.floor(F.col("timestamp_unix") / DAY).alias("day"))
-    h = F.xxhash64(F.lit(17), "day", "trade_id")
-    return order.split_rank(t, ["day"], [h, "trade_id"], F.shiftright(h, 57)).select("day", "trade_id", (F.col("rank") + 1).cast("int").alias("place"))
+    h = F.md5(F.concat_ws("|", F.lit("17"), F.col("day").cast("string"), F.col("trade_id").cast("string")))
+    return order.split_rank(t, ["day"], [h, "trade_id"], F.substring(h, 1, 2)).select("day", "trade_id", (F.col("rank") + 1).cast("int").alias("place"))
 
 
-@query()
+@query(f"{EV}, d AS (SELECT trade_id, wallet_id, timestamp_unix // {DAY} AS day FROM trades), a AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY trade_id) AS k FROM d), b AS (SELECT *, row_number() OVER (PARTITION BY day ORDER BY md5('3|' || trade_id), trade_id) AS k FROM d) SELECT a.trade_id, b.wallet_id AS shuffled_wallet FROM a JOIN b ON a.day = b.day AND a.k = b.k")
 def c33_wallet_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ablation: wallet columns permuted jointly within each day, by a join of two numberings."""
     t = trades_ev(spark, sf_dir).withColumn("day", F.floor(F.col("timestamp_unix") / DAY))
-    h = F.xxhash64(F.lit(3), "trade_id")
+    h = F.md5(F.concat(F.lit("3|"), F.col("trade_id").cast("string")))
     a = order.split_rank(t.select("trade_id", "day"), ["day"], ["trade_id"], F.floor(F.col("trade_id") / 65_536), "k")
-    b = order.split_rank(t.select("trade_id", "day", F.col("wallet_id").alias("shuffled_wallet")), ["day"], [h, "trade_id"], F.shiftright(h, 57), "k").drop("trade_id")
+    b = order.split_rank(t.select("trade_id", "day", F.col("wallet_id").alias("shuffled_wallet")), ["day"], [h, "trade_id"], F.substring(h, 1, 2), "k").drop("trade_id")
     return a.join(b, ["day", "k"]).select("trade_id", "shuffled_wallet")
