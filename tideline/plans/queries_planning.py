@@ -103,7 +103,8 @@ SELECT doc_id, length(t) AS n_chars, sha256(t) AS digest FROM p""")
 def c16_canonical_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digest of every document's record: nested, with nulls and escapes, in one order of keys."""
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
-    rows = docs.join(labels, "doc_id", "left").select("doc_id", F.struct("source", "doc_id", F.struct("text", "lang").alias("content"), F.array("quality", "toxic").alias("labels")).alias("record"))
+    # labels grow with the documents: the same join at every size
+    rows = docs.join(labels.hint("merge"), "doc_id", "left").select("doc_id", F.struct("source", "doc_id", F.struct("text", "lang").alias("content"), F.array("quality", "toxic").alias("labels")).alias("record"))
     text = rows.select("doc_id", canonical.canonical_json(F.col("record"), rows.schema["record"].dataType).alias("t"))
     return text.select("doc_id", F.length("t").cast("bigint").alias("n_chars"), F.sha2("t", 256).alias("digest"))
 
