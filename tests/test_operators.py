@@ -50,6 +50,16 @@ def test_payout(spark):
     assert one(spark, p=fees.payout_per_cost(F.lit("1"), F.lit("500"), F.lit("0"), F.lit(0)))["p"] == 1.0
 
 
+def test_cursor_batches_without_decision(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
+    try:
+        rows = spark.range(2000).select(F.lit(1).alias("component_id"), F.col("id").alias("trade_id"), F.col("id").alias("timestamp_unix"))
+        got = {r["trade_id"] + 1 for r in cursor.decisions(rows).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == {2**i for i in range(11)} | set(range(1152, 2001, 128))
+
+
 def test_cursor_against_sequential_walk(spark):
     rng = np.random.default_rng(1)
     t = np.cumsum(rng.integers(0, 3000, 3000)) + 100

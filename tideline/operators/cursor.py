@@ -65,8 +65,9 @@ def decisions(trades: DataFrame, key: str = "component_id", heartbeat: int = HEA
                 if at_key is None or at_key != (keys[lo],):
                     at_key, n, last = (keys[lo],), 0, None
                 at, reasons, last = advance(t[lo:hi], n, last, heartbeat)
-                where = lo + np.array(at, np.int64)
-                yield pd.DataFrame({key: keys[where], "trade_id": pdf["trade_id"].to_numpy()[where], "timestamp_unix": t[where], "n": n + np.array(at, np.int64) + 1, "reasons": reasons})
+                if at:  # Arrow makes no lists of a column without rows
+                    where = lo + np.array(at, np.int64)
+                    yield pd.DataFrame({key: keys[where], "trade_id": pdf["trade_id"].to_numpy()[where], "timestamp_unix": t[where], "n": n + np.array(at, np.int64) + 1, "reasons": reasons})
                 n += hi - lo
 
     rows = trades.select(key, "trade_id", "timestamp_unix").where(trades[key].isNotNull())
