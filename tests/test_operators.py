@@ -228,3 +228,21 @@ def test_platt_and_ridge(spark):
     a, b = evaluate.platt(df, "z", "y")
     assert abs(a - 0.7) < 0.1 and abs(b - 0.3) < 0.1
     assert np.allclose(evaluate.ridge(df, ["z"], "t", "w", 1e-6), [1, 2], atol=1e-6)
+
+
+def test_forward_asof_against_search(spark):
+    """Ties, nulls, ends of buckets; no frame holds a tolerance's rows."""
+    rng = np.random.default_rng(7)
+    rows = [(int(k), int(i), int(t), None if rng.random() < 0.2 else float(i)) for i, (k, t) in enumerate(zip(rng.integers(0, 3, 600), rng.integers(85_000, 90_000, 600) // 3 * 3))]
+    rows += [(None, 900, 86_000, 1.0), (9, 901, 86_400, 2.0), (9, 902, 86_460, 3.0), (9, 903, 86_490, 4.0)]
+    leads = {"near": (60, 30), "far": (0, 0), "wide": (300, 900)}
+    df = spark.createDataFrame(rows, "k int, i bigint, t bigint, v double")
+    found = asof.forward_asof(df, "k", "t", F.col("v"), "i", leads)
+    assert "RangeFrame" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+    def want(k, t, h, tol):
+        hits = [(x, i, v) for key, i, x, v in rows if key == k and k is not None and v is not None and t + h <= x <= t + h + tol]
+        return min(hits)[2] if hits else None
+
+    got = {r["i"]: (r["near"], r["far"], r["wide"]) for r in found.collect()}
+    assert got == {i: tuple(want(k, t, h, tol) for h, tol in leads.values()) for k, i, t, _ in rows}

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tideline.plans.shared import cut
+
 
 def strict_asof_sums(left: DataFrame, events: DataFrame, key: str, ts: str, event_ts: str, sums: dict[str, Column], order: str) -> DataFrame:
     """left with running sums over the events of its key that are strictly before it.
@@ -29,10 +31,28 @@ def additive_asof(deltas: DataFrame, key: str, available: str, values: list[str]
     return d.select(key, F.col(available).alias("valid_from"), F.lead(available).over(w).alias("valid_to"), *(F.sum(v).over(w.rowsBetween(W.unboundedPreceding, W.currentRow)).alias(v) for v in values))
 
 
-def forward_asof(df: DataFrame, key: str, ts: str, value: Column, horizon: int, tolerance: int) -> Column:
-    """First non-null value at [ts + horizon, ts + horizon + tolerance]: one range frame, no join."""
-    w = W.partitionBy(key).orderBy(ts).rangeBetween(horizon, horizon + tolerance)
-    return F.first(value, ignorenulls=True).over(w)
+def forward_asof(df: DataFrame, key: str, ts: str, value: Column, order: str, leads: dict[str, tuple[int, int]]) -> DataFrame:
+    """df with, for each name: (horizon, tolerance), the first non-null value at [ts + horizon, ts + horizon + tolerance].
+
+    Of the values of a time, the first by `order` counts. Times of a key and their questions meet in one running
+    window, backwards and inside buckets of time: its work does not grow with the rows that a tolerance holds, and no
+    key is one task's work.
+    """
+    most = max(tolerance for _, tolerance in leads.values())
+    width = max(4 * most, 86_400)
+    points = df.dropna(subset=[key, ts]).groupBy(F.col(key).alias("_k"), F.col(ts).cast("bigint").alias("_t")).agg(F.min_by(value, F.when(value.isNotNull(), F.col(order))).alias("_v"))
+    points = cut(points, "points")
+    bucket = F.floor(F.col("_at") / width)
+    none, hit = F.lit(None).cast("int"), F.struct(F.col("_t").alias("at"), F.col("_v").alias("v"))
+    # a question looks into its own bucket and the start of the next, whose values are listed in both
+    values = points.where("_v is not null").select("_k", "_t", F.col("_t").alias("_at"), none.alias("_i"), hit.alias("_hit"))
+    values = values.withColumn("_b", F.explode(F.when(F.col("_at") - bucket * width <= most, F.array(bucket, bucket - 1)).otherwise(F.array(bucket))))
+    asked = points.select("_k", "_t", F.posexplode(F.array(*(F.col("_t") + h for h, _ in leads.values()))).alias("_i", "_at"), F.lit(None).cast(values.schema["_hit"].dataType).alias("_hit"))
+    asked = asked.withColumn("_b", bucket).select(*values.columns)
+    w = W.partitionBy("_k", "_b").orderBy(F.desc("_at"), F.asc_nulls_first("_i")).rowsBetween(W.unboundedPreceding, W.currentRow)
+    met = values.unionByName(asked).withColumn("_next", F.last("_hit", ignorenulls=True).over(w)).where("_i is not null")
+    found = met.groupBy("_k", "_t").agg(*(F.max(F.when((F.col("_i") == i) & (F.col("_next.at") <= F.col("_at") + tolerance), F.col("_next.v"))).alias(name) for i, (name, (_, tolerance)) in enumerate(leads.items())))
+    return df.join(found, (F.col(key) == F.col("_k")) & (F.col(ts) == F.col("_t")), "left").drop("_k", "_t")
 
 
 def interval_lookup(left: DataFrame, right: DataFrame, key: str, ts: str, start: str, end: str, bucket: int) -> DataFrame:

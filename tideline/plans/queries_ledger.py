@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tideline.functions import scalar as S
 from tideline.operators import asof, components, cursor, features, order, running
 from tideline.plans.catalog import query
+from tideline.plans.shared import cut
 from tideline.plans.views import DAY, RESOLUTIONS, SCHEDULES, SPLITS_SQL, START, TRADES_EV, TRADES_LI, resolutions, schedules, splits, trades_ev, trades_li
 
 EV, LI = f"WITH {TRADES_EV} ", f"WITH {TRADES_LI} "
@@ -345,12 +346,11 @@ def known_totals(t: DataFrame) -> DataFrame:
 @query(f"""{EV}, {ORIENTED}, u AS (SELECT market_id, timestamp_unix, arg_min(p0, trade_id) AS p FROM o GROUP BY ALL) SELECT o.trade_id, """
     + ", ".join(f"round((SELECT arg_min(u.p, u.timestamp_unix) FROM u WHERE u.market_id = o.market_id AND u.timestamp_unix BETWEEN o.timestamp_unix + {h} AND o.timestamp_unix + {h + tol}) - o.p0, 6) + 0.0 AS markout_{h}" for h, tol in ((300, 900), (3600, 3600), (86400, 21600))) + " FROM o")
 def e11_l03_markouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = oriented(trades_ev(spark, sf_dir))
+    t = cut(oriented(trades_ev(spark, sf_dir)).select("trade_id", "market_id", "timestamp_unix", "p0"), "prices")
     # several trades of a second: the first in total order is the one found
-    first = F.when(F.row_number().over(W.partitionBy("market_id", "timestamp_unix").orderBy("trade_id")) == 1, F.col("p0"))
-    t = t.withColumn("lead_p", first)
-    named = {f"markout_{h}": asof.forward_asof(t, "market_id", "timestamp_unix", F.col("lead_p"), h, tol) for h, tol in ((300, 900), (3600, 3600), (86400, 21600))}
-    return t.select("trade_id", *(F.round(v - F.col("p0"), 6).alias(k) for k, v in named.items()))
+    leads = {f"markout_{h}": (h, tol) for h, tol in ((300, 900), (3600, 3600), (86400, 21600))}
+    t = asof.forward_asof(t, "market_id", "timestamp_unix", F.col("p0"), "trade_id", leads)
+    return t.select("trade_id", *(F.round(F.col(k) - F.col("p0"), 6).alias(k) for k in leads))
 
 
 def history_cut(t: DataFrame, most: int = 16) -> DataFrame:

@@ -11,6 +11,7 @@ from tideline.functions import scalar as S
 from tideline.operators import asof, distinct, evaluate, order
 from tideline.plans.queries_ledger import EV, LI, ORIENTED, oriented
 from tideline.plans.catalog import query
+from tideline.plans.shared import cut
 from tideline.plans.views import DAY, SCHEDULES, START, schedules, trades_ev, trades_li
 
 
@@ -52,10 +53,9 @@ def f09_economic_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""{EV}, {ORIENTED}, u AS (SELECT market_id, timestamp_unix, arg_min(p0, trade_id) AS p FROM o GROUP BY ALL), t AS (SELECT o.market_id, (SELECT arg_min(u.p, u.timestamp_unix) FROM u WHERE u.market_id = o.market_id AND u.timestamp_unix BETWEEN o.timestamp_unix + 3600 AND o.timestamp_unix + 7200) - o.p0 AS y, (o.trade_id % 7 - 3) / 10.0 AS f FROM o)
 SELECT market_id, count(y) AS n, round(avg(abs(f - y)) FILTER (WHERE y IS NOT NULL), 6) AS mae, round(avg(abs(y)), 6) AS zero_mae FROM t GROUP BY 1""")
 def f13_masked_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = oriented(trades_ev(spark, sf_dir))
-    first = F.when(F.row_number().over(W.partitionBy("market_id", "timestamp_unix").orderBy("trade_id")) == 1, F.col("p0"))
-    t = t.withColumn("lead_p", first)
-    t = t.withColumn("y", asof.forward_asof(t, "market_id", "timestamp_unix", F.col("lead_p"), 3600, 3600) - F.col("p0")).withColumn("f", (F.col("trade_id") % 7 - 3) / F.lit(10.0))
+    t = cut(oriented(trades_ev(spark, sf_dir)).select("trade_id", "market_id", "timestamp_unix", "p0"), "prices")
+    t = asof.forward_asof(t, "market_id", "timestamp_unix", F.col("p0"), "trade_id", {"later": (3600, 3600)})
+    t = t.withColumn("y", F.col("later") - F.col("p0")).withColumn("f", (F.col("trade_id") % 7 - 3) / F.lit(10.0))
     return t.groupBy("market_id").agg(F.count("y").alias("n"), F.round(F.avg(F.abs(F.col("f") - F.col("y"))), 6).alias("mae"), F.round(F.avg(F.abs("y")), 6).alias("zero_mae"))
 
 
