@@ -246,3 +246,20 @@ def test_forward_asof_against_search(spark):
 
     got = {r["i"]: (r["near"], r["far"], r["wide"]) for r in found.collect()}
     assert got == {i: tuple(want(k, t, h, tol) for h, tol in leads.values()) for k, i, t, _ in rows}
+
+
+def test_worst_share_walks_few(spark):
+    """Ties at the limit, null keys and values, values that no bracket holds; few rows are put in order."""
+    rng = np.random.default_rng(3)
+    rows = [(k, None if rng.random() < 0.01 else float(rng.integers(0, 40))) for k in [1] * 900 + [2] * 50 + [None] * 31 + [3]] + [(4, None)] + [(5, float("nan"))] * 99 + [(5, 1.0)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    want = {}
+    for key in {k for k, _ in rows}:
+        own = sorted((v is not None, v != v, v or 0.0) for k, v in rows if k == key)
+        own = own[: math.ceil(len(own) * 0.1)]
+        values = [v for known, _, v in own if known]
+        want[key] = (str(round(sum(values) / len(values), 9)) if values else "None", len(own))
+    for margin in (0.01, 0.0, 1.0):
+        got = {r["k"]: (str(r["tail"] and round(r["tail"], 9)), r["groups"]) for r in evaluate.worst_share(df, "v", 0.1, "k", margin=margin).collect()}
+        assert got == want
+    assert [tuple(r) for r in evaluate.worst_share(df.where("false"), "v", 0.1).collect()] == [(None, 0)]

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tideline.functions.scalar import log_loss
+from tideline.plans.shared import cut
 
 
 def binary_metrics(df: DataFrame, p: str, y: str, *keys: str, bins: int = 20, eps: float = 1e-9) -> DataFrame:
@@ -30,10 +31,32 @@ def weighted_mean(x: Column, w: Column) -> Column:
 
 def group_tail(df: DataFrame, group: str, value: Column, weight: Column, share: float, *keys: str) -> DataFrame:
     """Mean of the worst ceil(share * groups) weighted group means, per key."""
-    g = df.groupBy(*keys, group).agg(weighted_mean(value, weight).alias("m"))
-    w = W.partitionBy(*keys)
-    g = g.withColumn("k", F.row_number().over(w.orderBy("m", group))).withColumn("n", F.count("*").over(w))
-    return g.where(F.col("k") <= F.ceil(F.col("n") * share)).groupBy(*keys).agg(F.avg("m").alias("tail"), F.count("*").alias("groups"))
+    return worst_share(df.groupBy(*keys, group).agg(weighted_mean(value, weight).alias("m")), "m", share, *keys)
+
+
+def worst_share(groups: DataFrame, value: str, share: float, *keys: str, margin: float = 0.01) -> DataFrame:
+    """keys, tail, groups: mean and number of the lowest ceil(share * groups) values of groups(keys, value), a row per group.
+
+    Approximate quantiles bracket a key's limit: values below count by their sum, those above are left out, and only
+    the few between are walked in order, equal ones as one. Where the bracket misses a limit, all values are walked, so
+    the result is exact.
+    """
+    m = cut(groups.select(*keys, F.col(value).alias("_m")), "groups")
+    ends = F.array(F.lit(max(share - margin, 0.0)), F.lit(min(share + margin, 1.0)))
+    bounds = m.groupBy(*(F.col(k).alias(f"_k_{k}") for k in keys)).agg(F.ceil(F.count("*") * share).alias("_limit"), F.percentile_approx("_m", ends, 1000).alias("_q"))
+    on = F.lit(True)
+    for k in keys:
+        on = on & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    x, low, high = F.col("_m"), F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
+    part = F.when(x.isNull(), 0).when(F.lit(margin >= 1), 2).when(x < low, 1).when(x <= high, 2).otherwise(3)
+    placed = m.join(bounds if keys else F.broadcast(bounds), on).withColumn("_part", part)
+    steps = placed.groupBy(*keys, "_limit", "_part", F.when(F.col("_part") == 2, x).alias("_v")).agg(F.count("*").alias("_c"), F.sum("_m").alias("_s"))
+    before = F.sum("_c").over(W.partitionBy(*keys).orderBy("_part", "_v").rowsBetween(W.unboundedPreceding, -1))
+    steps = cut(steps.withColumn("_take", F.least("_c", F.col("_limit") - F.coalesce(before, F.lit(0)))).where("_take > 0"), "steps")
+    if margin < 1 and steps.where("_part = 3 or (_part = 1 and _take < _c)").limit(1).collect():
+        return worst_share(groups, value, share, *keys, margin=1.0)
+    total = F.sum(F.when(F.col("_part") == 2, F.col("_v") * F.col("_take")).otherwise(F.col("_s")))
+    return steps.groupBy(*keys).agg(F.try_divide(total, F.sum(F.when(F.col("_part") > 0, F.col("_take")))).alias("tail"), F.coalesce(F.sum("_take"), F.lit(0)).alias("groups"))
 
 
 def inverse_root_weights(df: DataFrame, key: str) -> DataFrame:

@@ -9,7 +9,7 @@ from tideline.functions import scalar as S
 from tideline.operators import logs, quality
 from tideline.plans.catalog import query
 from tideline.plans.queries_ledger import EV, LI
-from tideline.plans.shared import new_folder
+from tideline.plans.shared import new_folder, tasks_for
 from tideline.plans.views import DAY, START, trades_ev, trades_li
 from tideline.sources import ledgers, shards
 
@@ -147,8 +147,11 @@ def i12_lower_tails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean result of the worst tenth of a component's wallets."""
     from tideline.operators import evaluate
 
-    p = trades_li(spark, sf_dir).groupBy("component_id", "wallet_id").agg(F.sum(F.col("notional_usd") * (F.col("outcome_index") - F.col("price"))).alias("pnl"))
-    tail = evaluate.group_tail(p, "wallet_id", F.col("pnl"), F.lit(1.0), 0.1, "component_id")
+    t = trades_li(spark, sf_dir).select("component_id", "wallet_id", (F.col("notional_usd") * (F.col("outcome_index") - F.col("price"))).alias("pnl"))
+    # most pairs have one trade: they are dealt before they are summed, into tasks of one size
+    t = t.repartition(tasks_for(spark, _read(spark, sf_dir, "lineitem").count()), "component_id", "wallet_id")
+    p = t.groupBy("component_id", "wallet_id").agg(F.sum("pnl").alias("pnl"))
+    tail = evaluate.worst_share(p, "pnl", 0.1, "component_id")
     return tail.select("component_id", F.col("groups").alias("wallets"), F.round("tail", 4).alias("lower_tail"))
 
 

@@ -111,3 +111,8 @@ def release() -> None:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def tasks_for(spark: SparkSession, rows: int, most: int = 1_000_000) -> int:
+    """Partitions of a shuffle of so many rows: `most` rows a task, or the session's number if that is more."""
+    return max(partitions(spark), -(-rows // most))
