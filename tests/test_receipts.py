@@ -210,3 +210,16 @@ def test_canonical_digest_ignores_the_order_of_fields(spark):
     df = spark.createDataFrame([(1, "x")], "a int, b string").select(F.struct("a", "b").alias("p"), F.struct("b", "a").alias("q"))
     row = df.select(*(canonical.digest(F.col(c), df.schema[c].dataType).alias(c) for c in "pq")).first()
     assert row["p"] == row["q"]
+
+
+def test_merged_proofs_read_their_source_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    proofs = spark.range(20).selectExpr("concat('0xA', id div 2) as tx", "id as o", "'1' as status", "id div 2 as block", "array(named_struct('data', string(id))) as logs")
+    merged = receipts.merge_proofs(proofs.mapInPandas(count, proofs.schema), "tx", "o", ["status", "block"]).collect()
+    assert len(merged) == 10 and all(len(r["logs"]) == 2 for r in merged) and seen.value == 20

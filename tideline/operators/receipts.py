@@ -65,7 +65,7 @@ def merge_proofs(proofs: DataFrame, key: str, order: str, scalars: list[str], lo
     `order`) and their places first show it. A key's different logs are those of one transaction, which are few; copies in
     further proofs are combined before they meet.
     """
-    df = proofs.withColumn(key, F.lower(key))
+    df = cut(proofs.select(F.lower(key).alias(key), order, *scalars, logs), "proofs")  # read twice
     text = {c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in scalars}
     by = df.groupBy(key).agg(F.count("*").alias("n_proofs"), *(F.min(F.struct(text[c].alias("t"), F.col(c).alias("v"))).alias(f"_a_{c}") for c in scalars), *(F.max(text[c]).alias(f"_z_{c}") for c in scalars))
     differs = {c: F.col(f"_a_{c}.t") != F.col(f"_z_{c}") for c in scalars}
