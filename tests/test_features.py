@@ -5,6 +5,7 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from compare import DATA
 from tideline.operators import features, running
@@ -131,3 +132,16 @@ def test_hot_keys_are_told_by_size(spark, monkeypatch):
     assert not features.has_hot_key(t)
     monkeypatch.setattr(features, "HOT_ROWS", 50)
     assert features.has_hot_key(t)
+
+
+def test_components_have_their_own_tasks(spark):
+    """Large components never share a task, whatever their hashes; small ones keep together."""
+    sizes = {0: 500, 1: 500, 2: 400, 3: 10, 4: 9, None: 8}
+    rows = [(c, i) for c, n in sizes.items() for i in range(n)]
+    t = spark.createDataFrame(rows, "component_id bigint, i int")
+    dealt = features._dealt(t, t.groupBy("component_id").agg(F.count("*").alias("n"))).withColumn("p", F.spark_partition_id())
+    at = {}
+    for r in dealt.groupBy("component_id", "p").count().collect():
+        at.setdefault(r["component_id"], []).append((r["p"], r["count"]))
+    assert {c: [n for _, n in v] for c, v in at.items()} == {c: [n] for c, n in sizes.items()}
+    assert len({at[c][0][0] for c in (0, 1, 2)}) == 3 and not {at[c][0][0] for c in (3, 4, None)} & {at[c][0][0] for c in (0, 1, 2)}

@@ -276,7 +276,30 @@ def _wallet_walk(t: DataFrame, resolutions: DataFrame, actor: DataFrame | None)
     return out.withColumn("w_prev", F.when(F.col("w_same") == 1, F.col("market_id"))).drop("w_same")
 
 
-def _market_walk(t: DataFrame) -> DataFrame:
+def _dealt(t: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows by component; components that hold more than a task's share have tasks of their own, largest first.
+
+    sizes(component_id, n); there are fewer such components than tasks.
+    """
+    tasks = partitions(t.sparkSession)
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    large = [r["component_id"] for r in sizes.where(F.col("component_id").isNotNull() & (F.col("n") * tasks > total)).orderBy(F.desc("n"), "component_id").select("component_id").collect()]
+    if not large:
+        return t.repartition(tasks, "component_id")
+
+    def task(c: Column) -> Column:
+        return F.pmod(F.hash(c), F.lit(tasks))
+
+    # a number for each task that repartition() deals there
+    numbers = t.sparkSession.range(64 * tasks).groupBy(task(F.col("id")).alias("task")).agg(F.min("id").alias("id")).orderBy("task")
+    numbers = [r["id"] for r in numbers.collect()]
+    own = F.create_map(*(F.lit(x) for pair in zip(large, numbers) for x in pair))
+    free = numbers[len(large) :] or numbers
+    rest = F.get(F.array(*map(F.lit, free)), F.pmod(F.hash("component_id"), F.lit(len(free))))
+    return t.withColumn("_task", F.coalesce(F.try_element_at(own, F.col("component_id")), rest).cast("bigint")).repartition(tasks, "_task").drop("_task")
+
+
+def _market_walk(t: DataFrame, sizes: DataFrame) -> DataFrame:
     """The state of a trade's market and component after it, in one pass over each component's trades.
 
     A market belongs to one component, so its trades come in the component's stream; markets of a component are few.
@@ -309,14 +332,16 @@ def _market_walk(t: DataFrame) -> DataFrame:
                 market.keep(list(of[keys[-1]]))
                 component.keep(keys[-1:])
 
-    return t.repartition(partitions(t.sparkSession), "component_id").sortWithinPartitions("component_id", *ORDER).mapInPandas(walk, _schema(t, state))
+    dealt = _dealt(t, sizes).sortWithinPartitions("component_id", *ORDER)
+    return dealt.mapInPandas(walk, _schema(t, state))
 
 
 def _walked(trades: DataFrame, resolutions: DataFrame, actor: DataFrame | None) -> DataFrame:
     """All state by three walks: the ledger's on narrow rows first, markets' on the widest last, and nothing is joined."""
     flags = {"raw": clamp("price", 0.0, 1.0), "p0": probability0(), "direction": direction().cast("int"), "buy": F.when(F.col("side") == "BUY", 1).otherwise(0), "o0": F.when(F.col("outcome_index") == 0, 1).otherwise(0)}
     t = trades.withColumns(flags).select(*TRADE, "side", "outcome_index")
-    return _market_walk(_wallet_walk(_ledger_walk(t), resolutions, actor))
+    sizes = trades.groupBy("component_id").agg(F.count("*").alias("n"))
+    return _market_walk(_wallet_walk(_ledger_walk(t), resolutions, actor), sizes)
 
 
 def _levels(trades: DataFrame, resolutions: DataFrame, actor: DataFrame | None) -> DataFrame:
