@@ -160,6 +160,31 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "src bigint, dst bigint")).count() == 0
 
 
+def test_components_of_many_edges_contract_few(spark, monkeypatch):
+    """Rounds see forests or the edges to two neighbours of a node, not all edges; links outside those count."""
+    rounds, cut = [], components.cut
+
+    def counted(df, what="table"):
+        out = cut(df, what)
+        rounds.append(out.count())
+        return out
+
+    monkeypatch.setattr(components, "cut", counted)
+    rng = np.random.default_rng(11)
+    dense = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 200, (8000, 2))], "src bigint, dst bigint").repartition(4)
+    assert {r["component"] for r in components.connected_components(dense).collect()} == {0} and max(rounds) <= 4 * 199
+
+    # Cliques of even and of odd numbers; the one link of a pair lies between the least and the last neighbours of its ends.
+    rows = [(32 * g + a, 32 * g + b) for g in range(100) for s in (0, 1) for a in range(s, 32, 2) for b in range(a + 2, 32, 2)]
+    rows += [(32 * g + 16, 32 * g + 17) for g in range(0, 100, 2)]
+    rounds.clear()
+    monkeypatch.setattr(components, "FOREST_EDGES", 64)  # forests are passed on, not held
+    df = spark.createDataFrame([(f"{a:05d}", f"{b:05d}") for a, b in rows], "src string, dst string").repartition(8)
+    got = {r["node"]: r["component"] for r in components.connected_components(df).collect()}
+    assert got == {f"{32 * g + i:05d}": f"{32 * g + (i % 2 if g % 2 else 0):05d}" for g in range(100) for i in range(32)}
+    assert rounds[0] > 2 * 5800 >= 2 * max(rounds[1:])
+
+
 def test_whole_components_against_union_find(spark):
     from compare import DATA
     from tideline.plans import registry

@@ -426,10 +426,10 @@ _EDGES = "edges AS (SELECT DISTINCT l_partkey AS a, 1000000 + l_suppkey * 10000
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts and, of every line, the event of its supplier and period."""
+    """Parts and, of every line, the event of its supplier and period; components need no distinct edges."""
     li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     days = F.datediff(F.to_date("l_shipdate"), F.lit("1990-01-01").cast("date"))
-    return li.select(F.col("l_partkey").alias("a"), (1000000 + F.col("l_suppkey") * 10000 + F.floor(days / 200)).alias("b")).distinct()
+    return li.select(F.col("l_partkey").alias("a"), (1000000 + F.col("l_suppkey") * 10000 + F.floor(days / 200)).alias("b"))
 
 
 _COMPONENTS = f"""WITH RECURSIVE {_EDGES}, both_ways AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges), c(node, component) USING KEY (node) AS (SELECT DISTINCT a AS node, a AS component FROM both_ways
