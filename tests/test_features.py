@@ -127,6 +127,30 @@ def test_feature_pack_equals_walk(spark, hot):
         assert not len(bad), (row["trade_id"], [(i, got[i], want[row["trade_id"]][i]) for i in bad[:5]])
 
 
+def test_large_components_go_in_stretches(spark, monkeypatch):
+    """Components over STRETCH trades are walked in stretches of time, not by windows in two levels; some of them here."""
+    t = trades_ev(spark, f"{DATA}/sf0.001").where("component_id < 2 or trade_id % 20 = 0")
+    m, r, a = pack_inputs(t)
+    whole = {row["trade_id"]: row for row in features.feature_pack(t, m, r, a, hot=False).collect()}
+    monkeypatch.setattr(features, "HOT_ROWS", 150)
+    monkeypatch.setattr(features, "STRETCH", 40)
+    monkeypatch.setattr(features, "_levels", None)
+    sizes = t.groupBy("component_id").agg(F.count("*").alias("n"))
+    starts = features._stretches(t, sizes)
+    assert features.has_hot_key(t) and {c for c, _, _ in starts} == {0, 1} and len(starts) > 8
+    pack = features.feature_pack(t, m, r, a).collect()
+    assert len(pack) == len(whole)
+    for row in pack:
+        got, want = np.array(row[2:], float), np.array(whole[row["trade_id"]][2:], float)
+        bad = np.flatnonzero(np.abs(got - want) > 1e-6 * np.maximum(1, np.abs(want)))
+        assert not len(bad), (row["trade_id"], [(i, got[i], want[i]) for i in bad[:5]])
+    some = t.where("trade_id % 3 = 0").select("trade_id")
+    few = features.feature_pack(t, m, r, a, only=some.union(some), keep=["price"])
+    assert few.columns[2] == "price"
+    got = {row["trade_id"]: tuple(row)[3:] for row in few.collect()}
+    assert got == {row["trade_id"]: tuple(row)[2:] for row in pack if row["trade_id"] % 3 == 0}
+
+
 def test_hot_keys_are_told_by_size(spark, monkeypatch):
     t = trades_ev(spark, f"{DATA}/sf0.001")
     assert not features.has_hot_key(t)

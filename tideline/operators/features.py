@@ -1,15 +1,18 @@
 """The causal feature pack: 128 features of every trade from wallet, market, component and universe state.
 
-State includes the trade itself; gaps and the same-market flag look at the trade before. While the largest key
-has HOT_ROWS trades at most, three walks over sorted batches give all state: the ledger's by stretches of time, each
-wallet's, each component's with its markets. A walk costs one shuffle, and no result is joined back. Beyond that
-size all state of keys is windows in two levels (key and day, then the totals of a key's days before), and averages
-with half-lives are scanned in chunks of days, so no key is one task's work.
+State includes the trade itself; gaps and the same-market flag look at the trade before. Three walks over sorted
+batches give all state: the ledger's by stretches of time, each wallet's, each component's with its markets. A walk
+costs one shuffle, and no result is joined back. A component of more than STRETCH trades goes in stretches of time: a
+first pass reduces each to its totals, these are added up along each market and component, and the second pass walks
+every stretch from the state before it. So no component or market is one task's work, and what is written is one table
+of trades and shuffles in proportion. Only where a wallet has more than HOT_ROWS trades, all state of keys is windows
+in two levels (key and day, then the totals of a key's days before), which write the growing rows many times.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import heapq
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,12 +25,12 @@ from tideline.operators import asof, running
 from tideline.operators.order import ORDER
 from tideline.operators.running import _ema_scan
 from tideline.operators.walks import State, Walk, estimate
-from tideline.plans.shared import cut, partitions
+from tideline.plans.shared import cut, partitions, tasks_for
 
 #: Seconds of a day, half-lives of markets and components; and, in _columns(), the order of the features.
 DAY = 86_400
 MARKET_LIVES, COMPONENT_LIVES = (300, 3600, 21_600, 86_400, 604_800), (3600, 86_400, 604_800)
-#: Trades of a key that one task may walk.
+#: Trades of a wallet that one task may walk.
 HOT_ROWS = 5_000_000
 ACTOR = ["maker_fills", "taker_fills", "buy_fills", "sell_fills", "buy_notional", "sell_notional", "counterparties", "assets", "price_sum", "price_square"]
 
@@ -100,13 +103,15 @@ def _universe(t: DataFrame) -> DataFrame:
 
 # --- keys that a task can hold: one walk for wallets, one for markets and components, one for the ledger ---
 
-#: Trades of a stretch of time that is walked by itself for the ledger's state.
+#: Trades of a stretch of time that is walked by itself, of the ledger or of a component.
 STRETCH = 500_000
 SUMS = ["count", "notional", "size", "signed", "buy", "o0", "pn", "ppn", "nn"]
 MEASURES = ["count", "notional", "size", "flow", "side", "outcome", "mean", "std", "min", "max", "gap", "age", "hhi", "velocity"]
 TRADE = ["trade_id", "timestamp_unix", "wallet_id", "market_id", "component_id", "size", "notional_usd", "p0", "raw", "direction", "buy", "o0"]
 RESOLVED = ["r_n", "r_edge", "r_pnl", "r_wins"]
 EMBEDDING = [f"d{i}" for i in range(7)]
+#: Marks the trades whose features are wanted, where not all are.
+WANTED = "_wanted"
 
 
 def _ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -169,7 +174,8 @@ def _ledger_walk(t: DataFrame) -> DataFrame:
     def numbered(ts: pd.Series) -> pd.Series:
         return pd.Series(np.searchsorted(starts, ts.to_numpy() // 3600, side="right") - 1)
 
-    placed = t.withColumn("_s", numbered("timestamp_unix")).repartition(min(max(1, len(starts)), 4 * partitions(t.sparkSession)), "_s").sortWithinPartitions("_s", *ORDER)
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumn("_s", numbered("timestamp_unix")).repartition(min(max(1, len(starts)), 4 * partitions(t.sparkSession)), "_s").sortWithinPartitions("_s", *ORDER)
 
     def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Sums, ends and the average's step of each stretch."""
@@ -186,7 +192,10 @@ def _ledger_walk(t: DataFrame) -> DataFrame:
         for k, (v, a, z, f, step) in held.items():
             yield pd.DataFrame({"s": [k], "v": [v.tolist()], "a": [a], "z": [z], "f": [f], "e": [step]})
 
-    ends = placed.mapInPandas(totals, "s int, v array<double>, a bigint, z bigint, f double, e double").toPandas().sort_values("s") if len(starts) > 1 else pd.DataFrame()
+    ends = pd.DataFrame()
+    if len(starts) > 1:
+        summed = placed(t.select(*ORDER, "notional_usd", "p0", "direction", "buy")).mapInPandas(totals, "s int, v array<double>, a bigint, z bigint, f double, e double")
+        ends = cut(summed, "stretches").toPandas().sort_values("s")  # a row per stretch
     carried: dict[int, State] = {}
     total, mean, last, first = np.zeros(10), 0.0, None, None
     total[[6, 7, 8, 9]] = running.REGISTERS
@@ -217,7 +226,9 @@ def _ledger_walk(t: DataFrame) -> DataFrame:
             made = [*u[:, :6].T, out["gap"], out["age"], estimate(u[:, 6], np.rint(u[:, 7])), estimate(u[:, 8], np.rint(u[:, 9])), out["averages"][:, 0]]
             yield pdf.drop(columns="_s").assign(**dict(zip(names, made)))
 
-    return placed.mapInPandas(walk, _schema(t, names))
+    out = placed(t).mapInPandas(walk, _schema(t, names))
+    # what only features of wanted trades read is not carried for others
+    return out.withColumns({c: F.when(F.col(WANTED) == 1, F.col(c)) for c in names}) if WANTED in t.columns else out
 
 
 def _wallet_walk(t: DataFrame, resolutions: DataFrame, actor: DataFrame | None) -> DataFrame:
@@ -272,19 +283,26 @@ def _wallet_walk(t: DataFrame, resolutions: DataFrame, actor: DataFrame | None)
                 w.keep(pdf["_k"].to_numpy()[-1:])
 
     dealt = flat.repartition(partitions(t.sparkSession), "_k").sortWithinPartitions("_k", "_t", "_kind", "trade_id")
-    out = dealt.mapInPandas(walk, _schema(t, state))
-    return out.withColumn("w_prev", F.when(F.col("w_same") == 1, F.col("market_id"))).drop("w_same")
+    out = dealt.mapInPandas(walk, _schema(t, state)).withColumn("w_prev", F.when(F.col("w_same") == 1, F.col("market_id")))
+    # the wallet's features are known now: one array of floats instead of its state
+    done = F.array(*(F.coalesce(v.cast("double"), F.lit(0.0)).cast("float") for v in _wallet_columns()))
+    return out.select(*t.columns, *EMBEDDING, "known", "resolved", (F.when(F.col(WANTED) == 1, done) if WANTED in t.columns else done).alias("w_features"))
 
 
-def _dealt(t: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Rows by component; components that hold more than a task's share have tasks of their own, largest first.
+def _dealt(t: DataFrame, sizes: DataFrame, stretches: Sequence[int] = ()) -> DataFrame:
+    """Rows by component, or by stretch of one; what holds more than a task's share has a task of its own, largest first.
 
-    sizes(component_id, n); there are fewer such components than tasks.
+    sizes(component_id, n); stretches are the sizes of those numbered in _s, which is -1 for components that are whole.
+    There are fewer whole components of such a size than tasks, and a few times as many stretches at most.
     """
-    tasks = partitions(t.sparkSession)
     total = sizes.agg(F.sum("n")).first()[0] or 0
-    large = [r["component_id"] for r in sizes.where(F.col("component_id").isNotNull() & (F.col("n") * tasks > total)).orderBy(F.desc("n"), "component_id").select("component_id").collect()]
-    if not large:
+    tasks = tasks_for(t.sparkSession, total, STRETCH)
+    whole = F.col("component_id").isNotNull() & (F.col("n") * tasks > total)
+    if stretches:
+        whole = whole & (F.col("n") <= STRETCH)
+    large = [(r["n"], None, r["component_id"]) for r in sizes.where(whole).orderBy(F.desc("n"), "component_id").collect()]
+    units = sorted([*large, *((n, i, None) for i, n in enumerate(stretches))], key=lambda u: -u[0])
+    if not units:
         return t.repartition(tasks, "component_id")
 
     def task(c: Column) -> Column:
@@ -293,55 +311,213 @@ def _dealt(t: DataFrame, sizes: DataFrame) -> DataFrame:
     # a number for each task that repartition() deals there
     numbers = t.sparkSession.range(64 * tasks).groupBy(task(F.col("id")).alias("task")).agg(F.min("id").alias("id")).orderBy("task")
     numbers = [r["id"] for r in numbers.collect()]
-    own = F.create_map(*(F.lit(x) for pair in zip(large, numbers) for x in pair))
-    free = numbers[len(large) :] or numbers
-    rest = F.get(F.array(*map(F.lit, free)), F.pmod(F.hash("component_id"), F.lit(len(free))))
-    return t.withColumn("_task", F.coalesce(F.try_element_at(own, F.col("component_id")), rest).cast("bigint")).repartition(tasks, "_task").drop("_task")
+    loads = [(0, i) for i in range(len(numbers))]
+    own, placed = [], [0] * len(stretches)
+    for n, stretch, component in units:
+        load, i = heapq.heappop(loads)
+        heapq.heappush(loads, (load + n, i))
+        if stretch is None:
+            own += [F.lit(component), F.lit(numbers[i])]
+        else:
+            placed[stretch] = numbers[i]
+    free = [numbers[i] for load, i in sorted(loads) if load == 0] or numbers
+    at = F.get(F.array(*map(F.lit, free)), F.pmod(F.hash("component_id"), F.lit(len(free))))
+    if own:
+        at = F.coalesce(F.try_element_at(F.create_map(*own), F.col("component_id")), at)
+    if placed:
+        at = F.when(F.col("_s") >= 0, F.get(F.array(*map(F.lit, placed)), F.col("_s"))).otherwise(at)
+    return t.withColumn("_task", at.cast("bigint")).repartition(tasks, "_task").drop("_task")
+
+
+#: Half-lives of a market's and a component's averages, by what is averaged.
+MEANS = [(c, h) for c in ("p0", "direction") for h in MARKET_LIVES], [(c, h) for c in ("p0", "direction") for h in COMPONENT_LIVES]
+
+
+def _crowd_walks() -> tuple[Walk, Walk]:
+    market, component = (Walk([(int(c == "direction"), h) for c, h in m], sketch=True) for m in MEANS)
+    return market, component
+
+
+def _crowd_step(market: Walk, component: Walk, b: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """State of the market, with notional-weighted moments of the wallets that traded, and of the component."""
+    ts, values, averaged = b["timestamp_unix"], _values(b), np.stack([b["p0"], b["direction"].astype(float)], 1)
+    d = np.stack([b[c] for c in (*EMBEDDING, "known", "resolved")], 1)
+    weighted = np.concatenate([d, d[:, :4] ** 2], 1) * b["notional_usd"][:, None]
+    m = market.step(b["market_id"], ts, np.concatenate([values, weighted], 1), b["p0"], averaged, item=b["wallet_id"])
+    return m, component.step(b["component_id"], ts, values, b["p0"], averaged, item=b["market_id"])
+
+
+def _runs(pdf: pd.DataFrame) -> Iterator[tuple[int, pd.DataFrame]]:
+    """A batch by stretch, in order; -1 where components are whole."""
+    if "_s" not in pdf.columns:
+        yield -1, pdf
+        return
+    s = pdf["_s"].to_numpy()
+    edges = [0, *(np.flatnonzero(s[1:] != s[:-1]) + 1).tolist(), len(s)]
+    for lo, hi in zip(edges, edges[1:]):
+        if lo < hi:
+            yield int(s[lo]), pdf.iloc[lo:hi].reset_index(drop=True)
+
+
+def _stretches(trades: DataFrame, sizes: DataFrame) -> list[tuple[object, int, int]]:
+    """component_id, first hour and trades of each stretch, in order, of components over STRETCH trades."""
+    large = [r["component_id"] for r in sizes.where(F.col("component_id").isNotNull() & (F.col("n") > STRETCH)).collect()]
+    if not large:
+        return []
+    hour = F.floor(F.col("timestamp_unix") / 3600).cast("bigint")
+    hours = trades.where(F.col("component_id").isin(large)).groupBy("component_id", hour.alias("h")).agg(F.count("*").alias("n"))
+    so_far = F.sum("n").over(W.partitionBy("component_id").orderBy("h").rowsBetween(W.unboundedPreceding, W.currentRow))
+    parts = hours.withColumn("p", F.floor((so_far - 1) / STRETCH)).groupBy("component_id", "p").agg(F.min("h").alias("h"), F.sum("n").alias("n"))
+    return [(r["component_id"], r["h"], r["n"]) for r in parts.orderBy("component_id", "h").select("component_id", "h", "n").collect()]
+
+
+def _numbered(starts: list[tuple[object, int, int]]) -> Column:
+    """The number of a trade's stretch, -1 where its component is whole."""
+    of: dict = {}
+    for i, (component, hour, _) in enumerate(starts):
+        of.setdefault(component, (i, []))[1].append(hour)
+
+    @F.pandas_udf("int")
+    def number(component: pd.Series, ts: pd.Series) -> pd.Series:
+        out, hours = np.full(len(ts), -1, np.int32), ts.to_numpy() // 3600
+        for c, (base, first) in of.items():
+            at = (component == c).to_numpy(bool)
+            out[at] = base + np.searchsorted(first, hours[at], side="right") - 1
+        return pd.Series(out)
+
+    return number("component_id", "timestamp_unix")
+
+
+def _packed(s: State, first: np.ndarray) -> np.ndarray:
+    return np.concatenate([s.sums, [s.low, s.high, s.first, s.last], s.averages, first, s.registers]).astype(float)
+
+
+def _unpacked(v: np.ndarray, averages: int) -> tuple[State, np.ndarray]:
+    """The state in an array of _packed(), and the first values that were averaged."""
+    w = len(v) - 4 - 2 * averages - running.REGISTERS
+    sums, (low, high, first, last), means, values, registers = np.split(v, [w, w + 4, w + 4 + averages, w + 4 + 2 * averages])
+    return State(sums, low, high, int(first), int(last), None, means, registers.astype(np.int32)), values
 
 
-def _market_walk(t: DataFrame, sizes: DataFrame) -> DataFrame:
+def _after(before: np.ndarray, v: np.ndarray, lives: np.ndarray) -> np.ndarray:
+    """The state after a stretch that was walked by itself, from the state before it."""
+    (a, start), (z, first) = _unpacked(before, len(lives)), _unpacked(v, len(lives))
+    # walked by itself, averages start at its first value
+    means = z.averages + np.exp2(-(z.last - a.last) / lives) * (a.averages - first)
+    return _packed(State(a.sums + z.sums, min(a.low, z.low), max(a.high, z.high), a.first, z.last, None, means, np.maximum(a.registers, z.registers)), start)
+
+
+def _states(t: DataFrame, sizes: DataFrame, stretches: Sequence[int]) -> DataFrame:
+    """component_id, market_id, _s, _kind (0 of a market, 1 of a component), _v: states before stretches, where there is one."""
+    kinds = [np.array([float(h) for _, h in m]) for m in MEANS]
+    narrow = t.where("_s >= 0").select("_s", *(c for c in TRADE if c != "raw"), *EMBEDDING, "known", "resolved")
+
+    def totals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, walks, firsts = None, _crowd_walks(), ({}, {})
+
+        def found() -> pd.DataFrame:
+            rows = []
+            for kind, walk in enumerate(walks):
+                which = [c for c, _ in walk.averages]
+                for k, s in walk.states.items():
+                    component, member, averaged = firsts[kind][k]
+                    rows.append((at, component, member, kind, f"{kind}/{k}", _packed(s, averaged[which])))
+            return pd.DataFrame(rows, columns=["_s", "component_id", "market_id", "_kind", "_key", "_v"])
+
+        for pdf in batches:
+            for s, part in _runs(pdf):
+                if s != at:
+                    if at is not None:
+                        yield found()
+                    at, walks, firsts = s, _crowd_walks(), ({}, {})
+                b = _arrays(part)
+                for kind, key in enumerate(("market_id", "component_id")):
+                    keys, i = np.unique(b[key], return_index=True)
+                    for k, j in zip(keys.tolist(), i.tolist()):
+                        if k not in firsts[kind]:
+                            firsts[kind][k] = b["component_id"][j], b["market_id"][j], np.array([b["p0"][j], b["direction"][j]], float)
+                _crowd_step(*walks, b)
+        if at is not None:
+            yield found()
+
+    def before(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, state = None, None
+        for pdf in batches:
+            out = []
+            for key, kind, v in zip(pdf["_key"], pdf["_kind"], pdf["_v"]):
+                if key != now:
+                    now, state = key, None
+                out.append(state)
+                state = v if state is None else _after(state, v, kinds[kind])
+            yield pdf.assign(_v=out).drop(columns="_key")[[v is not None for v in out]]
+
+    types = {c: t.schema[c].dataType.simpleString() for c in ("component_id", "market_id")}
+    schema = f"_s int, component_id {types['component_id']}, market_id {types['market_id']}, _kind int"
+    summed = _dealt(narrow, sizes, stretches).sortWithinPartitions("_s", *ORDER).mapInPandas(totals, f"{schema}, _key string, _v array<double>")
+    ordered = summed.repartition(partitions(t.sparkSession), "_key").sortWithinPartitions("_key", "_s")
+    return cut(ordered.mapInPandas(before, f"{schema}, _v array<double>"), "states")
+
+
+def _market_walk(t: DataFrame, sizes: DataFrame, starts: list[tuple[object, int, int]]) -> DataFrame:
     """The state of a trade's market and component after it, in one pass over each component's trades.
 
     A market belongs to one component, so its trades come in the component's stream; markets of a component are few.
+    A component that has starts comes in stretches, each behind the states before it.
     """
     crowd = [f"s_{c}" for c in (*EMBEDDING, "known", "resolved")] + [f"q_d{i}" for i in range(4)]
-    means = [(c, h) for c in ("p0", "direction") for h in MARKET_LIVES], [(c, h) for c in ("p0", "direction") for h in COMPONENT_LIVES]
     state = [
-        *(f"m_{k}" for k in MEASURES), "m_wallets", *crowd, "m_nn", *(f"m_ema_{c}_{h}" for c, h in means[0]),
-        *(f"c_{k}" for k in MEASURES), "c_markets", *(f"c_ema_{c}_{h}" for c, h in means[1]),
+        *(f"m_{k}" for k in MEASURES), "m_wallets", *crowd, "m_nn", *(f"m_ema_{c}_{h}" for c, h in MEANS[0]),
+        *(f"c_{k}" for k in MEASURES), "c_markets", *(f"c_ema_{c}_{h}" for c, h in MEANS[1]),
     ]
+    schema, columns, stretches = _schema(t, state), t.columns, [n for _, _, n in starts]
+    if starts:
+        # read by both passes
+        t = cut(t.withColumn("_s", _numbered(starts)), "features")
+        states = _states(t, sizes, stretches)
+        none = {f.name: F.lit(0 if f.dataType.simpleString() in ("int", "bigint", "double") else None).cast(f.dataType).alias(f.name) for f in t.schema.fields}
+        given = ("_s", "component_id", "market_id")
+        t = t.withColumns({"_kind": F.lit(0), "_v": F.lit(None).cast("array<double>")}).unionByName(states.select(*(c if c in given else none[c] for c in t.columns), "_kind", "_v"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        market, component = (Walk([(int(c == "direction"), h) for c, h in m], sketch=True) for m in means)
+        market, component = _crowd_walks()
         of: dict = {}
-        for pdf in batches:
-            b = _arrays(pdf)
-            keys, ts, values = b["component_id"], b["timestamp_unix"], _values(b)
-            n, averaged = b["notional_usd"], np.stack([b["p0"], b["direction"].astype(float)], 1)
-            d = np.stack([b[c] for c in (*EMBEDDING, "known", "resolved")], 1)
-            weighted = np.concatenate([d, d[:, :4] ** 2], 1) * n[:, None]
-            m = market.step(b["market_id"], ts, np.concatenate([values, weighted], 1), b["p0"], averaged, item=b["wallet_id"])
-            c = component.step(keys, ts, values, b["p0"], averaged, item=b["market_id"])
-            made = _measures(m, "m") | _measures(c, "c") | {"m_wallets": m["distinct"], "c_markets": c["distinct"], "m_nn": m["sums"][:, SUMS.index("nn")]}
-            made |= dict(zip(crowd, m["sums"][:, len(SUMS) :].T)) | {f"m_ema_{x}_{h}": v for (x, h), v in zip(means[0], m["averages"].T)} | {f"c_ema_{x}_{h}": v for (x, h), v in zip(means[1], c["averages"].T)}
-            yield pd.concat([pdf, pd.DataFrame({k: made[k] for k in state})], axis=1)
-            if len(pdf):
-                # markets of the last component may go on
-                at = keys == keys[-1]
-                of = {keys[-1]: of.get(keys[-1], set()) | set(b["market_id"][at].tolist())}
-                market.keep(list(of[keys[-1]]))
-                component.keep(keys[-1:])
-
-    dealt = _dealt(t, sizes).sortWithinPartitions("component_id", *ORDER)
-    return dealt.mapInPandas(walk, _schema(t, state))
-
-
-def _walked(trades: DataFrame, resolutions: DataFrame, actor: DataFrame | None) -> DataFrame:
+        at = -1
+        for batch in batches:
+            for s, pdf in _runs(batch):
+                if s != at:
+                    at, market.states, component.states = s, {}, {}
+                if s >= 0:
+                    carried = pdf["_v"].notna().to_numpy()
+                    for kind, m, c, v in pdf.loc[carried, ["_kind", "market_id", "component_id", "_v"]].itertuples(index=False):
+                        (component if kind else market).states[c if kind else m] = _unpacked(v, len(MEANS[kind]))[0]
+                    pdf = pdf[~carried].reset_index(drop=True)
+                if not len(pdf):
+                    continue
+                b, pdf = _arrays(pdf), pdf[columns]
+                m, c = _crowd_step(market, component, b)
+                made = _measures(m, "m") | _measures(c, "c") | {"m_wallets": m["distinct"], "c_markets": c["distinct"], "m_nn": m["sums"][:, SUMS.index("nn")]}
+                made |= dict(zip(crowd, m["sums"][:, len(SUMS) :].T)) | {f"m_ema_{x}_{h}": v for (x, h), v in zip(MEANS[0], m["averages"].T)} | {f"c_ema_{x}_{h}": v for (x, h), v in zip(MEANS[1], c["averages"].T)}
+                out = pd.concat([pdf, pd.DataFrame({k: made[k] for k in state})], axis=1)
+                yield out[out[WANTED] == 1] if WANTED in columns else out
+                if s < 0:
+                    # markets of the last component may go on
+                    keys = b["component_id"]
+                    of = {keys[-1]: of.get(keys[-1], set()) | set(b["market_id"][keys == keys[-1]].tolist())}
+                    market.keep(list(of[keys[-1]]))
+                    component.keep(keys[-1:])
+
+    order = ["component_id", "_s", F.col("_v").isNull()] if starts else ["component_id"]
+    return _dealt(t, sizes, stretches).sortWithinPartitions(*order, *ORDER).mapInPandas(walk, schema)
+
+
+def _walked(trades: DataFrame, resolutions: DataFrame, actor: DataFrame | None, only: DataFrame | None, keep: Sequence[str]) -> DataFrame:
     """All state by three walks: the ledger's on narrow rows first, markets' on the widest last, and nothing is joined."""
     flags = {"raw": clamp("price", 0.0, 1.0), "p0": probability0(), "direction": direction().cast("int"), "buy": F.when(F.col("side") == "BUY", 1).otherwise(0), "o0": F.when(F.col("outcome_index") == 0, 1).otherwise(0)}
-    t = trades.withColumns(flags).select(*TRADE, "side", "outcome_index")
-    sizes = trades.groupBy("component_id").agg(F.count("*").alias("n"))
-    return _market_walk(_wallet_walk(_ledger_walk(t), resolutions, actor), sizes)
+    t = trades.withColumns(flags).select(*dict.fromkeys([*TRADE, "side", "outcome_index", *keep]))
+    if only is not None:
+        t = t.join(only.withColumn(WANTED, F.lit(1)), "trade_id", "left").fillna({WANTED: 0})
+    sizes = cut(trades.groupBy("component_id").agg(F.count("*").alias("n")), "sizes")
+    return _market_walk(_wallet_walk(_ledger_walk(t), resolutions, actor), sizes, _stretches(trades, sizes))
 
 
 def _levels(trades: DataFrame, resolutions: DataFrame, actor: DataFrame | None) -> DataFrame:
@@ -382,38 +558,61 @@ def _levels(trades: DataFrame, resolutions: DataFrame, actor: DataFrame | None)
     return t
 
 
-def feature_pack(trades: DataFrame, markets: DataFrame, resolutions: DataFrame, actor: DataFrame | None = None, hot: bool | None = None) -> DataFrame:
-    """trade_id, timestamp_unix and the features f_000 .. f_127 of every trade.
+def feature_pack(
+    trades: DataFrame, markets: DataFrame, resolutions: DataFrame, actor: DataFrame | None = None, hot: bool | None = None, only: DataFrame | None = None, keep: Sequence[str] = (),
+) -> DataFrame:
+    """trade_id, timestamp_unix and the features f_000 .. f_127 of every trade, or of those in only(trade_id).
 
     markets(market_id, component_id, created, end_ts, neg_risk, unclosed); resolutions(wallet_id,
     resolution_ts, edge, pnl); actor as actor_deltas() gives it, visible from `available` on. hot: state of
-    keys in two levels; has_hot_key() decides if it is not given.
+    keys in two levels; if it is not given, has_hot_key() of wallets decides. keep: columns of trades, without nulls, that are returned too.
     """
-    hot = has_hot_key(trades) if hot is None else hot
-    t = _levels(trades, resolutions, actor) if hot else _walked(trades, resolutions, actor)
+    hot = has_hot_key(trades, ("wallet_id",)) if hot is None else hot
+    only = None if only is None else cut(only.select("trade_id").distinct(), "wanted")
     by = markets.groupBy("component_id").agg(F.count("*").alias("k_n"), F.avg(F.col("neg_risk").cast("double")).alias("k_neg"), F.avg(F.col("unclosed").cast("double")).alias("k_open"))
-    static = markets.select("market_id", "component_id", "created", "end_ts").join(by, "component_id").drop("component_id")
+    # a table, whose size the optimizer knows: else the widest rows might be shuffled to meet it
+    static = cut(markets.select("market_id", "component_id", "created", "end_ts").join(by, "component_id").drop("component_id"), "markets")
+    if hot:
+        t = _levels(trades, resolutions, actor)
+        t = t if only is None else t.join(only, "trade_id", "left_semi")
+        wallet = _wallet_columns()
+    else:
+        t = _walked(trades, resolutions, actor, only, keep)
+        wallet = [F.get("w_features", F.lit(i)) for i in range(len(_wallet_columns()))]
     t = t.join(static, "market_id", "left")
 
-    return t.select("trade_id", "timestamp_unix", *(F.coalesce(v.cast("double"), F.lit(0.0)).cast("float").alias(f"f_{i:03d}") for i, v in enumerate(_columns())))
+    own = [c for c in keep if c not in ("trade_id", "timestamp_unix")]
+    return t.select("trade_id", "timestamp_unix", *own, *(F.coalesce(v.cast("double"), F.lit(0.0)).cast("float").alias(f"f_{i:03d}") for i, v in enumerate(_columns(wallet))))
 
 
-def _columns() -> list[Column]:
-    n, ln, ts, c = F.col("notional_usd"), F.log1p, F.col("timestamp_unix"), F.col
-    (ds, dc), (ws, wc) = phase(ts, DAY), phase(ts, 7 * DAY)
-    elapsed, remaining = lifecycle(ts, "created", "end_ts")
+def _wallet_columns() -> list[Column]:
+    """Features of the wallet's own state."""
+    n, ln, c = F.col("notional_usd"), F.log1p, F.col
     known = c("known") > 0
 
     def actor(v: Column) -> Column:
         return F.when(known, v).otherwise(0.0)
 
+    rest = F.greatest(c("w_count") - 1, F.lit(1))
+    fills = c("a_maker_fills") + c("a_taker_fills")
+    sides = c("a_buy_fills") + c("a_sell_fills")
+    return [
+        ln("w_count"), ln("w_notional"), ln("w_size"), c("w_sides") / c("w_count"), c("w_outcomes") / c("w_count"), c("w_flow"), c("w_mean"), c("w_std"), c("d5"), ln(c("w_gaps") / rest), c("w_switches") / rest, F.when(c("w_prev") == c("market_id"), 1).otherwise(0), safe_ratio(n, "w_notional"),
+        ln("r_n"), safe_ratio("r_edge", "r_n"), safe_ratio("r_pnl", "r_n"), safe_ratio("r_wins", "r_n"), c("known"),
+        actor(ln("a_maker_fills")), actor(ln("a_taker_fills")), actor(safe_ratio("a_maker_fills", fills)), actor(safe_ratio(c("a_buy_fills") - c("a_sell_fills"), sides)), actor(ln(c("a_buy_notional") + c("a_sell_notional"))), actor(ln("a_counterparties")), actor(ln("a_assets")), actor(safe_ratio("a_price_sum", fills)), actor(weighted_std("a_price_sum", "a_price_square", fills)), c("d6"),
+    ]
+
+
+def _columns(wallet: list[Column]) -> list[Column]:
+    """All features in their order; the wallet's are given."""
+    n, ln, ts, c = F.col("notional_usd"), F.log1p, F.col("timestamp_unix"), F.col
+    (ds, dc), (ws, wc) = phase(ts, DAY), phase(ts, 7 * DAY)
+    elapsed, remaining = lifecycle(ts, "created", "end_ts")
+
     def ema(prefix: str, value: str, lives: tuple[int, ...]) -> list[Column]:
         return [c(f"{prefix}_ema_{value}_{h}") for h in lives]
 
     market_p = ema("m", "p0", MARKET_LIVES)
-    rest = F.greatest(c("w_count") - 1, F.lit(1))
-    fills = c("a_maker_fills") + c("a_taker_fills")
-    sides = c("a_buy_fills") + c("a_sell_fills")
     u_mean = safe_ratio("u_pn", "u_notional")
     clock = [ln("u_count"), ln("u_notional"), ln(c("u_age") / DAY), ds, dc, ws, wc, ln("u_gap")]
     market = [
@@ -425,11 +624,6 @@ def _columns() -> list[Column]:
         ln("c_count"), ln("c_notional"), c("c_flow"), c("c_side"), c("c_outcome"), c("c_mean"), c("c_std"), c("p0"), ln("c_gap"), ln("c_age"), ln("c_markets"), ln(c("c_count") / F.greatest("c_markets", F.lit(1.0))), safe_ratio("m_count", "c_count"), safe_ratio("m_notional", "c_notional"),
         ln(F.greatest("k_n", F.lit(1))), c("k_neg"), c("k_open"), *ema("c", "p0", COMPONENT_LIVES), *ema("c", "direction", COMPONENT_LIVES), ln("c_velocity"),
     ]
-    wallet = [
-        ln("w_count"), ln("w_notional"), ln("w_size"), c("w_sides") / c("w_count"), c("w_outcomes") / c("w_count"), c("w_flow"), c("w_mean"), c("w_std"), c("d5"), ln(c("w_gaps") / rest), c("w_switches") / rest, F.when(c("w_prev") == c("market_id"), 1).otherwise(0), safe_ratio(n, "w_notional"),
-        ln("r_n"), safe_ratio("r_edge", "r_n"), safe_ratio("r_pnl", "r_n"), safe_ratio("r_wins", "r_n"), c("known"),
-        actor(ln("a_maker_fills")), actor(ln("a_taker_fills")), actor(safe_ratio("a_maker_fills", fills)), actor(safe_ratio(c("a_buy_fills") - c("a_sell_fills"), sides)), actor(ln(c("a_buy_notional") + c("a_sell_notional"))), actor(ln("a_counterparties")), actor(ln("a_assets")), actor(safe_ratio("a_price_sum", fills)), actor(weighted_std("a_price_sum", "a_price_square", fills)), c("d6"),
-    ]
     crowd: list[Column] = []
     for i in range(4):
         crowd += [safe_ratio(f"s_d{i}", "m_notional"), weighted_std(f"s_d{i}", f"q_d{i}", "m_notional")]

@@ -499,5 +499,4 @@ def pack_inputs(t: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 def feature_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 128 features at the decisions of the adaptive cursor."""
     t = trades_ev(spark, sf_dir)
-    pack = features.feature_pack(t, *pack_inputs(t))
-    return pack.join(cursor.decisions(t).select("trade_id"), "trade_id", "left_semi")
+    return features.feature_pack(t, *pack_inputs(t), only=cursor.decisions(t))
