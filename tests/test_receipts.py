@@ -9,8 +9,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from compare import DATA
 from tideline.functions import canonical
 from tideline.operators import candidates, fees, receipts
+from tideline.plans import queries_receipts
 from tideline.streaming import live
 
 
@@ -179,6 +181,26 @@ def test_candidate_vectors(spark):
         candidates.assemble(pack.drop("f_005"), inputs)
 
 
+def test_candidates_in_place_equal_joined_ones(spark):
+    """Inputs made of columns of the pack's rows: the same vectors and errors, and the query joins no trades to the pack."""
+    rng = np.random.default_rng(9)
+    kinds = ", ".join(f"{k} {'array<double>' if n else 'int' if k == 'action' else 'double'}" for k, n in candidates.INPUTS.items())
+    inputs = spark.createDataFrame(candidate_rows(rng, 20), f"trade_id bigint, {kinds}")
+    pack = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(rng.normal(size=(20, candidates.PACK)).astype(np.float32))], "trade_id bigint, " + ", ".join(f"f_{i:03d} float" for i in range(candidates.PACK)))
+    rows, own = pack.join(inputs, "trade_id"), {k: F.col(k) for k in candidates.INPUTS}
+    want = {r["trade_id"]: (r["action"], r["vector"]) for r in candidates.assemble(pack, inputs).collect()}
+    assert {r["trade_id"]: (r["action"], r["vector"]) for r in candidates.in_place(rows, own).collect()} == want and len(want) == 20
+    bad = F.col("trade_id") == 7
+    for c, v in (("f_003", None), ("f_127", float("nan")), ("f_000", float("inf")), ("f_064", float("-inf")), ("action", 2), ("terminal_logit", None), ("uncertainty_log_scale", float("-inf"))):
+        changed = rows.withColumn(c, F.when(bad, F.lit(v)).otherwise(F.col(c)).cast(rows.schema[c].dataType))
+        with pytest.raises(Exception, match="no sound candidate vector for 7"):
+            candidates.in_place(changed, own).collect()
+    with pytest.raises(ValueError):
+        candidates.in_place(rows.drop("f_005"), own)
+    plan = queries_receipts.c30_candidate_vectors(spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString()
+    assert "hashpartitioning(trade_id" not in plan and "MapInPandas" in plan
+
+
 def test_refresh_is_exactly_once_over_a_restart(spark, tmp_path):
     wanted = {10: ["a", "b"], 20: ["b", "c"], 30: ["b", "c"], 40: [], 50: ["a"]}
     inbox, out, state = (f"file://{tmp_path}/{x}" for x in ("in", "out", "state"))

@@ -51,16 +51,36 @@ def aligned() -> Column:
     return ok
 
 
+def _names(pack: DataFrame) -> list[str]:
+    names = [f"f_{i:03d}" for i in range(PACK)]
+    if [c for c in pack.columns if c.startswith("f_")] != names:
+        raise ValueError(f"the pack must have {PACK} features in their order")
+    return names
+
+
 def assemble(pack: DataFrame, inputs: DataFrame, key: str = "trade_id") -> DataFrame:
     """key and vector (WIDTH floats, in order) of every candidate; an input that is not aligned, a row without its pack, or a value that is not finite is an error.
 
     inputs(key, INPUTS..) may hold several candidates of a key.
     """
-    names = [f"f_{i:03d}" for i in range(PACK)]
-    if [c for c in pack.columns if c.startswith("f_")] != names:
-        raise ValueError(f"the pack must have {PACK} features in their order")
-    rows = inputs.join(pack.select(key, F.array(*names).alias("_pack")), key, "left")
-    vector = F.concat("_pack", F.array(*(v.cast("float") for v in features().values())))
-    sound = aligned() & F.coalesce(F.size("_pack") == PACK, F.lit(False)) & F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
+    return _vectors(inputs.join(pack.select(key, F.array(*_names(pack)).alias("_pack")), key, "left"), key, F.col("_pack"))
+
+
+def in_place(pack: DataFrame, inputs: dict[str, Column], key: str = "trade_id") -> DataFrame:
+    """As assemble(), of one candidate a row of the pack, whose inputs are made from columns of that row: nothing is joined."""
+    # columns, not one array: Spark compiles a wide projection in parts, and an array of 128 expressions as one slow method
+    names = _names(pack)
+    return _vectors(pack.select(key, *names, *(v.alias(c) for c, v in inputs.items())), key, F.array(*names))
+
+
+def _finite(v: Column) -> Column:
+    """Whether no value is null, NaN or infinite: a search that meets a null finds null, and NaN is the greatest."""
+    inf = F.lit(float("inf")).cast("float")
+    return F.coalesce(~F.array_contains(v, -inf), F.lit(False)) & F.coalesce(F.array_max(v) < inf, F.lit(False))
+
+
+def _vectors(rows: DataFrame, key: str, pack: Column) -> DataFrame:
+    vector = F.concat(pack, F.array(*(v.cast("float") for v in features().values())))
+    sound = aligned() & F.coalesce(F.size(pack) == PACK, F.lit(False)) & _finite(vector)
     problem = F.raise_error(F.concat(F.lit("no sound candidate vector for "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
     return rows.select(key, "action", F.when(sound, vector).otherwise(problem.cast("array<float>")).alias("vector"))
